@@ -182,17 +182,15 @@ def rolling(keys: np.ndarray, n: int, base: int) -> np.ndarray:
 PACKED = "pid int, blob binary"
 
 
-def deal(owner: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def deal(owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Split records by ``owner`` (a partition number each) into one blob for
     each partition. A blob holds the columns one after the other, so that a
     shuffle moves a few large rows in place of very many small ones."""
     order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(parts + 1))
-    columns = [c[order] for c in columns]
-    for p in range(parts):
-        a, b = cuts[p], cuts[p + 1]
-        if a < b:
-            yield p, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
+    owner, columns = owner[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, dtype=np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(owner)], strict=False):
+        yield int(owner[a]), b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
 
 
 def undeal(blobs: list[bytes], *dtypes: str) -> list[np.ndarray]:

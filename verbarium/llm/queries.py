@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbarium.llm import mixing, quality, token_store, toxicity, url_rules
+from verbarium.llm import jaccard_join, mixing, quality, token_store, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their word triples:
+    jaccard_join.py."""
+    return jaccard_join.similar(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 #: The rules of the query, in place of a rule file.
 HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -51,7 +57,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_url_filters, op7_quality, op8_mixing, op10_token_store)
+    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op7_quality, op8_mixing, op10_token_store)
 }
 
 _HOST_CASES = {
