@@ -31,29 +31,47 @@ STORE = "shard int, {id} bigint, start_in_shard bigint, n_tokens bigint, ids arr
 _NOT_A_WORD_START = np.zeros(256, dtype=bool)
 _NOT_A_WORD_START[:33] = True
 _NOT_A_WORD_START[[0x7F, 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_VISIBLE = np.zeros(256, dtype=bool)
+_VISIBLE[33:127] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[ord(c) for c in ".,;:!?"]] = True
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Encodes batches of texts with a file of the tokenizers library.
 
-    For byte-level BPE whose pattern lets a piece cross a space only as its first
-    character, a text may be cut before every U+0020 that a non-space follows, and
-    the pieces encoded on their own. Each distinct piece of a batch is then encoded
-    once, and pieces seen before come from a bounded table. Other tokenizers get the
-    whole texts."""
+    Byte-level BPE merges within the pieces that its pattern finds. A text may be cut
+    where a piece must end: before a U+0020 that a non-space follows, between an ASCII
+    letter or digit and one of ``.,;:!?``, and around a single line feed between
+    visible ASCII characters. Each distinct piece of a batch is then encoded once, and
+    pieces seen before come from a bounded table (by a 64-bit key of bytes and
+    length). Other tokenizers get the whole texts."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        kind = self.tokenizer.pre_tokenizer
-        self.by_piece = kind is not None and str(kind).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(kind) and self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
-        self.known: dict[bytes, np.ndarray] = {}
+        self.tokenizer = tool = Tokenizer.from_file(path)
+        kind = str(tool.pre_tokenizer)
+        self.by_piece = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and tool.normalizer is None and tool.post_processor is None
+        if self.by_piece:  # in this vocabulary a character stands for a byte
+            self.bytes_of = np.zeros(max(tool.get_vocab().values()) + 1, dtype=np.int64)
+            for token, i in tool.get_vocab(with_added_tokens=False).items():
+                self.bytes_of[i] = len(token)
+            for i, added in tool.get_added_tokens_decoder().items():
+                self.bytes_of[i] = len(added.content.encode())
         self.most = most
+        self._forget()
 
-    def encode(self, column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _forget(self) -> None:
+        self.keys, self.slots = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.origin, self.sizes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.pool = np.empty(0, dtype=np.int32)
+
+    def encode(self, column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each row) of runs of rows, in order."""
         if not self.by_piece:
             column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -64,34 +82,76 @@ class Encoder:
         for buf, bounds, _ in runs_of(column, limit):
             yield self._run(buf, bounds)
 
-    def _run(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def cuts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         cut = np.zeros(len(buf) + 1, dtype=bool)
-        cut[: len(buf) - 1] = (buf[:-1] == 32) & ~_NOT_A_WORD_START[buf[1:]]
+        if len(buf) > 1:
+            left, right = buf[:-1], buf[1:]
+            inner = cut[1 : len(buf)]
+            inner |= _ALNUM[left] & _STOP[right]
+            feed = right == 10
+            inner |= feed & _VISIBLE[left]
+            # after a line feed that stands alone
+            inner[1:] |= feed[:-1] & _VISIBLE[left[:-1]] & _VISIBLE[right[1:]]
+            cut[: len(buf) - 1] |= (left == 32) & ~_NOT_A_WORD_START[right]
         cut[bounds] = True
-        edges = np.flatnonzero(cut)
+        return np.flatnonzero(cut)
+
+    def _run(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = self.cuts(buf, bounds)
         if len(edges) < 2:
             return np.empty(0, dtype=np.int32), np.zeros(len(bounds) - 1, dtype=np.int64)
         pieces = Words.__new__(Words)
         pieces.buf, pieces.starts, pieces.ends = buf, edges[:-1], edges[1:]
-        _, first, which = np.unique(pieces._hash(), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        texts = [raw[a:b] for a, b in zip(pieces.starts[first].tolist(), pieces.ends[first].tolist(), strict=True)]
-        if len(self.known) + len(texts) > self.most:
-            self.known.clear()
-        new = [x for x in texts if x not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, got in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                self.known[x] = np.array(got.ids, dtype=np.int32)
-        found = [self.known[x] for x in texts]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        pool, origin = np.concatenate(found), np.cumsum(sizes) - sizes
-        each = sizes[which]
+        keys, first, which = np.unique(pieces._hash(), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.most:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        known = (at < len(self.keys)) & (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] == keys) if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            self._learn(buf, pieces.starts[first[new]], pieces.ends[first[new]])
+            self.slots = np.insert(self.slots, at[new], np.arange(len(self.sizes) - len(new), len(self.sizes)))
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            at = np.searchsorted(self.keys, keys)
+        slot = self.slots[at][which]
+        each = self.sizes[slot]
         ends = np.cumsum(each)
-        ids = pool[np.repeat(origin[which] - (ends - each), each) + np.arange(ends[-1])]
-        piece_bounds = np.searchsorted(pieces.starts, bounds)
+        ids = self.pool[np.repeat(self.origin[slot] - (ends - each), each) + np.arange(ends[-1])]
         totals = np.concatenate(([0], ends))
-        return ids, np.diff(totals[piece_bounds])
+        return ids, np.diff(totals[np.searchsorted(pieces.starts, bounds)])
+
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode pieces. Those that begin with a space and a visible ASCII character
+        may follow one another in one text; the bytes of its tokens tell them apart."""
+        chained = (buf[starts] == 32) & (ends - starts > 1) & _VISIBLE[buf[np.minimum(starts + 1, len(buf) - 1)]]
+        raw, size = buf.tobytes(), ends - starts
+        origin, counts = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        parts, at = [self.pool], len(self.pool)
+        of = np.flatnonzero(chained)
+        for part in np.array_split(of, len(of) // 2000 + 1) if len(of) else []:
+            text = b"".join(raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True))
+            got = np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=np.int32)
+            reach, wanted = np.cumsum(self.bytes_of[got]), np.cumsum(size[part])
+            stop = np.searchsorted(reach, wanted) + 1
+            if stop[-1] > len(reach) or not np.array_equal(reach[stop - 1], wanted):
+                chained[part] = False  # bytes that aren't UTF-8 were replaced
+                continue
+            begin = np.concatenate(([0], stop[:-1]))
+            origin[part], counts[part] = at + begin, stop - begin
+            parts.append(got)
+            at += len(got)
+        of = np.flatnonzero(~chained)
+        for k in range(0, len(of), 4096):
+            part = of[k : k + 4096]
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts[part] = [len(x) for x in got]
+            origin[part] = at + np.cumsum(counts[part]) - counts[part]
+            parts.append(np.array([i for x in got for i in x], dtype=np.int32))
+            at += len(parts[-1])
+        self.origin, self.sizes = np.concatenate((self.origin, origin)), np.concatenate((self.sizes, counts))
+        self.pool = np.concatenate(parts)
 
 
 def encoder(path: str) -> Encoder:
