@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verbarium.llm import jaccard_join, mixing, quality, token_store, toxicity, url_rules
+from verbarium.llm import additive_ann, decontaminate, jaccard_join, mixing, quality, token_store, toxicity, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,21 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that each document holds: decontaminate.py."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every 20th vector: additive_ann.py."""
+    return additive_ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, as read back: warc.py."""
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document: quality.py."""
     return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -57,7 +73,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op7_quality, op8_mixing, op10_token_store)
+    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op4_decontaminate, op5_additive_ann, op6_warc, op7_quality, op8_mixing, op10_token_store)
 }
 
 _HOST_CASES = {
@@ -89,6 +105,16 @@ with cut as (
 select page_id, host, path, rule,
   case when rule is not null then (case rule {_ACTION} end) when {_OWN} then 'block' else 'allow' end as verdict
 from ruled""",
+    "op6_warc": """
+with p as (
+  select page_id, coalesce(html, '') as payload, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), g as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from p
+)
+select page_id, payload_bytes, payload_digest,
+  case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when first is not null and page_id is distinct from first then first end as refers_to
+from g""",
     "op8_mixing": r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
