@@ -264,7 +264,8 @@ def searched(docs: DataFrame, work: DataFrame, n: int, percent: int, lower: bool
     totals = work.groupBy("group").agg(F.sum("size").alias("total"))
     work = work.join(totals, "group").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("bigint"))
     work = work.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("_text")).join(work.drop("total", "size"), "rep")
+    # both sides grow with the input: a merge join at every size
+    rows = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("_text")).hint("merge").join(work.drop("total", "size"), "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
