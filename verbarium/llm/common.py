@@ -54,7 +54,7 @@ def width(df: DataFrame, target_mb: int = 32) -> int:
     where the optimizer's estimate of the table's size asks for it."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    asked = math.ceil(min(size, 1 << 50) / (target_mb << 20))
+    asked = math.ceil(size / (target_mb << 20)) if size < 1 << 50 else 0  # a plan of unknown size says more
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(asked, 200_000))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm import additive_ann, decontaminate, jaccard_join, mixing, quality, token_store, toxicity, url_rules, warc
+from verbarium.llm import additive_ann, decontaminate, jaccard_join, mixing, quality, recompression, token_store, toxicity, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps where 20 words that stand before go:
+    recompression.py."""
+    return recompression.dedup(_table(spark, sf_dir, "documents"), 20)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -73,7 +79,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op4_decontaminate, op5_additive_ann, op6_warc, op7_quality, op8_mixing, op10_token_store)
+    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op4_decontaminate, op5_additive_ann, op6_warc, op7_quality, op8_mixing, op9_recompression, op10_token_store)
 }
 
 _HOST_CASES = {
