@@ -19,7 +19,8 @@ LEAST_QUALITY = 0.3
 
 def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id ``chosen`` has; both sides grow with the input."""
-    return docs.hint("merge").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.hint("merge").join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(*COLUMNS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +32,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8), the document
-    with the smallest id; texts without words stay."""
+    with the smallest id; texts without words and rows without an id stay."""
     groups = jaccard_join.similar(docs.select("doc_id", "text"), n=5, percent=80)
-    return _keep(docs, groups.where("doc_id = component_id"))
+    return _keep(docs, groups.where("doc_id <=> component_id"))
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     epoch in which any of a document's words are taken; whole documents, so that the
     row at a source's cut is taken whole. Documents without words are taken once."""
     taken = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
-    rows = docs.hint("merge").join(taken.where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times")), "doc_id")
+    taken = taken.where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("times"))
+    rows = docs.hint("merge").join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
     return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
