@@ -6,14 +6,15 @@ all links between different texts, exactly:
 
 1. Texts with equal sets are one class (a 128-bit key of the set).
 2. Routing, by the pigeonhole: sets that link differ in at most k elements, k known
-   from their size class. Cut into k + 3 segments of the key space, at least 3
-   segments of theirs are equal; as long as at most 2 segments of a set are empty, one
-   of the equal ones isn't (sets with more also route by their empty segments). Sets
-   that share a segment go to one search group. A segment holds a random part of a
-   text, so texts that share only a common line or passage rarely meet. Each map task
-   keeps one row a key and stars the rest of its rows to it, so a frequent key costs
-   at most one row a task.
-3. Search groups are connected components of shared segments. In a group, each set
+   from their size class. Cut into k + s segments of the key space, at least s segments
+   of theirs are equal. At most 2 empty segments are allowed for (sets with more also
+   route by their empty segments), so s - 2 = d + t equal ones are left. A segment that
+   more than FREQUENT texts have is frequent; d frequent ones may be left out of each
+   set. So either two sets share t rare segments, and become a pair for being counted
+   often enough; or both have more than d frequent ones, and meet by those left over. A
+   common line or passage gives a text few segments, which are left out. Map tasks keep
+   FREQUENT + 1 rows a segment, so no task gets a frequent segment's rows.
+3. Search groups are connected components of these pairs. In a group, each set
    asks the inverted index of the others: the short lists of its elements are merged,
    the longest ones only probed by binary search for candidates that can still reach
    the overlap T (DivideSkip); pairs already connected are skipped. Large groups are
@@ -43,6 +44,8 @@ from verbarium.llm.common import PACKED, components, deal, drop, materialize, mi
 _GRAM_BASE = 0xC2B2AE3D27D4EB4F
 #: Empty segments that the cut of a set allows for.
 SPARE = 2
+#: Most equal segments beyond the first k, and texts of a segment that isn't frequent.
+MOST_EQUAL, FREQUENT = 9, 8
 #: N-grams of the sets in one block of a large search group.
 BLOCK = 300_000
 #: Keys that a map task gathers before it combines and sends them.
@@ -71,8 +74,16 @@ def class_bounds(most: int, percent: int) -> np.ndarray:
     return np.array(out + [max(out[-1] + 1, (out[-1] - 1) * 100 // percent + 1)], dtype=np.int64)
 
 
+def needed(tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(t, d) of the low bits of a key: rare segments that a pair must share, and
+    frequent ones that a set may leave out."""
+    tag = tag.astype(np.int64)
+    return tag >> 1 & 3, tag >> 3 & 7
+
+
 def route_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, number of the set) of the segments of each set."""
+    """(key, number of the set) of the segments of each set. The low six bits of a key
+    tell its group's parity, t and d."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if not len(sizes) or not sizes.any():
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
@@ -85,7 +96,10 @@ def route_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         group = np.maximum(lower_class, 0)
         k = ((bounds[group + 1] - 1) + (bounds[np.minimum(group + 2, len(bounds) - 1)] - 1)) * (100 - percent) // (100 + percent)
         used = (lower_class >= 0) & (sizes > 0) & (k > 0)
-        m = (k + 1 + SPARE).astype(np.uint64)
+        equal = np.clip(bounds[group] // 3 - k, SPARE + 1, MOST_EQUAL)
+        t = np.minimum(3, equal - SPARE)
+        tag = ((group & 1) | t << 1 | (equal - SPARE - t) << 3).astype(np.uint64)
+        m = (k + equal).astype(np.uint64)
         on = used[owner]
         who = owner[on]
         if not len(who):
@@ -94,34 +108,77 @@ def route_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         starts = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (segment[1:] != segment[:-1]))))
         sums = np.add.reduceat(mixed[on], starts)
         who, segment = who[starts], segment[starts]
-        tag = segment * np.uint64(0x9E3779B97F4A7C15) + group[who].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        keys.append(mix(mix(sums) + tag))
+        place = segment * np.uint64(0x9E3779B97F4A7C15) + group[who].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        keys.append(mix(mix(sums) + place) & ~np.uint64(63) | tag[who])
         owners.append(who)
         filled = np.bincount(who, minlength=len(sets))
+        first = np.concatenate(([0], np.cumsum(filled)))
         for i in np.flatnonzero(used & (m.astype(np.int64) - filled > SPARE)):
-            rest = np.setdiff1d(np.arange(m[i], dtype=np.uint64), segment[who == i])
-            keys.append(mix(mix(rest * np.uint64(0x9E3779B97F4A7C15) + np.uint64(group[i])) ^ np.uint64(0x5851F42D4C957F2D)))
+            rest = np.setdiff1d(np.arange(m[i], dtype=np.uint64), segment[first[i] : first[i + 1]])
+            keys.append(mix(mix(rest * np.uint64(0x9E3779B97F4A7C15) + np.uint64(group[i])) ^ np.uint64(0x5851F42D4C957F2D)) & ~np.uint64(63) | tag[i])
             owners.append(np.full(len(rest), i))
     if not keys:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def combine(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once with its smallest id, and the distinct (id, smallest id) pairs of
-    keys with several ids."""
+def by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, id) rows in order; the place of each in its key's rows, and their
+    number."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=bool)
-    least = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else ids
-    apart = ids != least
+    if not len(keys):
+        return keys, ids, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    own = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
+    keys, ids = keys[own], ids[own]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    count = np.diff(np.append(first, len(keys)))
+    return keys, ids, np.arange(len(keys)) - np.repeat(first, count), np.repeat(count, count)
+
+
+def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once with its smallest id, and the distinct (id, smallest id) pairs."""
+    keys, ids, place, _ = by_key(keys, ids)
+    least = ids[np.arange(len(ids)) - place]
+    apart = place > 0
     edges = np.unique(np.column_stack((ids[apart], least[apart])), axis=0) if apart.any() else np.empty((0, 2), dtype=np.int64)
-    return keys[first], ids[first], edges
+    return keys[~apart], ids[~apart], edges
+
+
+def rare_pairs(keys: np.ndarray, ids: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Rows (id, id, tag, number of rare keys) of the pairs that share rare keys."""
+    found = []
+    for back in range(1, FREQUENT):
+        later = np.flatnonzero((place >= back) & (count <= FREQUENT))
+        if len(later):
+            found.append(np.column_stack((ids[later], ids[later - back], (keys[later] & np.uint64(63)).astype(np.int64))))
+    if not found:
+        return np.empty((0, 4), dtype=np.int64)
+    pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return np.column_stack((pairs, times))
+
+
+FOUND = "kind int, a bigint, b bigint, n bigint, tag bigint, data binary"
+
+
+def _found(kind: int, a: np.ndarray, b=None, n=None, tag=None, data: list | None = None) -> Iterator[pa.RecordBatch]:
+    """Kind 0: a document, the size of its set and its key. Kind 1: a pair and the number
+    of rare segments that it shares. Kind 2: a document's frequent segments."""
+    for at in range(0, len(a), 50_000):
+        part, size = slice(at, at + 50_000), len(a[at : at + 50_000])
+        ints = [pa.array(np.ascontiguousarray(c[part])) if c is not None else pa.nulls(size, pa.int64()) for c in (a, b, n, tag)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, dtype=np.int32)), *ints, pa.array(data[part], pa.binary()) if data else pa.nulls(size, pa.binary())], ["kind", "a", "b", "n", "tag", "data"])
+
+
+def _frequent(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(ids, kind="stable")
+    keys, ids = keys[order], ids[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, dtype=np.int64)
+    yield from _found(2, ids[first], data=[x.tobytes() for x in np.split(keys, first[1:])] if len(ids) else [])
 
 
 def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text_col: str) -> DataFrame:
-    """Rows (a, b, size, sig): with a size, a document and the key of its set; without,
-    two documents that share a segment."""
+    """Documents, pairs and frequent segments: _found."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     parts = width(rows, 8)
 
@@ -129,9 +186,11 @@ def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text
         return ((p, kind + blob) for p, blob in deal(owner, *columns))
 
     def send(keys: list, ids: list) -> Iterator[tuple[int, bytes]]:
-        kept, first, edges = combine(np.concatenate(keys), np.concatenate(ids))
-        yield from out(b"K", (kept % np.uint64(parts)).astype(np.int64), kept, first)
-        yield from out(b"E", edges[:, 0] % parts, edges[:, 0], edges[:, 1])
+        key, own, place, count = by_key(np.concatenate(keys), np.concatenate(ids))
+        sent = place <= FREQUENT
+        yield from out(b"K", (key[sent] % np.uint64(parts)).astype(np.int64), key[sent], own[sent])
+        often = count > FREQUENT
+        yield from out(b"F", own[often] % parts, key[often], own[often])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         keys: list[np.ndarray] = []
@@ -148,11 +207,16 @@ def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text
                 size += len(grams)
                 if size > 400_000 or row == batch.num_rows - 1:
                     mine = own[numbers]
-                    sig = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in sets), dtype="V16")
-                    yield from out(b"D", mine % parts, mine, np.array([len(s) for s in sets], dtype=np.int64), sig)
-                    got, who = route_keys(sets, percent)
+                    sigs = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+                    yield from out(b"D", mine % parts, mine, np.array([len(s) for s in sets], dtype=np.int64), np.frombuffer(b"".join(sigs), dtype="V16"))
+                    least: dict[bytes, int] = {}
+                    for i, sig in enumerate(sigs):  # equal sets route once
+                        if sig not in least or mine[i] < mine[least[sig]]:
+                            least[sig] = i
+                    chosen = sorted(least.values())
+                    got, who = route_keys([sets[i] for i in chosen], percent)
                     keys.append(got)
-                    ids.append(mine[who])
+                    ids.append(mine[chosen][who])
                     held += len(got)
                     numbers, sets, size = [], [], 0
                 if held > GATHER:
@@ -162,25 +226,54 @@ def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text
             yield from send(keys, ids)
 
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        kinds = {k: [memoryview(b)[1:] for b in blobs if b[:1] == k] for k in (b"D", b"K", b"E")}
+        kinds = {k: [memoryview(b)[1:] for b in blobs if b[:1] == k] for k in (b"D", b"K", b"F")}
         ids, sizes, sig = undeal(kinds[b"D"], "i8", "i8", "V16")
-        for at in range(0, len(ids), 50_000):
-            part = slice(at, at + 50_000)
-            count = len(ids[part])
-            yield _rows(ids[part], np.zeros(count, dtype=np.int64), pa.array(sizes[part]), pa.array([x.tobytes() for x in sig[part]], pa.binary()))
-        _, _, edges = combine(*undeal(kinds[b"K"], "u8", "i8"))
-        a, b = undeal(kinds[b"E"], "i8", "i8")
-        edges = np.unique(np.concatenate((edges, np.column_stack((a, b)))), axis=0)
-        for at in range(0, len(edges), 50_000):
-            part = edges[at : at + 50_000]
-            yield _rows(part[:, 0], part[:, 1], pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()))
+        yield from _found(0, ids, n=sizes, data=[x.tobytes() for x in sig])
+        key, own, place, count = by_key(*undeal(kinds[b"K"], "u8", "i8"))
+        pairs = rare_pairs(key, own, place, count)
+        yield from _found(1, pairs[:, 0], pairs[:, 1], pairs[:, 3], pairs[:, 2])
+        more_key, more_own = undeal(kinds[b"F"], "u8", "i8")
+        often = count > FREQUENT
+        yield from _frequent(np.concatenate((key[often], more_key)), np.concatenate((own[often], more_own)))
 
     packed = rows.mapInArrow(lambda batches: packed_batches(mapped(batches)), PACKED)
-    return per_partition(packed, parts, work, "a bigint, b bigint, size bigint, sig binary")
+    return per_partition(packed, parts, work, FOUND)
+
 
+def met(found: DataFrame) -> DataFrame:
+    """(a, b): pairs of documents that may link, or are connected by such pairs."""
+    t = F.shiftright("tag", 1).bitwiseAND(F.lit(3))
+    pairs = found.where("kind = 1").groupBy("a", "b", "tag").agg(F.sum("n").alias("n")).where(F.col("n") >= t).select("a", "b")
+    often = found.where("kind = 2").groupBy("a").agg(F.collect_list("data").alias("keys"))
+    parts = width(often.select("a"), 8)
 
-def _rows(a: np.ndarray, b: np.ndarray, size: pa.Array, sig: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), size, sig], ["a", "b", "size", "sig"])
+    def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        for batch in batches:
+            keys, ids = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+            for doc, lists in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.unique(np.frombuffer(b"".join(lists.as_py()), dtype=np.uint64))
+                parity = own & np.uint64(1)
+                for side in (0, 1):
+                    mine = own[parity == side]
+                    if len(mine):
+                        d = int(needed(mine[:1])[1][0])
+                        mine = mine[: len(mine) - d]  # all sets leave out the largest keys
+                        keys.append(mine)
+                        ids.append(np.full(len(mine), doc, dtype=np.int64))
+            kept, first, edges = stars(np.concatenate(keys), np.concatenate(ids))
+            for p, blob in deal((kept % np.uint64(parts)).astype(np.int64), kept, first):
+                yield p, b"K" + blob
+            for p, blob in deal(edges[:, 0] % parts, edges[:, 0], edges[:, 1]):
+                yield p, b"E" + blob
+
+    def meet(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        _, _, edges = stars(*undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"K"], "u8", "i8"))
+        more = np.column_stack(undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"E"], "i8", "i8"))
+        edges = np.unique(np.concatenate((edges, more)), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], ["a", "b"])
+
+    packed = often.mapInArrow(lambda batches: packed_batches(left_over(batches)), PACKED)
+    return pairs.unionByName(per_partition(packed, parts, meet, "a bigint, b bigint"))
 
 
 class Forest:
@@ -318,9 +411,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True,
     itself included) of every row."""
     spark = docs.sparkSession
     found, found_path = materialize(routed(docs, n, percent, lower, id_col, text_col))
-    sets = found.where("size > 0").select(F.col("a").alias("id"), "size", "sig")
+    whole = found.where("kind = 0").select(F.col("a").alias("id"), F.col("n").alias("size"), F.col("data").alias("sig"))
+    sets = whole.where("size > 0")
     classes, _ = materialize(sets.groupBy("sig").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.count("*").alias("copies")))
-    groups = components(found.where("size is null").select("a", "b"))
+    groups = components(met(found))
     work = classes.join(groups, classes["rep"] == groups["node"]).select(F.col("component").alias("group"), "rep", "size", "sig")
     several = work.groupBy("group").agg(F.count("*").alias("_sets")).where("_sets > 1").select("group")
     work, work_path = materialize(work.join(several, "group"))
@@ -330,7 +424,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True,
     # most classes have one row and need no look-up; rows of large classes are what AQE splits
     rows = sets.join(ranked, "sig", "left").select("id", "size", F.coalesce("rep", "id").alias("rep"))
     rows = rows.join(links, rows["rep"] == links["node"], "left").select("id", "size", F.coalesce("component", "rep").alias("component_id"))
-    empty = found.where("size = 0").select(F.col("a").alias("id"), "size", F.col("a").alias("component_id"))
+    empty = whole.where("size = 0").select("id", "size", F.col("id").alias("component_id"))
     return rows.unionByName(empty).unionByName(_without_id(docs, n, lower, id_col, text_col)).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
