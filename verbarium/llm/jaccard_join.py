@@ -42,10 +42,8 @@ from pyspark.sql import functions as F
 from verbarium.llm.common import PACKED, components, deal, drop, materialize, mix, packed_batches, per_partition, rolling, undeal, width, words_of
 
 _GRAM_BASE = 0xC2B2AE3D27D4EB4F
-#: Empty segments that the cut of a set allows for.
-SPARE = 2
-#: Most equal segments beyond the first k, and texts of a segment that isn't frequent.
-MOST_EQUAL, FREQUENT = 9, 8
+#: Texts of a segment that isn't frequent.
+FREQUENT = 8
 #: N-grams of the sets in one block of a large search group.
 BLOCK = 300_000
 #: Keys that a map task gathers before it combines and sends them.
@@ -81,6 +79,20 @@ def needed(tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tag >> 1 & 3, tag >> 3 & 7
 
 
+def cut(least: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(segments, e, d, t) for sets of at least so many n-grams that differ in at most k.
+    Small sets, whose segments would get too small, have d = 0 and t = 1."""
+    d, t = np.full(len(k), 4), np.full(len(k), 3)
+    small = k + 12 > least / 2
+    d[small], t[small] = 0, 1
+    e = np.full(len(k), 2)
+    for _ in range(4):
+        m = k + e + d + t
+        empty = m * np.exp(-least / m)
+        e = np.where(small, 2, np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64) + 1)
+    return k + e + d + t, e, d, t
+
+
 def route_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, number of the set) of the segments of each set. The low six bits of a key
     tell its group's parity, t and d."""
@@ -96,10 +108,9 @@ def route_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         group = np.maximum(lower_class, 0)
         k = ((bounds[group + 1] - 1) + (bounds[np.minimum(group + 2, len(bounds) - 1)] - 1)) * (100 - percent) // (100 + percent)
         used = (lower_class >= 0) & (sizes > 0) & (k > 0)
-        equal = np.clip(bounds[group] // 3 - k, SPARE + 1, MOST_EQUAL)
-        t = np.minimum(3, equal - SPARE)
-        tag = ((group & 1) | t << 1 | (equal - SPARE - t) << 3).astype(np.uint64)
-        m = (k + equal).astype(np.uint64)
+        m, e, d, t = cut(bounds[group], k)
+        tag = ((group & 1) | t << 1 | d << 3).astype(np.uint64)
+        m = m.astype(np.uint64)
         on = used[owner]
         who = owner[on]
         if not len(who):
@@ -113,7 +124,7 @@ def route_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         owners.append(who)
         filled = np.bincount(who, minlength=len(sets))
         first = np.concatenate(([0], np.cumsum(filled)))
-        for i in np.flatnonzero(used & (m.astype(np.int64) - filled > SPARE)):
+        for i in np.flatnonzero(used & (m.astype(np.int64) - filled > e)):
             rest = np.setdiff1d(np.arange(m[i], dtype=np.uint64), segment[first[i] : first[i + 1]])
             keys.append(mix(mix(rest * np.uint64(0x9E3779B97F4A7C15) + np.uint64(group[i])) ^ np.uint64(0x5851F42D4C957F2D)) & ~np.uint64(63) | tag[i])
             owners.append(np.full(len(rest), i))
