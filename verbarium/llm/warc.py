@@ -34,6 +34,8 @@ from verbarium.llm.common import drop, materialize, workspace
 MAGIC = "WARC/1.1\r\n"
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
+#: Most revisits (three numbers each) that are sent to all executors.
+BROADCAST_ROWS = 1_000_000
 
 
 # ------------------------------------------------------------------ writing
@@ -47,7 +49,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     again = rows.where(F.col("size") >= LEAST_REVISIT).select("id", "digest").join(first, "digest").where("id is null or id > first")
     # of one id, different payloads differ in this part of the digest
     mark = F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")
-    again = again.select(F.col("id").alias("_id"), mark.alias("_mark"), "first").distinct()
+    again, _ = materialize(again.select(F.col("id").alias("_id"), mark.alias("_mark"), "first").distinct())
+    if again.count() <= BROADCAST_ROWS:  # the payloads stay where they are read; beyond that they are dealt out by id
+        again = F.broadcast(again)
     rows = rows.join(again, rows["id"].eqNullSafe(again["_id"]) & (mark == again["_mark"]), "left")
     revisit = F.col("first").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
