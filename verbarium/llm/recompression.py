@@ -202,7 +202,9 @@ FOUND = "id bigint, n_words bigint, sig binary, sha binary, sig64 bigint, keys b
 
 def parsed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Rows with an id: a document, its number of words, the key of its word sequence
-    and the SHA-256 of its words joined. Rows without: shared symbols of a sequence."""
+    and the SHA-256 of its words joined. Rows without: shared symbols (``keys``: the
+    sequences' keys, then the symbols'), for a partition of the sequences
+    (``n_words``)."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     parts = width(rows, 8)
 
@@ -248,16 +250,29 @@ def parsed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(n[part]), pa.array([x.tobytes() for x in sig[part]], pa.binary()), pa.array([x.tobytes() for x in sha[part]], pa.binary()), pa.array(np.frombuffer(np.ascontiguousarray(sig[part]).tobytes(), dtype=np.int64)[::2]), pa.nulls(nulls, pa.binary())], ["id", "n_words", "sig", "sha", "sig64", "keys"])
         key, sig64, several, _ = _shared(*undeal(kinds[b"K"], "u8", "u8"))
         more_key, more_sig, _ = _split_rows(*undeal(kinds[b"S"], "u8", "u8"))
-        groups = list(_by_owner(np.concatenate((sig64[several], more_sig)), np.concatenate((key[several], more_key))))
-        for at in range(0, len(groups), 20_000):
-            part = groups[at : at + 20_000]
-            nulls = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(np.array([g for g, _ in part], dtype=np.uint64).view(np.int64)), pa.array([k[0] for _, k in part], pa.binary())], ["id", "n_words", "sig", "sha", "sig64", "keys"])
+        owner, value = np.concatenate((sig64[several], more_sig)), np.concatenate((key[several], more_key))
+        for p, blob in deal((owner % np.uint64(parts)).astype(np.int64), owner, value):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([p], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], ["id", "n_words", "sig", "sha", "sig64", "keys"])
 
     packed = rows.mapInArrow(lambda batches: packed_batches(mapped(batches)), PACKED)
     return per_partition(packed, parts, work, FOUND)
 
 
+def gathered(packed: DataFrame, parts: int, owner: str, value: str, names: tuple[str, str]) -> DataFrame:
+    """One row for each owner: its distinct values as bytes. Blobs hold both columns."""
+
+    def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        owners, values = undeal(blobs, owner, value)
+        values, owners, _ = _split_rows(values, owners)
+        groups = list(_by_owner(owners, values))
+        for at in range(0, len(groups), 5_000):
+            part = groups[at : at + 5_000]
+            ids = np.array([g for g, _ in part], dtype=owner).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[0] for _, x in part], pa.binary())], list(names))
+
+    return per_partition(packed, parts, work, f"{names[0]} bigint, {names[1]} binary")
+
+
 def repeats(shared: DataFrame, size: int) -> DataFrame:
     """(id, starts): places of windows that begin elsewhere before. ``shared``: _id,
     _text, sig and keys (of shared symbols) of one document of each class."""
@@ -292,7 +307,7 @@ def repeats(shared: DataFrame, size: int) -> DataFrame:
                     a, b = int(words.first[i]), int(words.first[i + 1])
                     if b - a < size or _signature(words.keys[a:b]) != sigs[row].as_py():
                         continue
-                    known = np.unique(np.frombuffer(b"".join(lists[row].as_py()), dtype=np.uint64))
+                    known = np.unique(np.frombuffer(lists[row].as_py(), dtype=np.uint64))
                     slot = np.minimum(np.searchsorted(known, keys[a : b - size + 1]), len(known) - 1)
                     at = a + np.flatnonzero(known[slot] == keys[a : b - size + 1])
                     if len(at):
@@ -308,13 +323,11 @@ def repeats(shared: DataFrame, size: int) -> DataFrame:
         kinds = {k: [memoryview(b)[1:] for b in blobs if b[:1] == k] for k in (b"K", b"R")}
         _, _, doc, at, _, again = ordered(*undeal(kinds[b"K"], "u8", "u4", "i8", "i4"))
         more_doc, more_at = undeal(kinds[b"R"], "i8", "i4")
-        groups = list(_by_owner(np.concatenate((doc[again], more_doc)), np.concatenate((at[again], more_at))))
-        for k in range(0, len(groups), 20_000):
-            part = groups[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in part], pa.int64()), pa.array([x[0] for _, x in part], pa.binary())], ["id", "starts"])
+        doc, at = np.concatenate((doc[again], more_doc)), np.concatenate((at[again], more_at))
+        yield from packed_batches(deal(doc % parts, doc, at))
 
     packed = shared.select("_id", "_text", "sig", "keys").mapInArrow(lambda batches: packed_batches(mapped(batches)), PACKED)
-    return per_partition(packed, parts, work, "id bigint, starts binary")
+    return gathered(per_partition(packed, parts, work, PACKED), parts, "i8", "i4", ("id", "starts"))
 
 
 def dedup(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
@@ -324,18 +337,19 @@ def dedup(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str
     whole = found.where("id is not null").select("id", "n_words", "sig", "sha", "sig64")
     part = whole.groupBy("id").agg(F.min(F.struct("sig", "sig64")).alias("s")).select("id", "s.sig", "s.sig64")
     classes, _ = materialize(part.groupBy("sig", "sig64").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    lists = found.where("id is null").groupBy("sig64").agg(F.collect_list("keys").alias("keys"))
+    parts = width(docs.select(id_col, text_col), 8)
+    lists = gathered(found.where("id is null").select(F.col("n_words").cast("int").alias("pid"), F.col("keys").alias("blob")), parts, "u8", "u8", ("sig64", "keys"))
     shared = classes.where("sig64 is not null").join(lists, "sig64").select(F.col("rep").alias("_id"), "sig", "keys")
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).hint("merge").join(shared, "_id")
     texts, _ = materialize(texts)
-    again = repeats(texts, size).groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    again = repeats(texts, size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row in range(batch.num_rows):
                 words = (batch.column(1)[row].as_py() or "").encode().split()
-                starts = np.frombuffer(b"".join(batch.column(3)[row].as_py()), dtype=np.int32)
+                starts = np.frombuffer(batch.column(3)[row].as_py(), dtype=np.int32)
                 (keyed,) = words_of(batch.column(1).slice(row, 1))
                 if _signature(keyed.keys) != batch.column(2)[row].as_py():
                     continue
