@@ -653,3 +653,69 @@ def glove_weights(t):
 def date_parts(t):
     """C31, C34."""
     return t("events").select("event_id", F.date_format(D.day(F.col("ts")), "yyyy-MM-dd").alias("day"), D.elapsed(F.lit("2024-01-01").cast("timestamp"), F.col("ts").cast("timestamp")).alias("seconds"))
+
+
+# ----------------------------------------------------------------- training
+
+
+def _few(t) -> DataFrame:
+    return _sentences(t, "lang = 'es'")
+
+
+@query()
+def svd_neighbors(t):
+    """Nearest words of the most frequent ones in an SVD model."""
+    from verbarium.plans import training
+
+    model = training.svd(_few(t), dimension=20, min_count=20, max_count=150, subsample=0.0).select("word", "vec")
+    top = cooccurrence.vocabulary(_few(t), max_count=5).select(F.col("word").alias("item"), "word", F.lit(1).alias("sign"))
+    return embeddings.nearest_add(model, top, 5).withColumn("score", F.round("score", 4))
+
+
+@query()
+def glove_train_cost(t):
+    """Mean cost of each epoch."""
+    from verbarium.plans import training
+
+    costs: list[float] = []
+    training.glove(_few(t), dimension=10, min_count=20, max_count=150, window=5, epochs=4, costs=costs)
+    return t("region").sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(costs)], "epoch int, cost double")
+
+
+@query()
+def word2vec_vectors(t):
+    """The built-in skip-gram estimator."""
+    from verbarium.plans import training
+
+    return training.word2vec(_few(t), dimension=8, min_count=50)
+
+
+@query()
+def cbow_vectors(t):
+    """CBOW with negative sampling."""
+    from verbarium.plans import training
+
+    return training.word2vec(_few(t), dimension=8, min_count=100, algorithm="cbow", hsoftmax=False, negative=3, subsample=1e-3)
+
+
+@query()
+def wikitext_clean(t):
+    """I30-I45."""
+    from verbarium.operators import wikitext
+
+    row = F.format_string("'''%s''' is in [[Region %s|region]]s {{age|%s}}.\n== Empty ==\n* item\n== Size ==\nIt has {{#expr: 2 * (3 + 4)}} towns <ref>x</ref> &amp; more [http://x label].", "n_name", "n_regionkey", "n_nationkey")
+    return t("nation").select("n_nationkey", wikitext.clean(row, {"Age": "({{{1}}} years{{{2|}}})"}).alias("text"))
+
+
+@query("select date_trunc('day', ts) as day, event_type, count(*) as n, round(sum(value), 4) as words from events group by all")
+def stream_daily_counts(t):
+    """All files of the log through a stream."""
+    import uuid
+
+    from verbarium.streaming import flows
+
+    log = t("events")
+    spark = log.sparkSession
+    path = log.inputFiles()[0].rsplit("/", 1)
+    rows = spark.readStream.schema(log.schema).option("pathGlobFilter", path[1]).parquet(path[0])
+    return flows.run_once(flows.daily_counts(rows), f"daily_{uuid.uuid4().hex}").withColumn("words", F.round("words", 4))
