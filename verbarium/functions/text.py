@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _fold_map() -> tuple[str, str]:
@@ -38,13 +39,13 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(texts: pd.Series) -> pd.Series:
     """C02 by full compatibility decomposition, for text beyond Latin Extended-A."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """Named, decimal and hexadecimal entities."""
     return texts.map(lambda t: None if t is None else html.unescape(t))

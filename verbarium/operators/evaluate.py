@@ -54,8 +54,8 @@ def ranks(c: str):
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row, 0 where it isn't defined."""
     ranked = rows.select(ranks(a).alias("ra"), ranks(b).alias("rb"))
-    rho = F.corr("ra", "rb")
-    return ranked.agg(F.when(F.isnan(rho) | rho.isNull(), 0.0).otherwise(rho).alias("accuracy"), F.count("*").alias("total"))
+    rho = F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))
+    return ranked.agg(F.coalesce(rho, F.lit(0.0)).alias("accuracy"), F.count("*").alias("total"))
 
 
 def odd_one_outs(model: DataFrame, items: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def read_pseudo_xml(spark: SparkSession, path: str) -> DataFrame:
     """Files of ``<doc id url title>`` elements, plain or compressed."""
     pattern = r'(?s)<doc id="([^"]*)" url="([^"]*)" title="([^"]*)"[^>]*>(.*?)</doc>'
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("d"))
-    return rows.select(*[F.regexp_extract("d", pattern, i).alias(n) for i, n in ((1, "id"), (2, "url"), (3, "title"))], F.trim(T.drop_refs(F.regexp_extract("d", pattern, 4))).alias("content"))
+    return rows.select(*[F.regexp_extract("d", pattern, i).alias(n) for i, n in ((1, "id"), (2, "url"), (3, "title"))], F.regexp_replace(T.drop_refs(F.regexp_extract("d", pattern, 4)), r"\A\s+|\s+\z", "").alias("content"))
 
 
 def read_xml_texts(spark: SparkSession, path: str) -> DataFrame:
