@@ -169,29 +169,26 @@ def rare_pairs(keys: np.ndarray, ids: np.ndarray, place: np.ndarray, count: np.n
     return np.column_stack((pairs, times))
 
 
-FOUND = "kind int, a bigint, b bigint, n bigint, tag bigint, data binary"
+FOUND = "kind int, a bigint, n bigint, data binary"
 
 
-def _found(kind: int, a: np.ndarray, b=None, n=None, tag=None, data: list | None = None) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document, the size of its set and its key. Kind 1: a pair and the number
-    of rare segments that it shares. Kind 2: a document's frequent segments."""
-    for at in range(0, len(a), 50_000):
-        part, size = slice(at, at + 50_000), len(a[at : at + 50_000])
-        ints = [pa.array(np.ascontiguousarray(c[part])) if c is not None else pa.nulls(size, pa.int64()) for c in (a, b, n, tag)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, dtype=np.int32)), *ints, pa.array(data[part], pa.binary()) if data else pa.nulls(size, pa.binary())], ["kind", "a", "b", "n", "tag", "data"])
+def _found(kind: int, a: np.ndarray, n: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Kind 0: a document, the size of its set and its key. Kinds 1 and 2: packed pairs
+    that share rare segments (ids, tag and number), and packed frequent segments of
+    documents (id and key), for partition ``n``."""
+    for at in range(0, len(n), 50_000):
+        part = slice(at, at + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[part]), kind, dtype=np.int32)), pa.array(a[part]), pa.array(n[part]), pa.array(data[part], pa.binary())], ["kind", "a", "n", "data"])
 
 
-def _frequent(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(ids, kind="stable")
-    keys, ids = keys[order], ids[order]
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, dtype=np.int64)
-    yield from _found(2, ids[first], data=[x.tobytes() for x in np.split(keys, first[1:])] if len(ids) else [])
+def _packed(kind: int, blobs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for pid, blob in blobs:
+        yield from _found(kind, np.array([0]), np.array([pid]), [blob])
 
 
-def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text_col: str) -> DataFrame:
+def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text_col: str, parts: int) -> DataFrame:
     """Documents, pairs and frequent segments: _found."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    parts = width(rows, 8)
 
     def out(kind: bytes, owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
         return ((p, kind + blob) for p, blob in deal(owner, *columns))
@@ -239,43 +236,46 @@ def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         kinds = {k: [memoryview(b)[1:] for b in blobs if b[:1] == k] for k in (b"D", b"K", b"F")}
         ids, sizes, sig = undeal(kinds[b"D"], "i8", "i8", "V16")
-        yield from _found(0, ids, n=sizes, data=[x.tobytes() for x in sig])
+        yield from _found(0, ids, sizes, [x.tobytes() for x in sig])
         key, own, place, count = by_key(*undeal(kinds[b"K"], "u8", "i8"))
         pairs = rare_pairs(key, own, place, count)
-        yield from _found(1, pairs[:, 0], pairs[:, 1], pairs[:, 3], pairs[:, 2])
+        yield from _packed(1, deal((pairs[:, 0] ^ pairs[:, 1]) % parts, *pairs.T))
         more_key, more_own = undeal(kinds[b"F"], "u8", "i8")
         often = count > FREQUENT
-        yield from _frequent(np.concatenate((key[often], more_key)), np.concatenate((own[often], more_own)))
+        key, own = np.concatenate((key[often], more_key)), np.concatenate((own[often], more_own))
+        yield from _packed(2, deal(own % parts, own, key))
 
     packed = rows.mapInArrow(lambda batches: packed_batches(mapped(batches)), PACKED)
     return per_partition(packed, parts, work, FOUND)
 
 
-def met(found: DataFrame) -> DataFrame:
+def met(found: DataFrame, parts: int) -> DataFrame:
     """(a, b): pairs of documents that may link, or are connected by such pairs."""
-    t = F.shiftright("tag", 1).bitwiseAND(F.lit(3))
-    pairs = found.where("kind = 1").groupBy("a", "b", "tag").agg(F.sum("n").alias("n")).where(F.col("n") >= t).select("a", "b")
-    often = found.where("kind = 2").groupBy("a").agg(F.collect_list("data").alias("keys"))
-    parts = width(often.select("a"), 8)
 
-    def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-        for batch in batches:
-            keys, ids = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-            for doc, lists in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.unique(np.frombuffer(b"".join(lists.as_py()), dtype=np.uint64))
-                parity = own & np.uint64(1)
-                for side in (0, 1):
-                    mine = own[parity == side]
-                    if len(mine):
-                        d = int(needed(mine[:1])[1][0])
-                        mine = mine[: len(mine) - d]  # all sets leave out the largest keys
-                        keys.append(mine)
-                        ids.append(np.full(len(mine), doc, dtype=np.int64))
-            kept, first, edges = stars(np.concatenate(keys), np.concatenate(ids))
-            for p, blob in deal((kept % np.uint64(parts)).astype(np.int64), kept, first):
-                yield p, b"K" + blob
-            for p, blob in deal(edges[:, 0] % parts, edges[:, 0], edges[:, 1]):
-                yield p, b"E" + blob
+    def tally(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        a, b, tag, times = undeal(blobs, "i8", "i8", "i8", "i8")
+        order = np.lexsort((tag, b, a))
+        a, b, tag, times = a[order], b[order], tag[order], times[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (tag[1:] != tag[:-1]))))
+        enough = np.add.reduceat(times, first) >= needed(tag[first])[0]
+        pairs = np.unique(np.column_stack((a[first], b[first]))[enough], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+    def left_over(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """Of each set and group, the frequent keys but the d largest."""
+        own, key = undeal(blobs, "i8", "u8")
+        key, own, _, _ = by_key(key, own)
+        side = (key & np.uint64(1)).astype(np.int64)
+        order = np.lexsort((key, side, own))
+        key, own, side = key[order], own[order], side[order]
+        last = np.flatnonzero(np.concatenate(((own[1:] != own[:-1]) | (side[1:] != side[:-1]), [True])))
+        behind = last[np.searchsorted(last, np.arange(len(key)))] - np.arange(len(key))
+        kept = behind >= needed(key & np.uint64(63))[1]
+        key, own, edges = stars(key[kept], own[kept])
+        for p, blob in deal((key % np.uint64(parts)).astype(np.int64), key, own):
+            yield p, b"K" + blob
+        for p, blob in deal(edges[:, 0] % parts, edges[:, 0], edges[:, 1]):
+            yield p, b"E" + blob
 
     def meet(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         _, _, edges = stars(*undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"K"], "u8", "i8"))
@@ -283,8 +283,9 @@ def met(found: DataFrame) -> DataFrame:
         edges = np.unique(np.concatenate((edges, more)), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], ["a", "b"])
 
-    packed = often.mapInArrow(lambda batches: packed_batches(left_over(batches)), PACKED)
-    return pairs.unionByName(per_partition(packed, parts, meet, "a bigint, b bigint"))
+    packed = {k: found.where(F.col("kind") == k).select(F.col("n").cast("int").alias("pid"), F.col("data").alias("blob")) for k in (1, 2)}
+    often = per_partition(packed[2], parts, lambda blobs: packed_batches(left_over(blobs)), PACKED)
+    return per_partition(packed[1], parts, tally, "a bigint, b bigint").unionByName(per_partition(often, parts, meet, "a bigint, b bigint"))
 
 
 class Forest:
@@ -421,11 +422,12 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True,
     """id, n_shingles (size of its set) and component_id (smallest id that links reach,
     itself included) of every row."""
     spark = docs.sparkSession
-    found, found_path = materialize(routed(docs, n, percent, lower, id_col, text_col))
+    parts = width(docs.select(id_col, text_col), 8)
+    found, _ = materialize(routed(docs, n, percent, lower, id_col, text_col, parts))
     whole = found.where("kind = 0").select(F.col("a").alias("id"), F.col("n").alias("size"), F.col("data").alias("sig"))
     sets = whole.where("size > 0")
     classes, _ = materialize(sets.groupBy("sig").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.count("*").alias("copies")))
-    groups = components(met(found))
+    groups = components(met(found, parts))
     work = classes.join(groups, classes["rep"] == groups["node"]).select(F.col("component").alias("group"), "rep", "size", "sig")
     several = work.groupBy("group").agg(F.count("*").alias("_sets")).where("_sets > 1").select("group")
     work, work_path = materialize(work.join(several, "group"))
