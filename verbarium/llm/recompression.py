@@ -40,7 +40,9 @@ from verbarium.llm.common import PACKED, Words, deal, materialize, mix, packed_b
 ROUNDS = 7
 #: Words of the shortest symbol that may represent a window.
 LEAST_SPAN = 3
-GATHER = 2_000_000
+GATHER = 1_000_000
+#: Bytes of text that are parsed at a time.
+RUN = 1 << 20
 _PAIR, _RUN = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 _WINDOW_BASES = (0xA0761D6478BD642F, 0xE9846AF9B1A615DB)
 
@@ -223,7 +225,7 @@ def parsed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
         size_held = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for words in words_of(batch.column(1)):
+            for words in words_of(batch.column(1), limit=RUN):
                 raw, n = words.buf.tobytes(), np.diff(words.first)
                 sig = b"".join(_signature(words.keys[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True))
                 spans = [(int(words.starts[a]), int(words.ends[b - 1])) if b > a else (0, 0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
@@ -300,7 +302,7 @@ def repeats(shared: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             sigs, lists = batch.column(2), batch.column(3)
-            for words in words_of(batch.column(1)):
+            for words in words_of(batch.column(1), limit=RUN):
                 parse = Parse(words, size)
                 keys = parse.of_windows()
                 for i, row in enumerate(words.rows):
