@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from verbarium import catalogue
 from verbarium.operators import catalog, cooccurrence, corpus, embeddings, evaluate, ingest, testgen, wikitext
 from verbarium.plans import training
 from verbarium.sources import readers, sinks
@@ -122,6 +123,30 @@ def test_generators(spark):
     assert testgen.analogies(forms, 3).count() == 24
 
 
+def test_generators_take_every_row(spark, tmp_path):
+    rows = [(i, i % 3) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id bigint, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    label = {str(i): str(c) for i, c in rows}
+    odd = catalogue.QUERIES["gen_odd_one_out"](spark, str(tmp_path)).collect()
+    assert {r["odd"] for r in odd} == set(label) and len(odd) == 90
+    assert all(len(set(r["rest"])) == 3 and {label[w] for w in r["rest"]} == {r["other"]} != {label[r["odd"]]} for r in odd)
+    assert len({r["other"] for r in odd if r["category"] == "0"}) == 2 and len({w for r in odd for w in r["rest"]}) > 60
+    got = [tuple(w.removeprefix("x") for w in r) for r in catalogue.QUERIES["gen_analogies"](spark, str(tmp_path)).collect()]
+    assert len(got) == len({(a, c) for a, _, c, _ in got}) == 450 and {a for a, *_ in got} == set(label)
+    assert all(a == b and c == d and a != c for a, b, c, d in got)
+
+
+def test_generators_on_few_and_repeated_rows(spark):
+    forms = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("b", "1"), ("c", None), (None, "9")], "a string, b string")
+    pairs = {("a", "1"), ("a", "2"), ("b", "1"), ("c", None)}
+    got = [tuple(sorted([tuple(sorted(map(str, r[:2]))), tuple(sorted(map(str, r[2:])))])) for r in testgen.analogies(forms, 9).collect()]
+    want = [tuple(sorted([tuple(sorted(map(str, x))), tuple(sorted(map(str, y)))])) for x in pairs for y in pairs if x[0] != y[0]]
+    assert sorted(got) == sorted(want)
+    words = spark.createDataFrame([("x", "p"), ("y", "q"), ("y", "r"), ("y", "q"), (None, "z")], "category string, word string")
+    assert sorted((r["odd"], r["rest"]) for r in testgen.odd_from_categories(words).collect()) == [("p", ["q", "r"]), ("q", ["p"]), ("r", ["p"])]
+    assert testgen.odd_from_categories(words.where("category = 'x'")).collect() == testgen.analogies(forms.where("a = 'a'")).collect() == []
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "a.txt").write_text(": header\na b c d\nbroken line\n\ne f g h\n")
     assert [tuple(r)[1:] for r in readers.read_analogies(spark, str(tmp_path / "a.txt")).collect()] == [("a", "b", "c", "d"), ("e", "f", "g", "h")]
