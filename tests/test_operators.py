@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,36 @@ def test_ppmi(spark):
     assert got == {"AB": 0.521816, "BA": 0.39411, "BC": 0.583814, "CB": 0.639599}
 
 
+def test_word_ids(spark):
+    rows = sentence(spark, "b a b a c ab a1\nd é abc abd aa c b")
+    words = [(r["word"], r["count"]) for r in cooccurrence.vocabulary(rows).collect()]
+    got = {r["word"]: r["id"] for r in cooccurrence.with_ids(cooccurrence.vocabulary(rows)).collect()}
+    assert got == {w: i for i, (w, _) in enumerate(sorted(words, key=lambda x: (-x[1], x[0])), 1)}
+    got = {r["word"]: r["id"] for r in cooccurrence.with_ids(cooccurrence.vocabulary(rows), "word").collect()}
+    assert got == {w: i for i, (w, _) in enumerate(sorted(words))}
+
+
+def test_counts_and_models_take_the_whole_corpus(spark, tmp_path):
+    """Every language and none, and words beyond the 200 most frequent."""
+    texts = [(i, " ".join(f"{lang or 'no'}{j % 60}" for j in range(i, i + 300)), lang) for i, lang in enumerate(("es", "en", "de", "fr", None) * 30)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    words = {w for _, t, _ in texts for w in t.split()}
+    assert len(words) == 300
+    assert {r["id"] for r in run("subsample_hash")} == set(range(1, 301))
+    counts = Counter(w for _, t, _ in texts for w in t.split())
+    ids = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)), 1)}
+    rows = spark.createDataFrame([(d, 0, i, ids[w]) for d, t, _ in texts for i, w in enumerate(t.split(), 1)], "doc_id bigint, sid int, pos int, id int")
+    width = {(r["doc_id"], r["pos"]): r["k"] for r in rows.selectExpr("doc_id", "pos", "1 + pmod(xxhash64(1, doc_id, sid, pos), 5) as k").collect()}
+    want = Counter()
+    for d, t, _ in texts:
+        own = [ids[w] for w in t.split()]
+        for i in range(len(own)):
+            want.update((own[i], own[j]) for j in range(max(0, i - 5), min(len(own), i + 6)) if j != i and abs(i - j) <= width[d, i + 1])
+    assert {(r["w"], r["c"]): r["x"] for r in run("cooc_dynamic")} == want
+    assert {r["word"] for r in run("word2vec_vectors")} == {r["word"] for r in run("cbow_vectors")} == words
+
+
 def test_vocabulary_order_and_cap(spark):
     rows = sentence(spark, "b a b a c\nd")
     assert [r["word"] for r in cooccurrence.vocabulary(rows, max_count=2).orderBy(F.desc("count"), "word").collect()] == ["a", "b"]

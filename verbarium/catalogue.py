@@ -337,7 +337,7 @@ def ppmi(t):
 @query()
 def subsample_hash(t):
     """Frequent words thinned out by a hash."""
-    rows = _sentences(t, "lang = 'es'")
+    rows = _sentences(t)
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows, min_count=5))
     return cooccurrence.placed(rows, vocab, subsample=1e-3).groupBy("id").agg(F.count("*").alias("kept"))
 
@@ -345,8 +345,8 @@ def subsample_hash(t):
 @query()
 def cooc_dynamic(t):
     """W04 with one width a centre."""
-    rows = _sentences(t, "lang = 'es'")
-    vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows, max_count=200))
+    rows = _sentences(t)
+    vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows))
     return cooccurrence.cooccurrence(cooccurrence.pairs(cooccurrence.placed(rows, vocab), 5, dynamic=True))
 
 
@@ -658,17 +658,13 @@ def date_parts(t):
 # ----------------------------------------------------------------- training
 
 
-def _few(t) -> DataFrame:
-    return _sentences(t, "lang = 'es'")
-
-
 @query()
 def svd_neighbors(t):
     """Nearest words of the most frequent ones in an SVD model."""
     from verbarium.plans import training
 
-    model = training.svd(_few(t), dimension=20, min_count=20, max_count=150, subsample=0.0).select("word", "vec")
-    top = cooccurrence.vocabulary(_few(t), max_count=5).select(F.col("word").alias("item"), "word", F.lit(1).alias("sign"))
+    model = training.svd(_sentences(t), dimension=20, min_count=20, subsample=0.0).select("word", "vec")
+    top = cooccurrence.vocabulary(_sentences(t), max_count=5).select(F.col("word").alias("item"), "word", F.lit(1).alias("sign"))
     return embeddings.nearest_add(model, top, 5).withColumn("score", F.round("score", 4))
 
 
@@ -678,7 +674,7 @@ def glove_train_cost(t):
     from verbarium.plans import training
 
     costs: list[float] = []
-    training.glove(_few(t), dimension=10, min_count=20, max_count=150, window=5, epochs=4, costs=costs)
+    training.glove(_sentences(t), dimension=10, min_count=20, window=5, epochs=4, costs=costs)
     return t("region").sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(costs)], "epoch int, cost double")
 
 
@@ -687,7 +683,7 @@ def word2vec_vectors(t):
     """The built-in skip-gram estimator."""
     from verbarium.plans import training
 
-    return training.word2vec(_few(t), dimension=8, min_count=50)
+    return training.word2vec(_sentences(t), dimension=8, min_count=50)
 
 
 @query()
@@ -695,7 +691,7 @@ def cbow_vectors(t):
     """CBOW with negative sampling."""
     from verbarium.plans import training
 
-    return training.word2vec(_few(t), dimension=8, min_count=100, algorithm="cbow", hsoftmax=False, negative=3, subsample=1e-3)
+    return training.word2vec(_sentences(t), dimension=8, min_count=100, algorithm="cbow", hsoftmax=False, negative=3, subsample=1e-3)
 
 
 @query()

@@ -31,10 +31,20 @@ def vocabulary(sentences: DataFrame, min_count: int = 1, max_count: int | None =
 
 
 def with_ids(vocab: DataFrame, order: str = "frequency") -> DataFrame:
-    """1-based rank by frequency, or W06: 0-based alphabetical rank."""
-    if order == "frequency":
-        return vocab.withColumn("id", F.row_number().over(Window.orderBy(F.desc("count"), "word")))
-    return vocab.withColumn("id", F.row_number().over(Window.orderBy("word")) - 1)
+    """1-based rank by frequency, or W06: 0-based alphabetical rank. Words are ranked
+    among those of one count and beginning, after the sums of what comes before."""
+    by = ["count"] if order == "frequency" else []
+    rows = vocab.withColumn("_p", F.substring("word", 1, 2))
+    sums = rows.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    before = (F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_before")
+    parts = sums.select(*by, "_p", before)
+    if by:
+        counts = sums.groupBy("count").agg(F.sum("_n").alias("_n"))
+        above = counts.select("count", (F.sum("_n").over(Window.orderBy(F.desc("count"))) - F.col("_n")).alias("_above"))
+        parts = parts.join(above, "count").select("count", "_p", (F.col("_before") + F.col("_above")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("word"))
+    rank = rows.withColumn("_r", own).join(parts, [*by, "_p"]).withColumn("id", (F.col("_before") + F.col("_r") - (0 if by else 1)).cast("int"))
+    return rank.select(*vocab.columns, "id")
 
 
 def placed(sentences: DataFrame, vocab: DataFrame, key: str = "doc_id", subsample: float = 0.0, seed: int = 1) -> DataFrame:
@@ -51,15 +61,19 @@ def placed(sentences: DataFrame, vocab: DataFrame, key: str = "doc_id", subsampl
 
 
 def pairs(rows: DataFrame, window: int, key: str = "doc_id", dynamic: bool = False, seed: int = 1) -> DataFrame:
-    """Ordered (w, c, d) of words at most ``window`` places apart in a sentence. Each
-    word goes out once for each place that it is near to, so the join has equal keys
-    only. ``dynamic`` (W04): each centre has its own width of 1 to ``window``."""
-    near = rows.select(key, "sid", F.col("id").alias("c"), F.explode(F.transform(F.array(*[F.lit(d) for d in range(-window, window + 1) if d]), lambda d: F.struct((F.col("pos") + d).alias("pos"), F.abs(d).alias("d")))).alias("n")).select(key, "sid", "c", "n.pos", "n.d")
-    out = rows.withColumnRenamed("id", "w").join(near, [key, "sid", "pos"])
-    if dynamic:
-        own = 1 + F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("sid"), F.col("pos")), F.lit(window))
-        out = out.where(F.col("d") <= own)
-    return out.select("w", "c", "d")
+    """Ordered (w, c, d) of words at most ``window`` places apart in a sentence, of
+    rows as ``placed`` gives them (places without gaps). Each word looks ahead within
+    its sentence and gives a pair either way. ``dynamic`` (W04): each centre has its own
+    width of 1 to ``window``."""
+    along = Window.partitionBy(key, "sid").orderBy("pos")
+    ahead = rows.where(F.col(key).isNotNull()).select(key, "sid", "pos", "id", *[F.lead("id", d).over(along).alias(f"_{d}") for d in range(1, window + 1)])
+    own = lambda pos: 1 + F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("sid"), pos), F.lit(window))
+    both = []
+    for d in range(1, window + 1):
+        for w, c, pos in (("id", f"_{d}", F.col("pos")), (f"_{d}", "id", F.col("pos") + d)):
+            near = F.col(f"_{d}").isNotNull() & (own(pos) >= d if dynamic else F.lit(True))
+            both.append(F.when(near, F.struct(F.col(w).alias("w"), F.col(c).alias("c"), F.lit(d).alias("d"))))
+    return ahead.select(F.explode(F.array_compact(F.array(*both))).alias("p")).select("p.w", "p.c", "p.d")
 
 
 def cooccurrence(pairs_: DataFrame, weighting: str = "count", window: int | None = None) -> DataFrame:

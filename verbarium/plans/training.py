@@ -144,7 +144,8 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count)).cache()
     counts = np.array([r["count"] for r in vocab.orderBy("id").select("count").collect()], dtype=float)
     n, rng = len(counts), np.random.default_rng(seed)
-    noise = counts**0.75 / (counts**0.75).sum() if n else counts
+    noise = np.cumsum(counts**0.75 / (counts**0.75).sum()) if n else counts
+    noise /= noise[-1:]
     rows = cooccurrence.placed(sentences, vocab, key, subsample, seed).groupBy(key, "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"] - 1).alias("ids")).select("ids").cache()
     left, right = (rng.random((n, dimension)) - 0.5) / dimension, np.zeros((n, dimension))
     k = negative or 5
@@ -164,7 +165,7 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
                             continue
                         for inputs in [context] if algorithm == "cbow" else [np.array([c]) for c in context]:
                             hidden = a[inputs].mean(axis=0)
-                            targets = np.concatenate(([centre], own.choice(n, k, p=noise)))
+                            targets = np.concatenate(([centre], noise.searchsorted(own.random(k), side="right")))
                             label = np.zeros(len(targets))
                             label[0] = 1
                             g = (label - 1 / (1 + np.exp(-np.clip(b[targets] @ hidden, -30, 30)))) * step
