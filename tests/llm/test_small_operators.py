@@ -129,6 +129,18 @@ def test_decontamination(spark):
     assert out.count() == len(docs)
 
 
+def test_decontamination_in_slices(spark, monkeypatch):
+    """A benchmark of several slices gives the rows of one slice, repeated ones too."""
+    rng = random.Random(5)
+    items = [(i if i % 7 else None, " ".join(f"w{rng.randrange(80)}" for _ in range(14))) for i in range(30)] + [(3, "once more"), (9, None)]
+    docs = [(i, " ".join(["start", items[i % 31][1], "middle", items[i * 7 % 31][1]][: i % 4 + 1]), "s") for i in range(60)]
+    docs += [docs[2], docs[3], docs[3], (None, docs[3][1], "s"), (None, docs[3][1], "s"), (99, None, None)]
+    run = lambda: sorted(map(str, decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), spark.createDataFrame(items, "item_id bigint, text string"), keep=("text", "source")).collect()))
+    whole = run()
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 40)
+    assert run() == whole and len(whole) == len(docs) and any("None, " in r for r in whole)
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_neighbours(spark, metric):
     rng = np.random.default_rng(4)

@@ -7,9 +7,10 @@ pieces' first words are looked up at every position of every document by a rolli
 key; around each exact hit of a whole piece, Myers' bit-parallel algorithm gives the
 smallest edit distance of the item to any stretch of the document.
 
-The items are the driver's side of the work: they are held in slices of at most
-SLICE_WORDS words, one pass over the documents a slice, so a larger benchmark needs
-more passes and no more memory.
+The items are the driver's side of the work: they are read in slices of about
+SLICE_WORDS words, each a broadcast of its own. One pass over the documents takes every
+batch through all slices, one after another, so each row comes out once; an executor
+holds one slice's tables a task at a time.
 
 Defined results: null and empty texts, and items without words, match nothing;
 repeated items match alike; an item with a null id is reported as null id; repeated
@@ -110,18 +111,19 @@ class Items:
         return out
 
 
-def slices(benchmark: DataFrame, id_col: str, text_col: str, percent: int) -> list[Items]:
-    """The benchmark, slice by slice."""
-    out, ids, keys, size = [], [], [], 0
+def slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and word keys of the benchmark, slice by slice."""
+    ids, keys, size = [], [], 0
     for row in benchmark.select(F.col(id_col), F.lower(F.col(text_col).cast("string"))).orderBy(id_col).toLocalIterator():
         (words,) = words_of(pa.array([row[1]], pa.large_string()), table=_TABLE)
         ids.append(row[0])
         keys.append(words.keys)
         size += len(words.keys)
         if size > SLICE_WORDS:
-            out.append(Items(ids, keys, percent))
+            yield ids, keys
             ids, keys, size = [], [], 0
-    return [*out, Items(ids, keys, percent)] if ids else out
+    if ids:
+        yield ids, keys
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 15, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -131,32 +133,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 15, id_col: str
     names = [id_col, *[c for c in keep if c != id_col]]
     rows = docs.select(*names, F.lower(F.col(text_col).cast("string")).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    parts = slices(benchmark, item_col, "text", percent)
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(parts) if len(parts) <= 1 else None  # at most SLICE_WORDS words
-
-    def passing(value) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids: list[list] = [[]] * batch.num_rows
-                least: list[int | None] = [None] * batch.num_rows
-                for items in value.value:
-                    for words in words_of(batch.column(batch.num_columns - 1), table=_TABLE):
-                        for row, found in items.search(words.keys, words.first).items():
-                            ids[words.rows[row]] = sorted((items.ids[i] for i in found), key=lambda x: (x is not None, x))
-                            least[words.rows[row]] = min(found.values())
-                sizes = [len(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(least, pa.int32()), pa.array([int(n > 0) for n in sizes], pa.int32())],
-                    [*batch.schema.names[:-1], "n_items", "item_ids", "min_distance", "contaminated"],
-                )
-
-        return rows.mapInArrow(run, f"{schema}, n_items bigint, item_ids array<bigint>, min_distance int, contaminated int")
-
-    if held is not None:
-        return passing(held)
-    merged = passing(spark.sparkContext.broadcast(parts[:1]))
-    for part in parts[1:]:  # a benchmark beyond one slice: the passes' findings meet by row
-        merged = merged.unionByName(passing(spark.sparkContext.broadcast([part])))
-    found = F.flatten(F.collect_list("item_ids"))
-    return merged.groupBy(*names).agg(F.array_sort(F.array_distinct(found)).alias("item_ids"), F.min("min_distance").alias("min_distance"), F.max("contaminated").alias("contaminated")).withColumn("n_items", F.size("item_ids").cast("bigint")).select(*names, "n_items", "item_ids", "min_distance", "contaminated")
+    held = [docs.sparkSession.sparkContext.broadcast(Items(*part, percent)) for part in slices(benchmark, item_col, "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids: list[list] = [[]] * batch.num_rows
+            least: list[int | None] = [None] * batch.num_rows
+            for value in held:
+                items = value.value
+                for words in words_of(batch.column(batch.num_columns - 1), table=_TABLE):
+                    for row, found in items.search(words.keys, words.first).items():
+                        at = words.rows[row]
+                        ids[at] = sorted([*ids[at], *(items.ids[i] for i in found)], key=lambda x: (x is not None, x))
+                        least[at] = min([*found.values(), *([] if least[at] is None else [least[at]])])
+                if len(held) > 1:  # one slice at a time; it is read again from the executor's file
+                    del items
+                    value.__dict__.pop("_value", None)
+            sizes = [len(x) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(least, pa.int32()), pa.array([int(n > 0) for n in sizes], pa.int32())],
+                [*batch.schema.names[:-1], "n_items", "item_ids", "min_distance", "contaminated"],
+            )
+
+    return rows.mapInArrow(run, f"{schema}, n_items bigint, item_ids array<bigint>, min_distance int, contaminated int")
