@@ -163,3 +163,18 @@ def test_neighbours(spark, metric):
     assert hit / total >= 0.9
     assert set(out["query_id"]) == set(ids[ids % 20 == 0])
     assert additive_ann.nearest(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_recall_with_many_blocks(spark, monkeypatch):
+    """Ten blocks of codes, far fewer candidates a block than rows: recall is that of a block."""
+    monkeypatch.setattr(additive_ann, "CODE_BLOCK", 200)
+    x = np.random.default_rng(6).normal(size=(2000, 16)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    settings = additive_ann.Settings(books=4, words=16, sample=600, rerank=50)
+    out = additive_ann.nearest(table, F.col("vec_id") % 20 == 0, 10, settings=settings).toPandas()
+    hit = 0
+    for q in range(0, 2000, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:10]) & set(out[out["query_id"] == q]["vec_id"]))
+    assert hit / 1000 >= 0.95

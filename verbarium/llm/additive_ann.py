@@ -5,8 +5,8 @@ codebooks. The codebooks start as k-means of successive residuals and are refitt
 together by least squares, on a bounded sample. Encoding is a beam search over the
 codebooks. A query's table of inner products with all codewords scores any code by a
 few look-ups (for Euclidean distance the stored norms of the sums are added); the best
-candidates of each query are then ranked by the exact measure on the original
-vectors.
+candidates of each query in each block of codes are then ranked by the exact measure
+on the original vectors.
 
 Codes and queries are cut into blocks of bounded size and every code block meets
 every query block, so every row is a candidate; nothing is broadcast but the
@@ -36,7 +36,8 @@ CODE_BLOCK = 1 << 16
 @dataclass(frozen=True)
 class Settings:
     """``sample`` bounds the rows that the codebooks are fitted to: those with the
-    smallest hash of their id. ``rerank``: candidates of a query ranked exactly."""
+    smallest hash of their id. ``rerank``: candidates of a query in each code block that
+    are ranked exactly; they grow with the table, so recall doesn't fall with it."""
 
     books: int = 32
     words: int = 64
@@ -211,9 +212,6 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
 
     packed = rows.mapInArrow(lambda b: packed_batches(coded(b)), PACKED).unionByName(queries.mapInArrow(lambda b: packed_batches(asked(b)), PACKED))
     found = per_partition(packed, code_blocks * query_blocks, scan, "query_id bigint, id bigint, near float")
-    if code_blocks > 1:
-        first = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-        found = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= settings.rerank)
     # a query block's rows and its candidates' vectors meet by id
     found = found.select("query_id", "id").distinct()
     pairs = found.join(rows, "id").join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), "query_id")
