@@ -102,6 +102,17 @@ def test_counts_and_models_take_the_whole_corpus(spark, tmp_path):
     assert {r["word"] for r in run("word2vec_vectors")} == {r["word"] for r in run("cbow_vectors")} == words
 
 
+def test_shuffle_takes_cooccurrence_records(spark, tmp_path):
+    spark.createDataFrame([(0, "a b c a"), (1, "d a. b d")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda: [tuple(r) for r in catalogue.QUERIES["shuffle_records"](spark, str(tmp_path)).collect()]
+    got, want = run(), Counter()
+    for words in (["a", "b", "c", "a"], ["d", "a"], ["b", "d"]):
+        for i, j in ((i, j) for i in range(len(words)) for j in range(len(words)) if i != j):
+            want[1 + "abdc".index(words[i]), 1 + "abdc".index(words[j])] += 1 / abs(i - j)
+    assert {(w, c): x for w, c, x in got} == {k: round(x, 4) for k, x in want.items()} and len(got) == len(want)
+    assert got == run() != sorted(got)
+
+
 def test_vocabulary_order_and_cap(spark):
     rows = sentence(spark, "b a b a c\nd")
     assert [r["word"] for r in cooccurrence.vocabulary(rows, max_count=2).orderBy(F.desc("count"), "word").collect()] == ["a", "b"]

@@ -353,7 +353,10 @@ def cooc_dynamic(t):
 @query()
 def shuffle_records(t):
     """M09, T09."""
-    return cooccurrence.shuffled(t("nation").select("n_nationkey", "n_name"), 7)
+    rows = _sentences(t)
+    vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows))
+    cells = cooccurrence.cooccurrence(cooccurrence.pairs(cooccurrence.placed(rows, vocab), 5), "inverse")
+    return _cells(cooccurrence.shuffled(cells.select("w", "c", F.round("x", 4).alias("x")), 7))
 
 
 # ------------------------------------------------------------------ vectors
