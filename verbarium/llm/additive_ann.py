@@ -8,14 +8,21 @@ few look-ups (for Euclidean distance the stored norms of the sums are added); th
 candidates of each query in each block of codes are then ranked by the exact measure
 on the original vectors.
 
-Codes and queries are cut into blocks of bounded size and every code block meets
-every query block, so every row is a candidate; nothing is broadcast but the
-codebooks (4 bytes * codebooks * words * dimension).
+Codes lie in coarse cells (k-means of the sample), and a query asks the cells nearest
+to it. How many is measured: as many as hold RECALL of the sample's own neighbours, so
+clustered tables ask few and tables without clusters many. A cell is dealt out in blocks
+of at most BLOCK rows by a hash of the id, and its queries in groups, so neither a large
+cell nor a vector that very many rows have makes a large task. A row travels once for
+each group of queries, codes and original vector together: reranking needs no look-up.
+
+Everything is coded in single precision after division by the largest component of the
+table; the ranking uses the original vectors in double precision.
 
 Defined results: vectors that are null, of another length than the most frequent
 one, zero, or with null or non-finite components take no part, nor do null ids; equal
 rows count once; ties go to the smaller id; a query has fewer neighbours if there are
-fewer candidates; an empty table gives an empty result; other columns are ignored."""
+fewer candidates; an empty table gives an empty result; other columns are ignored.
+``Settings(exact=True)`` ranks every row exactly."""
 
 from __future__ import annotations
 
@@ -25,19 +32,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import PACKED, deal, materialize, packed_batches, per_partition, undeal
+from verbarium.llm.common import PACKED, deal, materialize, mix, packed_batches, per_partition, undeal
 
-CODE_BLOCK = 1 << 16
+#: Rows of a block, queries of a group, and rows that a cell should have at least.
+BLOCK, GROUP, CELL = 1 << 16, 4096, 4096
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the rows that the codebooks are fitted to: those with the
-    smallest hash of their id. ``rerank``: candidates of a query in each code block that
-    are ranked exactly; they grow with the table, so recall doesn't fall with it."""
+    """``sample`` bounds the rows that the codebooks and cells are fitted to: those with
+    the smallest hash of their id. ``rerank``: candidates of a query in each block that
+    are ranked exactly; they grow with the table, so recall doesn't fall with it.
+    ``recall``: the share of the sample's neighbours that the cells asked must hold."""
 
     books: int = 32
     words: int = 64
@@ -45,6 +54,8 @@ class Settings:
     sample: int = 10_000
     rounds: int = 1
     rerank: int = 400
+    recall: float = 0.99
+    exact: bool = False
     seed: int = 3
 
 
@@ -132,19 +143,59 @@ def _best(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate((above, np.flatnonzero(scores == edge)[: n - len(above)]))
 
 
+class Cells:
+    """Coarse cells and how many of them a query asks."""
+
+    def __init__(self, centres: np.ndarray, metric: str, asked: int):
+        self.centres, self.metric, self.asked = centres, metric, asked
+        self.half = 0.5 * (centres**2).sum(axis=1)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centres.T - self.half).argmax(axis=1)
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """Cells by promise, for each query."""
+        return np.argsort(-(x @ self.centres.T - (self.half if self.metric == "l2" else 0)), axis=1, kind="stable")
+
+
+def fit_cells(x: np.ndarray, count: int, metric: str, n: int, settings: Settings) -> Cells:
+    """Cells for ``count`` rows; ``x`` is the sample. The neighbours of a row in the
+    sample are farther than those in the table, so the measured number is on the safe
+    side."""
+    cells = max(1, min(math.ceil(count / CELL), len(x) // 32))
+    out = Cells(_kmeans(x, cells, np.random.default_rng(settings.seed)), metric, cells)
+    if cells == 1 or settings.exact:
+        return out
+    asking = x[:256]
+    near = asking @ x.T
+    if metric == "l2":
+        near = near - 0.5 * (x**2).sum(axis=1)
+    near[np.arange(len(asking)), np.arange(len(asking))] = -np.inf
+    best = np.argsort(-near, axis=1)[:, :n]
+    place = np.argsort(out.order(asking), axis=1)
+    needed = np.sort(np.take_along_axis(place, out.of(x)[best], axis=1).ravel())
+    out.asked = int(needed[min(len(needed) - 1, math.ceil(len(needed) * settings.recall) - 1)]) + 1
+    return out
+
+
 def valid(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vector as float32 bytes) of the rows that take part, each once."""
+    """(id, vector as float64 bytes, its largest absolute component) of the rows that
+    take part, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             good = np.isfinite(flat).all(axis=1) & (flat != 0).any(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in flat[good]], pa.binary())], ["id", "vec"])
+            flat = flat[good]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in flat], pa.binary()), pa.array(np.abs(flat).max(axis=1) if len(flat) else np.empty(0))], ["id", "vec", "peak"])
 
-    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null)")
+    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null)")
     sizes = rows.groupBy(F.size("v").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0)).mapInArrow(run, "id bigint, vec binary").distinct()
+    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0)).mapInArrow(run, "id bigint, vec binary, peak double").distinct()
+
+
+def _spread(ids: np.ndarray, salt: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64) + np.uint64(salt)) >> np.uint64(33)).astype(np.int64)
 
 
 def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "ip", settings: Settings = Settings()) -> DataFrame:
@@ -155,73 +206,100 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
         raise ValueError("metric is ip or l2")
     spark = table.sparkSession
     rows, _ = materialize(valid(table, id_col, vec_col))
-    sample = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(settings.sample).toArrow()
-    queries = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
     result = f"query_id bigint, rank int, {id_col} bigint, score double"
-    if not sample.num_rows:
+    count, peak = rows.agg(F.count(F.lit(1)), F.max("peak")).first()
+    if not count:
         return spark.createDataFrame([], result)
-    quantiser = train(np.frombuffer(b"".join(sample.column("vec").to_pylist()), dtype=np.float32).reshape(sample.num_rows, -1).copy(), settings)
-    books, beam, dim = spark.sparkContext.broadcast(quantiser.books), settings.beam, quantiser.books.shape[2]
-    code_blocks = math.ceil(rows.count() / CODE_BLOCK)
-    per_block = min(4096, max(64, math.ceil(queries.count() / (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    query_blocks = max(1, math.ceil(queries.count() / per_block))
-
-    def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float32).reshape(batch.num_rows, dim)
-
-    def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
-        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-        tool = Quantiser(books.value, beam)
+    sample = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(settings.sample).select("vec").toArrow()
+    known = (np.frombuffer(b"".join(sample.column("vec").to_pylist()), dtype=np.float64).reshape(sample.num_rows, -1) / peak).astype(np.float32)
+    del sample
+    dim = known.shape[1]
+    tools = spark.sparkContext.broadcast((train(known, settings).books, fit_cells(known, count, metric, n, settings)))  # bounded by the settings
+    rows = rows.select("id", "vec").withColumnRenamed("id", id_col).withColumn("_asks", F.coalesce(is_query, F.lit(False))).withColumnRenamed(id_col, "id")
+
+    def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        exact = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float64).reshape(batch.num_rows, dim)
+        return batch.column(0).to_numpy(), exact, (exact / peak).astype(np.float32), batch.column(2).to_numpy(zero_copy_only=False)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = tools.value[1]
+        have, asked = np.zeros(len(cells.centres), dtype=np.int64), np.zeros(len(cells.centres), dtype=np.int64)
         for batch in batches:
-            ids, x = vectors(batch)
-            codes = tool.encode(x)
-            norms = (tool.decode(codes) ** 2).sum(axis=1, dtype=np.float32)
-            for block, blob in deal(block_of(ids, code_blocks), ids, np.ascontiguousarray(codes).view(f"V{codes.shape[1]}").ravel(), norms):
-                for q in range(query_blocks):
-                    yield block * query_blocks + q, b"C" + blob
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+            _, _, x, asks = vectors(batch)
+            have += np.bincount(cells.of(x), minlength=len(have))
+            asked += np.bincount(cells.order(x[asks])[:, : cells.asked].ravel(), minlength=len(have))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(have))), pa.array(have), pa.array(asked)], ["cell", "have", "asked"])
+
+    sums = rows.mapInArrow(counted, "cell bigint, have bigint, asked bigint").groupBy("cell").agg(F.sum("have"), F.sum("asked")).orderBy("cell").collect()
+    blocks = np.maximum(1, -(-np.array([r[1] for r in sums]) // BLOCK))
+    groups = np.maximum(1, -(-np.array([r[2] for r in sums]) // GROUP))
+    base = np.concatenate(([0], np.cumsum(blocks * groups)))  # of a cell's tasks: block * groups + group
+    tasks = int(base[-1])
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, tasks))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        books, cells = tools.value
+        tool = Quantiser(books, settings.beam)
         for batch in batches:
-            ids, x = vectors(batch)
-            for q, blob in deal(block_of(ids, query_blocks), ids, np.ascontiguousarray(x).view(f"V{4 * dim}").ravel()):
-                for block in range(code_blocks):
-                    yield block * query_blocks + q, b"Q" + blob
+            ids, exact, x, asks = vectors(batch)
+            codes, cell = tool.encode(x), cells.of(x)
+            norms = (tool.decode(codes) ** 2).sum(axis=1, dtype=np.float32)
+            wide = np.ascontiguousarray(exact).view(f"V{8 * dim}").ravel()
+            block = base[cell] + _spread(ids, 1) % blocks[cell] * groups[cell]
+            most = groups[cell]
+            for g in range(int(most.max(initial=0))):
+                on = most > g
+                for task, blob in deal(block[on] + g, ids[on], np.ascontiguousarray(codes[on]).view(f"V{codes.shape[1]}").ravel(), norms[on], wide[on]):
+                    yield task, b"C" + blob
+            at = np.flatnonzero(asks)
+            for k in range(0, len(at), 64):
+                who = at[k : k + 64]
+                asked = cells.order(x[who])[:, : cells.asked]
+                own, asked = np.repeat(who, asked.shape[1]), asked.ravel()
+                first = base[asked] + _spread(ids[own], 2) % groups[asked]
+                for b in range(int(blocks[asked].max())):
+                    on = blocks[asked] > b
+                    for task, blob in deal(first[on] + b * groups[asked[on]], ids[own[on]], wide[own[on]]):
+                        yield task, b"Q" + blob
 
     def scan(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        table_of = books.value
-        ids, codes, norms = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"C"], "i8", f"V{len(table_of)}", "f4")
-        asking, x = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"Q"], "i8", f"V{4 * dim}")
+        books = tools.value[0]
+        ids, codes, norms, wide = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"C"], "i8", f"V{len(books)}", "f4", f"V{8 * dim}")
+        asking, asked = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"Q"], "i8", f"V{8 * dim}")
         if not len(ids) or not len(asking):
             return
         order = np.argsort(ids, kind="stable")
-        ids, norms = ids[order], norms[order]
+        ids, norms, exact = ids[order], norms[order], wide[order].view(np.float64).reshape(len(ids), dim)
         codes = np.ascontiguousarray(codes[order].view(np.uint8).reshape(len(ids), -1).T)
-        for q, v in zip(asking.tolist(), x.view(np.float32).reshape(len(asking), dim), strict=True):
-            look_up = table_of @ v
-            scores = look_up[0][codes[0]]
-            for b in range(1, len(codes)):
-                scores += look_up[b][codes[b]]
-            if metric == "l2":
-                scores = 2 * scores - norms
-            scores[np.searchsorted(ids, q) : np.searchsorted(ids, q, side="right")] = -np.inf
-            best = _best(scores, settings.rerank)
-            best = best[scores[best] > -np.inf]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(ids[best]), pa.array(scores[best].astype(np.float32))], ["query_id", "id", "near"])
-
-    packed = rows.mapInArrow(lambda b: packed_batches(coded(b)), PACKED).unionByName(queries.mapInArrow(lambda b: packed_batches(asked(b)), PACKED))
-    found = per_partition(packed, code_blocks * query_blocks, scan, "query_id bigint, id bigint, near float")
-    # a query block's rows and its candidates' vectors meet by id
-    found = found.select("query_id", "id").distinct()
-    pairs = found.join(rows, "id").join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), "query_id")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.float32).reshape(batch.num_rows, dim).astype(np.float64) for c in ("vec", "asked"))
-            scores = (a * b).sum(axis=1) if metric == "ip" else ((a - b) ** 2).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(scores)], ["query_id", id_col, "score"])
-
-    scored = pairs.select("query_id", "id", "vec", "asked").mapInArrow(exact, f"query_id bigint, {id_col} bigint, score double")
-    along = Window.partitionBy("query_id").orderBy(F.desc("score") if metric == "ip" else F.asc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= n).select("query_id", "rank", id_col, "score")
+        asked = asked.view(np.float64).reshape(len(asking), dim)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for q, v in zip(asking.tolist(), asked, strict=True):
+            if settings.exact:
+                best = np.arange(len(ids))
+            else:
+                look_up = books @ (v / peak).astype(np.float32)
+                scores = look_up[0][codes[0]]
+                for b in range(1, len(codes)):
+                    scores += look_up[b][codes[b]]
+                if metric == "l2":
+                    scores = 2 * scores - norms
+                scores[np.searchsorted(ids, q) : np.searchsorted(ids, q, side="right")] = -np.inf
+                best = _best(scores, settings.rerank)
+            best = best[ids[best] != q]
+            true = (exact[best] * v).sum(axis=1) if metric == "ip" else ((exact[best] - v) ** 2).sum(axis=1)
+            top = np.lexsort((ids[best], -true if metric == "ip" else true))[:n]
+            found.append((np.full(len(top), q), ids[best][top], true[top]))
+        q, own, true = (np.concatenate(c) for c in zip(*found, strict=True))
+        yield from packed_batches(deal(_spread(q, 3) % parts, q, own, true))
+
+    def ranked(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        q, own, true = undeal(blobs, "i8", "i8", "f8")
+        order = np.lexsort((own, -true if metric == "ip" else true, q))
+        q, own, true = q[order], own[order], true[order]
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) + 1
+        keep = rank <= n
+        yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(rank[keep].astype(np.int32)), pa.array(own[keep]), pa.array(true[keep])], ["query_id", "rank", id_col, "score"])
+
+    packed = rows.mapInArrow(lambda b: packed_batches(dealt(b)), PACKED)
+    return per_partition(per_partition(packed, min(tasks, 100_000), scan, PACKED), parts, ranked, result)

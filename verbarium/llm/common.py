@@ -5,14 +5,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: U+0020 and U+0009 to U+000D.
@@ -25,10 +27,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def workspace(spark: SparkSession) -> str:
     """A new folder path that driver and executors share.
 
-    It lies under ``spark.checkpoint.dir``; where that is unset (tests, local
-    runs) a local temporary folder becomes the checkpoint folder."""
+    It lies under ``spark.checkpoint.dir``; where that is unset and all runs in one
+    process (tests, local runs) a local temporary folder becomes the checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="verbarium-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/verbarium/{uuid.uuid4().hex}"
@@ -49,6 +53,15 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def kept(key: object, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps for its later tasks. Functions travel by
+    value, so each task has globals of its own; a module of the worker's outlives them."""
+    shelf = sys.modules.setdefault("_verbarium_worker", types.ModuleType("_verbarium_worker")).__dict__.setdefault("shelf", {})
+    if key not in shelf:
+        shelf[key] = make()
+    return shelf[key]
+
+
 def width(df: DataFrame, target_mb: int = 32) -> int:
     """How many partitions to deal a table out to: the session's setting, or more
     where the optimizer's estimate of the table's size asks for it."""
@@ -139,11 +152,28 @@ class Words:
         return np.repeat(np.arange(len(self.rows)), np.diff(self.first))
 
 
+def spaced(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 with spaces in place of U+00A0 to U+00BF but letters (as the no-break space),
+    U+2000 to U+206F (as curly quotes and dashes) and U+3000 to U+303F."""
+    at = np.flatnonzero((buf[:-1] == 0xC2) | (buf[:-1] == 0xE2) | (buf[:-1] == 0xE3))
+    if not len(at):
+        return buf
+    lead, second, third = buf[at], buf[at + 1], buf[np.minimum(at + 2, len(buf) - 1)]
+    two = at[(lead == 0xC2) & (second >= 0xA0) & ~np.isin(second, (0xAA, 0xB5, 0xBA))]
+    three = at[((lead == 0xE2) & ((second == 0x80) | ((second == 0x81) & (third < 0xB0)))) | ((lead == 0xE3) & (second == 0x80))]
+    out = buf.copy()
+    for place in (two, two + 1, three, three + 1, three + 2):
+        out[place[place < len(out)]] = 0x20
+    return out
+
+
 def words_of(column: pa.Array, lower: bool = False, keyed: bool = True, limit: int = 1 << 21, table: np.ndarray = _IS_WORD) -> Iterator[Words]:
     """The words of a string column, in runs of whole rows of about ``limit`` bytes.
     A null counts as an empty text; ``lower`` folds A-Z only; ``table`` says which
-    bytes make words."""
+    bytes make words. With a table of one's own, punctuation beyond ASCII parts words."""
     buf_of = (lambda x: _LOWER[x]) if lower else (lambda x: x)
+    if table is not _IS_WORD:
+        fold, buf_of = buf_of, lambda x: fold(spaced(x))
     for buf, bounds, rows in runs_of(column, limit):
         yield Words(buf_of(buf), bounds, rows, keyed, table)
 
@@ -266,8 +296,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         small = small.where("u <> v").distinct()
-        new, new_path = materialize(small)
-        mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = Observation()
+        new, new_path = materialize(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        mark = (seen.get["n"], seen.get["sum"])
         drop(spark, path)
         state, path = new, new_path
         if mark == before:
