@@ -9,23 +9,28 @@ from verbarium.llm import recompression
 from verbarium.llm.common import words_of
 
 
+def place(doc, text):
+    """Where a document stands: by id, null last, then by the key of its words."""
+    (words,) = words_of(pa.array([text], pa.large_string()))
+    key = np.frombuffer(recompression._signature(words.keys), dtype=np.uint64)[0] if len(words.keys) else 0
+    return doc is None, doc or 0, int(key)
+
+
 def brute(rows, size):
-    docs = sorted({(d, t or "") for d, t in rows if d is not None})
+    docs = sorted({(*place(d, t or ""), tuple((t or "").encode().split())) for d, t in rows})
     seen, gone = set(), {}
-    for d, t in docs:
-        w = t.encode().split()
+    for *_, w in docs:
         cover = [False] * len(w)
         for i in range(len(w) - size + 1):
-            window = tuple(w[i : i + size])
-            if window in seen:
+            if w[i : i + size] in seen:
                 cover[i : i + size] = [True] * size
-            seen.add(window)
-        gone[d, t] = cover
+            seen.add(w[i : i + size])
+        gone[(*_, w)] = cover
     out = []
     for d, t in rows:
-        w = (t or "").encode().split()
-        cover = gone.get((d, t or ""), [False] * len(w))
-        kept = b" ".join(x for x, g in zip(w, cover) if not g)
+        w = tuple((t or "").encode().split())
+        cover = gone[(*place(d, t or ""), w)]
+        kept = b" ".join(x for x, g in zip(w, cover, strict=True) if not g)
         out.append((d, len(w), sum(cover), hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=repr)
 
@@ -56,6 +61,9 @@ def test_against_all_windows(spark, vocabulary, size, monkeypatch):
     rows = list(enumerate(texts(vocabulary + size, 120, vocabulary)))
     random.Random(1).shuffle(rows)
     rows += [(1000, None), (1001, ""), (1002, "x " * 500), (1003, "x " * 19), (1004, "x " * 19), (None, "x " * 500), rows[0], rows[1]]
+    # one id with several texts, and no id with repeats inside, of others and of its own kind
+    long = next(t for _, t in rows if t and len(t.split()) > 2 * size)
+    rows += [(2000, long), (2000, long + " tail"), (2001, long), (2000, long.replace(" ", "\t")), (None, long + " end"), (None, "y z " * 40), (None, "y z " * 40), (None, None)]
     assert run(spark, rows, size=size) == brute(rows, size)
 
 
@@ -81,3 +89,11 @@ def test_kept_text(spark):
     docs = spark.createDataFrame([(1, f"a {passage} b"), (2, f"c  {passage}\nd"), (3, "short"), (4, f"a {passage} b")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["kept_text"] for r in recompression.dedup(docs, kept_text=True).collect()}
     assert got == {1: f"a {passage} b", 2: "c d", 3: "short", 4: ""}
+
+
+def test_kept_text_of_one_id_with_two_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    docs = spark.createDataFrame([(1, passage), (1, passage + " tail"), (2, passage), (None, "head " + passage)], "doc_id bigint, text string")
+    got = recompression.dedup(docs, kept_text=True).collect()
+    assert len(got) == 4 and sum(r["n_removed"] for r in got) == 75
+    assert sorted(r["kept_text"] for r in got if r["doc_id"] == 2 or r["doc_id"] is None) == ["", "head"]

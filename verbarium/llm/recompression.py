@@ -20,10 +20,13 @@ Every window is represented by its highest-level symbol of that kind, leftmost f
 Symbols and windows travel in packed blobs; a map task keeps one row a key, so a
 passage that a third of all documents have costs a row a task.
 
-Defined results: null and empty texts have no words; a row with a null id takes no
-part and keeps its words; of rows with one id and different texts the one with the
-smallest key takes part, the others keep their words; equal rows get equal results;
-an empty table gives an empty result; other columns are ignored."""
+Documents are ordered by id, rows without an id last, and rows of one id by the key of
+their word sequence; every row takes part.
+
+Defined results: null and empty texts have no words; rows of one id with different texts
+are documents of their own, in the order above, and so are rows without an id; equal rows
+are one document and get equal results; texts of any length are parsed whole; an empty
+table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -199,15 +202,23 @@ def _by_owner(owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, li
         yield int(owner[a]), [c[a:b].tobytes() for c in columns]
 
 
-FOUND = "id bigint, n_words bigint, sig binary, sha binary, sig64 bigint, keys binary"
+FOUND = "id bigint, n_words bigint, sig binary, sha binary, sig64 bigint, text_key bigint, keys binary"
+#: Stands for a null id while documents are compared.
+LAST = (1 << 63) - 1
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id (LAST for null), _text and a key of the text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_key"))
 
 
 def parsed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows with an id: a document, its number of words, the key of its word sequence
-    and the SHA-256 of its words joined. Rows without: shared symbols (``keys``: the
-    sequences' keys, then the symbols'), for a partition of the sequences
+    """Rows without keys: a document, its number of words, the key of its word sequence,
+    the SHA-256 of its words joined and the key of its text. Rows with: shared symbols
+    (``keys``: the sequences' keys, then the symbols'), for a partition of the sequences
     (``n_words``)."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = _rows(docs, id_col, text_col)
     parts = width(rows, 8)
 
     def out(kind: bytes, owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -224,15 +235,16 @@ def parsed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size_held = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, text_keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for words in words_of(batch.column(1), limit=RUN):
                 raw, n = words.buf.tobytes(), np.diff(words.first)
                 sig = b"".join(_signature(words.keys[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True))
                 spans = [(int(words.starts[a]), int(words.ends[b - 1])) if b > a else (0, 0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
                 sha = b"".join(hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in spans)
-                own = ids[words.rows.start : words.rows.stop]
-                yield from out(b"D", own % parts, own, n, np.frombuffer(sig, dtype="V16"), np.frombuffer(sha, dtype="V32"))
+                own, text = ids[words.rows.start : words.rows.stop], text_keys[words.rows.start : words.rows.stop]
                 sig64 = np.frombuffer(sig, dtype=np.uint64)[::2]
+                owner = ((own.view(np.uint64) ^ sig64) % np.uint64(parts)).astype(np.int64)  # rows without an id are many documents
+                yield from out(b"D", owner, own, n, np.frombuffer(sig, dtype="V16"), np.frombuffer(sha, dtype="V32"), text)
                 key, row = Parse(words, size).keys()
                 key, row, twice = _split_rows(key, row)
                 held.append((key, sig64[row], twice))
@@ -245,16 +257,18 @@ def parsed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
 
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         kinds = {k: [memoryview(b)[1:] for b in blobs if b[:1] == k] for k in (b"D", b"K", b"S")}
-        ids, n, sig, sha = undeal(kinds[b"D"], "i8", "i8", "V16", "V32")
+        ids, n, sig, sha, text = undeal(kinds[b"D"], "i8", "i8", "V16", "V32", "i8")
+        names = ["id", "n_words", "sig", "sha", "sig64", "text_key", "keys"]
         for at in range(0, len(ids), 20_000):
             part = slice(at, at + 20_000)
-            nulls = len(ids[part])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(n[part]), pa.array([x.tobytes() for x in sig[part]], pa.binary()), pa.array([x.tobytes() for x in sha[part]], pa.binary()), pa.array(np.frombuffer(np.ascontiguousarray(sig[part]).tobytes(), dtype=np.int64)[::2]), pa.nulls(nulls, pa.binary())], ["id", "n_words", "sig", "sha", "sig64", "keys"])
+            sig64 = np.frombuffer(np.ascontiguousarray(sig[part]).tobytes(), dtype=np.int64)[::2]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(n[part]), pa.array([x.tobytes() for x in sig[part]], pa.binary()), pa.array([x.tobytes() for x in sha[part]], pa.binary()), pa.array(sig64), pa.array(text[part]), pa.nulls(len(sig64), pa.binary())], names)
         key, sig64, several, _ = _shared(*undeal(kinds[b"K"], "u8", "u8"))
         more_key, more_sig, _ = _split_rows(*undeal(kinds[b"S"], "u8", "u8"))
         owner, value = np.concatenate((sig64[several], more_sig)), np.concatenate((key[several], more_key))
         for p, blob in deal((owner % np.uint64(parts)).astype(np.int64), owner, value):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([p], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], ["id", "n_words", "sig", "sha", "sig64", "keys"])
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array([p], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), none, none, pa.array([blob], pa.binary())], names)
 
     packed = rows.mapInArrow(lambda batches: packed_batches(mapped(batches)), PACKED)
     return per_partition(packed, parts, work, FOUND)
@@ -276,32 +290,32 @@ def gathered(packed: DataFrame, parts: int, owner: str, value: str, names: tuple
 
 
 def repeats(shared: DataFrame, size: int) -> DataFrame:
-    """(id, starts): places of windows that begin elsewhere before. ``shared``: _id,
-    _text, sig and keys (of shared symbols) of one document of each class."""
+    """(sig64, starts): places of windows that begin elsewhere before. ``shared``: _id,
+    _text, sig, sig64 and keys (of shared symbols) of one document of each class."""
     parts = width(shared.select("_text"), 8)
 
     def out(kind: bytes, owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        return ((p, kind + blob) for p, blob in deal(owner, *columns))
+        return ((p, kind + blob) for p, blob in deal((owner % np.uint64(parts)).astype(np.int64), *columns))
 
-    def ordered(key, check, doc, at) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((at, doc, check, key))
-        key, check, doc, at = key[order], check[order], doc[order], at[order]
+    def ordered(key, check, doc, sig, at) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((at, sig, doc, check, key))
+        key, check, doc, sig, at = key[order], check[order], doc[order], sig[order], at[order]
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]))) if len(key) else np.empty(0, dtype=bool)
         first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(key) else np.empty(0, dtype=np.int64)
-        again = (doc != doc[first]) | (at != at[first])  # a repeated row isn't another place
-        return key, check, doc, at, fresh, again
+        again = (sig != sig[first]) | (at != at[first])  # a repeated row isn't another place
+        return key, check, doc, sig, at, fresh, again
 
     def send(held: list) -> Iterator[tuple[int, bytes]]:
-        key, check, doc, at, fresh, again = ordered(*[np.concatenate(c) for c in zip(*held, strict=True)])
-        yield from out(b"R", doc[again] % parts, doc[again], at[again])
-        yield from out(b"K", (key[fresh] % np.uint64(parts)).astype(np.int64), key[fresh], check[fresh], doc[fresh], at[fresh])
+        key, check, doc, sig, at, fresh, again = ordered(*[np.concatenate(c) for c in zip(*held, strict=True)])
+        yield from out(b"R", sig[again], sig[again], at[again])
+        yield from out(b"K", key[fresh], key[fresh], check[fresh], doc[fresh], sig[fresh], at[fresh])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         held: list[tuple[np.ndarray, ...]] = []
         size_held = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sigs, lists = batch.column(2), batch.column(3)
+            ids, sig64 = batch.column(0).to_numpy(), batch.column(3).to_numpy().view(np.uint64)
+            sigs, lists = batch.column(2), batch.column(4)
             for words in words_of(batch.column(1), limit=RUN):
                 parse = Parse(words, size)
                 keys = parse.of_windows()
@@ -313,7 +327,7 @@ def repeats(shared: DataFrame, size: int) -> DataFrame:
                     slot = np.minimum(np.searchsorted(known, keys[a : b - size + 1]), len(known) - 1)
                     at = a + np.flatnonzero(known[slot] == keys[a : b - size + 1])
                     if len(at):
-                        held.append((*parse.window_keys(at), np.full(len(at), ids[row]), (at - a).astype(np.int32)))
+                        held.append((*parse.window_keys(at), np.full(len(at), ids[row]), np.full(len(at), sig64[row]), (at - a).astype(np.int32)))
                         size_held += len(at)
                 if size_held > GATHER:
                     yield from send(held)
@@ -323,67 +337,56 @@ def repeats(shared: DataFrame, size: int) -> DataFrame:
 
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         kinds = {k: [memoryview(b)[1:] for b in blobs if b[:1] == k] for k in (b"K", b"R")}
-        _, _, doc, at, _, again = ordered(*undeal(kinds[b"K"], "u8", "u4", "i8", "i4"))
-        more_doc, more_at = undeal(kinds[b"R"], "i8", "i4")
-        doc, at = np.concatenate((doc[again], more_doc)), np.concatenate((at[again], more_at))
-        yield from packed_batches(deal(doc % parts, doc, at))
+        _, _, _, sig, at, _, again = ordered(*undeal(kinds[b"K"], "u8", "u4", "i8", "u8", "i4"))
+        more_sig, more_at = undeal(kinds[b"R"], "u8", "i4")
+        sig, at = np.concatenate((sig[again], more_sig)), np.concatenate((at[again], more_at))
+        yield from packed_batches(deal((sig % np.uint64(parts)).astype(np.int64), sig, at))
 
-    packed = shared.select("_id", "_text", "sig", "keys").mapInArrow(lambda batches: packed_batches(mapped(batches)), PACKED)
-    return gathered(per_partition(packed, parts, work, PACKED), parts, "i8", "i4", ("id", "starts"))
+    packed = shared.select("_id", "_text", "sig", "sig64", "keys").mapInArrow(lambda batches: packed_batches(mapped(batches)), PACKED)
+    return gathered(per_partition(packed, parts, work, PACKED), parts, "u8", "i4", ("sig64", "starts"))
 
 
 def dedup(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
     """id, n_words, n_removed and kept_sha256 of every row; with ``kept_text`` also the
     words kept, joined by one space."""
     found, _ = materialize(parsed(docs, size, id_col, text_col))
-    whole = found.where("id is not null").select("id", "n_words", "sig", "sha", "sig64")
-    part = whole.groupBy("id").agg(F.min(F.struct("sig", "sig64")).alias("s")).select("id", "s.sig", "s.sig64")
-    classes, _ = materialize(part.groupBy("sig", "sig64").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    whole = found.where("keys is null").drop("keys")
+    classes, _ = materialize(whole.groupBy("sig", "sig64").agg(F.min(F.struct("id", "text_key")).alias("rep"), F.count("*").alias("copies")).select("sig", "sig64", F.col("rep.id").alias("rep"), F.col("rep.text_key").alias("rep_key"), "copies"))
     parts = width(docs.select(id_col, text_col), 8)
-    lists = gathered(found.where("id is null").select(F.col("n_words").cast("int").alias("pid"), F.col("keys").alias("blob")), parts, "u8", "u8", ("sig64", "keys"))
-    shared = classes.where("sig64 is not null").join(lists, "sig64").select(F.col("rep").alias("_id"), "sig", "keys")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).hint("merge").join(shared, "_id")
-    texts, _ = materialize(texts)
+    lists = gathered(found.where("keys is not null").select(F.col("n_words").cast("int").alias("pid"), F.col("keys").alias("blob")), parts, "u8", "u8", ("sig64", "keys"))
+    shared = classes.join(lists, "sig64").select(F.col("rep").alias("_id"), F.col("rep_key").alias("_key"), "sig", "sig64", "keys")
+    texts, _ = materialize(_rows(docs, id_col, text_col).hint("merge").join(shared, ["_id", "_key"]).drop("_key"))
     again = repeats(texts, size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row in range(batch.num_rows):
-                words = (batch.column(1)[row].as_py() or "").encode().split()
-                starts = np.frombuffer(batch.column(3)[row].as_py(), dtype=np.int32)
-                (keyed,) = words_of(batch.column(1).slice(row, 1))
-                if _signature(keyed.keys) != batch.column(2)[row].as_py():
+                words = (batch.column(0)[row].as_py() or "").encode().split()
+                starts = np.frombuffer(batch.column(2)[row].as_py(), dtype=np.int32)
+                (keyed,) = words_of(batch.column(0).slice(row, 1))
+                if _signature(keyed.keys) != batch.column(1)[row].as_py():
                     continue
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, np.minimum(starts + size, len(words)), -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                out.append((batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), int(gone.sum()), hashlib.sha256(kept).digest(), kept.decode("utf-8", "replace") if kept_text else None))
+                out.append((batch.column(1)[row].as_py(), int(gone.sum()), hashlib.sha256(kept).digest(), kept.decode("utf-8", "replace") if kept_text else None))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["cut_id", "cut_sig", "cut_n", "cut_sha", "cut_text"])
-
-    cuts = texts.join(again, texts["_id"] == again["id"]).select("_id", "_text", "sig", "starts").mapInArrow(cut, "cut_id bigint, cut_sig binary, cut_n bigint, cut_sha binary, cut_text string").dropDuplicates(["cut_id"])
-    several = classes.where("copies > 1").select("sig", "rep")
-    rows = whole.join(several, "sig", "left").join(part.select(F.col("id").alias("_part"), F.col("sig").alias("_part_sig")), (F.col("id") == F.col("_part")) & (F.col("sig") == F.col("_part_sig")), "left")
-    rows = rows.join(cuts, (F.col("id") == F.col("cut_id")) & (F.col("sig") == F.col("cut_sig")), "left")
-    copy = F.col("_part").isNotNull() & F.col("rep").isNotNull() & (F.col("id") > F.col("rep")) & (F.col("n_words") >= size)
-    removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("cut_n", F.lit(0)))
-    sha = F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("cut_sha", "sha"))))
-    out = rows.select("id", "n_words", removed.cast("bigint").alias("n_removed"), sha.alias("kept_sha256"), *([F.when(copy, F.lit("")).otherwise(F.col("cut_text")).alias("kept_text")] if kept_text else []))
-    out = out.unionByName(_without_id(docs, id_col, text_col), allowMissingColumns=True).withColumnRenamed("id", id_col)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["cut_sig", "cut_n", "cut_sha", "cut_text"])
+
+    cuts = texts.join(again, "sig64").select("_text", "sig", "starts").mapInArrow(cut, "cut_sig binary, cut_n bigint, cut_sha binary, cut_text string").dropDuplicates(["cut_sig"])
+    # classes of one row that lose nothing need no look-up
+    changed = classes.join(cuts.withColumnRenamed("cut_sig", "sig"), "sig", "left").where("copies > 1 or cut_n is not null").select("sig", "rep", "cut_n", "cut_sha", "cut_text")
+    rows = whole.join(changed, "sig", "left")
+    copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= size)
+    own = F.coalesce(copy, F.lit(False))
+    removed = F.when(own, F.col("n_words")).otherwise(F.coalesce("cut_n", F.lit(0)))
+    sha = F.when(own, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("cut_sha", "sha"))))
+    name = F.nullif(F.col("id"), F.lit(LAST)).alias(id_col)
+    out = rows.select(name, "n_words", removed.cast("bigint").alias("n_removed"), sha.alias("kept_sha256"), *([F.when(own, F.lit("")).otherwise(F.col("cut_text")).alias("kept_text"), F.col("id").alias("_id"), F.col("text_key").alias("_key")] if kept_text else []))
     if kept_text:  # rows that lose nothing keep their own text
-        own = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).distinct()
-        return out.join(own, out[id_col].eqNullSafe(own["_id"]), "left").withColumn("kept_text", F.coalesce("kept_text", F.array_join(F.regexp_extract_all("_text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), " "), F.lit(""))).drop("_id", "_text")
+        words = F.array_join(F.regexp_extract_all("_text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), " ")
+        out = out.join(_rows(docs, id_col, text_col).distinct(), ["_id", "_key"]).withColumn("kept_text", F.coalesce("kept_text", words, F.lit(""))).drop("_id", "_key", "_text")
     return out
-
-
-def _without_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [(t or "").encode().split() for t in batch.column(0).to_pylist()]
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * n, pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
-
-    return docs.where(F.col(id_col).isNull()).select(F.col(text_col).cast("string")).mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
