@@ -1,6 +1,7 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
-Texts are word sequences (letters and digits, lower-cased). A test item of m words
+Texts are word sequences (letters and digits, lower-cased; curly quotes, long dashes
+and no-break spaces part words as their ASCII forms do). A test item of m words
 has an error budget of k = m * percent / 100 word edits. It is cut into k + 1 pieces;
 wherever the item occurs with at most k edits, one piece is there unchanged. The
 pieces' first words are looked up at every position of every document by a rolling
@@ -13,9 +14,10 @@ batch through all slices, one after another, so each row comes out once; an exec
 holds one slice's tables a task at a time.
 
 Defined results: null and empty texts, and items without words, match nothing;
-repeated items match alike; an item with a null id is reported as null id; repeated
-documents are judged alike; an empty table gives an empty result; other columns are
-ignored."""
+repeated items match alike; an item with a null id is reported as null id, first;
+repeated documents are judged alike; texts of any length are searched whole; an empty
+table gives an empty result, an empty benchmark matches nothing; ids of items may be
+numbers or strings; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -83,7 +85,7 @@ class Items:
     def search(self, keys: np.ndarray, first: np.ndarray) -> dict[int, dict[int, int]]:
         """{row: {item: distance}} of the items found in the rows' words."""
         out: dict[int, dict[int, int]] = {}
-        done: dict[tuple[int, int], list[int]] = {}
+        done: dict[tuple[int, int], set[int]] = {}
         for q, known in self.sorted.items():
             rolled = rolling(keys, q, _BASE)
             at = np.flatnonzero(self.sieve[q][(rolled & np.uint64(0xFFFF)).astype(np.int64)])
@@ -99,10 +101,10 @@ class Items:
                     if p + b - a > end or not np.array_equal(keys[p : p + b - a], own[a:b]):
                         continue
                     start = p - a
-                    seen = done.setdefault((row, i), [])
+                    seen = done.setdefault((row, i), set())
                     if start in seen or out.get(row, {}).get(i) == 0:
                         continue
-                    seen.append(start)
+                    seen.add(start)
                     window = keys[max(int(first[row]), start - k) : min(end, start + len(own) + k)]
                     distance = myers(own.tolist(), window.tolist())
                     if distance <= k:
@@ -133,6 +135,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 15, id_col: str
     names = [id_col, *[c for c in keep if c != id_col]]
     rows = docs.select(*names, F.lower(F.col(text_col).cast("string")).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
+    kind = {"int": "int", "bigint": "bigint"}.get(dict(benchmark.dtypes)[item_col], "string")
+    benchmark = benchmark.withColumn(item_col, F.col(item_col).cast(kind))
+    id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
     held = [docs.sparkSession.sparkContext.broadcast(Items(*part, percent)) for part in slices(benchmark, item_col, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +156,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 15, id_col: str
                     value.__dict__.pop("_value", None)
             sizes = [len(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(least, pa.int32()), pa.array([int(n > 0) for n in sizes], pa.int32())],
+                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(id_type)), pa.array(least, pa.int32()), pa.array([int(n > 0) for n in sizes], pa.int32())],
                 [*batch.schema.names[:-1], "n_items", "item_ids", "min_distance", "contaminated"],
             )
 
-    return rows.mapInArrow(run, f"{schema}, n_items bigint, item_ids array<bigint>, min_distance int, contaminated int")
+    return rows.mapInArrow(run, f"{schema}, n_items bigint, item_ids array<{kind}>, min_distance int, contaminated int")

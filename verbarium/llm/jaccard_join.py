@@ -344,11 +344,14 @@ def t_occurrence(sets: list[np.ndarray], percent: int, queries: range | None = N
 
 
 def _merged(lists: list[np.ndarray], limit: int) -> Iterator[tuple[int, int]]:
-    """(set, occurrences) over sorted lists, sets below the limit."""
+    """(set, occurrences) over sorted lists, sets below the limit: a merge by a heap, or
+    of many postings by numpy's stable sort, which merges the sorted runs that it finds."""
     if sum(map(len, lists)) > 512:
-        sets, counts = np.unique(np.concatenate(lists), return_counts=True)
-        keep = sets < limit
-        yield from zip(sets[keep].tolist(), counts[keep].tolist(), strict=True)
+        sets = np.sort(np.concatenate(lists), kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1])))
+        counts = np.diff(np.append(first, len(sets)))
+        first = first[: np.searchsorted(sets[first], limit)]
+        yield from zip(sets[first].tolist(), counts[: len(first)].tolist(), strict=True)
         return
     current, count = -1, 0
     for x in heapq.merge(*[part.tolist() for part in lists]):
