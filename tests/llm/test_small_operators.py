@@ -167,7 +167,9 @@ def test_neighbours(spark, metric):
 
 def test_recall_with_many_blocks(spark, monkeypatch):
     """Ten blocks of codes, far fewer candidates a block than rows: recall is that of a block."""
-    monkeypatch.setattr(additive_ann, "CODE_BLOCK", 200)
+    monkeypatch.setattr(additive_ann, "BLOCK", 150)
+    monkeypatch.setattr(additive_ann, "GROUP", 30)
+    monkeypatch.setattr(additive_ann, "CELL", 300)
     x = np.random.default_rng(6).normal(size=(2000, 16)).astype(np.float32)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     settings = additive_ann.Settings(books=4, words=16, sample=600, rerank=50)
@@ -178,3 +180,117 @@ def test_recall_with_many_blocks(spark, monkeypatch):
         s[q] = -np.inf
         hit += len(set(np.argsort(-s)[:10]) & set(out[out["query_id"] == q]["vec_id"]))
     assert hit / 1000 >= 0.95
+
+
+def test_packed_features():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 3000):
+        ids = np.sort(rng.choice(1 << 18, n, replace=False))
+        counts = rng.integers(1, 70_000, n)
+        got = quality.unpack(quality.pack(ids.astype(np.int32), counts.astype(np.int32)))
+        assert np.array_equal(got[0], ids) and np.array_equal(got[1], counts)
+
+
+def test_toxicity_learns_the_grades_of_labels(spark):
+    """With labels of several grades, severity follows them on rows not learned from."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        grade = i % 4
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(30)]
+        words[:: 30 // grade if grade else 31] = ["fool", "idiot", "scum"][:grade] + ["fool"] * (len(words[:: 30 // grade]) - grade) if grade else words[::31]
+        rows.append((i, " ".join(words), grade))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, grade int")
+    model = toxicity.fit(table, table.select("doc_id", F.col("grade").alias("toxic")).where(~quality.held_out()), settings=toxicity.Settings(bits=16), values=(0, 1, 2, 3))
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) >= 0).all()
+    out = toxicity.score(table, model).join(table.select("doc_id", F.col("grade").alias("y")), "doc_id").where(quality.held_out()).toPandas()
+    means = out.groupby("y")["severity"].mean()
+    assert means.is_monotonic_increasing and (out["grade"] == out["y"]).mean() > 0.8
+
+
+def test_classifiers_on_empty_tables(spark):
+    docs, labels = corpus(spark)
+    assert toxicity.assess(docs.limit(0), labels).collect() == []
+    assert len(quality.assess(docs, labels.limit(0)).collect()) == 405
+
+
+def test_neighbours_in_double_precision(spark, monkeypatch):
+    """Scores that single precision can't tell apart, components beyond its range, and
+    the exact way over several blocks."""
+    monkeypatch.setattr(additive_ann, "BLOCK", 40)
+    monkeypatch.setattr(additive_ann, "CELL", 64)
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 8)), 3)
+    x[58], x[59] = x[20] * 10, x[20] * 10 * (1 + 1e-12)
+    for scale in (1.0, 1e200, 1e-200):
+        table = spark.createDataFrame([(i, (v * np.sqrt(scale)).tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        for exact in (False, True):
+            settings = additive_ann.Settings(books=4, words=16, sample=300, rerank=40, recall=1.0, exact=exact)
+            out = additive_ann.nearest(table, F.col("vec_id") % 20 == 0, 5, settings=settings).toPandas().sort_values(["query_id", "rank"])
+            for q in range(0, 300, 20):
+                s = (x * x[q]).sum(axis=1)
+                s[q] = -np.inf
+                want = np.lexsort((np.arange(300), -s))[:5].tolist()
+                mine = out[out["query_id"] == q]
+                assert mine["vec_id"].tolist() == want, (scale, exact, q)
+                assert np.allclose(mine["score"], s[want] * scale, rtol=1e-9)
+
+
+def test_hot_vector_goes_to_several_tasks(spark, monkeypatch):
+    """A third of all rows has one vector: its smallest ids come first, whatever the blocks."""
+    monkeypatch.setattr(additive_ann, "BLOCK", 50)
+    monkeypatch.setattr(additive_ann, "GROUP", 5)
+    monkeypatch.setattr(additive_ann, "CELL", 100)
+    x = np.random.default_rng(6).normal(size=(600, 8))
+    x[::3] = x[0] * 3
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = additive_ann.nearest(table, F.col("vec_id") % 60 == 0, 4, settings=additive_ann.Settings(books=4, words=16)).toPandas()
+    assert out[out["query_id"] == 0].sort_values("rank")["vec_id"].tolist() == [3, 6, 9, 12]
+    assert out[out["query_id"] == 60].sort_values("rank")["vec_id"].tolist() == [0, 3, 6, 9]
+
+
+def test_literal_tokens():
+    of = url_rules.literal_tokens
+    assert of(r"(?:\A|\.)example\.org\n/es/") == ("example", "org", "es")
+    assert of(r"(?:\A|\.)example\.org\n/en/1") == ("example", "org", "en")
+    assert of(r"\n[^?#]*/ads(?:/|\Z)") == ("ads",) and of(r"\.jpg\Z") == ("jpg",)
+    assert of(r"/(?:a|b)/") == of(r"a|b") == of(r"(?i)/ads/") == of(r"(?<=x)/ads/") == of("ads") == of("/ads.") == ()
+    assert of("/ads?/") == of("/ad+s/") == of("/ads/?x") == of("/ad[s]/") == ()
+    assert of(r"/x/ads\b") == ("x", "ads") and of(r"/(ads/[0-9]+)/y/") == ("ads", "y") and of("/ADS/") == ("ads",)
+    assert of(r"\bads\.x{2}/y-") == ("ads", "y") and of(r"-ads-{1,2}b/") == ("ads", "b")
+
+
+def test_derived_tokens_lose_no_match(spark, monkeypatch):
+    """Random expressions over random urls, in slices: as if every rule ran everywhere."""
+    monkeypatch.setattr(url_rules, "SLICE_RULES", 7)
+    rng = random.Random(9)
+    bits = ["ads", "x", "/", "\\.", "a?", "[ab]", "[/.]", "(?:/|\\Z)", "(?:ads|x)", "b+", "/+", "\\d", "\\b", ".", "A"]
+    rules = [url_rules.pattern_rule(rng.choice(["allow", "block"]), "".join(rng.choices(bits, k=rng.randrange(1, 5))), f"r{i:03}") for i in range(60)]
+    assert any(r.tokens for r in rules)
+    parts = ["ads", "x", "a", "b", "xx", "A", "1", "é", "adsx", "ADS", "\u212a"]
+    pages = spark.createDataFrame([(i, "http://h.com/" + "".join(rng.choice(parts) + rng.choice("/.-") for _ in range(4))) for i in range(150)], "page_id bigint, url string")
+    bare = [url_rules.Rule(r.name, r.pattern, (), r.action, r.rank) for r in rules]
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(url_rules.judge(pages, rules)) == key(url_rules.judge(pages, bare))
+    assert {r["verdict"] for r in url_rules.judge(pages, [], default="keep").collect()} == {"keep"}
+
+
+def test_rule_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("# rules\n\nallow org/\nblock  example.org/es/\nblock /\\.exe\\Z/\n")
+    rules = list(url_rules.read_rules(spark, str(tmp_path / "rules.txt")))
+    assert [(r.action, r.name) for r in rules] == [("allow", "org/"), ("block", "example.org/es/"), ("block", "/\\.exe\\Z/")]
+    pages = spark.createDataFrame([(1, "http://example.org/es/a"), (2, "http://x.com/a.exe")], "page_id bigint, url string")
+    assert {r["page_id"]: r["rule"] for r in url_rules.judge(pages, rules).collect()} == {1: "example.org/es/", 2: "/\\.exe\\Z/"}
+    (tmp_path / "bad.txt").write_text("maybe org/\n")
+    with pytest.raises(ValueError):
+        list(url_rules.read_rules(spark, str(tmp_path / "bad.txt")))
+
+
+def test_decontamination_by_kind_of_id_and_punctuation(spark):
+    items = [("a", "one two three\u2019s four\u00a0five six"), (None, "\u201cseven\u201d eight nine ten")]
+    docs = [(1, "x one two three's four five six y"), (2, "x one two three\u2019s four five six y"), (3, "seven\u2014eight nine ten"), (4, "clean"), (5, "one " * 30_000)]
+    table, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.leaks(table, bench).collect()}
+    assert got == {1: ["a"], 2: ["a"], 3: [None], 4: [], 5: []}
+    assert [r["n_items"] for r in decontaminate.leaks(table, bench.limit(0)).collect()] == [0] * 5
+    assert decontaminate.leaks(table.limit(0), bench).collect() == []

@@ -16,6 +16,7 @@ result; without labelled rows every score is 0.5; other columns are ignored."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,16 +99,46 @@ def counted(buf: np.ndarray, bounds: np.ndarray, bits: int) -> Iterator[tuple[np
         yield (both[part] & ((1 << bits) - 1)).astype(np.int32), counts[part].astype(np.int32)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str, bits: int, extract=None) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(id, label, features, counts) of a bounded sample, in an order that depends on
-    the rows alone."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("_label"))
+def pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending features and their counts, in about two bytes a feature: differences
+    and counts by planes of bytes, deflated."""
+    gaps = np.diff(ids, prepend=0).astype("<u4")
+    return zlib.compress(np.stack((gaps, counts.astype("<u4"))).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(4, -1)
+    gaps, counts = np.ascontiguousarray(raw.T).view("<u4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int64), counts
+
+
+class Sample:
+    """Labelled rows, packed: a row takes a few kilobytes of the driver, and as many
+    features as there are numbers for them at most. Rows are unpacked one at a time."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]):
+        self.labels, self.blobs = np.array([y for y, _ in rows], dtype=np.int64), [b for _, b in rows]
+
+    def __len__(self) -> int:
+        return len(self.blobs)
+
+    def __getitem__(self, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+        return int(self.labels[k]), *unpack(self.blobs[k])
+
+    def only(self, keep) -> "Sample":
+        return Sample([(int(y), b) for y, b in zip(self.labels, self.blobs, strict=True) if keep(b)])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str, bits: int, extract=None, values: tuple[int, ...] = (0, 1)) -> Sample:
+    """A bounded sample, at most ``most`` labels of each value, in an order that depends
+    on the rows alone."""
+    known = labels.where(F.col(label).isin(*values) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("_label"))
     order = F.xxhash64(F.lit("sample"), id_col)
     picked = None
-    for value in (0, 1):
+    for value in values:
         part = known.where(F.col("_label") == value).orderBy(order, id_col).limit(most)
         picked = part if picked is None else picked.unionAll(part)
-    # at most 2 * most rows of two numbers
+    # at most len(values) * most rows of two numbers
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), id_col).select(id_col, "_label", "_text")
     extract = extract or counted
     id_type = dict(docs.dtypes)[id_col]
@@ -115,15 +146,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for buf, bounds, at in runs_of(batch.column(2), 1 << 18):
-                got = list(extract(buf, bounds, bits))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at.start, len(at)), batch.column(1).slice(at.start, len(at)).cast(pa.int32()), pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([x[1].tobytes() for x in got], pa.binary())],
-                    [id_col, "_label", "ids", "counts"],
-                )
+                got = [pack(*x) for x in extract(buf, bounds, bits)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at.start, len(at)), batch.column(1).slice(at.start, len(at)).cast(pa.int32()), pa.array(got, pa.binary())], [id_col, "_label", "features"])
 
-    got = rows.mapInArrow(run, f"{id_col} {id_type}, _label int, ids binary, counts binary").toArrow().to_pydict()
-    out = [(i, y, np.frombuffer(f, dtype=np.int32), np.frombuffer(c, dtype=np.int32)) for i, y, f, c in zip(*got.values(), strict=True)]
-    return sorted(out, key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
+    got = rows.mapInArrow(run, f"{id_col} {id_type}, _label int, features binary").toArrow()
+    out = sorted(zip(*[c.to_pylist() for c in got.columns], strict=True))
+    return Sample([x[1:] for x in out])
 
 
 @dataclass
@@ -135,19 +163,26 @@ class Model:
     bits: int
 
 
-def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], settings: Settings) -> Model:
+def train(rows: Sample, settings: Settings) -> Model:
     """Stochastic gradient descent, one document a step, at a falling rate. Labels
-    weigh as if they were equally frequent."""
+    weigh as if they were equally frequent.
+
+    The step of a feature's vector is that of a sum of features bounded at 2 a feature,
+    not of their average: by the average's own gradient, the features of a long text
+    would hardly move."""
     rng = np.random.default_rng(settings.seed)
-    vectors = rng.uniform(-1 / settings.dim, 1 / settings.dim, (1 << settings.bits, settings.dim)).astype(np.float32)
+    vectors = rng.random((1 << settings.bits, settings.dim), dtype=np.float32)
+    vectors -= np.float32(0.5)
+    vectors *= np.float32(2 / settings.dim)
     layer, bias = np.zeros((2, settings.dim), dtype=np.float32), np.zeros(2, dtype=np.float32)
-    rows = [r for r in rows if len(r[2])]
-    share = np.bincount([r[1] for r in rows], minlength=2)
+    empty = pack(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    rows = rows.only(lambda blob: blob != empty)
+    share = np.bincount(rows.labels, minlength=2)
     step_weight = len(rows) / (2.0 * np.maximum(share, 1))
     steps, done = settings.epochs * len(rows), 0
     for _ in range(settings.epochs):
         for k in rng.permutation(len(rows)):
-            _, y, ids, counts = rows[k]
+            y, ids, counts = rows[k]
             rate = settings.rate * (1 - done / steps) * step_weight[y]
             done += 1
             part = (counts / counts.sum()).astype(np.float32)
@@ -160,7 +195,6 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], settings: Setting
             back = layer.T @ p
             layer -= rate * np.outer(p, hidden)
             bias -= 0.1 * rate * p
-            # a feature's step grows with the documents' length, or long texts would hardly move it
             vectors[ids] = own - (rate * np.minimum(part * len(ids), 2.0))[:, None] * back
     return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]), settings.bits)
 

@@ -7,9 +7,11 @@ inflected and compound forms, each once, valued by their log-odds in the sample.
 severity is the sum of P(y > k). Weights and thresholds are trained by stochastic
 gradient descent with AdaGrad steps in numpy, on a bounded sample.
 
-Where labels only say toxic or not, ``graded`` makes grades: documents that aren't
-toxic are 0, toxic ones 1, 2 or 3 by how many of their distinct words the toxic part
-of the sample uses far more often than the rest.
+The grades are those of the labels where these have more than two (``fit`` with
+``values``). Where labels only say toxic or not, ``graded`` makes grades: documents that
+aren't toxic are 0, toxic ones 1, 2 or 3 by how many of their distinct words the toxic
+part of the sample uses far more often than the rest. So with such labels only the first
+threshold stands for a label; the others order the toxic documents among themselves.
 
 Defined results: null and empty texts have no features and severity by the
 thresholds alone; null labels aren't learned from; repeated rows score alike; an
@@ -19,15 +21,15 @@ other columns are ignored."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import Words, mix, words_of
-from verbarium.llm.quality import held_out, labelled
+from verbarium.llm.common import Words, mix, spaced, words_of
+from verbarium.llm.quality import Sample, held_out, labelled
 
 #: Letters, digits and all bytes of other scripts make words.
 _TABLE = np.zeros(256, dtype=bool)
@@ -72,21 +74,22 @@ def _features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def presence(buf: np.ndarray, bounds: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    rows, ids = _features(Words(_FOLD[buf], bounds, range(len(bounds) - 1), table=_TABLE), bits)
+    rows, ids = _features(Words(_FOLD[spaced(buf)], bounds, range(len(bounds) - 1), table=_TABLE), bits)
     cuts = np.searchsorted(rows, np.arange(len(bounds)))
     for i in range(len(bounds) - 1):
         part = ids[cuts[i] : cuts[i + 1]].astype(np.int32)
         yield part, np.ones(len(part), dtype=np.int32)
 
 
-def log_odds(rows: list[tuple[int, int, np.ndarray, np.ndarray]], settings: Settings) -> np.ndarray:
+def log_odds(rows: Sample, settings: Settings) -> np.ndarray:
     """For each feature, how much more often toxic rows of the sample have it, as a
     logarithm smoothed by ``least_rows`` / 2 rows and shrunk by 1: what few rows or
     both sides have comes out as 0."""
     seen, n = np.zeros((2, 1 << settings.bits)), np.zeros(2)
-    for _, y, ids, _ in rows:
-        seen[y, ids] += 1
-        n[y] += 1
+    for k in range(len(rows)):
+        y, ids, _ = rows[k]
+        seen[min(y, 1), ids] += 1
+        n[min(y, 1)] += 1
     if not n.all():
         return np.zeros(1 << settings.bits)
     least = settings.least_rows / 2 / n[1]
@@ -94,9 +97,15 @@ def log_odds(rows: list[tuple[int, int, np.ndarray, np.ndarray]], settings: Sett
     return np.sign(odds) * np.maximum(np.abs(odds) - 1, 0)
 
 
-def graded(rows: list[tuple[int, int, np.ndarray, np.ndarray]], odds: np.ndarray, settings: Settings) -> list[tuple[int, np.ndarray]]:
-    """(grade, features) of the sample."""
-    return [(int(np.clip((odds[ids] > 1).sum(), 1, settings.grades - 1)) if y else 0, ids[odds[ids] != 0]) for _, y, ids, _ in rows]
+def graded(rows: Sample, odds: np.ndarray, settings: Settings) -> list[tuple[int, np.ndarray]]:
+    """(grade, features that tell anything) of the sample."""
+    out = []
+    own_grades = len(rows) and rows.labels.max() > 1
+    for k in range(len(rows)):
+        y, ids, _ = rows[k]
+        grade = y if own_grades or not y else int(np.clip((odds[ids] > 1).sum(), 1, settings.grades - 1))
+        out.append((grade, ids[odds[ids] != 0]))
+    return out
 
 
 @dataclass
@@ -135,8 +144,11 @@ def train(rows: list[tuple[int, np.ndarray]], scale: np.ndarray, settings: Setti
     return Model((w * scale).astype(np.float32), t, settings.bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = labelled(docs, labels, label, settings.per_class, id_col, text_col, settings.bits, presence)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", values: tuple[int, ...] = (0, 1)) -> Model:
+    """``values``: the labels to learn from, 0 up to the highest grade."""
+    if len(values) > 2:
+        settings = replace(settings, grades=len(values))
+    rows = labelled(docs, labels, label, settings.per_class, id_col, text_col, settings.bits, presence, values)
     odds = log_odds(rows, settings)
     return train(graded(rows, odds, settings), odds, settings)
 
