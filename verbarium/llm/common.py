@@ -110,8 +110,8 @@ class Words:
 
     __slots__ = ("buf", "ends", "first", "keys", "rows", "starts")
 
-    def __init__(self, buf: np.ndarray, bounds: np.ndarray, rows: range, keyed: bool = True, table: np.ndarray = _IS_WORD):
-        word = table[buf]
+    def __init__(self, buf: np.ndarray, bounds: np.ndarray, rows: range, keyed: bool = True, table: np.ndarray | None = None):
+        word = (_IS_WORD if table is None else table)[buf]
         begin, stop = word.copy(), word.copy()
         begin[1:] &= ~word[:-1]
         stop[:-1] &= ~word[1:]
@@ -167,12 +167,12 @@ def spaced(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(column: pa.Array, lower: bool = False, keyed: bool = True, limit: int = 1 << 21, table: np.ndarray = _IS_WORD) -> Iterator[Words]:
+def words_of(column: pa.Array, lower: bool = False, keyed: bool = True, limit: int = 1 << 21, table: np.ndarray | None = None) -> Iterator[Words]:
     """The words of a string column, in runs of whole rows of about ``limit`` bytes.
     A null counts as an empty text; ``lower`` folds A-Z only; ``table`` says which
     bytes make words. With a table of one's own, punctuation beyond ASCII parts words."""
     buf_of = (lambda x: _LOWER[x]) if lower else (lambda x: x)
-    if table is not _IS_WORD:
+    if table is not None:
         fold, buf_of = buf_of, lambda x: fold(spaced(x))
     for buf, bounds, rows in runs_of(column, limit):
         yield Words(buf_of(buf), bounds, rows, keyed, table)
