@@ -14,30 +14,41 @@ table makes an empty store; columns besides the id and the text are ignored."""
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import Words, runs_of, width, workspace
+from verbarium.llm.common import Words, kept, runs_of, width, workspace
 
 STORE = "shard int, {id} bigint, start_in_shard bigint, n_tokens bigint, ids array<int>"
-#: First bytes of characters that may be white space, and bytes that are.
-_NOT_A_WORD_START = np.zeros(256, dtype=bool)
-_NOT_A_WORD_START[:33] = True
-_NOT_A_WORD_START[[0x7F, 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_ALNUM = np.zeros(256, dtype=bool)
-_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
-_VISIBLE = np.zeros(256, dtype=bool)
-_VISIBLE[33:127] = True
-_STOP = np.zeros(256, dtype=bool)
-_STOP[[ord(c) for c in ".,;:!?"]] = True
-_encoders: dict[str, "Encoder"] = {}
+#: What a byte may be at a cut: an ASCII letter or digit, one of the stops, visible
+#: ASCII, a line feed, a space, the first byte of a character that isn't white space.
+_ALNUM, _STOP, _VISIBLE, _FEED, _SPACE, _START = 1, 2, 4, 8, 16, 32
+
+
+def _kinds() -> bytes:
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[[*range(48, 58), *range(65, 91), *range(97, 123)]] |= _ALNUM
+    kinds[[ord(c) for c in ".,;:!?"]] |= _STOP
+    kinds[33:127] |= _VISIBLE
+    kinds[10] |= _FEED
+    kinds[32] |= _SPACE
+    starts = np.ones(256, dtype=bool)
+    starts[:33] = False
+    starts[[0x7F, 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+    kinds[starts] |= _START
+    return kinds.tobytes()
+
+
+_KINDS = _kinds()
 
 
 class Encoder:
@@ -63,7 +74,7 @@ class Encoder:
                 self.bytes_of[i] = len(token)
             for i, added in tool.get_added_tokens_decoder().items():
                 self.bytes_of[i] = len(added.content.encode())
-        self.most = most
+        self.most, self.job = most, ""
         self._forget()
 
     def _forget(self) -> None:
@@ -71,7 +82,7 @@ class Encoder:
         self.origin, self.sizes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.pool = np.empty(0, dtype=np.int32)
 
-    def encode(self, column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each row) of runs of rows, in order."""
         if not self.by_piece:
             column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -83,27 +94,31 @@ class Encoder:
             yield self._run(buf, bounds)
 
     @staticmethod
-    def cuts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        cut = np.zeros(len(buf) + 1, dtype=bool)
-        if len(buf) > 1:
-            left, right = buf[:-1], buf[1:]
-            inner = cut[1 : len(buf)]
-            inner |= _ALNUM[left] & _STOP[right]
-            feed = right == 10
-            inner |= feed & _VISIBLE[left]
-            # after a line feed that stands alone
-            inner[1:] |= feed[:-1] & _VISIBLE[left[:-1]] & _VISIBLE[right[1:]]
-            cut[: len(buf) - 1] |= (left == 32) & ~_NOT_A_WORD_START[right]
-        cut[bounds] = True
-        return np.flatnonzero(cut)
+    def cuts(raw: bytes, bounds: np.ndarray) -> np.ndarray:
+        cut = np.zeros(len(raw) + 1, dtype=np.uint8)
+        if len(raw) > 1:
+            kind = np.frombuffer(raw.translate(_KINDS), dtype=np.uint8)
+            left, right = kind[:-1], kind[1:]
+            into = (left // _VISIBLE) & (right // _FEED) & 1  # a line feed after a visible character
+            cut[1:-1] = (left & (right // _STOP) & 1) | into
+            cut[2:-1] |= into[:-1] & (left[1:] // _FEED) & (right[1:] // _VISIBLE) & 1  # and one after it
+            cut[:-2] |= (left // _SPACE) & (right // _START) & 1
+        cut[bounds] = 1
+        return np.flatnonzero(cut.view(bool))
 
     def _run(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edges = self.cuts(buf, bounds)
+        edges = self.cuts(buf.tobytes(), bounds)
         if len(edges) < 2:
             return np.empty(0, dtype=np.int32), np.zeros(len(bounds) - 1, dtype=np.int64)
         pieces = Words.__new__(Words)
         pieces.buf, pieces.starts, pieces.ends = buf, edges[:-1], edges[1:]
-        keys, first, which = np.unique(pieces._hash(), return_index=True, return_inverse=True)
+        which, keys = pd.factorize(pieces._hash())
+        first = np.empty(len(keys), dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        order = np.argsort(keys)
+        place = np.empty(len(keys), dtype=np.int64)
+        place[order] = np.arange(len(keys))
+        which, keys, first = place[which], keys[order], first[order]
         if len(self.keys) + len(keys) > self.most:
             self._forget()
         at = np.searchsorted(self.keys, keys)
@@ -124,7 +139,8 @@ class Encoder:
     def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode pieces. Those that begin with a space and a visible ASCII character
         may follow one another in one text; the bytes of its tokens tell them apart."""
-        chained = (buf[starts] == 32) & (ends - starts > 1) & _VISIBLE[buf[np.minimum(starts + 1, len(buf) - 1)]]
+        second = buf[np.minimum(starts + 1, len(buf) - 1)]
+        chained = (buf[starts] == 32) & (ends - starts > 1) & (second > 32) & (second < 127)
         raw, size = buf.tobytes(), ends - starts
         origin, counts = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
         parts, at = [self.pool], len(self.pool)
@@ -154,10 +170,13 @@ class Encoder:
         self.pool = np.concatenate(parts)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, job: str = "") -> Encoder:
+    """The worker's encoder, with the pieces that its earlier tasks of this job have met."""
+    out = kept(("encoder", path), lambda: Encoder(path))
+    if out.job != job:
+        out.job = job
+        out._forget()
+    return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, encoding: str = "dictionary", row_group_mb: int = 16, page_kb: int = 128, shards: int | None = None) -> None:
@@ -169,9 +188,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is dictionary or delta")
     shards = shards or width(docs.select(id_col, text_col), 32)
+    job = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, at, tool = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        shard, at, tool = TaskContext.get().partitionId(), 0, encoder(tokenizer, job)
         for batch in batches:
             row = 0
             for ids, sizes in tool.encode(batch.column(1)):
