@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbarium.functions import dates as D
@@ -47,7 +47,8 @@ def _model(t) -> DataFrame:
 
 WC = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::bigint"
 DOCS = f"(select doc_id, text as content, source as data_source, lang, {WC} as word_count from documents)"
-FOLD = lambda x: f"regexp_replace(translate({x}, '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[^\\x00-\\x7F]', '', 'g')"
+_LATIN = [(a, b) for a, b in zip(T.FOLD_FROM, T.FOLD_TO, strict=True) if 0xC0 <= ord(a) < 0x180]
+FOLD = lambda x: f"regexp_replace(translate({x}, '{''.join(a for a, _ in _LATIN)}', '{''.join(b for _, b in _LATIN)}'), '[^\\x00-\\x7F]', '', 'g')"
 WORDS = lambda x: rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+')"
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 ANALYZED = f"list_transform(list_filter(list_transform({WORDS('content')}, lambda x: lower(x)), lambda x: x not in ({STOP})), lambda x: {FOLD('x')})"
@@ -85,7 +86,7 @@ _GROWTH = f"select event_type as data_source, date_trunc('day', ts) as day, sum(
 
 
 def _now(t):
-    return F.lit(t("events").agg(F.max("ts")).first()[0])
+    return t("events").agg(F.max("ts")).scalar()
 
 
 @query(f"select s.data_source, day::timestamp as day, round(words, 4) as words from (select distinct event_type as data_source from events) s left join ({_GROWTH}) g on s.data_source = g.data_source")
@@ -173,18 +174,46 @@ def search_snippet(t):
     return _docs(t).select("doc_id", T.snippet(F.col("content")).alias("snippet"))
 
 
-@query()
+_SCORED = f"""with a as (select doc_id, data_source, word_count, {ANALYZED} as t from {DOCS}),
+h as (select *, [len(list_filter(t, lambda x: x = 'thing')), len(list_filter(t, lambda x: x = 'and')), len(list_filter(t, lambda x: x = 'ereau'))] as tf from a where list_has_any(t, ['thing', 'and', 'ereau'])),
+d as (select [count(*) filter (tf[1] > 0), count(*) filter (tf[2] > 0), count(*) filter (tf[3] > 0)] as df from h),
+n as (select count(*)::double as n from documents),
+r as (select doc_id, data_source, word_count, (sqrt(tf[1]) * (1 + ln(n.n / (df[1] + 1.0))) ** 2 + sqrt(tf[2]) * (1 + ln(n.n / (df[2] + 1.0))) ** 2 + sqrt(tf[3]) * (1 + ln(n.n / (df[3] + 1.0))) ** 2) / sqrt(len(t)) as score from h, d, n)
+"""
+
+
+@query(_SCORED + "select doc_id, round(score, 6) as score from r")
 def search_relevance(t):
-    """F03 with scores, T01: our own TF-IDF."""
-    hits = querydsl.relevance(_docs(t), "thing and ereau")
-    return hits.select("_id", "doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "_id").limit(corpus.PAGE)
+    """F03 with scores: our own TF-IDF, of every document with a word of the query."""
+    return querydsl.relevance(_docs(t), "thing and ereau", key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_SCORED + "select row_number() over (order by score desc, doc_id) as rank, doc_id, data_source as source, round(score, 6) as score, (select count(*) from r) as count, (select sum(word_count) from r)::bigint as words from r order by score desc, doc_id limit 25 offset 25")
+def search_page(t):
+    """The second page of a search, best first, with totals."""
+    page = corpus.search(_docs(t), {"match": {"content": "thing and ereau"}}, offset=25, key="doc_id")
+    return page.select(F.col("rank").cast("bigint").alias("rank"), "doc_id", "source", F.round("score", 6).alias("score"), "count", "words")
+
+
+@query(f"select row_number() over (order by doc_id) as rank, doc_id, 1.0::double as score, case when length(substr(content, 1, 100)) = 100 then substr(content, 1, 100) || '...' else content end as snippet from {DOCS} where data_source = 'src1' order by doc_id limit 25")
+def search_page_unscored(t):
+    """A page of a query without words to score by."""
+    return corpus.search(_docs(t), {"terms": {"data_source": ["src1"]}}, key="doc_id").select(F.col("rank").cast("bigint").alias("rank"), "doc_id", "score", "snippet")
+
+
+@query(r"""select doc_id, case when h <> '' then regexp_replace(substr(h, 1, 100), '(?i)\b(thing|that)\b', '<em>\1</em>', 'g') when length(substr(text, 1, 100)) = 100 then substr(text, 1, 100) || '...' else text end as snippet
+from (select doc_id, text, regexp_extract(text, '(?is)(\b(?:thing|that)\b.{0,100})', 1) as h from documents where text = regexp_replace(text, '[^\x00-\x7F]', '', 'g'))""")
+def search_highlight(t):
+    """The fragment that begins with the first hit, hits marked. Texts in ASCII, as
+    the SQL's word boundaries know no other letters."""
+    return _docs(t).where(~F.col("content").rlike(r"[^\x00-\x7F]")).select("doc_id", T.highlighted(F.col("content"), ["thing", "that"]).alias("snippet"))
 
 
 @query("select doc_id, text as content, source as data_source from documents where doc_id = 17")
 def document_detail(t):
     """S04, P03, F20."""
     docs = _docs(t)
-    wanted = docs.where("doc_id = 17").select("_id").first()[0]
+    wanted = docs.where("doc_id = 17").select("_id").scalar()
     return corpus.document(docs, wanted).select("doc_id", "content", "data_source")
 
 
@@ -269,35 +298,35 @@ def vocab_svd(t):
 @query("select * from (" + _VOCAB.format(words=WORDS("sentence"), least=1) + ") where count >= 10")
 def vocab_glove(t):
     """M07."""
-    return cooccurrence.vocabulary(_sentences(t), min_count=10)
+    return cooccurrence.vocabulary_of(t("documents"), "text", min_count=10)
 
 
 @query("select * from (select * from (" + _VOCAB.format(words=WORDS("sentence"), least=1) + ") order by count desc, word limit 100) where count >= 50")
 def vocab_topn(t):
     """T04, T05."""
-    return cooccurrence.vocabulary(_sentences(t), min_count=50, max_count=100)
+    return cooccurrence.vocabulary_of(t("documents"), "text", min_count=50, max_count=100)
 
 
-@query("with v as (select * from (" + _VOCAB.format(words=WORDS("sentence"), least=1) + ") order by count desc, word limit 300) select word, count, row_number() over (order by count desc, word) as by_count, row_number() over (order by word) - 1 as by_word from v")
+@query("with v as (select * from (" + _VOCAB.format(words=WORDS("sentence"), least=1) + ")) select word, count, row_number() over (order by count desc, word) as by_count, row_number() over (order by word) - 1 as by_word from v")
 def vocab_ids(t):
     """W05, W06."""
-    v = cooccurrence.vocabulary(_sentences(t), max_count=300)
+    v = cooccurrence.vocabulary_of(t("documents"), "text")
     both = cooccurrence.with_ids(v).withColumnRenamed("id", "by_count").join(cooccurrence.with_ids(v, "word").select("word", F.col("id").alias("by_word")), "word")
     return both.select("word", "count", F.col("by_count").cast("bigint").alias("by_count"), F.col("by_word").cast("bigint").alias("by_word"))
 
 
-_ES = f"(select doc_id, {FOLD('lower(text)')} as f from documents where lang = 'es')"
-_PLACED = f"""s as ({SENTENCES.format(key='doc_id', text='f', table='select * from ' + _ES)}),
+_ALL = f"(select doc_id, {FOLD('lower(text)')} as f from documents)"
+_PLACED = f"""s as ({SENTENCES.format(key='doc_id', text='f', table='select * from ' + _ALL)}),
 w as (select doc_id, sid, generate_subscripts(k, 1) as pos, unnest(k) as word from (select doc_id, sid, {WORDS('sentence')} as k from s)),
-v as (select word, row_number() over (order by n desc, word) as id from (select word, count(*) as n from w group by word order by n desc, word limit 200)),
+v as (select word, row_number() over (order by n desc, word) as id from (select word, count(*) as n from w group by word)),
 p as (select doc_id, sid, id, row_number() over (partition by doc_id, sid order by pos) as pos from w join v using (word)),
 pairs as (select a.id as w, b.id as c, abs(a.pos - b.pos) as d from p a join p b on a.doc_id = b.doc_id and a.sid = b.sid and a.pos <> b.pos and abs(a.pos - b.pos) <= 5)"""
 
 
-def _pairs(t):
-    rows = _sentences(t, "lang = 'es'")
-    vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows, max_count=200))
-    return cooccurrence.pairs(cooccurrence.placed(rows, vocab), 5)
+def _counted(t, weighting: str = "count"):
+    rows = _sentences(t)
+    vocab = cooccurrence.with_ids(cooccurrence.vocabulary_of(t("documents"), "text"))
+    return cooccurrence.counted(cooccurrence.placed(rows, vocab), 5, weighting)
 
 
 def _cells(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -307,31 +336,31 @@ def _cells(df: DataFrame, digits: int = 4) -> DataFrame:
 @query(f"with {_PLACED} select w, c, round(sum(1.0::double / d), 4) as x from pairs group by w, c")
 def cooc_glove(t):
     """M08, J08, J09, A12, A13, C47, F13, W03."""
-    return _cells(cooccurrence.cooccurrence(_pairs(t), "inverse"))
+    return _cells(_counted(t, "inverse"))
 
 
 @query(f"with {_PLACED} select w, c, count(*)::double as x from pairs group by w, c")
 def cooc_pairs_fixed(t):
     """M03, M04, A11."""
-    return _cells(cooccurrence.cooccurrence(_pairs(t)))
+    return _cells(_counted(t))
 
 
 @query(f"with {_PLACED} select w, c, round(sum((5 - d + 1) / 5.0::double), 4) as x from pairs group by w, c")
 def cooc_dynamic_expected(t):
     """What shrinking windows weigh on average."""
-    return _cells(cooccurrence.cooccurrence(_pairs(t), "expected", 5))
+    return _cells(_counted(t, "expected"))
 
 
 @query(f"with {_PLACED}, x as (select w, c, count(*)::double as x from pairs group by w, c) select id, row_sum, col_sum from (select w as id, sum(x) as row_sum from x group by w) join (select c as id, sum(x) as col_sum from x group by c) using (id)")
 def cooc_marginals(t):
     """A14."""
-    return cooccurrence.marginals(cooccurrence.cooccurrence(_pairs(t))).withColumn("id", F.col("id").cast("bigint"))
+    return cooccurrence.marginals(_counted(t)).withColumn("id", F.col("id").cast("bigint"))
 
 
 @query(f"with {_PLACED}, x as (select w, c, count(*)::double as x from pairs group by w, c), r as (select w, sum(x) as rw from x group by w), k as (select c, sum(x) as cc from x group by c), z as (select sum(cc ** 0.75) as total from k) select w, c, round(ln(x * total / (rw * cc ** 0.75)), 6) as x from x join r using (w) join k using (c), z where x * total / (rw * cc ** 0.75) > 1 and round(ln(x * total / (rw * cc ** 0.75)), 6) > 0")
 def ppmi(t):
     """M05, M18, C44."""
-    return _cells(cooccurrence.ppmi(cooccurrence.cooccurrence(_pairs(t))), 6).where("x > 0")
+    return _cells(cooccurrence.ppmi(_counted(t)), 6).where("x > 0")
 
 
 @query()
@@ -355,23 +384,27 @@ def shuffle_records(t):
     """M09, T09."""
     rows = _sentences(t)
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows))
-    cells = cooccurrence.cooccurrence(cooccurrence.pairs(cooccurrence.placed(rows, vocab), 5), "inverse")
+    cells = cooccurrence.counted(cooccurrence.placed(rows, vocab), 5, "inverse")
     return _cells(cooccurrence.shuffled(cells.select("w", "c", F.round("x", 4).alias("x")), 7))
 
 
 # ------------------------------------------------------------------ vectors
 
 _E = "(select vec_id as word, embedding::double[] as vec from embeddings)"
-_ITEM = "(select (vec_id // 4)::bigint as item, vec_id as word, vec_id % 4 as place from embeddings where vec_id < 100)"
+_WHOLE = "(select (vec_id // 4)::bigint as item from embeddings group by vec_id // 4 having count(distinct vec_id) = 4)"
+_ITEM = f"(select item, item * 4 + k as word from {_WHOLE}, range(4) r(k))"
 
 
-def _quads(t, most: int = 25) -> DataFrame:
-    """Derived analogy items: four ids in a row; the last item has an unknown word."""
-    n = F.col("id") * 4
-    return t("embeddings").sparkSession.range(most).select(F.col("id").alias("item"), *[(n + i if i < 3 else F.when(F.col("id") == most - 1, F.lit(10**9)).otherwise(n + 3)).alias(f"w{i + 1}") for i in range(4)])
+def _quads(t, unknown: bool = True) -> DataFrame:
+    """Derived analogy items: four ids in a row, as many as the table has; the last word
+    of every 25th is unknown."""
+    groups = t("embeddings").groupBy(F.floor(F.col("vec_id") / 4).cast("bigint").alias("item")).agg(F.countDistinct("vec_id").alias("n")).where("n = 4")
+    last = F.col("item") * 4 + 3
+    last = F.when(F.col("item") % 25 == 24, F.lit(10**9)).otherwise(last) if unknown else last
+    return groups.select("item", *[(F.col("item") * 4 + i).alias(f"w{i + 1}") for i in range(3)], last.alias("w4"))
 
 
-_QUADS = "(select i as item, i * 4 as w1, i * 4 + 1 as w2, i * 4 + 2 as w3, case when i = 24 then 1000000000 else i * 4 + 3 end as w4 from range(25) t(i))"
+_QUADS = f"(select item, item * 4 as w1, item * 4 + 1 as w2, item * 4 + 2 as w3, case when item % 25 = 24 then 1000000000 else item * 4 + 3 end as w4 from {_WHOLE})"
 _RANKED = "select item, rank, word, round(score, 6) as score from (select *, row_number() over (partition by item order by score desc, word) as rank from ({scored})) where rank <= {n}"
 _ADD = f"""select q.item, m.word, list_inner_product(m.vec, q.v) as score from {_E} m, (
   select i.item, i.w1, i.w2, i.w3, list_transform(u.s, lambda x: x / sqrt(list_inner_product(u.s, u.s))) as v
@@ -417,7 +450,7 @@ _ODD = f"""select item, word as odd, round(score, 6) as score from (
 @query(_ODD.format(items=_ITEM))
 def doesnt_match(t):
     """V06, T06."""
-    items = t("embeddings").where("vec_id < 100").select(F.floor(F.col("vec_id") / 4).cast("bigint").alias("item"), F.col("vec_id").alias("word"))
+    items = embeddings.signed(_quads(t, False), ["w1", "w2", "w3", "w4"], []).select("item", "word")
     return embeddings.odd_one_out(_model(t), items).withColumn("score", F.round("score", 6))
 
 
@@ -434,11 +467,12 @@ def eval_analogies(t):
     return out.select(*[F.round(n, 6).alias(n) for n in names], F.array_join("missing", ",").alias("missing"), "total")
 
 
-_SIMS = f"select i as item, coalesce(round(list_inner_product(a.vec, b.vec), 6), 0.0) as similarity, (i * 7 % 11)::double as score from range(60) t(i) left join {_E} a on a.word = i left join {_E} b on b.word = case when i % 10 = 9 then 1000000000 else i * 3 + 1 end"
+_SIMS = f"select i as item, coalesce(round(list_inner_product(a.vec, b.vec), 6), 0.0) as similarity, (i * 7 % 11)::double as score from (select vec_id as i from embeddings) left join {_E} a on a.word = i left join {_E} b on b.word = case when i % 10 = 9 then 1000000000 else i * 3 + 1 end"
 
 
 def _sims(t):
-    rows = t("embeddings").sparkSession.range(60).select(F.col("id").alias("item"), F.col("id").alias("w1"), F.when(F.col("id") % 10 == 9, F.lit(10**9)).otherwise(F.col("id") * 3 + 1).alias("w2"), (F.col("id") * 7 % 11).cast("double").alias("score"))
+    i = F.col("vec_id")
+    rows = t("embeddings").select(i.alias("item"), i.alias("w1"), F.when(i % 10 == 9, F.lit(10**9)).otherwise(i * 3 + 1).alias("w2"), (i * 7 % 11).cast("double").alias("score"))
     return evaluate.similarities(_model(t), rows).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -451,7 +485,7 @@ def eval_similarities(t):
 @query(f"with o as ({_ODD.format(items=_ITEM)}) select round(avg(case when odd = item * 4 then 1.0 else 0 end), 6) as accuracy, '' as missing, count(*) as total from o")
 def eval_odd_one_out(t):
     """V09, A16."""
-    items = _quads(t, 26).where("item < 25").select("item", F.col("w1").alias("odd"), F.array("w2", "w3", "w4").alias("rest"))
+    items = _quads(t, False).select("item", F.col("w1").alias("odd"), F.array("w2", "w3", "w4").alias("rest"))
     out = evaluate.evaluate(_model(t), items, "odd-one-out")
     return out.select(F.round("accuracy", 6).alias("accuracy"), F.array_join("missing", ",").alias("missing"), "total")
 
@@ -483,16 +517,19 @@ def result_rank_filtered(t):
     return catalog.filtered(catalog.ranked(_results(t), "testset"), embedding_id=370, testset=None).select("o_orderkey", "testset", "embedding_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, r.testset from customer, (select distinct o_orderpriority as testset from orders) r where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = r.testset)")
 def missing_results_anti(t):
-    """J02, O7."""
-    return catalog.lacking(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """The test sets that each model has no result on."""
+    wanted = t("customer").select("c_custkey").crossJoin(F.broadcast(t("orders").select(F.col("o_orderpriority").alias("testset")).distinct()))  # few test sets
+    return catalog.lacking(wanted, t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("testset")), ["c_custkey", "testset"])
 
 
 @query("select c_name, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def results_chain(t):
     """J01, J07, J13."""
-    return t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_name", "n_name", "r_name")
+    results = t("nation").select(F.col("n_nationkey").alias("embedding_id"), F.col("n_regionkey").alias("testset_id"), "n_name")
+    models = t("customer").select(F.col("c_nationkey").alias("embedding_id"), "c_name")
+    return catalog.named(results, models, t("region").select(F.col("r_regionkey").alias("testset_id"), "r_name")).select("c_name", "n_name", "r_name")
 
 
 _JOBS = "(select o_orderkey as job_id, o_custkey as embedding_id, (o_orderkey % 5)::bigint as testset_id, case when o_orderstatus = 'F' then (o_orderkey % 1000)::int end as elapsed_time, case when o_orderstatus = 'P' then 'task' end as task_id from orders)"
@@ -552,7 +589,7 @@ def cascade_delete(t):
 @query("select i::bigint as source_id from range(1, (select max(o_orderkey) + 1 from orders)) t(i) where i not in (select o_orderkey from orders where o_orderkey % 3 = 0)")
 def missing_ids(t):
     """J05, I10, A22, X01."""
-    last = t("orders").agg(F.max("o_orderkey")).first()[0]
+    last = t("orders").agg(F.max("o_orderkey")).first()[0]  # one number: the length of the range
     return ingest.missing_ids(t("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("source_id")), last)
 
 
@@ -563,12 +600,13 @@ def date_grid_ids(t):
     return ingest.dated_ids(none, F.lit("2024-01-28"), F.lit("2024-02-03"), 100)
 
 
-@query("select event_id from events where event_type in (select event_type from (select distinct event_type from events) order by 1 limit 2) and event_id % 7 < 5 and user_id = 3")
+@query("select event_id from events where event_type in (select event_type from (select distinct event_type from events) order by 1 limit 2) and event_id % 7 < 5")
 def pending_entries(t):
     """F08, I03."""
-    kinds = [r[0] for r in t("events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    e = t("events").select("event_id", F.when(F.col("event_type") == kinds[0], "failure").when(F.col("event_type") == kinds[1], "pending").otherwise("success").alias("outcome"), (F.col("event_id") % 7).alias("number_of_tries"), F.col("user_id").alias("data_source"))
-    return ingest.retryable(e).where("data_source = 3").select("event_id")
+    kinds = t("events").select("event_type").distinct()
+    place = kinds.withColumn("k", F.row_number().over(Window.orderBy("event_type")))  # a handful of types
+    e = t("events").join(F.broadcast(place), "event_type").select("event_id", F.when(F.col("k") == 1, "failure").when(F.col("k") == 2, "pending").otherwise("success").alias("outcome"), (F.col("event_id") % 7).alias("number_of_tries"))
+    return ingest.retryable(e).select("event_id")
 
 
 @query(f"select page_id, case when page_id % 5 = 0 then 'notfound' when page_id % 5 = 1 then 'failure' when page_id % 5 = 2 then 'unparseable' when {WC.replace('text', 'title')} < 10 then 'unparseable' else 'success' end as outcome from (select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title from pages)")
@@ -611,12 +649,12 @@ def nested_json_get(t):
     return t("events").select("event_id", T.dotted(F.col("props"), "k").alias("k"))
 
 
-@query("select r_regionkey::bigint as line, lower(r_name) as words from region where len(string_split(r_name, ' ')) = 1")
+@query("with w as (select p_partkey::bigint as line, string_split(p_type, ' ') as words from part) select line, array_to_string(list_transform(words, lambda x: lower(x) || length(x)), ' ') as words from w where not list_has_any(list_transform(words, lambda x: upper(x)), ['TIN', 'SMALL'])")
 def translate_lines(t):
-    """Lines with an unknown word go."""
-    lines = t("region").select(F.col("r_regionkey").cast("bigint").alias("line"), F.split("r_name", " ").alias("words"))
-    words = t("region").where("instr(r_name, ' ') = 0").select(F.col("r_name").alias("word"), F.lower("r_name").alias("translation"))
-    return ingest.translate(lines, words).select("line", F.array_join("words", " ").alias("words"))
+    """Every line of a file; lines with an unknown word go."""
+    lines = t("part").select(F.col("p_partkey").cast("bigint").alias("line"), F.split("p_type", " ").alias("words"))
+    words = lines.select(F.explode("words").alias("word")).distinct().where(~F.upper("word").isin("TIN", "SMALL"))
+    return ingest.translate(lines, words.select("word", F.concat(F.lower("word"), F.length("word")).alias("translation"))).select("line", F.array_join("words", " ").alias("words"))
 
 
 @query("select conv_id, turn, replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), ' '), '-', '') as cleaned from conversations")
@@ -648,7 +686,7 @@ def daily_counts(t):
 @query("select word, round(least(1.0, (count / 100.0) ** 0.75), 6) as weight from (" + _VOCAB.format(words=WORDS("sentence"), least=1) + ") where count >= 20")
 def glove_weights(t):
     """C46."""
-    v = cooccurrence.vocabulary(_sentences(t), min_count=20)
+    v = cooccurrence.vocabulary_of(t("documents"), "text", min_count=20)
     return v.select("word", F.round(V.glove_weight(F.col("count")), 6).alias("weight"))
 
 
@@ -697,13 +735,18 @@ def cbow_vectors(t):
     return training.word2vec(_sentences(t), dimension=8, min_count=100, algorithm="cbow", hsoftmax=False, negative=3, subsample=1e-3)
 
 
-@query()
+@query("select doc_id, s || ' is in regions (' || doc_id || ' years) of \"' || lang || '\".' || chr(10) || 'Size.' || chr(10) || 'It has ' || (2 * (3 + doc_id)) || ' towns & more formula_1.' || chr(10) || 'Seen ' || case when doc_id % 2 = 0 then 'even' else 'odd' end || ' and AB.' as text from (select doc_id, coalesce(source, 'none') as s, coalesce(lang, 'xx') as lang from documents)")
 def wikitext_clean(t):
-    """I30-I45."""
+    """Markup made for every document, through templates, a redirect, parser
+    functions, links, elements inside one another and headings."""
     from verbarium.operators import wikitext
 
-    row = F.format_string("'''%s''' is in [[Region %s|region]]s {{age|%s}}.\n== Empty ==\n* item\n== Size ==\nIt has {{#expr: 2 * (3 + 4)}} towns <ref>x</ref> &amp; more [http://x label].", "n_name", "n_regionkey", "n_nationkey")
-    return t("nation").select("n_nationkey", wikitext.clean(row, {"Age": "({{{1}}} years{{{2|}}})"}).alias("text"))
+    row = F.concat(
+        F.lit("'''"), F.coalesce("source", F.lit("none")), F.lit("''' is in [[Region|region]]s {{years|"), F.col("doc_id").cast("string"), F.lit("}} of ''"), F.coalesce("lang", F.lit("xx")), F.lit("''.\n== Empty ==\n* item\n== Size ==\nIt has {{#expr: 2 * (3 + "),
+        F.col("doc_id").cast("string"), F.lit(")}} towns <ref>x <small>y</small></ref><ul><li>a<ul><li>b</li></ul></li></ul>&amp; more <math>x</math> [http://x label].\n{| class=a\n| b {| c |} d\n|}Seen {{#ifeq: "),
+        (F.col("doc_id") % 2).cast("string"), F.lit("| 0 | even | odd}} and {{uc:ab}}<abbr title=x></abbr>{{#ifexpr: 1 | no}}<small>gone</small>."),
+    )
+    return t("documents").select("doc_id", wikitext.clean(row, {"Age": "({{{1}}} years{{{2|}}})", "Years": "#REDIRECT [[Template:Age]]"}).alias("text"))
 
 
 @query("select date_trunc('day', ts) as day, event_type, count(*) as n, round(sum(value), 4) as words from events group by all")

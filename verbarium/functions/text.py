@@ -11,32 +11,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def _fold_map() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended-A that decompose to one ASCII letter."""
-    pairs = []
-    for code in range(0xC0, 0x180):
+def _fold_map() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters whose compatibility decomposition keeps one ASCII character, those
+    characters, and pairs for what keeps several. Composed scripts without any are left
+    out, as what isn't ASCII goes anyway."""
+    one, many = [], []
+    for code in [*range(0x80, 0x2E80), *range(0x3000, 0x3400), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
+        if 0xD800 <= code < 0xE000:
+            continue
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+            one.append((chr(code), plain))
+        elif plain:
+            many.append((chr(code), plain))
+    return "".join(a for a, _ in one), "".join(b for _, b in one), many
 
 
-FOLD_FROM, FOLD_TO = _fold_map()
+FOLD_FROM, FOLD_TO, FOLD_MANY = _fold_map()
+_BEYOND = r"[^\x00-\x7F]"
+_MANY = "[" + "".join(a for a, _ in FOLD_MANY) + "]"
 WORD = r"[\p{L}\p{N}_]+"
 
-# Spanish function words that the search analyser drops, still accented.
-STOP_WORDS = (
-    "a al algo algunas algunos ante antes como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre era "
-    "erais eran eras eres es esa esas ese eso esos esta estaba estado estamos estar estas este esto estos está están fue fueron ha han "
-    "hasta hay la las le les lo los me mi mis mucho muchos muy más mí nada ni no nos nosotros nuestra nuestro o os otra otras otro otros "
-    "para pero poco por porque que quien quienes qué se sea ser si sido sin sobre son su sus suya suyo sí también tanto te tenía tiene "
-    "tienen todo todos tu tus tú un una uno unos vosotros y ya yo él éramos"
+# The Spanish function words that the search analyser drops, still accented,
+# without the forms of four verbs, which follow from their stems.
+_FUNCTION_WORDS = (
+    "a al algo algunas algunos ante antes como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre esa esas "
+    "ese eso esos esta estas este esto estos hasta hay la las le les lo los me mi mis mucho muchos muy más mí mía mías mío míos nada ni no "
+    "nos nosotras nosotros nuestra nuestras nuestro nuestros o os otra otras otro otros para pero poco por porque que quien quienes qué se "
+    "sin sobre su sus suya suyas suyo suyos sí también tanto te ti todo todos tu tus tuya tuyas tuyo tuyos tú un una uno unos vosotras "
+    "vosotros vuestra vuestras vuestro vuestros y ya yo él"
 ).split()
+_ENDINGS = {
+    "future": "é ás á emos éis án ía ías íamos íais ían".split(),
+    "past": "e iste o imos isteis ieron iera ieras iéramos ierais ieran iese ieses iésemos ieseis iesen".split(),
+    "part": "o a os as".split(),
+}
+_VERBS = {
+    "estoy estás está estamos estáis están esté estés estemos estéis estén estaba estabas estábamos estabais estaban estando estad estar": ("estar", "estuv", "estad"),
+    "he has ha hemos habéis han haya hayas hayamos hayáis hayan había habías habíamos habíais habían habiendo": ("habr", "hub", "habid"),
+    "soy eres es somos sois son sea seas seamos seáis sean era eras éramos erais eran siendo sido "
+    "fui fuiste fue fuimos fuisteis fueron fuera fueras fuéramos fuerais fueran fuese fueses fuésemos fueseis fuesen": ("ser", "", ""),
+    "tengo tienes tiene tenemos tenéis tienen tenga tengas tengamos tengáis tengan tenía tenías teníamos teníais tenían teniendo tened": ("tendr", "tuv", "tenid"),
+}
+STOP_WORDS = sorted(
+    {*_FUNCTION_WORDS, *(w for own in _VERBS for w in own.split())}
+    | {stem + end for stems in _VERBS.values() for stem, ends in zip(stems, _ENDINGS.values(), strict=True) if stem for end in ends}
+)
 
 
 def fold(c: Column) -> Column:
-    """Accents off, then every character outside ASCII dropped."""
-    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    """Compatibility decomposition, then every character outside ASCII dropped. Most
+    texts have none and stay as they are."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in FOLD_MANY])
+    wide = F.when(c.rlike(_MANY), F.aggregate(pairs, c, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(c)
+    return F.when(c.rlike(_BEYOND), F.regexp_replace(F.translate(wide, FOLD_FROM, FOLD_TO), _BEYOND, "")).otherwise(c)
 
 
 @F.pandas_udf(StringType())
@@ -73,9 +101,10 @@ def word_count(c: Column) -> Column:
 
 
 def analyzed(c: Column) -> Column:
-    """Tokens, lower-cased, without stop words, folded, in that order."""
-    kept = F.filter(F.transform(tokens(c), F.lower), lambda x: ~x.isin(STOP_WORDS))
-    return F.transform(kept, fold)
+    """Tokens, lower-cased, without stop words, folded, in that order. What is left
+    is folded in one go."""
+    kept = F.filter(tokens(F.lower(c)), lambda x: ~x.isin(STOP_WORDS))
+    return F.when(F.size(kept) == 0, F.array().cast("array<string>")).when(c.isNotNull(), F.split(fold(F.array_join(kept, " ")), " ", -1))
 
 
 def document_id(domain: Column | None, source_id: Column) -> Column:
@@ -115,6 +144,17 @@ def snippet(content: Column, word: Column | None = None, size: int = 100) -> Col
     return F.when(at > 0, F.substring(content, F.greatest(F.lit(1), at - size // 2), F.lit(size))).otherwise(plain)
 
 
+def highlighted(content: Column, words: list[str], size: int = 100) -> Column:
+    """The fragment of about ``size`` characters that begins with the first of the
+    words (as a whole word, case and accents of the content kept), each of them between
+    ``<em>`` tags; without a hit, the beginning."""
+    if not words:
+        return snippet(content, None, size)
+    any_of = rf"(?iU)\b({'|'.join(words)})\b"
+    found = F.regexp_extract(content, rf"(?is)(\b(?:{'|'.join(words)})\b.{{0,{size}}})", 1)
+    return F.when(found != "", F.regexp_replace(F.substring(found, 1, size), any_of, "<em>$1</em>")).otherwise(snippet(content, None, size))
+
+
 def title_line(c: Column, most: int | None = 50) -> Column:
     """First line that isn't blank."""
     line = F.split(F.regexp_replace(c, r"\A\s+", ""), "\n")[0]
@@ -151,8 +191,9 @@ def clean_srt(c: Column, banner: str = "") -> Column:
 
 
 def document_type(name: Column) -> Column:
-    """By the first of the letters that a file name has."""
-    return F.when(name.contains("c"), "comision").when(name.contains("d"), "diputados").when(name.contains("s"), "senado")
+    """By the first of three letters, in this order, that a document's id has
+    anywhere."""
+    return F.when(name.contains("c"), "comision").when(name.contains("d"), "camara").when(name.contains("s"), "senado").otherwise("asamblea")
 
 
 def drop_refs(c: Column) -> Column:
@@ -193,6 +234,22 @@ def duration(seconds: Column) -> Column:
     return F.format_string("%dh %dm %ds", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), (seconds % 60).cast("long"))
 
 
+def long_duration(seconds: Column) -> Column:
+    """Days, hours and minutes, those above zero."""
+    parts = ((F.floor(seconds / 86400), "days"), (F.floor(seconds % 86400 / 3600), "hours"), (F.floor(seconds % 3600 / 60), "minutes"))
+    return F.concat(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {name} "))).otherwise("") for n, name in parts])
+
+
+def date_shown(c: Column) -> Column:
+    """C24."""
+    return F.date_format(c, "dd/MM/yyyy HH:mm")
+
+
+def last_part(c: Column, sep: str = "/") -> Column:
+    """The last segment of a composite title."""
+    return F.trim(F.substring_index(c, sep, -1))
+
+
 def dotted(doc: Column, path: str) -> Column:
     """The value at a dotted path of a JSON text."""
     return F.get_json_object(doc, "$." + path)

@@ -24,9 +24,35 @@ def new_embedding(spec: dict) -> dict:
     return spec | {"parameters": MODELS[spec["model"]] | (spec["parameters"] or {}), "preprocessing": PREPROCESSING | (spec["preprocessing"] or {}), "status": "UNTRAINED"}
 
 
+#: Ranges of values that a group's ranks are counted in.
+RANGES = 256
+
+
+def ranks(rows: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
+    """``rows`` with _rank (of the first of equal values, null last) and _ties. Distinct
+    values are counted first and ranked within ranges, and the ranges by their sums: no
+    task holds a whole group, nor all rows of one value."""
+    number = F.col(value).cast("double")
+    seen = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
+    edges = seen.groupBy(*by).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"))
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    seen = seen.alias("s").join(edges.alias("e"), on).select("s.*", "_lo", "_hi") if by else seen.crossJoin(F.broadcast(edges))
+    share = F.when(F.col("_hi") > F.col("_lo"), (number - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    place = F.floor((1 - share if descending else share) * (RANGES - 1)).cast("int")
+    seen = seen.withColumn("_range", F.when(number.isNull(), RANGES).otherwise(place)).drop("_lo", "_hi")
+    sums = seen.groupBy(*by, "_range").agg(F.sum("_ties").alias("_n"))
+    sums = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).drop("_n")
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_range"]]
+    seen = seen.alias("s").join(sums.alias("b"), on).select("s.*", "_before")
+    inside = Window.partitionBy(*by, "_range").orderBy(F.desc_nulls_last(value) if descending else F.asc_nulls_last(value))
+    seen = seen.withColumn("_rank", F.sum("_ties").over(inside) - F.col("_ties") + F.col("_before") + 1)
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, value]]
+    return rows.alias("r").join(seen.alias("s"), on).select("r.*", "_rank", "_ties")
+
+
 def ranked(results: DataFrame, partition: str = "testset_id", score: str = "accuracy") -> DataFrame:
     """Rank among all results of a test set; filter afterwards."""
-    return results.withColumn("rank", F.rank().over(Window.partitionBy(partition).orderBy(F.desc(score))))
+    return ranks(results, [partition], score, True).withColumnRenamed("_rank", "rank").drop("_ties")
 
 
 def filtered(df: DataFrame, **equal) -> DataFrame:
@@ -37,11 +63,16 @@ def filtered(df: DataFrame, **equal) -> DataFrame:
     return df
 
 
-def lacking(left: DataFrame, results: DataFrame, key: str) -> DataFrame:
+def lacking(left: DataFrame, results: DataFrame, key: str | list[str]) -> DataFrame:
     """J02."""
     return left.join(results.select(key).distinct(), key, "left_anti")
 
 
+def named(results: DataFrame, models: DataFrame, testsets: DataFrame) -> DataFrame:
+    """Results with what their model and test set are called."""
+    return results.join(models, "embedding_id").join(testsets, "testset_id")
+
+
 def status(task: str = "task_id", elapsed: str = "elapsed_time", broker: Column | None = None) -> tuple[Column, Column]:
     """(status, progress) of a job; progress is 100 when it has finished."""
     running, done = F.col(task).isNotNull(), F.col(elapsed).isNotNull()

@@ -15,6 +15,12 @@ def sentence_table(docs: DataFrame, text: str = "content", key: str = "doc_id",
     return docs.select(key, F.posexplode(T.sentences(whole)).alias("sid", "sentence")).select(key, "sid", T.tokens(F.col("sentence")).alias("tokens"))
 
 
+def vocabulary_of(docs: DataFrame, text: str = "content", min_count: int = 1, max_count: int | None = None, lowercase: bool = True, remove_accents: bool = True) -> DataFrame:
+    """M07 without sentences: no token goes over a sentence's end, so whole texts give the
+    same words."""
+    return vocabulary(docs.select(T.tokens(T.preprocess(F.col(text), lowercase, remove_accents)).alias("tokens")), min_count, max_count)
+
+
 def words(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sid, pos, w)."""
     return sentences.select(key, "sid", F.posexplode("tokens").alias("pos", "w"))
@@ -84,6 +90,17 @@ def cooccurrence(pairs_: DataFrame, weighting: str = "count", window: int | None
     return pairs_.groupBy("w", "c").agg(weight[weighting].alias("x"))
 
 
+def counted(rows: DataFrame, window: int, weighting: str = "count", key: str = "doc_id") -> DataFrame:
+    """What ``cooccurrence(pairs(...))`` gives for fixed windows, at half the work: pairs
+    are counted one way, and the sums mirrored."""
+    along = Window.partitionBy(key, "sid").orderBy("pos")
+    ahead = rows.where(F.col(key).isNotNull()).select("id", *[F.lead("id", d).over(along).alias(f"_{d}") for d in range(1, window + 1)])
+    each = [F.when(F.col(f"_{d}").isNotNull(), F.struct(F.least("id", f"_{d}").alias("w"), F.greatest("id", f"_{d}").alias("c"), F.lit(d).alias("d"))) for d in range(1, window + 1)]
+    half = cooccurrence(ahead.select(F.explode(F.array_compact(F.array(*each))).alias("p")).select("p.*"), weighting, window)
+    both = F.when(F.col("w") == F.col("c"), F.array(F.struct("w", "c", (F.col("x") * 2).alias("x")))).otherwise(F.array(F.struct("w", "c", "x"), F.struct(F.col("c").alias("w"), F.col("w").alias("c"), "x")))
+    return half.select(F.explode(both).alias("p")).select("p.*")
+
+
 def marginals(cells: DataFrame) -> DataFrame:
     """Row and column sums by word; every word of either side."""
     rows = cells.groupBy(F.col("w").alias("id")).agg(F.sum("x").alias("row_sum"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import io
+import zipfile
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbarium.functions import dates as D
@@ -77,15 +81,77 @@ def missing_days(log: DataFrame, first: Column, last: Column, start: Column | No
     return empty.unionByName(none).distinct()
 
 
-def search(docs: DataFrame, query=None, offset: int = 0, page: int = PAGE) -> DataFrame:
-    """A page of a query's documents in id order, with their snippets."""
-    found = docs.where(querydsl.predicate(query)).orderBy("_id").offset(offset).limit(page)
-    return found.select("_id", "title", T.snippet(F.col("content")).alias("snippet"), "data_source", "word_count")
+def search(docs: DataFrame, query=None, offset: int = 0, page: int = PAGE, key: str = "_id") -> DataFrame:
+    """A page of a query's documents, best score first, ties by key: rank,
+    key, source, score and a highlighted fragment, and next to each the number of all hits
+    and of their words. Without words to score by, all scores are 1."""
+    found = docs.where(querydsl.predicate(query))
+    words = querydsl.wanted_words(query)
+    totals = found.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))
+    if words:
+        scores = querydsl.relevance(docs, words, key=key)
+        found = found.join(scores, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    else:
+        found = found.withColumn("score", F.lit(1.0))
+    top = found.select(key, "score").orderBy(F.desc("score"), key).offset(offset).limit(page)
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), key)) + offset  # of a page
+    top = top.withColumn("rank", rank)
+    rows = docs.join(F.broadcast(top), key).crossJoin(F.broadcast(totals))
+    return rows.select("rank", key, F.col("data_source").alias("source"), "score", T.highlighted(F.col("content"), words).alias("snippet"), "count", "words").orderBy("rank")
+
+
+def stats(docs: DataFrame, log: DataFrame, now: Column, days: int = 10) -> DataFrame:
+    """Size and daily growth of every source that has either, largest first."""
+    size_of = docs.groupBy("data_source").agg(F.sum("word_count").alias("size"))
+    return size_of.join(growth_dense(log, now, days), "data_source", "full").orderBy(F.desc_nulls_last("size"), "data_source")
+
+
+def metadata(wanted: list[str], **columns: Column) -> Column:
+    """A map of those wanted fields that a document has."""
+    have = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in columns]), F.array(*[v.cast("string") for v in columns.values()])), lambda k, v: v.isNotNull())
+    keys = F.array_intersect(F.array(*[F.lit(w) for w in wanted]), F.map_keys(have))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: have[k]))
+
+
+def document(docs: DataFrame, doc_id: str, source: str | None = None) -> DataFrame:
+    """P03, S04. With the source, only its rows are hashed (a table partitioned by source
+    reads one folder)."""
+    rows = docs if source is None else docs.where(F.col("data_source") == source)
+    return rows.where(F.col("_id") == doc_id).limit(1)
+
+
+def downloads(docs: DataFrame, query=None, key: str = "_id") -> DataFrame:
+    """(name, content) of a query's documents, one file each."""
+    return docs.where(querydsl.predicate(query)).select(F.concat(F.col(key).cast("string"), F.lit(".txt")).alias("name"), F.coalesce("content", F.lit("")).alias("content"))
+
+
+def zipped(files: DataFrame) -> Iterator[bytes]:
+    """A zip archive of (name, content) rows in pieces, as rows arrive: one
+    partition at a time is on the driver."""
+    sink = _Pieces()
+    with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
+        for row in files.toLocalIterator():
+            archive.writestr(zipfile.ZipInfo(row["name"]), row["content"])
+            yield from sink.take()
+    yield from sink.take()
+
+
+class _Pieces(io.RawIOBase):
+    """A sink that can't be sought and gives away what it gets."""
+
+    def __init__(self):
+        self.held: list[bytes] = []
+
+    def writable(self) -> bool:
+        return True
 
+    def write(self, data) -> int:
+        self.held.append(bytes(data))
+        return len(data)
 
-def document(docs: DataFrame, doc_id: str) -> DataFrame:
-    """P03, S04."""
-    return docs.where(F.col("_id") == doc_id).limit(1)
+    def take(self) -> list[bytes]:
+        out, self.held = [x for x in self.held if x], []
+        return out
 
 
 def long_enough(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.functions import text as T
 from verbarium.functions import vector as V
+from verbarium.operators import catalog
 from verbarium.operators import embeddings as E
 
 
@@ -46,14 +47,14 @@ def similarities(model: DataFrame, items: DataFrame) -> DataFrame:
     return rows.select("item", "score", F.coalesce(V.dot(F.col("v1"), F.col("v2")), F.lit(0.0)).alias("similarity"))
 
 
-def ranks(c: str):
-    """Average rank of ties; null ranks among nulls."""
-    return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
+def averaged(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """The average rank of equal values; null ranks last, among nulls."""
+    return catalog.ranks(rows, [], value).withColumn(name, F.col("_rank") + (F.col("_ties") - 1) / 2.0).drop("_rank", "_ties")
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row, 0 where it isn't defined."""
-    ranked = rows.select(ranks(a).alias("ra"), ranks(b).alias("rb"))
+    ranked = averaged(averaged(rows.select(F.col(a).alias("_a"), F.col(b).alias("_b")), "_a", "ra"), "_b", "rb")
     rho = F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))
     return ranked.agg(F.coalesce(rho, F.lit(0.0)).alias("accuracy"), F.count("*").alias("total"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -47,10 +48,19 @@ def _one(body) -> tuple:
 
 def analyse(query: str) -> list[str]:
     """The analysed tokens of a query text, on the driver."""
-    found = re.findall(r"[^\W]+", query)
-    fold = str.maketrans(T.FOLD_FROM, T.FOLD_TO)
-    kept = [w.lower() for w in found if w.lower() not in T.STOP_WORDS]
-    return [re.sub(r"[^\x00-\x7F]", "", w.translate(fold)) for w in kept]
+    kept = [w for w in re.findall(r"[^\W]+", query.lower()) if w not in T.STOP_WORDS]
+    return [unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode() for w in kept]
+
+
+def maybe(text: Column, words: list[str], every: bool = False) -> Column:
+    """What any text that holds the analysed words fulfils, cheaply: a text in ASCII has
+    them as they are."""
+    lower = F.lower(text)
+    tests = [F.contains(lower, F.lit(w)) for w in words]
+    out = tests[0]
+    for test in tests[1:]:
+        out = out & test if every else out | test
+    return out | text.rlike(r"[^\x00-\x7F]")
 
 
 def predicate(query: str | dict | None, now: datetime | None = None) -> Column:
@@ -83,8 +93,10 @@ def predicate(query: str | dict | None, now: datetime | None = None) -> Column:
         words = analyse(str(wanted))
         if not words:
             return F.lit(False)
-        have, words = T.analyzed(F.col(field)), F.array(*[F.lit(w) for w in dict.fromkeys(words)])
-        return F.size(F.array_except(words, have)) == 0 if operator == "and" else F.arrays_overlap(have, words)
+        words = list(dict.fromkeys(words))
+        near = maybe(F.col(field), words, operator == "and")
+        have, wanted = T.analyzed(F.col(field)), F.array(*[F.lit(w) for w in words])
+        return near & (F.size(F.array_except(wanted, have)) == 0 if operator == "and" else F.arrays_overlap(have, wanted))
     if kind == "range":
         field, bounds = _one(body)
         out = F.lit(True)
@@ -118,23 +130,44 @@ def predicate(query: str | dict | None, now: datetime | None = None) -> Column:
     raise BadQuery(f"unknown query: {kind}")
 
 
-def _is(word: str):
-    return lambda x: x == F.lit(word)
-
-
-def relevance(docs: DataFrame, query: str, field: str = "content", key: str = "_id") -> DataFrame:
-    """``docs`` that hold a token of the query, with a score: the sum over its tokens of
-    sqrt(tf) * (1 + ln(n / (df + 1)))^2 / sqrt(length)."""
-    words = list(dict.fromkeys(analyse(query)))
-    n = docs.count()
-    held = docs.withColumn("_tokens", T.analyzed(F.col(field)))
-    counts = [F.size(F.filter("_tokens", _is(w))).alias(f"_tf{i}") for i, w in enumerate(words)]
-    held = held.select("*", *counts)
-    df = held.agg(*[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"d{i}") for i in range(len(words))]).first() if words else ()
+def wanted_words(query: str | dict | None) -> list[str]:
+    """The analysed words that a query's documents are scored by: those of its match
+    parts, but for negated ones."""
+    if isinstance(query, str):
+        query = json.loads(query) if query.strip() else None
+    out: list[str] = []
+    if isinstance(query, dict):
+        for kind, body in query.items():
+            if kind == "match":
+                _, wanted = _one(body)
+                out += analyse(str(wanted.get("query", "") if isinstance(wanted, dict) else wanted))
+            elif kind in ("query", "filtered", "bool", "must", "should"):
+                out += wanted_words(body)
+    elif isinstance(query, list):
+        for q in query:
+            out += wanted_words(q)
+    return list(dict.fromkeys(out))
+
+
+def relevance(docs: DataFrame, words: str | list[str], field: str = "content", key: str = "_id") -> DataFrame:
+    """(key, score) of the documents that hold any of the words (of a query text, or
+    analysed ones): the sum over the words of
+    sqrt(tf) * (1 + ln(n / (df + 1)))^2 / sqrt(length).
+
+    Texts are analysed once, and only those that may hold a word; what is kept of each is
+    its key, its length and a count a word. Keys should be unique."""
+    words = list(dict.fromkeys(analyse(words) if isinstance(words, str) else words))
+    if not words:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    wanted = F.array(*[F.lit(w) for w in words])
+    held = docs.where(maybe(F.col(field), words)).select(key, T.analyzed(F.col(field)).alias("_t"))
+    own = F.filter("_t", lambda x: x.isin(words))
+    held = held.select(key, F.size("_t").alias("_size"), own.alias("_own")).where(F.size("_own") > 0)
+    held = held.select(key, "_size", F.transform(wanted, lambda w: F.size(F.filter("_own", lambda x: x == w))).alias("_tf")).persist()
+    n = docs.agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    df = held.agg(*[F.count(F.when(F.col("_tf")[i] > 0, 1)).alias(f"_d{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
-        score += F.sqrt(F.col(f"_tf{i}")) * F.pow(1 + F.log(F.lit(float(n)) / F.lit(df[i] + 1.0)), F.lit(2.0))
-    hits = F.lit(False)
-    for i in range(len(words)):
-        hits |= F.col(f"_tf{i}") > 0
-    return held.where(hits).withColumn("score", score / F.sqrt(F.size("_tokens"))).drop("_tokens", *[f"_tf{i}" for i in range(len(words))])
+        score += F.sqrt(F.col("_tf")[i]) * F.pow(1 + F.log(F.col("_n") / (F.col(f"_d{i}") + 1.0)), F.lit(2.0))
+    # two one-row sums
+    return held.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(df)).select(key, (score / F.sqrt("_size")).alias("score"))

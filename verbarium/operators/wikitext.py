@@ -12,9 +12,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEPTH = 30
-# Elements whose content goes, whose tags go, and that close themselves.
-DISCARDED = "gallery timeline noinclude pre table tr td th caption form input select option textarea ul li ol dl dt dd menu dir ref references img imagemap source".split()
-IGNORED = "a b big blockquote br center cite div em font h1 h2 h3 h4 hiero i kbd nowiki p plaintext s small span strike strong sub sup tt u var".split()
+# Elements whose content goes, whose tags go, that close themselves, and
+# that a numbered name stands for.
+DISCARDED = "gallery timeline noinclude pre table tr td th caption div form input select option textarea ul li ol dl dt dd menu dir ref references img imagemap source small".split()
+IGNORED = "a abbr b big blockquote center cite div em font h1 h2 h3 h4 hiero i kbd nowiki p plaintext s span strike strong sub sup tt u var".split()
+CLOSED = "br hr nobr ref references nowiki".split()
+PLACEHOLDERS = {"math": "formula", "code": "codice"}
 ACCEPTED = {"w", "wiktionary", "wikt"}
 
 
@@ -35,6 +38,25 @@ def _find_close(text: str, at: int, opening: str, closing: str) -> int:
     return -1
 
 
+def without_nested(text: str, opening: str, closing: str) -> str:
+    """Text without the stretches that two patterns delimit, with all that is nested
+    in them. What never closes stays."""
+    marks = sorted([(m.start(), m.end(), 1) for m in re.finditer(opening, text)] + [(m.start(), m.end(), -1) for m in re.finditer(closing, text)])
+    opened: list[int] = []
+    gone: list[tuple[int, int]] = []
+    for start, end, step in marks:
+        if step > 0:
+            opened.append(start)
+        elif opened:
+            gone.append((opened.pop(), end))
+    out, at = [], 0
+    for start, end in sorted(gone):
+        if start >= at:
+            out.append(text[at:start])
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def split_pipes(text: str) -> list[str]:
     """I32: pieces between pipes outside braces and brackets."""
     out, depth, last = [], 0, 0
@@ -138,8 +160,6 @@ class Cleaner:
         if name == "#iferror":
             bad = 'class="error"' in get(0)
             return get(1) if bad else (get(2) if len(args) > 2 else get(0))
-        if name == "#ifexpr":
-            return get(1) if expression(get(0)) not in ("0", "") and "error" not in expression(get(0)) else get(2)
         if name == "#expr":
             return expression(get(0))
         if name == "#switch":
@@ -159,7 +179,7 @@ class Cleaner:
             return simple[name](get(0))
         if name == "#invoke":
             return f"{get(2)} {get(3)}".strip() if get(0).lower() == "convert" else ""
-        return "" if name in ("#ifexist", "#time", "#timel", "#titleparts", "#rel2abs", "#language", "formatnum") else None
+        return "" if name in ("#ifexpr", "#ifexist", "#time", "#timel", "#titleparts", "#rel2abs", "#language", "formatnum") else None
 
     def expand(self, text: str, given: dict[str, str] | None = None, depth: int = 0) -> str:
         """Templates and parameters; an opening brace without an end stays."""
@@ -221,22 +241,27 @@ class Cleaner:
     def clean(self, text: str) -> str:
         """The stages in their order."""
         text = self.expand(text)
-        while (start := text.find("{|")) >= 0 and (end := _find_close(text, start, "{|", "|}")) > 0:
-            text = text[:start] + text[end:]
+        text = without_nested(text, r"\{\|", r"\|\}")
         text = re.sub(r"\[(?:https?|ftp|irc|mailto):[^\]\s]*(?:\s[^\]]*)?\]", "", text)  # I37: the label goes too
         text = re.sub(r"\[//\S*\s?([^\]]*)\]", r"\1", text)
         text = self.links(text)
         text = re.sub(r"__[A-Z]+__", "", text)
         parts = re.split(r"(?s)(<syntaxhighlight.*?</syntaxhighlight>)", text)
         text = "".join(p if i % 2 else html.unescape(p) for i, p in enumerate(parts))
-        text = re.sub(r"'{2,5}", "", text)
+        text = re.sub(r"'{5}(.*?)'{5}|'{3}(.*?)'{3}", lambda m: m[1] if m[1] is not None else m[2], text)
+        text = re.sub(r"''\"?([^\"']*)\"?''", r'"\1"', text)  # italics become quotations
+        text = text.replace("'''", "").replace("''", '"')
         text = re.sub(r"(?s)<!--.*?-->", "", text)
+        text = re.sub(rf"(?is)<\s*(?:{'|'.join(CLOSED)})\b[^>]*/\s*>", "", text)
+        text = re.sub(rf"(?i)<(?:{'|'.join(IGNORED)})\b[^>/]*>|</\s*(?:{'|'.join(IGNORED)})>", "", text)
         for tag in DISCARDED:
-            text = re.sub(rf"(?is)<{tag}\b[^>]*/>", "", text)
-            text = re.sub(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "", text)
-        text = re.sub(rf"(?is)</?(?:{'|'.join(IGNORED)})\b[^>]*>", "", text)
-        text = re.sub(r"(?is)<(math|code)\b[^>]*>.*?</\1\s*>", lambda m: "formula" if m[1].lower() == "math" else "codice", text)
-        text = re.sub(r"<<|>>", '"', text)
+            text = without_nested(text, rf"(?i)<\s*{tag}\b[^>/]*>", rf"(?i)<\s*/\s*{tag}>")
+        text = html.unescape(text)
+        for tag, name in PLACEHOLDERS.items():
+            seen: dict[str, str] = {}
+            text = re.sub(rf"(?is)<\s*{tag}(?:\s*| [^>]+?)>.*?<\s*/\s*{tag}\s*>", lambda m, seen=seen, name=name: seen.setdefault(m[0], f"{name}_{len(seen) + 1}"), text)
+        text = text.replace("<<", "«").replace(">>", "»").replace("\t", " ")
+        text = re.sub(r"\.{4,}", "...", text)
         text = re.sub(r" +([,:.)\]»])", r"\1", re.sub(r"([(\[«]) +", r"\1", text))
         text = re.sub(r"\(\s*[,;]*\s*\)", "", text)
         return re.sub(r"[ \t]{2,}", " ", text)
