@@ -29,7 +29,21 @@ def _fold_map() -> tuple[str, str, list[tuple[str, str]]]:
 
 FOLD_FROM, FOLD_TO, FOLD_MANY = _fold_map()
 _BEYOND = r"[^\x00-\x7F]"
-_MANY = "[" + "".join(a for a, _ in FOLD_MANY) + "]"
+#: Where characters of FOLD_MANY may be, quickly and exactly.
+_FAR = r"[\u00BC-\u00BE\u0132-\x{10FFFF}]"
+
+
+def _ranges(chars: list[str]) -> str:
+    out: list[list[int]] = []
+    for code in map(ord, chars):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
+
+
+_MANY = _ranges([a for a, _ in FOLD_MANY])
 WORD = r"[\p{L}\p{N}_]+"
 
 # The Spanish function words that the search analyser drops, still accented,
@@ -62,8 +76,8 @@ STOP_WORDS = sorted(
 def fold(c: Column) -> Column:
     """Compatibility decomposition, then every character outside ASCII dropped. Most
     texts have none and stay as they are."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in FOLD_MANY])
-    wide = F.when(c.rlike(_MANY), F.aggregate(pairs, c, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(c)
+    pairs = F.split(F.lit("\n".join(a + b for a, b in FOLD_MANY)), "\n")
+    wide = F.when(c.rlike(_FAR) & c.rlike(_MANY), F.aggregate(pairs, c, lambda t, p: F.replace(t, F.substring(p, 1, 1), F.substring(p, 2, 99)))).otherwise(c)
     return F.when(c.rlike(_BEYOND), F.regexp_replace(F.translate(wide, FOLD_FROM, FOLD_TO), _BEYOND, "")).otherwise(c)
 
 
@@ -151,7 +165,7 @@ def highlighted(content: Column, words: list[str], size: int = 100) -> Column:
     if not words:
         return snippet(content, None, size)
     any_of = rf"(?iU)\b({'|'.join(words)})\b"
-    found = F.regexp_extract(content, rf"(?is)(\b(?:{'|'.join(words)})\b.{{0,{size}}})", 1)
+    found = F.regexp_extract(content, rf"(?isU)(\b(?:{'|'.join(words)})\b.{{0,{size}}})", 1)
     return F.when(found != "", F.regexp_replace(F.substring(found, 1, size), any_of, "<em>$1</em>")).otherwise(snippet(content, None, size))
 
 
