@@ -68,14 +68,21 @@ def analogies(forms: DataFrame, each: int = 10, seed: int = 1) -> DataFrame:
 
 
 def verb_odd(forms: DataFrame, odd: str, rest: str, seed: int = 1) -> DataFrame:
-    """Forms (verb, tense, form): each form of the odd tense twice, with four verbs'
-    forms of the other tense."""
+    """Forms (verb, tense, form): each form of the odd tense twice, with four forms of
+    the other tense, drawn by number and met by equal keys."""
     base = forms.where(F.col("tense") == odd).select("verb", F.col("form").alias("odd"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    pool = forms.where(F.col("tense") == rest).select(F.col("verb").alias("v"), F.col("form").alias("w"))
-    rows = _chosen(base.join(pool, base["verb"] != pool["v"]), ["verb", "copy"], seed, 4, "w")
+    pool = _numbered(forms.where(F.col("tense") == rest).select(F.col("form").alias("w")).distinct(), "w", [])
+    size = pool.agg(F.count(F.lit(1)).alias("_n"))
+    asked = base.crossJoin(F.broadcast(size)).where("_n > 0").withColumn("_at", F.explode(_draws("_n", 4, seed, "verb", "odd", "copy")))  # one row
+    rows = asked.drop("_n").join(pool.select("w", "_at"), "_at")
     return rows.groupBy("verb", "odd", "copy").agg(F.sort_array(F.collect_list("w")).alias("rest")).drop("copy")
 
 
+def inverted(forms: DataFrame) -> DataFrame:
+    """The forms of every group and tense, as one sorted list under ``group.tense``."""
+    return forms.groupBy(F.concat_ws(".", "group", "tense").alias("name")).agg(F.sort_array(F.collect_set("form")).alias("forms"))
+
+
 def flattened(nested: DataFrame) -> DataFrame:
     """(verb, map of maps) to (verb, group, tense, form)."""
     outer = nested.select("verb", F.explode("forms").alias("group", "inner"))

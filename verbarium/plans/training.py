@@ -4,6 +4,7 @@ skip-gram / CBOW."""
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbarium.functions import vector as V
 from verbarium.operators import catalog, cooccurrence
 
 MODEL = "word string, idx bigint, vec array<float>"
@@ -65,8 +67,9 @@ def svd(sentences: DataFrame, dimension: int = 300, min_count: int = 10, max_cou
         power_s = s**power
         right = sentences.sparkSession.sparkContext.broadcast(v)  # words x dimension
         left = out.U.rows.map(lambda r: (int(r.index), (r.vector.toArray() * power_s + (right.value[r.index] if sum_context else 0)).tolist())).toDF("id bigint, vec array<double>")
-        unit = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-        return vocab.join(left, "id").select("word", F.col("id").cast("bigint").alias("idx"), F.transform("vec", lambda x: (x / unit).cast("float")).alias("vec"))
+        # words without a positive cell have zero vectors, here as with few words
+        zero = F.transform(F.sequence(F.lit(1), F.lit(len(s))), lambda x: F.lit(0.0))
+        return vocab.join(left, "id", "left").select("word", F.col("id").cast("bigint").alias("idx"), V.unit(F.coalesce("vec", zero)).cast("array<float>").alias("vec"))
     return _model(vocab, ids, u * s**power + (v if sum_context else 0))
 
 
@@ -125,10 +128,36 @@ def glove(sentences: DataFrame, dimension: int = 100, min_count: int = 10, max_c
     return _model(vocab, np.arange(1, n + 1), state[:n, :-1] + state[n:, :-1])
 
 
+def huffman(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(inner nodes on the way from the root, turns) of each word; frequent words have
+    short ways."""
+    n = len(counts)
+    heap = [(float(c), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int]] = {}
+    for node in range(n, 2 * n - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        up[i], up[j] = (node, 0), (node, 1)
+        heapq.heappush(heap, (a + b, node))
+    out = []
+    for i in range(n):
+        way, turns = [], []
+        while i in up:
+            i, turn = up[i]
+            way.append(i - n)
+            turns.append(turn)
+        out.append((np.array(way[::-1], dtype=np.int64), np.array(turns[::-1], dtype=float)))
+    return out
+
+
 def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, window: int = 5, subsample: float = 0.0, algorithm: str = "skipgram", hsoftmax: bool = True, negative: int = 0, epochs: int = 1, alpha: float = 0.025, key: str = "doc_id", seed: int = 1, partitions: int = 1) -> DataFrame:
-    """M12. Skip-gram with hierarchical softmax is the built-in estimator; CBOW and
-    negative sampling are trained here, an average of the partitions' steps an epoch at a
+    """M12. Skip-gram with hierarchical softmax is the built-in estimator; CBOW (with a
+    Huffman tree or negative samples) and negative sampling are trained here, an average of the partitions' steps an epoch at a
     linearly falling rate (C48)."""
+    if subsample > 0 and algorithm == "skipgram" and hsoftmax and not negative:
+        vocab = cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count))
+        kept = cooccurrence.placed(sentences, vocab, key, subsample, seed).join(vocab.select("id", "word"), "id")
+        sentences = kept.groupBy(key, "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("tokens"))
     if algorithm == "skipgram" and hsoftmax and not negative:
         from pyspark.ml.feature import Word2Vec
 
@@ -149,6 +178,7 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
     rows = cooccurrence.placed(sentences, vocab, key, subsample, seed).groupBy(key, "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"] - 1).alias("ids")).select("ids").cache()
     left, right = (rng.random((n, dimension)) - 0.5) / dimension, np.zeros((n, dimension))
     k = negative or 5
+    tree = huffman(counts) if hsoftmax and not negative else None
     for epoch in range(epochs):
         held = sentences.sparkSession.sparkContext.broadcast((left, right))
         step = alpha * (1 - epoch / epochs)
@@ -165,9 +195,12 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
                             continue
                         for inputs in [context] if algorithm == "cbow" else [np.array([c]) for c in context]:
                             hidden = a[inputs].mean(axis=0)
-                            targets = np.concatenate(([centre], noise.searchsorted(own.random(k), side="right")))
-                            label = np.zeros(len(targets))
-                            label[0] = 1
+                            if tree is not None:
+                                targets, label = tree[centre][0], 1 - tree[centre][1]
+                            else:
+                                targets = np.concatenate(([centre], noise.searchsorted(own.random(k), side="right")))
+                                label = np.zeros(len(targets))
+                                label[0] = 1
                             g = (label - 1 / (1 + np.exp(-np.clip(b[targets] @ hidden, -30, 30)))) * step
                             back = g @ b[targets] / len(inputs)
                             np.add.at(b, targets, g[:, None] * hidden)
@@ -185,6 +218,56 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
     return _model(vocab, np.arange(1, n + 1), left)
 
 
+def rates(alpha: float, least: float, epochs: int) -> list[tuple[int, float, float]]:
+    """(epoch, rate at its start, rate at its end), falling in a line."""
+    return [(k, alpha - (alpha - least) * k / epochs, alpha - (alpha - least) * (k + 1) / epochs) for k in range(epochs)]
+
+
+# The share of a training that each phase begins at and takes.
+PHASES = {
+    "word2vec": {"vocabulary": (0.0, 0.2), "fit": (0.2, 0.8)},
+    "glove": {"vocabulary": (0.0, 0.05), "cooccurrence": (0.05, 0.2), "fit": (0.35, 0.65)},
+    "svd": {"vocabulary": (0.0, 0.1), "cooccurrence": (0.1, 0.7), "fit": (0.8, 0.2)},
+}
+
+
+def progress(kind: str, phase: str, share: float, epoch: int = 0, epochs: int = 1) -> float:
+    """How much of a training is done, by its phase's own share (of an epoch)."""
+    start, size = PHASES[kind][phase]
+    return start + size * (epoch + share) / epochs
+
+
+def reported(rows: DataFrame, name: str, every: int, report) -> DataFrame:
+    """``rows``; whenever a batch of a stream, or a query, has passed, ``report`` gets
+    its name, the number of rows and how many reports of ``every`` rows that makes."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    out = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+    out.reported = lambda: report(name, seen.get["rows"], seen.get["rows"] // every)
+    return out
+
+
+def document_vectors(rows: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The mean of the vectors of each sentence's words (key, sid, tokens), under the
+    tag ``key_sid``; words that the model doesn't have don't count."""
+    words = rows.select(F.concat_ws("_", key, "sid").alias("tag"), F.explode("tokens").alias("word")).join(model.select("word", "vec"), "word")
+    cells = words.select("tag", F.posexplode("vec").alias("place", "x")).groupBy("tag", "place").agg(F.avg("x").alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "x")))
+    return cells.groupBy("tag").agg(F.transform(ordered, lambda c: c["x"]).alias("vec"))
+
+
+def cached_cells(folder: str, key: str, make) -> DataFrame:
+    """The co-occurrences kept under a key, made only where there are none."""
+    from pyspark.sql import SparkSession
+
+    spark, path = SparkSession.active(), f"{folder.rstrip('/')}/{key}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def train(docs: DataFrame, kind: str, parameters: dict | None = None, preprocessing: dict | None = None, query=None, text: str = "content", key: str = "doc_id") -> DataFrame:
     """Documents of a query to a model (word, idx, vec)."""
     from verbarium.operators import querydsl

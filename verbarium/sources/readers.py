@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbarium.functions import text as T
+from verbarium.sources.sinks import TRIPLE
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -64,12 +69,56 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a dump, without redirects and other namespaces."""
     rows = spark.read.format("xml").option("rowTag", "page").load(path)
-    text = F.coalesce(F.get_json_object(F.to_json("revision"), "$.text._VALUE"), F.get_json_object(F.to_json("revision"), "$.text"))
     rows = rows.where("ns = 0") if "ns" in rows.columns else rows
     rows = rows.where("redirect is null") if "redirect" in rows.columns else rows
+    return _wiki(rows)
+
+
+def _wiki(rows: DataFrame) -> DataFrame:
+    text = F.coalesce(F.get_json_object(F.to_json("revision"), "$.text._VALUE"), F.get_json_object(F.to_json("revision"), "$.text"))
     return rows.select(F.col("id").cast("bigint").alias("id"), F.col("title").cast("string").alias("title"), text.alias("text"))
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """One word a line, distinct."""
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    """A model as write_model leaves it. Raises where words repeat, or vectors have
+    several lengths or values that aren't finite."""
+    model = spark.read.parquet(path)
+    bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+    n, words, least, most, wrong = model.agg(F.count(F.lit(1)), F.count_distinct("word"), F.min(F.size("vec")), F.max(F.size("vec")), F.count(F.when(bad, 1))).first()
+    if n != words or least != most or wrong:
+        raise ValueError(f"{n} rows, {words} words, vectors of {least} to {most} numbers, {wrong} of them not finite")
+    return model
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """What write_cells wrote."""
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for blob in frame["data"]:
+                got = np.frombuffer(blob, dtype=TRIPLE)
+                yield pd.DataFrame({"w": got["w"], "c": got["c"], "x": got["x"]})
+
+    return spark.read.parquet(path).mapInPandas(unpack, "w int, c int, x double")
+
+
+def read_verb_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """A form and its verb a line."""
+    return _lines(spark, path).where(F.size("w") == 2).select(F.col("w")[0].alias("b"), F.col("w")[1].alias("a"))
+
+
+def read_conjugations(spark: SparkSession, path: str) -> DataFrame:
+    """A line of JSON a verb: forms by group and tense."""
+    return spark.read.schema("verb string, forms map<string, map<string, string>>").json(path)
+
+
+def read_templates(spark: SparkSession, path: str, prefix: str = "Template:") -> DataFrame:
+    """Titles and texts of a dump's templates, the pass before cleaning. Texts without
+    what a definition leaves out."""
+    rows = spark.read.format("xml").option("rowTag", "page").load(path)
+    return _wiki(rows).where(F.col("title").startswith(prefix)).select("title", "text")

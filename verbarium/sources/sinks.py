@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.operators import corpus
+from verbarium.functions import vector as V
+from verbarium.operators import corpus, wikitext
+
+TRIPLE = np.dtype([("w", "<i4"), ("c", "<i4"), ("x", "<f8")])
 
 
 def write_corpus(docs: DataFrame, path: str, mode: str = "append") -> None:
@@ -24,8 +31,30 @@ def write_texts(docs: DataFrame, path: str, per_file: int = 100_000, compression
 
 
 def write_model(model: DataFrame, path: str) -> None:
-    """K07."""
-    model.write.mode("overwrite").parquet(path)
+    """(word, idx, vec) with unit rows, so older models are mended on the way;
+    zero rows stay."""
+    model.withColumn("vec", V.unit(F.col("vec")).cast("array<float>")).write.mode("overwrite").parquet(path)
+
+
+CELLS = "data binary"
+
+
+def write_cells(cells: DataFrame, path: str, rows: int = 100_000) -> None:
+    """Co-occurrences (w, c, x) as binary triples: two 32-bit integers and a double,
+    little-endian, many to a row, sorted by words (T08)."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = np.empty(len(frame), dtype=TRIPLE)
+            out["w"], out["c"], out["x"] = frame["w"], frame["c"], frame["x"]
+            yield pd.DataFrame({"data": [out[k : k + rows].tobytes() for k in range(0, len(out), rows)]})
+
+    cells.select("w", "c", "x").orderBy("w", "c").mapInPandas(pack, CELLS).write.mode("overwrite").parquet(path)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Pages (id, url, title, text) as elements of pseudo XML files."""
+    pages.select(wikitext.wrapped(F.col("id"), F.col("url"), F.col("title"), F.col("text")).alias("value")).write.text(path)
 
 
 def write_vectors(model: DataFrame, path: str, layout: str = "sum") -> None:
