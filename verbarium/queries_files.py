@@ -3,6 +3,9 @@ numbers that trainings are run by."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from verbarium.catalogue import DOCS, WORDS, _docs, _model, _quads, query
@@ -76,13 +79,13 @@ def file_verb_pairs(t):
 # --------------------------------------------------------------------- models
 
 
-@query("select vec_id::varchar as word, len(embedding)::int as n, round(embedding[1]::double, 4) as first, round(embedding[64]::double, 4) as last from embeddings")
+@query("select vec_id::varchar as word, len(embedding)::int as n, round(printf('%.6f', embedding[1]::double)::float::double, 6) as first, round(printf('%.6f', embedding[64]::double)::float::double, 6) as last from embeddings")
 def file_vectors(t):
     """Text vectors, six digits a number."""
     spark, path = _folder(t)
     sinks.write_vectors(_model(t).withColumn("context", F.col("vec")), path, "word")
     vec = F.transform("vec", lambda x: x.cast("double"))
-    return readers.read_vectors(spark, path).select("word", F.size("vec").alias("n"), F.round(vec[0], 4).alias("first"), F.round(vec[63], 4).alias("last"))
+    return readers.read_vectors(spark, path).select("word", F.size("vec").alias("n"), F.round(vec[0], 6).alias("first"), F.round(vec[63], 6).alias("last"))
 
 
 @query("select vec_id as word, round(list_inner_product(e, e) ** 0 , 3) as norm, round(e[1] / sqrt(list_inner_product(e, e)), 4) as first from (select vec_id, embedding::double[] as e from embeddings)")
@@ -133,12 +136,10 @@ def learning_rates(t):
     return out.select("epochs", "epoch", F.round("first", 9).alias("first"), F.round("last", 9).alias("last"))
 
 
-@query("""select * from (values ('word2vec', 'vocabulary', 0.1::double), ('word2vec', 'fit', 0.7), ('glove', 'vocabulary', 0.025), ('glove', 'cooccurrence', 0.15), ('glove', 'fit', 0.75625), ('svd', 'vocabulary', 0.05), ('svd', 'cooccurrence', 0.45), ('svd', 'fit', 0.925)) v(model, phase, done)""")
+@query("""select * from (values ('word2vec', 'vocabulary', 0.1::double), ('word2vec', 'fit', 0.5), ('glove', 'vocabulary', 0.025), ('glove', 'cooccurrence', 0.15), ('glove', 'fit', 0.59375), ('svd', 'vocabulary', 0.05), ('svd', 'cooccurrence', 0.45), ('svd', 'fit', 0.875)) v(model, phase, done)""")
 def training_progress(t):
-    """Half of a phase; of a fit, half of its second epoch of two or its first of
-    four."""
-    epochs = {"word2vec": (1, 4), "glove": (1, 4), "svd": (1, 4)}
-    rows = [(m, p, round(training.progress(m, p, 0.5, *(epochs[m] if p == "fit" else (0, 1))), 9)) for m, ps in training.PHASES.items() for p in ps]
+    """Half of a phase; of a fit, half of its second epoch of four."""
+    rows = [(m, p, round(training.progress(m, p, 0.5, *((1, 4) if p == "fit" else (0, 1))), 9)) for m, ps in training.PHASES.items() for p in ps]
     return t("region").sparkSession.createDataFrame(rows, "model string, phase string, done double")
 
 
@@ -198,7 +199,13 @@ def _dump(t, path: str) -> None:
     space = F.when(i % 7 == 0, 10).when(i % 7 == 1, 1).otherwise(0)
     title = F.concat(F.when(i % 7 == 0, "Template:T").when(i % 7 == 1, "Talk:P").otherwise("P"), i)
     page = F.concat(F.lit("<page><title>"), title, F.lit("</title><ns>"), space, F.lit("</ns><id>"), i, F.lit("</id>"), F.when(i % 7 == 2, '<redirect title="X"/>').otherwise(""), F.lit('<revision><text xml:space="preserve">Body of '), i, F.lit(" &amp; {{t|1}}</text></revision></page>"))
-    t("documents").select(page.alias("value")).write.text(path)
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["<mediawiki>"]})
+        yield from frames
+        yield pd.DataFrame({"value": ["</mediawiki>"]})
+
+    t("documents").select(page.alias("value")).mapInPandas(whole, "value string").write.text(path)
 
 
 @query("select distinct doc_id as id, 'P' || doc_id as title, 'Body of ' || doc_id || ' & {{t|1}}' as text from documents where doc_id % 7 > 2")

@@ -221,7 +221,7 @@ def connector_rules(t):
 when len(list_filter(regexp_split_to_array({_LINE}, '\\s+'), lambda x: x <> '')) < 10 then 'unparseable' else 'success' end as outcome from conversations""")
 def connector_outcomes(t):
     """Extraction with the state of each fetch."""
-    connector = ingest.Connector("made", "http://h/{}", title="h6", body="div#main > p" if False else "div#main p", dropped=("h1", "div.note"), markers=("MORE:", r"\Ano\z"), missing_500=True, blank_missing=True, least=0)
+    connector = ingest.Connector("made", "http://h/{}", title="h6", body="div#main p", dropped=("h1", "div.note"), markers=("MORE:", r"\Ano\z"), missing_500=True, blank_missing=True, least=0)
     status = F.element_at(F.array(F.lit(200), F.lit(404), F.lit(500), F.lit(503)), (F.col("turn") % 4 + 1).cast("int"))
     return connector.judged(_made(t).withColumn("page", F.lit(1)), status).select("conv_id", "turn", "outcome")
 
