@@ -95,6 +95,46 @@ _FITS = " ".join(f"when regexp_matches(u, '{_HOST_CASES[rule]}') then '{rule}'"
 _ACTION = " ".join(f"when '{rule}' then '{action}'" for action, rule in HOST_RULES)
 
 ORACLE: dict[str, str] = {
+    "op2_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as k from documents
+), s as (
+  select distinct doc_id, unnest(case when len(k) >= 3 then list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]) when len(k) > 0 then [array_to_string(k, ' ')] else []::varchar[] end) as g from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), sig as (
+  select doc_id, n, md5(string_agg(md5(g), '' order by g)) as sig from s join n using (doc_id) group by doc_id, n
+), rep as (
+  select sig, n, min(doc_id) as rep from sig group by sig, n
+), r as (
+  select rep, n, g from rep join s on s.doc_id = rep.rep
+), p as (
+  select a.rep as a, b.rep as b, a.n as an, b.n as bn, count(*) as c from r a join r b on a.g = b.g and a.rep < b.rep and 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) group by all
+), l as (
+  select a, b from p where 100 * c >= 90 * (an + bn - c) union all select b, a from p where 100 * c >= 90 * (an + bn - c)
+), t as (
+  select rep as node, rep as m from rep union select t.node, l.b from t join l on l.a = t.m
+), o as (
+  select node, min(m) as component_id from t group by node
+)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(o.component_id, w.doc_id) as component_id
+from w left join n using (doc_id) left join sig on sig.doc_id = w.doc_id left join rep on rep.sig = sig.sig and rep.n = sig.n left join o on o.node = rep.rep""",
+    "op9_recompression": r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as k from documents
+), x as (
+  select doc_id, unnest(k) as word, generate_subscripts(k, 1) as pos, len(k) as n from w
+), v as (
+  select doc_id, word, pos, case when pos + 19 <= n then md5(string_agg(word, ' ') over (partition by doc_id order by pos rows between current row and 19 following)) end as g from x
+), f as (
+  select *, case when g is not null and row_number() over (partition by g order by doc_id, pos) > 1 then 1 else 0 end as again from v
+), c as (
+  select doc_id, word, pos, sum(again) over (partition by doc_id order by pos rows between 19 preceding and current row) > 0 as gone from f
+), a as (
+  select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as kept from c group by doc_id
+)
+select w.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join a using (doc_id)""",
     "op3_url_filters": f"""
 with cut as (
   select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) end as rest from pages
