@@ -326,7 +326,7 @@ pairs as (select a.id as w, b.id as c, abs(a.pos - b.pos) as d from p a join p b
 def _counted(t, weighting: str = "count"):
     rows = _sentences(t)
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary_of(t("documents"), "text"))
-    return cooccurrence.counted(cooccurrence.placed(rows, vocab), 5, weighting)
+    return cooccurrence.counted(cooccurrence.placed(rows, vocab, numbered=False), 5, weighting)
 
 
 def _cells(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -384,7 +384,7 @@ def shuffle_records(t):
     """M09, T09."""
     rows = _sentences(t)
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows))
-    cells = cooccurrence.counted(cooccurrence.placed(rows, vocab), 5, "inverse")
+    cells = cooccurrence.counted(cooccurrence.placed(rows, vocab, numbered=False), 5, "inverse")
     return _cells(cooccurrence.shuffled(cells.select("w", "c", F.round("x", 4).alias("x")), 7))
 
 

@@ -104,9 +104,10 @@ def sentences(c: Column) -> Column:
     return F.flatten(F.transform(F.split(c, "\n"), lambda x: F.split(x, r"\. ")))
 
 
-def tokens(c: Column) -> Column:
-    """Runs of letters, digits and underscores of any script."""
-    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+def tokens(c: Column, folded: bool = False) -> Column:
+    """Runs of letters, digits and underscores of any script; of folded text, which is
+    in ASCII, by a plainer pattern."""
+    return F.regexp_extract_all(c, F.lit("[0-9A-Za-z_]+" if folded else WORD), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
@@ -118,7 +119,8 @@ def analyzed(c: Column) -> Column:
     """Tokens, lower-cased, without stop words, folded, in that order. What is left
     is folded in one go."""
     kept = F.filter(tokens(F.lower(c)), lambda x: ~x.isin(STOP_WORDS))
-    return F.when(F.size(kept) == 0, F.array().cast("array<string>")).when(c.isNotNull(), F.split(fold(F.array_join(kept, " ")), " ", -1))
+    # one mark ahead, so that no token left and one empty token differ
+    return F.slice(F.split(fold(F.array_join(F.array_prepend(kept, F.lit("^")), " ")), " ", -1), 2, 1 << 30)
 
 
 def document_id(domain: Column | None, source_id: Column) -> Column:

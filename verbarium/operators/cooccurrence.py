@@ -12,13 +12,13 @@ from verbarium.functions import vector as V
 def sentence_table(docs: DataFrame, text: str = "content", key: str = "doc_id", lowercase: bool = True, remove_accents: bool = True) -> DataFrame:
     """(key, sid, tokens) of every sentence, empty ones too."""
     whole = T.preprocess(F.col(text), lowercase, remove_accents)
-    return docs.select(key, F.posexplode(T.sentences(whole)).alias("sid", "sentence")).select(key, "sid", T.tokens(F.col("sentence")).alias("tokens"))
+    return docs.select(key, F.posexplode(T.sentences(whole)).alias("sid", "sentence")).select(key, "sid", T.tokens(F.col("sentence"), remove_accents).alias("tokens"))
 
 
 def vocabulary_of(docs: DataFrame, text: str = "content", min_count: int = 1, max_count: int | None = None, lowercase: bool = True, remove_accents: bool = True) -> DataFrame:
     """M07 without sentences: no token goes over a sentence's end, so whole texts give the
     same words."""
-    return vocabulary(docs.select(T.tokens(T.preprocess(F.col(text), lowercase, remove_accents)).alias("tokens")), min_count, max_count)
+    return vocabulary(docs.select(T.tokens(T.preprocess(F.col(text), lowercase, remove_accents), remove_accents).alias("tokens")), min_count, max_count)
 
 
 def words(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -53,15 +53,17 @@ def with_ids(vocab: DataFrame, order: str = "frequency") -> DataFrame:
     return rank.select(*vocab.columns, "id")
 
 
-def placed(sentences: DataFrame, vocab: DataFrame, key: str = "doc_id", subsample: float = 0.0, seed: int = 1) -> DataFrame:
+def placed(sentences: DataFrame, vocab: DataFrame, key: str = "doc_id", subsample: float = 0.0, seed: int = 1, numbered: bool = True) -> DataFrame:
     """(key, sid, pos, id) of the words of the vocabulary; positions count what
-    is left. ``subsample`` drops frequent words first (C45), by a hash in place of
+    is left, or with ``numbered`` off are those in the sentence. ``subsample`` drops frequent words first (C45), by a hash in place of
     chance."""
     rows = words(sentences, key).join(vocab.select(F.col("word").alias("w"), "id", "count"), "w")
     if subsample > 0:
         total = vocab.agg(F.sum("count").cast("double").alias("n"))
         rows = rows.crossJoin(F.broadcast(total))
         rows = rows.where(V.coin(seed, F.col(key), F.col("sid"), F.col("pos")) >= V.drop_chance(F.col("count"), subsample, F.col("n")))
+    if not numbered:
+        return rows.select(key, "sid", "id", "pos")
     along = Window.partitionBy(key, "sid").orderBy("pos")
     return rows.select(key, "sid", "id", F.row_number().over(along).alias("pos"))
 
@@ -92,7 +94,7 @@ def cooccurrence(pairs_: DataFrame, weighting: str = "count", window: int | None
 
 def counted(rows: DataFrame, window: int, weighting: str = "count", key: str = "doc_id") -> DataFrame:
     """What ``cooccurrence(pairs(...))`` gives for fixed windows, at half the work: pairs
-    are counted one way, and the sums mirrored."""
+    are counted one way, and the sums mirrored. Positions may have gaps."""
     along = Window.partitionBy(key, "sid").orderBy("pos")
     ahead = rows.where(F.col(key).isNotNull()).select("id", *[F.lead("id", d).over(along).alias(f"_{d}") for d in range(1, window + 1)])
     each = [F.when(F.col(f"_{d}").isNotNull(), F.struct(F.least("id", f"_{d}").alias("w"), F.greatest("id", f"_{d}").alias("c"), F.lit(d).alias("d"))) for d in range(1, window + 1)]

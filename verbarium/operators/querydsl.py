@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.functions import text as T
+from verbarium.session import shared_folder
 
 ARRAYS = {"tags"}
 
@@ -161,9 +162,11 @@ def relevance(docs: DataFrame, words: str | list[str], field: str = "content", k
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     wanted = F.array(*[F.lit(w) for w in words])
     held = docs.where(maybe(F.col(field), words)).select(key, T.analyzed(F.col(field)).alias("_t"))
-    own = F.filter("_t", lambda x: x.isin(words))
-    held = held.select(key, F.size("_t").alias("_size"), own.alias("_own")).where(F.size("_own") > 0)
-    held = held.select(key, "_size", F.transform(wanted, lambda w: F.size(F.filter("_own", lambda x: x == w))).alias("_tf")).persist()
+    held = held.select(key, F.size("_t").alias("_size"), F.filter("_t", lambda x: x.isin(words)).alias("_own"))
+    path = shared_folder(docs.sparkSession)
+    held.write.parquet(path)  # read twice: for the counts and for the scores; a filter here would analyse anew
+    held = docs.sparkSession.read.schema(held.schema).parquet(path).where(F.size("_own") > 0)
+    held = held.select(key, "_size", F.transform(wanted, lambda w: F.size(F.filter("_own", lambda x: x == w))).alias("_tf"))
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("_n"))
     df = held.agg(*[F.count(F.when(F.col("_tf")[i] > 0, 1)).alias(f"_d{i}") for i in range(len(words))])
     score = F.lit(0.0)
