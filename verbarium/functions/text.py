@@ -104,10 +104,14 @@ def sentences(c: Column) -> Column:
     return F.flatten(F.transform(F.split(c, "\n"), lambda x: F.split(x, r"\. ")))
 
 
-def tokens(c: Column, folded: bool = False) -> Column:
-    """Runs of letters, digits and underscores of any script; of folded text, which is
-    in ASCII, by a plainer pattern."""
-    return F.regexp_extract_all(c, F.lit("[0-9A-Za-z_]+" if folded else WORD), F.lit(0))
+def tokens(c: Column) -> Column:
+    """Runs of letters, digits and underscores of any script."""
+    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+
+
+def folded_tokens(c: Column) -> Column:
+    """C04 of folded text, which is in ASCII, by a plainer pattern."""
+    return F.regexp_extract_all(c, F.lit("[0-9A-Za-z_]+"), F.lit(0))
 
 
 def word_count(c: Column) -> Column:

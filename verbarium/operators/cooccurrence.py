@@ -11,14 +11,15 @@ from verbarium.functions import vector as V
 
 def sentence_table(docs: DataFrame, text: str = "content", key: str = "doc_id", lowercase: bool = True, remove_accents: bool = True) -> DataFrame:
     """(key, sid, tokens) of every sentence, empty ones too."""
-    whole = T.preprocess(F.col(text), lowercase, remove_accents)
-    return docs.select(key, F.posexplode(T.sentences(whole)).alias("sid", "sentence")).select(key, "sid", T.tokens(F.col("sentence"), remove_accents).alias("tokens"))
+    whole, tokens = T.preprocess(F.col(text), lowercase, remove_accents), T.folded_tokens if remove_accents else T.tokens
+    return docs.select(key, F.posexplode(T.sentences(whole)).alias("sid", "sentence")).select(key, "sid", tokens(F.col("sentence")).alias("tokens"))
 
 
 def vocabulary_of(docs: DataFrame, text: str = "content", min_count: int = 1, max_count: int | None = None, lowercase: bool = True, remove_accents: bool = True) -> DataFrame:
     """M07 without sentences: no token goes over a sentence's end, so whole texts give the
     same words."""
-    return vocabulary(docs.select(T.tokens(T.preprocess(F.col(text), lowercase, remove_accents), remove_accents).alias("tokens")), min_count, max_count)
+    tokens = T.folded_tokens if remove_accents else T.tokens
+    return vocabulary(docs.select(tokens(T.preprocess(F.col(text), lowercase, remove_accents)).alias("tokens")), min_count, max_count)
 
 
 def words(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
