@@ -135,16 +135,39 @@ def test_word2vec_options(spark, options):
     assert all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-3 for r in model)
 
 
-def test_svd_alike_for_few_and_many_words(spark, monkeypatch):
-    rows = sentences(spark, *["red blue red blue green. dog cat bird dog cat. red dog", "green bird tree. tree blue cat red"] * 3)
-    run = lambda: {r["word"]: np.array(r["vec"]) for r in training.svd(rows, dimension=3, min_count=1, window=2, subsample=0.0, sum_context=False, power=1.0).collect()}
-    few = run()
-    monkeypatch.setattr(training, "DENSE_WORDS", 0)
-    many = run()
-    assert set(few) == set(many)
-    for a in few:
-        for b in few:
-            assert abs(few[a] @ few[b] - many[a] @ many[b]) < 1e-3, (a, b)
+@pytest.mark.parametrize("n, k", [(7, 3), (12, 12), (90, 8)])
+def test_truncated_svd_is_numpys(spark, n, k):
+    rng = np.random.default_rng(n)
+    matrix = rng.standard_normal((n, 5)) @ np.diag([9.0, 6, 4, 3, 2]) @ rng.standard_normal((5, n)) + 0.1 * rng.standard_normal((n, n))
+    matrix[rng.random((n, n)) < 0.3] = 0
+    matrix[n // 2] = 0  # a word without cells
+    cells = [(int(w), int(c), float(matrix[w, c])) for w, c in zip(*np.nonzero(matrix), strict=True)]
+    u, s, v = training.truncated_svd(spark.createDataFrame(cells, "w int, c int, x double"), n, k, passes=200, tolerance=1e-12)
+    want_u, want, want_v = np.linalg.svd(matrix)
+    real = int((want[:k] > 1e-9 * want[0]).sum())
+    assert np.allclose(s[:real], want[:real], rtol=1e-6) and not s[real:].any()
+    near = (want_u[:, :real] * want[:real]) @ want_v[:real]
+    assert np.allclose((u * s) @ v.T, near, atol=1e-3 * want[0])
+    assert np.allclose(u[:, :real].T @ u[:, :real], np.eye(real), atol=1e-6) and not u[n // 2].any()
+
+
+def test_truncated_svd_of_nothing(spark):
+    none = spark.createDataFrame([], "w int, c int, x double")
+    assert not training.truncated_svd(none, 3, 2)[0].any() and training.truncated_svd(none, 0, 0)[1].size == 0
+    assert training.svd(sentences(spark, "one two"), min_count=5).count() == 0
+
+
+def test_svd_puts_words_of_one_company_together(spark):
+    rows = sentences(spark, *["red blue red blue green. dog cat bird dog cat", "green blue red. bird cat dog"] * 5)
+    vec = {r["word"]: np.array(r["vec"]) for r in training.svd(rows, dimension=3, min_count=1, window=2, subsample=0.0, sum_context=False, power=1.0).collect()}
+    assert set(vec) == {"red", "blue", "green", "dog", "cat", "bird"} and vec["dog"] @ vec["cat"] > vec["dog"] @ vec["blue"] + 0.3
+
+
+def test_vectors_are_summed_by_id(spark):
+    """Also where batches part the rows of an id."""
+    rows = spark.range(5000).selectExpr("cast(id % 7 as int) as id").repartition(5).mapInArrow(lambda bs: (training._packed(b.column(0).to_numpy(), np.ones((b.num_rows, 2))) for b in bs), training.PACKED)
+    ids, sums = training._summed(rows)
+    assert dict(zip(ids.tolist(), sums[:, 1].tolist(), strict=True)) == {i: float(len(range(i, 5000, 7))) for i in range(7)}
 
 
 def test_progress_is_reported(spark):

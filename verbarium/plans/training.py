@@ -10,15 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.functions import vector as V
 from verbarium.operators import catalog, cooccurrence
 
 MODEL = "word string, idx bigint, vec array<float>"
-#: Words of a vocabulary whose dense matrices the driver may hold.
-DENSE_WORDS = 3000
+#: Vectors of doubles as bytes.
+PACKED = "id int, v binary"
 
 # Stored parameter names and those of the functions below.
 RENAMED = {"window": "window", "min_count": "min_count", "max_count": "max_count", "dimension": "dimension", "subsampling": "subsample", "cds": "smoothing", "sum_context": "sum_context", "x_max": "x_max", "alpha": "alpha", "eta": "rate", "epochs": "epochs", "algorithm": "algorithm", "hsoftmax": "hsoftmax", "negative": "negative"}
@@ -45,32 +45,123 @@ def _model(vocab: DataFrame, ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
     return vocab.select("word", F.col("id").cast("bigint").alias("id")).join(rows, "id").select("word", F.col("id").alias("idx"), "vec")
 
 
+def _packed(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    values = np.ascontiguousarray(values, dtype=float)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([v.tobytes() for v in values], pa.binary())], ["id", "v"])
+
+
+def _unpacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _summed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the sums of their vectors over all partitions. Executors add them up, so
+    the driver gets one row for each id."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), strict=True):
+                if i in total:
+                    total[i] += v
+                else:
+                    total[i] = v.copy()
+        if total:
+            yield _packed(np.array(list(total)), np.array(list(total.values())))
+
+    got = rows.repartition("id").mapInArrow(add, PACKED).toArrow()
+    return got.column(0).to_numpy(), _unpacked(got.column(1))
+
+
+def _by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The cells (w, c, x), in the order of w, in pieces that don't part a row."""
+    held = None
+    for batch in batches:
+        cells = [batch.column(i).to_numpy() for i in range(3)]
+        if held is not None:
+            cells = [np.concatenate(x) for x in zip(held, cells, strict=True)]
+        cut = int(np.searchsorted(cells[0], cells[0][-1])) if len(cells[0]) else 0
+        held = [x[cut:] for x in cells]
+        if cut:
+            yield tuple(x[:cut] for x in cells)
+    if held is not None and len(held[0]):
+        yield tuple(held)
+
+
+def _sums_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(values[order], first)
+
+
+def truncated_svd(cells: DataFrame, n: int, k: int, seed: int = 1, passes: int = 30, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """u, s and v of the k largest singular values of the n x n matrix of the cells
+    (w, c, x), by subspace iteration: each pass multiplies a basis of somewhat more than
+    k columns by the matrix and its transpose, rows of cells in one partition, until the
+    values change by less than ``tolerance``. The basis (n x columns) is broadcast, and
+    the driver makes it orthogonal. Signs are fixed; columns beyond the rank are zero."""
+    if not n:
+        return np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0))
+    cells = cells.select(F.col("w").cast("int"), F.col("c").cast("int"), F.col("x").cast("double")).repartition("w").sortWithinPartitions("w", "c").persist()
+    context = cells.sparkSession.sparkContext
+    wide = min(n, k + k // 2 + 10)
+    # as many columns as words: every basis is exact
+    basis = np.eye(n) if wide == n else np.linalg.qr(np.random.default_rng(seed).standard_normal((n, wide)))[0]
+    values = np.zeros(k)
+    for _ in range(passes if wide < n else 0):
+        held = context.broadcast(basis)
+
+        def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, back = held.value, None
+            for w, c, x in _by_rows(batches):
+                ids, y = _sums_of(w, x[:, None] * q[c])
+                to, z = _sums_of(c, x[:, None] * y[np.searchsorted(ids, w)])
+                back = np.zeros_like(q) if back is None else back
+                back[to] += z
+            if back is not None:
+                some = np.flatnonzero(back.any(axis=1))
+                yield _packed(some, back[some])
+
+        ids, rows = _summed(cells.mapInArrow(there_and_back, PACKED))
+        held.unpersist()
+        moved = np.zeros_like(basis)
+        moved[ids] = rows
+        basis, r = np.linalg.qr(moved)
+        before, values = values, np.sqrt(np.linalg.svd(r, compute_uv=False)[:k])
+        if np.abs(values - before).max(initial=0.0) <= tolerance * values.max(initial=0.0):
+            break
+    held = context.broadcast(basis)
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, c, x in _by_rows(batches):
+            yield _packed(*_sums_of(w, x[:, None] * held.value[c]))
+
+    got = cells.mapInArrow(there, PACKED).toArrow()
+    held.unpersist()
+    cells.unpersist()
+    image = np.zeros_like(basis)
+    image[got.column(0).to_numpy()] = _unpacked(got.column(1)).reshape(got.num_rows, wide)
+    u, s, turn = np.linalg.svd(image, full_matrices=False)
+    u, s, v = u[:, :k].copy(), s[:k], (basis @ turn.T)[:, :k].copy()
+    real = s > 1e-9 * s.max(initial=0.0)
+    for side in (u, v):  # words without cells: nothing but rounding
+        side[np.abs(side).max(axis=1) < 1e-12] = 0.0
+    top = np.abs(u).argmax(axis=0)
+    sign = np.where(u[top, np.arange(len(s))] < 0, -1.0, 1.0) * real
+    return u * sign, s * real, v * sign
+
+
 def svd(sentences: DataFrame, dimension: int = 300, min_count: int = 10, max_count: int | None = None, window: int = 5, subsample: float = 1e-5, smoothing: float = 0.75, sum_context: bool = True, power: float = 0.0, key: str = "doc_id", seed: int = 1) -> DataFrame:
-    """PPMI cells and their truncated SVD: U * S^power, plus V."""
+    """PPMI cells and their truncated SVD: U * S^power, plus V. Words
+    without a positive cell have zero vectors, plus V's."""
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count, max_count, least_tokens=2), "word").cache()
     rows = cooccurrence.placed(sentences, vocab, key, subsample, seed)
     cells = cooccurrence.ppmi(cooccurrence.cooccurrence(cooccurrence.pairs(rows, window, key, dynamic=True, seed=seed)), smoothing)
     n = vocab.count()
-    if n <= DENSE_WORDS:
-        got = cells.toPandas()  # at most DENSE_WORDS squared
-        matrix = np.zeros((n, n))
-        matrix[got["w"].to_numpy(dtype=int), got["c"].to_numpy(dtype=int)] = got["x"]
-        u, s, vt = np.linalg.svd(matrix)
-        k = min(dimension, n)
-        ids, u, s, v = np.arange(n), u[:, :k], s[:k], vt[:k].T
-    else:
-        from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-        matrix = CoordinateMatrix(cells.rdd.map(lambda r: MatrixEntry(r["w"], r["c"], r["x"])), n, n).toIndexedRowMatrix()
-        out = matrix.computeSVD(min(dimension, n - 1), computeU=True)
-        s, v = out.s.toArray(), out.V.toArray()
-        power_s = s**power
-        right = sentences.sparkSession.sparkContext.broadcast(v)  # words x dimension
-        left = out.U.rows.map(lambda r: (int(r.index), (r.vector.toArray() * power_s + (right.value[r.index] if sum_context else 0)).tolist())).toDF("id bigint, vec array<double>")
-        # words without a positive cell have zero vectors, here as with few words
-        zero = F.transform(F.sequence(F.lit(1), F.lit(len(s))), lambda x: F.lit(0.0))
-        return vocab.join(left, "id", "left").select("word", F.col("id").cast("bigint").alias("idx"), V.unit(F.coalesce("vec", zero)).cast("array<float>").alias("vec"))
-    return _model(vocab, ids, u * s**power + (v if sum_context else 0))
+    u, s, v = truncated_svd(cells, n, min(dimension, n), seed)
+    return _model(vocab, np.arange(n), u * np.where(s > 0, s, 1.0) ** power + (v if sum_context else 0))
 
 
 def glove(sentences: DataFrame, dimension: int = 100, min_count: int = 10, max_count: int | None = None, window: int = 15, x_max: float = 100.0, alpha: float = 0.75, rate: float = 0.05, epochs: int = 15, key: str = "doc_id", seed: int = 1, costs: list | None = None) -> DataFrame:
@@ -88,13 +179,14 @@ def glove(sentences: DataFrame, dimension: int = 100, min_count: int = 10, max_c
     for epoch in range(epochs):
         held = spark.sparkContext.broadcast((state, grads))
 
-        def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, g = (a.copy() for a in held.value)
-            cost, touched, count = 0.0, set(), 0
-            for frame in frames:
-                order = np.random.default_rng(seed + epoch).permutation(len(frame))
+            cost, count, touched = 0.0, 0, np.zeros(2 * n, dtype=bool)
+            for batch in batches:
+                columns = [batch.column(c).to_numpy() for c in range(3)]
+                order = np.random.default_rng(seed + epoch).permutation(batch.num_rows)
                 for part in np.array_split(order, max(1, len(order) // 256)):
-                    i, j, x = (frame[c].to_numpy()[part] for c in ("w", "c", "x"))
+                    i, j, x = (c[part] for c in columns)
                     j = j + n
                     a, b = w[i], w[j]
                     diff = (a[:, :-1] * b[:, :-1]).sum(axis=1) + a[:, -1] + b[:, -1] - np.log(x)
@@ -107,22 +199,21 @@ def glove(sentences: DataFrame, dimension: int = 100, min_count: int = 10, max_c
                     np.add.at(w, j, -gb / np.sqrt(g[j]))
                     np.add.at(g, i, ga**2)
                     np.add.at(g, j, gb**2)
-                    touched.update(i.tolist())
-                    touched.update(j.tolist())
-            rows = sorted(touched)
+                    touched[i] = touched[j] = True
+            rows = np.flatnonzero(touched)
             start = held.value
-            yield pd.DataFrame({"id": [-1, *rows], "d": [[cost, float(count)], *(w[rows] - start[0][rows]).tolist()], "g": [[0.0], *(g[rows] - start[1][rows]).tolist()]})
+            own = np.zeros((1, 1 + 2 * width))
+            own[0, :2] = cost, count
+            yield _packed(np.array([-1]), own)
+            yield _packed(rows, np.hstack((np.ones((len(rows), 1)), w[rows] - start[0][rows], g[rows] - start[1][rows])))
 
-        moved = cells.mapInPandas(steps, "id int, d array<double>, g array<double>").toPandas()  # partitions x vocabulary rows
-        own = moved[moved["id"] >= 0]
+        ids, moved = _summed(cells.mapInArrow(steps, PACKED))
+        total, own = moved[ids < 0].reshape(-1, 1 + 2 * width).sum(axis=0), ids >= 0
         state, grads = state.copy(), grads.copy()
-        if len(own):
-            ids = own["id"].to_numpy()
-            times = np.bincount(ids, minlength=2 * n)[ids][:, None]
-            np.add.at(state, ids, np.array(own["d"].tolist()) / times)
-            np.add.at(grads, ids, np.array(own["g"].tolist()))
+        if own.any():
+            state[ids[own]] += moved[own, 1 : 1 + width] / moved[own, :1]
+            grads[ids[own]] += moved[own, 1 + width :]
         if costs is not None:
-            total = np.array(moved[moved["id"] < 0]["d"].tolist()).sum(axis=0)
             costs.append(total[0] / max(total[1], 1.0))  # A24
         held.unpersist()
     return _model(vocab, np.arange(1, n + 1), state[:n, :-1] + state[n:, :-1])
@@ -183,11 +274,11 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
         held = sentences.sparkSession.sparkContext.broadcast((left, right))
         step = alpha * (1 - epoch / epochs)
 
-        def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = (x.copy() for x in held.value)
             own = np.random.default_rng(seed + epoch)
-            for frame in frames:
-                for ids in frame["ids"]:
+            for batch in batches:
+                for ids in batch.column(0).to_pylist():
                     ids = np.asarray(ids)
                     for i, centre in enumerate(ids):
                         context = np.concatenate((ids[max(0, i - window) : i], ids[i + 1 : i + 1 + window]))
@@ -206,14 +297,13 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
                             np.add.at(b, targets, g[:, None] * hidden)
                             np.add.at(a, inputs, back)
             moved = np.flatnonzero((a != held.value[0]).any(axis=1) | (b != held.value[1]).any(axis=1))
-            yield pd.DataFrame({"id": moved, "a": (a[moved] - held.value[0][moved]).tolist(), "b": (b[moved] - held.value[1][moved]).tolist()})
-
-        got = rows.mapInPandas(steps, "id int, a array<double>, b array<double>").toPandas()
-        if len(got):
-            ids = got["id"].to_numpy()
-            times = np.bincount(ids, minlength=n)[ids][:, None]
-            np.add.at(left, ids, np.array(got["a"].tolist()) / times)
-            np.add.at(right, ids, np.array(got["b"].tolist()) / times)
+            yield _packed(moved, np.hstack((np.ones((len(moved), 1)), a[moved] - held.value[0][moved], b[moved] - held.value[1][moved])))
+
+        ids, got = _summed(rows.mapInArrow(steps, PACKED))
+        if len(ids):
+            left, right = left.copy(), right.copy()
+            left[ids] += got[:, 1 : 1 + dimension] / got[:, :1]
+            right[ids] += got[:, 1 + dimension :] / got[:, :1]
         held.unpersist()
     return _model(vocab, np.arange(1, n + 1), left)
 
