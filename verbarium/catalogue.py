@@ -363,29 +363,30 @@ def ppmi(t):
     return _cells(cooccurrence.ppmi(_counted(t)), 6).where("x > 0")
 
 
-@query()
+#: What vector.draw gives, over 2 ** 52 for a chance.
+_DRAWN = lambda *keys: f"('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13))::bigint"
+
+
+@query(f"with {_PLACED}, n as (select id, count(*) as n from w join v using (word) group by id having count(*) >= 5), z as (select sum(n)::double * 1e-3 as most from n) select id, count(*) as kept from w join v using (word) join n using (id), z where {_DRAWN("'1'", 'doc_id', 'sid', 'pos - 1')} / 4503599627370496.0::double >= case when n > most then 1 - sqrt(most / n) else 0.0 end group by id")
 def subsample_hash(t):
     """Frequent words thinned out by a hash."""
     rows = _sentences(t)
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows, min_count=5))
-    return cooccurrence.placed(rows, vocab, subsample=1e-3).groupBy("id").agg(F.count("*").alias("kept"))
+    return cooccurrence.placed(rows, vocab, subsample=1e-3, numbered=False).groupBy(F.col("id").cast("bigint").alias("id")).agg(F.count("*").alias("kept"))
 
 
-@query()
+@query(f"with {_PLACED}, q as (select *, 1 + {_DRAWN("'1'", 'doc_id', 'sid', 'pos')} % 5 as width from p) select a.id as w, b.id as c, count(*)::double as x from q a join p b on a.doc_id = b.doc_id and a.sid = b.sid and a.pos <> b.pos and abs(a.pos - b.pos) <= a.width group by all")
 def cooc_dynamic(t):
     """W04 with one width a centre."""
     rows = _sentences(t)
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows))
-    return cooccurrence.cooccurrence(cooccurrence.pairs(cooccurrence.placed(rows, vocab), 5, dynamic=True))
+    return _cells(cooccurrence.cooccurrence(cooccurrence.pairs(cooccurrence.placed(rows, vocab), 5, dynamic=True)))
 
 
-@query()
+@query(f"with {_PLACED} select w, c, round(sum(1.0::double / d), 4) as x from pairs group by w, c")
 def shuffle_records(t):
-    """M09, T09."""
-    rows = _sentences(t)
-    vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows))
-    cells = cooccurrence.counted(cooccurrence.placed(rows, vocab, numbered=False), 5, "inverse")
-    return _cells(cooccurrence.shuffled(cells.select("w", "c", F.round("x", 4).alias("x")), 7))
+    """The records of all documents in an order by chance."""
+    return cooccurrence.shuffled(_cells(_counted(t, "inverse")), 7)
 
 
 # ------------------------------------------------------------------ vectors
@@ -663,13 +664,38 @@ def srt_like_clean(t):
     return t("conversations").select("conv_id", "turn", T.clean_srt(F.col("text")).alias("cleaned"))
 
 
-@query()
+#: The order of numbered rows, and the places that are drawn among n of them.
+_ORDER = lambda key: f"{_DRAWN(repr('bucket'), key)} % 1024, {_DRAWN(repr('order'), key)}, {key}"
+
+
+def _PLACES(most: int, seed: str, *keys: str) -> str:  # noqa: N802
+    some = f"({_DRAWN(seed, repr('start'), *keys)} % n + k * n // {most} + {_DRAWN(seed, 'k', *keys)} % ((k + 1) * n // {most} - k * n // {most})) % n"
+    return f"unnest(case when n > {most} then list_transform(range({most}), lambda k: {some}) else range(n) end)"
+
+
+_ODD = f"""with w as (select distinct label::varchar as category, vec_id::varchar as word from embeddings where label is not null and vec_id is not null),
+c as (select category, row_number() over (order by {_ORDER('category')}) - 1 as c, count(*) over () as cats from (select distinct category from w)),
+p as (select category, word, row_number() over (partition by category order by {_ORDER('word')}) - 1 as place, count(*) over (partition by category) as n from w),
+d as (select w.*, c, {_DRAWN("'1'", 'category', 'word')} % (cats - 1) as drawn from w join c using (category) where cats > 1),
+o as (select d.category, d.word, c.category as other from d join c on c.c = d.drawn + (d.drawn >= d.c)::bigint),
+a as (select o.category, word, other, {_PLACES(3, "'2'", 'category', 'word')} as place from (select o.*, n from o join (select distinct category as other, n from p) using (other)) o)
+select a.category, a.word as odd, other, list(p.word order by p.word) as rest from a join p on p.category = a.other and p.place = a.place group by all"""
+_ANALOGIES = f"""with f as (select distinct vec_id::varchar as a, 'x' || vec_id as b from embeddings where vec_id is not null),
+g as (select a, count(*) as own from f group by a),
+h as (select *, sum(own) over (order by {_ORDER('a')} rows unbounded preceding) - own as first, sum(own) over () as every from g),
+t as (select f.*, own, first, every, row_number() over (partition by a order by {_ORDER('b')}) - 1 + first as place from f join h using (a)),
+q as (select a, b, first + own as after, every, {_PLACES(5, "'1'", 'a', 'b')} as j from (select *, (every - own)::bigint as n from t)),
+r as (select q.a, q.b, t.a as c, t.b as d from q join t on t.place = (q.after + q.j) % q.every)
+select if(turn, b, a) as w1, if(turn, a, b) as w2, if(turn, d, c) as w3, if(turn, c, d) as w4 from (select *, {_DRAWN("'1'", 'a', 'b', 'c', 'd')} % 2 = 1 as turn from r)"""
+
+
+@query(_ODD)
 def gen_odd_one_out(t):
     """G01."""
     return testgen.odd_from_categories(t("embeddings").select(F.col("label").cast("string").alias("category"), F.col("vec_id").cast("string").alias("word")))
 
 
-@query()
+@query(_ANALOGIES)
 def gen_analogies(t):
     """G02, J15."""
     return testgen.analogies(t("embeddings").select(F.col("vec_id").cast("string").alias("a"), F.concat(F.lit("x"), F.col("vec_id")).alias("b")), 5)

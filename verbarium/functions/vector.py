@@ -43,9 +43,16 @@ def drop_chance(count: Column, threshold: float, size: Column) -> Column:
     return F.when(count > limit, 1 - F.sqrt(limit / count)).otherwise(F.lit(0.0))
 
 
+def draw(seed: int | str, *keys: Column) -> Column:
+    """A number below 2 ** 52 that only the seed and the keys decide: the first 13 digits
+    of the MD5 of ``seed|key|key``, which any SQL can give, too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
+
+
 def coin(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that only the keys and the seed decide."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return draw(seed, *keys) / F.lit(float(1 << 52))
 
 
 def glove_weight(x: Column, x_max: float = 100.0, alpha: float = 0.75) -> Column:

@@ -75,14 +75,17 @@ def pairs(rows: DataFrame, window: int, key: str = "doc_id", dynamic: bool = Fal
     its sentence and gives a pair either way. ``dynamic`` (W04): each centre has its own
     width of 1 to ``window``."""
     along = Window.partitionBy(key, "sid").orderBy("pos")
-    ahead = rows.where(F.col(key).isNotNull()).select(key, "sid", "pos", "id", *[F.lead("id", d).over(along).alias(f"_{d}") for d in range(1, window + 1)])
-    own = lambda pos: 1 + F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("sid"), pos), F.lit(window))
+    rows = rows.where(F.col(key).isNotNull())
+    ahead = [F.lead("id", d).over(along).alias(f"_{d}") for d in range(1, window + 1)]
+    if dynamic:
+        rows = rows.withColumn("_w0", 1 + F.pmod(V.draw(seed, F.col(key), F.col("sid"), F.col("pos")), F.lit(window)))
+        ahead += ["_w0", *[F.lead("_w0", d).over(along).alias(f"_w{d}") for d in range(1, window + 1)]]
     both = []
     for d in range(1, window + 1):
-        for w, c, pos in (("id", f"_{d}", F.col("pos")), (f"_{d}", "id", F.col("pos") + d)):
-            near = F.col(f"_{d}").isNotNull() & (own(pos) >= d if dynamic else F.lit(True))
+        for w, c, width in (("id", f"_{d}", "_w0"), (f"_{d}", "id", f"_w{d}")):
+            near = F.col(f"_{d}").isNotNull() & (F.col(width) >= d if dynamic else F.lit(True))
             both.append(F.when(near, F.struct(F.col(w).alias("w"), F.col(c).alias("c"), F.lit(d).alias("d"))))
-    return ahead.select(F.explode(F.array_compact(F.array(*both))).alias("p")).select("p.w", "p.c", "p.d")
+    return rows.select("id", *ahead).select(F.explode(F.array_compact(F.array(*both))).alias("p")).select("p.w", "p.c", "p.d")
 
 
 def cooccurrence(pairs_: DataFrame, weighting: str = "count", window: int | None = None) -> DataFrame:

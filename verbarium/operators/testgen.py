@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbarium.functions import vector as V
+
 #: Parts of a group that is numbered.
 BUCKETS = 1024
 
 
-def _chosen(pairs: DataFrame, by: list[str], seed: int, most: int, *keys: str) -> DataFrame:
-    order = F.xxhash64(F.lit(seed), *by, *keys)
-    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order, *keys))).where(F.col("_r") <= most).drop("_r")
-
-
 def _numbered(rows: DataFrame, key: str, within: list[str], weight: str | None = None) -> DataFrame:
     """``_at``: the weight (1 by default) of the rows that come before a row in a random
     order of its group, and ``_n``: the weight of the group. Rows are ranked in buckets,
     and buckets by their sums, so no task has to hold a group."""
     own = F.lit(1) if weight is None else F.col(weight)
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(F.lit("bucket"), key), F.lit(BUCKETS)))
+    rows = rows.withColumn("_b", F.pmod(V.draw("bucket", F.col(key)), F.lit(BUCKETS)))
     sums = rows.groupBy(*within, "_b").agg(F.sum(own).alias("_own"))
     sums = sums.select(*within, "_b", (F.sum("_own").over(Window.partitionBy(*within).orderBy("_b")) - F.col("_own")).alias("_first"), F.sum("_own").over(Window.partitionBy(*within)).alias("_n"))
-    along = Window.partitionBy(*within, "_b").orderBy(F.xxhash64(F.lit("order"), key), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy(*within, "_b").orderBy(V.draw("order", F.col(key)), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("_at", F.sum(own).over(along) - own).join(sums, [*within, "_b"]).withColumn("_at", F.col("_at") + F.col("_first")).drop("_b", "_first")
 
 
@@ -31,8 +28,9 @@ def _draws(n: str, most: int, seed: int, *keys: str) -> Column:
     each of ``most`` equal stretches, from a random start."""
     size = F.col(n)
     edge = lambda k: F.floor(k * size / F.lit(most))
-    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), *keys), size)
-    some = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.pmod(start + edge(k) + F.pmod(F.xxhash64(F.lit(seed), k, *keys), edge(k + 1) - edge(k)), size))
+    by = [F.col(k) for k in keys]
+    start = F.pmod(V.draw(seed, F.lit("start"), *by), size)
+    some = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.pmod(start + edge(k) + F.pmod(V.draw(seed, k, *by), edge(k + 1) - edge(k)), size))
     return F.when(size > most, some).otherwise(F.sequence(F.lit(0).cast("bigint"), size - 1))
 
 
@@ -43,7 +41,7 @@ def odd_from_categories(words: DataFrame, seed: int = 1) -> DataFrame:
     cats = _numbered(words.select("category").distinct(), "category", []).select("category", F.col("_at").alias("_c"), F.col("_n").alias("_cats")).where("_cats > 1")
     pool = _numbered(words, "word", ["category"])
     sizes = pool.groupBy("category").agg(F.first("_n").alias("_n"))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "category", "word"), F.col("_cats") - 1)
+    drawn = F.pmod(V.draw(seed, F.col("category"), F.col("word")), F.col("_cats") - 1)
     asked = words.join(cats, "category").withColumn("_c", drawn + (drawn >= F.col("_c")).cast("bigint")).drop("_cats")
     asked = asked.join(cats.join(sizes, "category").select(F.col("category").alias("other"), "_c", "_n"), "_c")
     asked = asked.select("category", "word", "other", F.explode(_draws("_n", 3, seed + 1, "category", "word")).alias("_at"))
@@ -62,7 +60,7 @@ def analogies(forms: DataFrame, each: int = 10, seed: int = 1) -> DataFrame:
     asked = asked.withColumn("_j", F.explode(_draws("_n", each, seed, "a", "b")))
     asked = asked.select("a", "b", F.pmod(F.col("_first") + F.col("_own") + F.col("_j"), F.col("_all")).alias("_at"))
     rows = asked.join(table.select(F.col("a").alias("c"), F.col("b").alias("d"), "_at"), "_at")
-    turn = F.pmod(F.xxhash64(F.lit(seed), "a", "b", "c", "d"), F.lit(2)) == 1
+    turn = F.pmod(V.draw(seed, *[F.col(c) for c in "abcd"]), F.lit(2)) == 1
     pick = lambda x, y: F.when(turn, F.col(x)).otherwise(F.col(y))
     return rows.select(pick("b", "a").alias("w1"), pick("a", "b").alias("w2"), pick("d", "c").alias("w3"), pick("c", "d").alias("w4"))
 
