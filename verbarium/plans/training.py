@@ -144,13 +144,13 @@ def truncated_svd(cells: DataFrame, n: int, k: int, seed: int = 1, passes: int =
     image = np.zeros_like(basis)
     image[got.column(0).to_numpy()] = _unpacked(got.column(1)).reshape(got.num_rows, wide)
     u, s, turn = np.linalg.svd(image, full_matrices=False)
-    u, s, v = u[:, :k].copy(), s[:k], (basis @ turn.T)[:, :k].copy()
+    u, s, v = u[:, :k], s[:k], (basis @ turn.T)[:, :k]
     real = s > 1e-9 * s.max(initial=0.0)
+    sign = np.where(u[np.abs(u).argmax(axis=0), np.arange(len(s))] < 0, -1.0, 1.0) * real
+    u, s, v = u * sign, s * real, v * sign
     for side in (u, v):  # words without cells: nothing but rounding
         side[np.abs(side).max(axis=1) < 1e-12] = 0.0
-    top = np.abs(u).argmax(axis=0)
-    sign = np.where(u[top, np.arange(len(s))] < 0, -1.0, 1.0) * real
-    return u * sign, s * real, v * sign
+    return u, s, v
 
 
 def svd(sentences: DataFrame, dimension: int = 300, min_count: int = 10, max_count: int | None = None, window: int = 5, subsample: float = 1e-5, smoothing: float = 0.75, sum_context: bool = True, power: float = 0.0, key: str = "doc_id", seed: int = 1) -> DataFrame:
