@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from verbarium.llm import warc
 
 TRAP = "head\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n tail é" * 4
@@ -27,6 +29,23 @@ def test_round_trip(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_crowded_map_of_revisits(spark, monkeypatch):
+    """Pages that share a bit with a revisit are told from it."""
+    monkeypatch.setattr(warc, "MAP_BITS", 16)
+    monkeypatch.setattr(warc, "ROW_BITS", 8)
+    rows = [(i, f"http://a/{i}", f"<p>{i % 90}</p>" * 30) for i in range(120)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_map_has_every_revisit(spark):
+    again = spark.range(2000).selectExpr("if(id = 7, null, id * 31) as _id", "id * id * 977 as _mark")
+    bits = 1 << 20
+    place = warc._place(bits, "_id", "_mark")
+    held = again.join(warc._bits(again, bits), F.floor(place / warc.ROW_BITS) == F.col("_row")).where(warc._bit("_map", place % warc.ROW_BITS))
+    others = spark.range(5000, 9000).selectExpr("id as _id", "id as _mark")
+    assert held.count() == 2000 and others.join(warc._bits(again, bits), F.floor(place / warc.ROW_BITS) == F.col("_row")).where(warc._bit("_map", place % warc.ROW_BITS)).count() < 40
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 

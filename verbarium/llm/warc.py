@@ -34,25 +34,50 @@ from verbarium.llm.common import drop, materialize, workspace
 MAGIC = "WARC/1.1\r\n"
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
-#: Most revisits (three numbers each) that are sent to all executors.
-BROADCAST_ROWS = 1_000_000
+#: Bits a revisit in the map that is sent to all executors, most bits of the map (64 MB,
+#: however many revisits there are), and those of one of its rows.
+EACH_BITS, MAP_BITS, ROW_BITS = 64, 1 << 29, 1 << 15
 
 
 # ------------------------------------------------------------------ writing
 
 
+def _place(bits: int, *columns: str):
+    """The bit of a revisit in the map."""
+    return F.pmod(F.xxhash64(*columns), F.lit(bits))
+
+
+def _bits(again: DataFrame, bits: int) -> DataFrame:
+    """The map of revisits: (_row, _map), rows without a bit left out."""
+    place = _place(bits, "_id", "_mark")
+    return again.select(F.floor(place / ROW_BITS).alias("_row"), (place % ROW_BITS).alias("_at")).groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_map"))
+
+
+def _bit(bits: str, at):
+    """Whether the bit is set in a row of the map."""
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """One column ``value``: the record of each page, without its last line feed."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.encode("payload", "utf-8"), 256)).withColumn("size", F.octet_length("payload").cast("bigint"))
-    first = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    again = rows.where(F.col("size") >= LEAST_REVISIT).select("id", "digest").join(first, "digest").where("id is null or id > first")
     # of one id, different payloads differ in this part of the digest
-    mark = F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")
-    again, _ = materialize(again.select(F.col("id").alias("_id"), mark.alias("_mark"), "first").distinct())
-    if again.count() <= BROADCAST_ROWS:  # the payloads stay where they are read; beyond that they are dealt out by id
-        again = F.broadcast(again)
-    rows = rows.join(again, rows["id"].eqNullSafe(again["_id"]) & (mark == again["_mark"]), "left")
+    rows = rows.withColumn("mark", F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint"))
+    keys, keys_path = materialize(rows.where(F.col("size") >= LEAST_REVISIT).select("id", "digest", "mark"))
+    first = keys.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    again, _ = materialize(keys.join(first, "digest").where("id is null or id > first").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "first").distinct())
+    drop(pages.sparkSession, keys_path)
+    # payloads stay where they are read, but for those of revisits and of the few pages that share a bit with one
+    bits = min(MAP_BITS, ROW_BITS * (1 + again.count() * EACH_BITS // ROW_BITS))
+    place = _place(bits, "id", "mark")
+    maybe = rows.join(F.broadcast(_bits(again, bits)), F.floor(place / ROW_BITS) == F.col("_row"), "left")
+    maybe = maybe.withColumn("_maybe", F.coalesce((F.col("size") >= LEAST_REVISIT) & _bit("_map", place % ROW_BITS), F.lit(False))).drop("_row", "_map")
+    sure = maybe.where("not _maybe").withColumn("first", F.lit(None).cast("bigint"))
+    asked = maybe.where("_maybe")
+    asked = asked.join(again.hint("merge"), asked["id"].eqNullSafe(again["_id"]) & (asked["mark"] == again["_mark"]), "left").drop("_id", "_mark")
+    rows = sure.unionByName(asked)
     revisit = F.col("first").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     line = lambda key, c: F.concat(F.lit(f"{key}: "), c, F.lit("\r\n"))
