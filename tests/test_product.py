@@ -165,7 +165,8 @@ def test_svd_puts_words_of_one_company_together(spark):
 
 def test_vectors_are_summed_by_id(spark):
     """Also where batches part the rows of an id."""
-    rows = spark.range(5000).selectExpr("cast(id % 7 as int) as id").repartition(5).mapInArrow(lambda bs: (training._packed(b.column(0).to_numpy(), np.ones((b.num_rows, 2))) for b in bs), training.PACKED)
+    packed = training._packed
+    rows = spark.range(5000).selectExpr("cast(id % 7 as int) as id").repartition(5).mapInArrow(lambda bs: (packed(b.column(0).to_numpy(), np.ones((b.num_rows, 2))) for b in bs), training.PACKED)
     ids, sums = training._summed(rows)
     assert dict(zip(ids.tolist(), sums[:, 1].tolist(), strict=True)) == {i: float(len(range(i, 5000, 7))) for i in range(7)}
 
