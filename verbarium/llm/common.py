@@ -104,6 +104,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 with A-Z in lower case."""
+    return _LOWER[buf]
+
+
+def span_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the bytes of each span; spans ascend and don't overlap."""
+    n = len(starts)
+    out = np.empty(n, dtype=np.uint64)
+    back = inverse(_BASE)
+    at = 0
+    while at < n:
+        origin = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, origin + _SPAN, side="right")))
+        length = int(ends[to - 1] - origin)
+        if length > _SPAN:  # one word longer than the span
+            digest = hashlib.blake2b(buf[origin : ends[at]].tobytes(), digest_size=8).digest()
+            out[at] = np.frombuffer(digest, dtype=np.uint64)[0]
+        else:
+            sums = np.zeros(length + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_KEYS[buf[origin : origin + length]] * powers(_BASE, length), out=sums[1:])
+            a, b = starts[at:to] - origin, ends[at:to] - origin
+            out[at:to] = (sums[b] - sums[a]) * powers(back, length)[a]
+        at = to
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """The words of a run of rows: byte spans, 64-bit keys and, for row i, the
     words ``first[i]:first[i + 1]``."""
@@ -126,24 +153,7 @@ class Words:
         self.keys = self._hash() if keyed else None
 
     def _hash(self) -> np.ndarray:
-        starts, ends, n = self.starts, self.ends, len(self.starts)
-        out = np.empty(n, dtype=np.uint64)
-        back = inverse(_BASE)
-        at = 0
-        while at < n:
-            origin = starts[at]
-            to = max(at + 1, int(np.searchsorted(ends, origin + _SPAN, side="right")))
-            length = int(ends[to - 1] - origin)
-            if length > _SPAN:  # one word longer than the span
-                digest = hashlib.blake2b(self.buf[origin : ends[at]].tobytes(), digest_size=8).digest()
-                out[at] = np.frombuffer(digest, dtype=np.uint64)[0]
-            else:
-                sums = np.zeros(length + 1, dtype=np.uint64)
-                np.cumsum(_BYTE_KEYS[self.buf[origin : origin + length]] * powers(_BASE, length), out=sums[1:])
-                a, b = starts[at:to] - origin, ends[at:to] - origin
-                out[at:to] = (sums[b] - sums[a]) * powers(back, length)[a]
-            at = to
-        return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return span_keys(self.buf, self.starts, self.ends)
 
     def text(self, word: int) -> bytes:
         return self.buf[self.starts[word] : self.ends[word]].tobytes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm import additive_ann, decontaminate, jaccard_join, mixing, quality, recompression, token_store, toxicity, url_rules, warc
+from verbarium.llm import additive_ann, collocations, decontaminate, jaccard_join, mixing, quality, recompression, sort_means, token_store, toxicity, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +78,18 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 closest phrases of every language: collocations.py."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector: sort_means.py."""
+    return sort_means.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op4_decontaminate, op5_additive_ann, op6_warc, op7_quality, op8_mixing, op9_recompression, op10_token_store)
+    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op4_decontaminate, op5_additive_ann, op6_warc, op7_quality, op8_mixing, op9_recompression, op10_token_store, op12_collocations, op13_sort_means)
 }
 
 _HOST_CASES = {
@@ -94,7 +104,54 @@ _OWN = " or ".join(f"regexp_matches(u, '{r.pattern}')".replace(r"\Z", r"\z").rep
 _FITS = " ".join(f"when regexp_matches(u, '{_HOST_CASES[rule]}') then '{rule}'" for _, rule in _BY_LENGTH)
 _ACTION = " ".join(f"when '{rule}' then '{action}'" for action, rule in HOST_RULES)
 
+_SEEDS, _ROUNDS, _DIM = 16, 3, 64
+_NEAREST = """
+a{i} as materialized (
+  select p, vec_id, x, min_by(c, d * {seeds} + c)::int as cluster, min(d) as distance from (
+    select v.p, v.vec_id, v.x, m.c, list_sum(list_transform(list_zip(v.x, m.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from v, c{i} m)
+  group by all)"""
+_MOVED = """
+c{j} as materialized (
+  select c, coalesce(n.x, m.x) as x from c{i} m left join (
+    select cluster as c, list(q order by place) as x from (
+      select cluster, place, (sum(y)::bigint - ((sum(y)::bigint % count(*)) + count(*)) % count(*)) // count(*) as q from (select cluster, unnest(x) as y, generate_subscripts(x, 1) as place from a{i}) group by cluster, place)
+    group by cluster) n using (c))"""
+
 ORACLE: dict[str, str] = {
+    "op12_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), p as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as k from pieces
+), g as (
+  select lang, size, unnest(list_transform(range(1, len(k) - size + 2), lambda i: array_to_string(k[i:i + size - 1], ' '))) as phrase from p, range(1, 6) s(size)
+), f as materialized (
+  select lang, size, phrase, count(*)::bigint as a from g group by all
+), total as (
+  select lang, sum(a)::bigint as n from f where size = 1 group by lang
+), c as (
+  select * from f where size > 1 and a >= 100
+), kept as (
+  select * from c where not exists (select 1 from c o where o.lang = c.lang and o.size > c.size and 100 * o.a >= 100 * c.a and contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts as (
+  select lang, size, phrase, a, string_split(phrase, ' ') as k, unnest(range(1, size)) as cut from kept
+), parts as (
+  select cuts.lang, cuts.phrase, cuts.a, cut, l.a as l, r.a as r, n, ((1000::hugeint * cuts.a * n) // (l.a::hugeint * r.a))::bigint as score
+  from cuts join f l on l.lang = cuts.lang and l.phrase = array_to_string(k[1:cut], ' ') join f r on r.lang = cuts.lang and r.phrase = array_to_string(k[cut + 1:], ' ') join total on total.lang = cuts.lang
+), lowest as (
+  select * from parts qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+)
+select lang, rank, phrase, a, l, r, n, score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase)::int as rank from lowest) where rank <= 2000""",
+    "op13_sort_means": f"""
+with v as materialized (
+  select row_number() over () as p, vec_id, list_transform(embedding, lambda y: floor({_DIM} * y::double)::bigint) as x from embeddings
+  where len(embedding) = {_DIM} and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0
+), c0 as materialized (
+  select row_number() over (order by h, x) - 1 as c, x from (select *, sha256('1:' || vec_id) as h from v where vec_id is not null order by h, x limit {_SEEDS})
+), {",".join(_NEAREST.format(i=i, seeds=_SEEDS) + "," + _MOVED.format(i=i, j=i + 1) for i in range(_ROUNDS))},{_NEAREST.format(i=_ROUNDS, seeds=_SEEDS)}
+select vec_id, cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia, sha256(array_to_string(m.x, ',')) as centroid_sha256
+from a{_ROUNDS} join c{_ROUNDS} m on m.c = cluster""",
     "op2_jaccard_join": r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as k from documents
