@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm import additive_ann, collocations, decontaminate, jaccard_join, mixing, quality, recompression, sort_means, token_store, toxicity, url_rules, warc
+from verbarium.llm import additive_ann, collocations, decontaminate, jaccard_join, mixing, pii, quality, recompression, sort_means, token_store, toxicity, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document: pii.py."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 closest phrases of every language: collocations.py."""
     return collocations.collocations(_table(spark, sf_dir, "documents"))
@@ -89,7 +95,7 @@ def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op4_decontaminate, op5_additive_ann, op6_warc, op7_quality, op8_mixing, op9_recompression, op10_token_store, op12_collocations, op13_sort_means)
+    f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_url_filters, op4_decontaminate, op5_additive_ann, op6_warc, op7_quality, op8_mixing, op9_recompression, op10_token_store, op11_pii, op12_collocations, op13_sort_means)
 }
 
 _HOST_CASES = {
