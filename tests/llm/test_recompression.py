@@ -97,3 +97,13 @@ def test_kept_text_of_one_id_with_two_texts(spark):
     got = recompression.dedup(docs, kept_text=True).collect()
     assert len(got) == 4 and sum(r["n_removed"] for r in got) == 75
     assert sorted(r["kept_text"] for r in got if r["doc_id"] == 2 or r["doc_id"] is None) == ["", "head"]
+
+
+def test_the_largest_id_is_not_a_missing_one(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(2**63 - 1, f"{passage} a"), (None, f"{passage} b"), (None, f"{passage} a"), (1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, recompression.dedup(docs).select("doc_id", "n_words", "n_removed").collect()), key=repr)
+    assert got == sorted([(2**63 - 1, 26, 0), (None, 26, 25), (None, 26, 26), (1, 1, 0)], key=repr)
+    with pytest.raises(ValueError):
+        recompression.dedup(spark.createDataFrame([(2**63 - 1, "a"), (-(2**63), "b")], "doc_id bigint, text string"))

@@ -294,3 +294,61 @@ def test_decontamination_by_kind_of_id_and_punctuation(spark):
     assert got == {1: ["a"], 2: ["a"], 3: [None], 4: [], 5: []}
     assert [r["n_items"] for r in decontaminate.leaks(table, bench.limit(0)).collect()] == [0] * 5
     assert decontaminate.leaks(table.limit(0), bench).collect() == []
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("shape", ["one 1e6", "one 1e25", "mixed"])
+def test_lengths_cost_no_recall(spark, monkeypatch, metric, shape):
+    """One very long vector, and lengths over twelve powers of ten, in one cell and many."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if shape == "mixed":
+        x *= (10.0 ** rng.uniform(-6, 6, size=1500))[:, None]
+    else:
+        x[77] = 0
+        x[77, 0] = float(shape[4:])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    for cell in (4096, 100):
+        monkeypatch.setattr(additive_ann, "CELL", cell)
+        out = additive_ann.nearest(table, F.col("vec_id") % 20 == 0, 20, metric=metric, settings=additive_ann.Settings(books=8, sample=700)).toPandas()
+        hits = 0
+        for q in range(0, 1500, 20):
+            s = x @ x[q] if metric == "ip" else -((x - x[q]) ** 2).sum(axis=1)
+            s[q] = -np.inf
+            want = set(np.lexsort((np.arange(1500), -s))[:20].tolist())
+            hits += len(want & set(out[out["query_id"] == q]["vec_id"]))
+        assert hits / (75 * 20) >= 0.9, (cell, hits)
+
+
+def test_rules_of_odd_expressions(spark):
+    of = url_rules.literal_tokens
+    assert of("/a{b/x/") == ("a", "b", "x") and of("/ads{}/") == ("ads",)
+    assert of(r"/ads\.{00,1}x/") == () and of(r"/ads\.{1,}x/") == ("ads", "x") and of("/x/ads{,2}/") == ("x",)
+    pages = spark.createDataFrame([(1, "http://h.com/a{b/x/"), (2, "http://h.com/y")], "page_id bigint, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, [url_rules.pattern_rule("block", "/a{b/x/")]).collect()} == {1: "block", 2: "allow"}
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Beyond the broadcast's bound sources are joined by salts, with equal rows."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7), f"s{i % 11 if i % 3 else 0}" if i % 13 else None) for i in range(300)], "doc_id bigint, text string, source string")
+    few = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == few
+
+
+def test_ids_of_other_kinds_raise_or_work(spark):
+    from verbarium.llm import jaccard_join, pii, recompression, token_store, warc
+
+    docs = spark.createDataFrame([("a", "one two three", "http://h.org/")], "doc_id string, text string, url string")
+    for work in (
+        lambda: jaccard_join.similar(docs),
+        lambda: recompression.dedup(docs),
+        lambda: token_store.write_tokens(docs, "/tmp/unused", "unused"),
+        lambda: warc.archived(docs.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html")),
+        lambda: additive_ann.nearest(docs.withColumnRenamed("doc_id", "vec_id"), F.lit(True)),
+    ):
+        with pytest.raises(TypeError):
+            work()
+    assert mixing.mix(docs.withColumn("source", F.lit("s"))).first()["doc_id"] == "a"
+    assert pii.digest(pii.find(docs, pii.learn([]))).first()["doc_id"] == "a"

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from verbarium.llm import token_store
@@ -61,3 +62,16 @@ def test_metadata_reads_few_columns(spark, tmp_path):
     token_store.write_tokens(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), path, tokenizer_path())
     plan = token_store.read_metadata(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_rows_without_an_id_fill_several_shards(spark, tokenizer, tmp_path):
+    rows = [(None, f"text {i % 400} of none") for i in range(2000)] + [(7, f"{i} of seven") for i in range(500)] + [(8, "copy")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    path = str(tmp_path / "store")
+    token_store.write_tokens(docs, path, tokenizer_path(), shards=4)
+    sizes = [r["n"] for r in spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 1500
+    got = sorted(map(tuple, token_store.read_digests(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 2000 + [7] * 500 + [8] * 500
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+    assert sorted(r[2:] for r in got) == sorted(r[2:] for r in expected(tokenizer, [(r[0] or 0, r[1]) for r in rows]))

@@ -15,13 +15,15 @@ of at most BLOCK rows by a hash of the id, and its queries in groups, so neither
 cell nor a vector that very many rows have makes a large task. A row travels once for
 each group of queries, codes and original vector together: reranking needs no look-up.
 
-Everything is coded in single precision after division by the largest component of the
-table; the ranking uses the original vectors in double precision.
+What is coded, in single precision, is a vector's direction; its length stays beside the
+code in double precision, so one very long vector costs the others nothing. Rows longer
+than all of the sample lie in a cell of their own, which every query asks. The ranking uses
+the original vectors in double precision.
 
 Defined results: vectors that are null, of another length than the most frequent
 one, zero, or with null or non-finite components take no part, nor do null ids; equal
 rows count once; ties go to the smaller id; a query has fewer neighbours if there are
-fewer candidates; an empty table gives an empty result; other columns are ignored.
+fewer candidates; an empty table gives an empty result; other columns are ignored. Ids are whole numbers; others raise TypeError.
 ``Settings(exact=True)`` ranks every row exactly."""
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import PACKED, deal, materialize, mix, packed_batches, per_partition, undeal
+from verbarium.llm.common import PACKED, deal, materialize, mix, opened, packed_batches, per_partition, shared, undeal, whole_numbers
 
 #: Rows of a block, queries of a group, and rows that a cell should have at least.
 BLOCK, GROUP, CELL = 1 << 16, 4096, 4096
@@ -72,6 +74,15 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) ->
     return centres
 
 
+def _closeness(dots: np.ndarray, norms: np.ndarray, length: np.ndarray, size: float) -> np.ndarray:
+    """What grows as the squared distance falls: of a query of length ``size`` from rows
+    of these lengths, by the inner products of directions. Lengths are divided by the
+    longest, lest squares overflow."""
+    longest = max(length.max(), size)
+    own = length / longest
+    return 2 * own * (size / longest) * dots - own**2 * norms
+
+
 class Quantiser:
     """``books``: codebooks x words x dimension."""
 
@@ -143,55 +154,70 @@ def _best(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate((above, np.flatnonzero(scores == edge)[: n - len(above)]))
 
 
+def directions(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(directions in single precision, lengths) of nonzero vectors of any length."""
+    peak = np.abs(exact).max(axis=1, initial=0)
+    scaled = exact / peak[:, None]
+    size = np.sqrt((scaled**2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        length = np.minimum(peak * size, np.finfo(np.float64).max)
+    return (scaled / size[:, None]).astype(np.float32), length
+
+
 class Cells:
-    """Coarse cells and how many of them a query asks."""
+    """Coarse cells of directions, by number from 0, and how many of them a query asks. The
+    last number is the cell of rows longer than ``longest``, which every query asks."""
 
-    def __init__(self, centres: np.ndarray, metric: str, asked: int):
-        self.centres, self.metric, self.asked = centres, metric, asked
+    def __init__(self, centres: np.ndarray, longest: float, asked: int):
+        self.centres, self.longest, self.asked = centres, longest, asked
         self.half = 0.5 * (centres**2).sum(axis=1)
 
-    def of(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centres.T - self.half).argmax(axis=1)
+    def count(self) -> int:
+        return len(self.centres) + 1
+
+    def of(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return np.where(length > self.longest, len(self.centres), (x @ self.centres.T - self.half).argmax(axis=1))
 
     def order(self, x: np.ndarray) -> np.ndarray:
-        """Cells by promise, for each query."""
-        return np.argsort(-(x @ self.centres.T - (self.half if self.metric == "l2" else 0)), axis=1, kind="stable")
+        """Cells of directions by promise, for each query."""
+        return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")
+
+    def asks(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate((self.order(x)[:, : self.asked], np.full((len(x), 1), len(self.centres))), axis=1)
 
 
-def fit_cells(x: np.ndarray, count: int, metric: str, n: int, settings: Settings) -> Cells:
-    """Cells for ``count`` rows; ``x`` is the sample. The neighbours of a row in the
-    sample are farther than those in the table, so the measured number is on the safe
-    side."""
+def fit_cells(x: np.ndarray, length: np.ndarray, count: int, metric: str, n: int, settings: Settings) -> Cells:
+    """Cells for ``count`` rows; ``x`` and ``length`` are the sample's directions and
+    lengths. The neighbours of a row in the sample are farther than those in the table, so
+    the measured number is on the safe side."""
     cells = max(1, min(math.ceil(count / CELL), len(x) // 32))
-    out = Cells(_kmeans(x, cells, np.random.default_rng(settings.seed)), metric, cells)
+    out = Cells(_kmeans(x, cells, np.random.default_rng(settings.seed)), float(length.max()), cells)
     if cells == 1 or settings.exact:
         return out
-    asking = x[:256]
-    near = asking @ x.T
-    if metric == "l2":
-        near = near - 0.5 * (x**2).sum(axis=1)
+    asking, part = x[:256], length / length.max()
+    near = asking.astype(np.float64) @ x.T.astype(np.float64)
+    near = near * part if metric == "ip" else 2 * near * part * part[:256, None] - part**2
     near[np.arange(len(asking)), np.arange(len(asking))] = -np.inf
     best = np.argsort(-near, axis=1)[:, :n]
     place = np.argsort(out.order(asking), axis=1)
-    needed = np.sort(np.take_along_axis(place, out.of(x)[best], axis=1).ravel())
+    needed = np.sort(np.take_along_axis(place, out.of(x, length)[best], axis=1).ravel())
     out.asked = int(needed[min(len(needed) - 1, math.ceil(len(needed) * settings.recall) - 1)]) + 1
     return out
 
 
 def valid(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vector as float64 bytes, its largest absolute component) of the rows that
-    take part, each once."""
+    """(id, vector as float64 bytes) of the rows that take part, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             good = np.isfinite(flat).all(axis=1) & (flat != 0).any(axis=1)
             flat = flat[good]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in flat], pa.binary()), pa.array(np.abs(flat).max(axis=1) if len(flat) else np.empty(0))], ["id", "vec", "peak"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in flat], pa.binary())], ["id", "vec"])
 
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null)")
     sizes = rows.groupBy(F.size("v").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0)).mapInArrow(run, "id bigint, vec binary, peak double").distinct()
+    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0)).mapInArrow(run, "id bigint, vec binary").distinct()
 
 
 def _spread(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -204,30 +230,31 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
     "l2" (smallest squared distance)."""
     if metric not in ("ip", "l2"):
         raise ValueError("metric is ip or l2")
+    whole_numbers(table, id_col, "additive_ann")
     spark = table.sparkSession
     rows, _ = materialize(valid(table, id_col, vec_col))
     result = f"query_id bigint, rank int, {id_col} bigint, score double"
-    count, peak = rows.agg(F.count(F.lit(1)), F.max("peak")).first()
+    count = rows.count()
     if not count:
         return spark.createDataFrame([], result)
     sample = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(settings.sample).select("vec").toArrow()
-    known = (np.frombuffer(b"".join(sample.column("vec").to_pylist()), dtype=np.float64).reshape(sample.num_rows, -1) / peak).astype(np.float32)
+    known, length = directions(np.frombuffer(b"".join(sample.column("vec").to_pylist()), dtype=np.float64).reshape(sample.num_rows, -1))
     del sample
     dim = known.shape[1]
-    tools = spark.sparkContext.broadcast((train(known, settings).books, fit_cells(known, count, metric, n, settings)))  # bounded by the settings
+    tools = shared(spark, (train(known, settings).books, fit_cells(known, length, count, metric, n, settings)))  # bounded by the settings
     rows = rows.select("id", "vec").withColumnRenamed("id", id_col).withColumn("_asks", F.coalesce(is_query, F.lit(False))).withColumnRenamed(id_col, "id")
 
-    def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         exact = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float64).reshape(batch.num_rows, dim)
-        return batch.column(0).to_numpy(), exact, (exact / peak).astype(np.float32), batch.column(2).to_numpy(zero_copy_only=False)
+        return batch.column(0).to_numpy(), exact, *directions(exact), batch.column(2).to_numpy(zero_copy_only=False)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = tools.value[1]
-        have, asked = np.zeros(len(cells.centres), dtype=np.int64), np.zeros(len(cells.centres), dtype=np.int64)
+        cells = opened(tools)[1]
+        have, asked = np.zeros(cells.count(), dtype=np.int64), np.zeros(cells.count(), dtype=np.int64)
         for batch in batches:
-            _, _, x, asks = vectors(batch)
-            have += np.bincount(cells.of(x), minlength=len(have))
-            asked += np.bincount(cells.order(x[asks])[:, : cells.asked].ravel(), minlength=len(have))
+            _, _, x, length, asks = vectors(batch)
+            have += np.bincount(cells.of(x, length), minlength=len(have))
+            asked += np.bincount(cells.asks(x[asks]).ravel(), minlength=len(have))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(have))), pa.array(have), pa.array(asked)], ["cell", "have", "asked"])
 
     sums = rows.mapInArrow(counted, "cell bigint, have bigint, asked bigint").groupBy("cell").agg(F.sum("have"), F.sum("asked")).orderBy("cell").collect()
@@ -238,23 +265,23 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, tasks))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-        books, cells = tools.value
+        books, cells = opened(tools)
         tool = Quantiser(books, settings.beam)
         for batch in batches:
-            ids, exact, x, asks = vectors(batch)
-            codes, cell = tool.encode(x), cells.of(x)
+            ids, exact, x, length, asks = vectors(batch)
+            codes, cell = tool.encode(x), cells.of(x, length)
             norms = (tool.decode(codes) ** 2).sum(axis=1, dtype=np.float32)
             wide = np.ascontiguousarray(exact).view(f"V{8 * dim}").ravel()
             block = base[cell] + _spread(ids, 1) % blocks[cell] * groups[cell]
             most = groups[cell]
             for g in range(int(most.max(initial=0))):
                 on = most > g
-                for task, blob in deal(block[on] + g, ids[on], np.ascontiguousarray(codes[on]).view(f"V{codes.shape[1]}").ravel(), norms[on], wide[on]):
+                for task, blob in deal(block[on] + g, ids[on], np.ascontiguousarray(codes[on]).view(f"V{codes.shape[1]}").ravel(), norms[on], length[on], wide[on]):
                     yield task, b"C" + blob
             at = np.flatnonzero(asks)
             for k in range(0, len(at), 64):
                 who = at[k : k + 64]
-                asked = cells.order(x[who])[:, : cells.asked]
+                asked = cells.asks(x[who])
                 own, asked = np.repeat(who, asked.shape[1]), asked.ravel()
                 first = base[asked] + _spread(ids[own], 2) % groups[asked]
                 for b in range(int(blocks[asked].max())):
@@ -263,13 +290,13 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
                         yield task, b"Q" + blob
 
     def scan(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        books = tools.value[0]
-        ids, codes, norms, wide = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"C"], "i8", f"V{len(books)}", "f4", f"V{8 * dim}")
+        books = opened(tools)[0]
+        ids, codes, norms, length, wide = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"C"], "i8", f"V{len(books)}", "f4", "f8", f"V{8 * dim}")
         asking, asked = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"Q"], "i8", f"V{8 * dim}")
         if not len(ids) or not len(asking):
             return
         order = np.argsort(ids, kind="stable")
-        ids, norms, exact = ids[order], norms[order], wide[order].view(np.float64).reshape(len(ids), dim)
+        ids, norms, length, exact = ids[order], norms[order], length[order], wide[order].view(np.float64).reshape(len(ids), dim)
         codes = np.ascontiguousarray(codes[order].view(np.uint8).reshape(len(ids), -1).T)
         asked = asked.view(np.float64).reshape(len(asking), dim)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -277,12 +304,12 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
             if settings.exact:
                 best = np.arange(len(ids))
             else:
-                look_up = books @ (v / peak).astype(np.float32)
+                toward, size = directions(v[None])
+                look_up = books @ toward[0]
                 scores = look_up[0][codes[0]]
                 for b in range(1, len(codes)):
                     scores += look_up[b][codes[b]]
-                if metric == "l2":
-                    scores = 2 * scores - norms
+                scores = scores * (length / length.max()) if metric == "ip" else _closeness(scores, norms, length, size[0])
                 scores[np.searchsorted(ids, q) : np.searchsorted(ids, q, side="right")] = -np.inf
                 best = _best(scores, settings.rerank)
             best = best[ids[best] != q]

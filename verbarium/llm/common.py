@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import sys
 import tempfile
 import types
@@ -14,6 +15,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,37 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of any class: its classes travel by value, as functions do, so
+    executors need no copy of the package. ``opened`` reads it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(held: Broadcast) -> object:
+    """What ``shared`` has sent; each call makes a new copy."""
+    return pickle.loads(held.value)
+
+
+def whole_numbers(df: DataFrame, id_col: str, operator: str) -> None:
+    """Raise where an operator's ids must be whole numbers and aren't."""
+    kind = dict(df.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{operator}: {id_col} must hold whole numbers, not {kind}; number the rows first")
+
+
+def buffered(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def kept(key: object, make: Callable[[], object]) -> object:
     """An object that a Python worker keeps for its later tasks. Functions travel by
     value, so each task has globals of its own; a module of the worker's outlives them."""

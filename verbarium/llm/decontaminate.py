@@ -9,9 +9,9 @@ key; around each exact hit of a whole piece, Myers' bit-parallel algorithm gives
 smallest edit distance of the item to any stretch of the document.
 
 The items are the driver's side of the work: they are read in slices of about
-SLICE_WORDS words, each a broadcast of its own. One pass over the documents takes every
-batch through all slices, one after another, so each row comes out once; an executor
-holds one slice's tables a task at a time.
+SLICE_WORDS words, each a broadcast of its own. One pass over the documents takes groups
+of batches through all slices, one after another, so each row comes out once and a slice
+is opened once a group; a task holds one slice's tables at a time.
 
 Defined results: null and empty texts, and items without words, match nothing;
 repeated items match alike; an item with a null id is reported as null id, first;
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import rolling, words_of
+from verbarium.llm.common import buffered, opened, rolling, shared, words_of
 from verbarium.llm.toxicity import _TABLE
 
 SLICE_WORDS = 4_000_000
@@ -138,26 +138,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 15, id_col: str
     kind = {"int": "int", "bigint": "bigint"}.get(dict(benchmark.dtypes)[item_col], "string")
     benchmark = benchmark.withColumn(item_col, F.col(item_col).cast(kind))
     id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    held = [docs.sparkSession.sparkContext.broadcast(Items(*part, percent)) for part in slices(benchmark, item_col, "text")]
+    held = [shared(docs.sparkSession, Items(*part, percent)) for part in slices(benchmark, item_col, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids: list[list] = [[]] * batch.num_rows
-            least: list[int | None] = [None] * batch.num_rows
-            for value in held:
-                items = value.value
-                for words in words_of(batch.column(batch.num_columns - 1), table=_TABLE):
-                    for row, found in items.search(words.keys, words.first).items():
-                        at = words.rows[row]
-                        ids[at] = sorted([*ids[at], *(items.ids[i] for i in found)], key=lambda x: (x is not None, x))
-                        least[at] = min([*found.values(), *([] if least[at] is None else [least[at]])])
-                if len(held) > 1:  # one slice at a time; it is read again from the executor's file
-                    del items
-                    value.__dict__.pop("_value", None)
-            sizes = [len(x) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(id_type)), pa.array(least, pa.int32()), pa.array([int(n > 0) for n in sizes], pa.int32())],
-                [*batch.schema.names[:-1], "n_items", "item_ids", "min_distance", "contaminated"],
-            )
+        one = opened(held[0]) if len(held) == 1 else None
+        for group in buffered(batches):
+            found_ids: list[list[list]] = [[[]] * batch.num_rows for batch in group]
+            fewest: list[list[int | None]] = [[None] * batch.num_rows for batch in group]
+            for value in held:  # each slice is opened once for a group of batches
+                items = one or opened(value)
+                for batch, ids, least in zip(group, found_ids, fewest, strict=True):
+                    for words in words_of(batch.column(batch.num_columns - 1), table=_TABLE):
+                        for row, found in items.search(words.keys, words.first).items():
+                            at = words.rows[row]
+                            ids[at] = sorted([*ids[at], *(items.ids[i] for i in found)], key=lambda x: (x is not None, x))
+                            least[at] = min([*found.values(), *([] if least[at] is None else [least[at]])])
+                del items
+            for batch, ids, least in zip(group, found_ids, fewest, strict=True):
+                sizes = [len(x) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(id_type)), pa.array(least, pa.int32()), pa.array([int(n > 0) for n in sizes], pa.int32())],
+                    [*batch.schema.names[:-1], "n_items", "item_ids", "min_distance", "contaminated"],
+                )
 
     return rows.mapInArrow(run, f"{schema}, n_items bigint, item_ids array<{kind}>, min_distance int, contaminated int")

@@ -25,7 +25,7 @@ Defined results: null and empty texts (and texts without words) have no n-grams
 link with nothing; a text with fewer than n words is one n-gram; a row with a null id
 gets its size and a null component; repeated rows are rows of one class; rows of one
 id with different texts are judged each by its own text; an empty table gives an
-empty result; other columns are ignored."""
+empty result; other columns are ignored. Ids are whole numbers; others raise TypeError."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import PACKED, components, deal, drop, materialize, mix, packed_batches, per_partition, rolling, undeal, width, words_of
+from verbarium.llm.common import PACKED, components, deal, drop, materialize, mix, packed_batches, per_partition, rolling, undeal, whole_numbers, width, words_of
 
 _GRAM_BASE = 0xC2B2AE3D27D4EB4F
 #: Texts of a segment that isn't frequent.
@@ -424,6 +424,7 @@ def searched(docs: DataFrame, work: DataFrame, n: int, percent: int, lower: bool
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles (size of its set) and component_id (smallest id that links reach,
     itself included) of every row."""
+    whole_numbers(docs, id_col, "jaccard_join")
     spark = docs.sparkSession
     parts = width(docs.select(id_col, text_col), 8)
     found, _ = materialize(routed(docs, n, percent, lower, id_col, text_col, parts))

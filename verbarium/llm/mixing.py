@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from verbarium.llm.common import WORD_PATTERN, materialize
 
 BUCKET_ROWS = 2000
+#: Beyond so many sources their table isn't broadcast.
+FEW_SOURCES = 200_000
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -66,10 +68,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes, _ = materialize(sized(docs, id_col, text_col, source_col))
     goal, _ = materialize(targets(sizes, weights, share, limit))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("bigint")
-    # the sources' table is as small as their number; a join by hash would send a hot source to one task
-    rows = sizes.join(_small(goal), sizes["_source"].eqNullSafe(goal["_source"])).drop(goal["_source"])
+    rows = _with_goal(sizes, goal).withColumn("_key", key)
     buckets = F.ceil(F.col("_rows") / BUCKET_ROWS)
-    rows = rows.withColumn("_key", key).withColumn("_bucket", F.floor(F.col("_key").cast("double") / F.lit(float(1 << 52)) * buckets).cast("bigint"))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_key").cast("double") / F.lit(float(1 << 52)) * buckets).cast("bigint"))
     sums = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
     along = Window.partitionBy("_source").orderBy("_bucket")
     sums = sums.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_sum").over(along) - F.col("_sum")).alias("_before"))
@@ -83,6 +84,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), taken.cast("bigint").alias("taken"))
 
 
-def _small(goal: DataFrame, most: int = 200_000) -> DataFrame:
-    """Broadcast the sources' table where its counted rows are few."""
-    return F.broadcast(goal) if goal.count() <= most else goal
+def _with_goal(sizes: DataFrame, goal: DataFrame, salts: int = 64) -> DataFrame:
+    """``sizes`` with its source's row of ``goal``. Few sources are broadcast, by their
+    count; for more, a source's row is there once a salt, so that a hot source's rows are
+    dealt to as many tasks."""
+    if goal.count() <= FEW_SOURCES:
+        return sizes.join(F.broadcast(goal), sizes["_source"].eqNullSafe(goal["_source"])).drop(goal["_source"])
+    salted = goal.withColumn("_with", F.explode(F.array(*map(F.lit, range(salts)))))
+    rows = sizes.withColumn("_salt", F.pmod(F.xxhash64("_id", "_size"), F.lit(salts)).cast("int"))
+    return rows.join(salted, rows["_source"].eqNullSafe(salted["_source"]) & (rows["_salt"] == salted["_with"])).drop(salted["_source"]).drop("_salt", "_with")

@@ -26,7 +26,7 @@ their word sequence; every row takes part.
 Defined results: null and empty texts have no words; rows of one id with different texts
 are documents of their own, in the order above, and so are rows without an id; equal rows
 are one document and get equal results; texts of any length are parsed whole; an empty
-table gives an empty result; other columns are ignored."""
+table gives an empty result; other columns are ignored. Ids are whole numbers; others raise TypeError."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import PACKED, Words, deal, materialize, mix, packed_batches, per_partition, rolling, undeal, width, words_of
+from verbarium.llm.common import PACKED, Words, deal, materialize, mix, packed_batches, per_partition, rolling, undeal, whole_numbers, width, words_of
 
 ROUNDS = 7
 #: Words of the shortest symbol that may represent a window.
@@ -207,18 +207,27 @@ FOUND = "id bigint, n_words bigint, sig binary, sha binary, sig64 bigint, text_k
 LAST = (1 << 63) - 1
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _shift(docs: DataFrame, id_col: str) -> int:
+    """What is taken off ids so that none of them is LAST."""
+    least, most = docs.select(F.col(id_col).cast("bigint").alias("id")).agg(F.min("id"), F.max("id")).first()
+    if most != LAST:
+        return 0
+    if least == -LAST - 1:
+        raise ValueError("ids take up the whole range of longs")
+    return 1
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, shift: int) -> DataFrame:
     """_id (LAST for null), _text and a key of the text."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_key"))
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint") - F.lit(shift), F.lit(LAST)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_key"))
 
 
-def parsed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def parsed(rows: DataFrame, size: int) -> DataFrame:
     """Rows without keys: a document, its number of words, the key of its word sequence,
     the SHA-256 of its words joined and the key of its text. Rows with: shared symbols
     (``keys``: the sequences' keys, then the symbols'), for a partition of the sequences
     (``n_words``)."""
-    rows = _rows(docs, id_col, text_col)
     parts = width(rows, 8)
 
     def out(kind: bytes, owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -349,13 +358,15 @@ def repeats(shared: DataFrame, size: int) -> DataFrame:
 def dedup(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
     """id, n_words, n_removed and kept_sha256 of every row; with ``kept_text`` also the
     words kept, joined by one space."""
-    found, _ = materialize(parsed(docs, size, id_col, text_col))
+    whole_numbers(docs, id_col, "recompression")
+    shift = _shift(docs, id_col)
+    found, _ = materialize(parsed(_rows(docs, id_col, text_col, shift), size))
     whole = found.where("keys is null").drop("keys")
     classes, _ = materialize(whole.groupBy("sig", "sig64").agg(F.min(F.struct("id", "text_key")).alias("rep"), F.count("*").alias("copies")).select("sig", "sig64", F.col("rep.id").alias("rep"), F.col("rep.text_key").alias("rep_key"), "copies"))
     parts = width(docs.select(id_col, text_col), 8)
     lists = gathered(found.where("keys is not null").select(F.col("n_words").cast("int").alias("pid"), F.col("keys").alias("blob")), parts, "u8", "u8", ("sig64", "keys"))
     shared = classes.join(lists, "sig64").select(F.col("rep").alias("_id"), F.col("rep_key").alias("_key"), "sig", "sig64", "keys")
-    texts, _ = materialize(_rows(docs, id_col, text_col).hint("merge").join(shared, ["_id", "_key"]).drop("_key"))
+    texts, _ = materialize(_rows(docs, id_col, text_col, shift).hint("merge").join(shared, ["_id", "_key"]).drop("_key"))
     again = repeats(texts, size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,9 +395,9 @@ def dedup(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str
     own = F.coalesce(copy, F.lit(False))
     removed = F.when(own, F.col("n_words")).otherwise(F.coalesce("cut_n", F.lit(0)))
     sha = F.when(own, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("cut_sha", "sha"))))
-    name = F.nullif(F.col("id"), F.lit(LAST)).alias(id_col)
+    name = (F.nullif(F.col("id"), F.lit(LAST)) + F.lit(shift)).alias(id_col)
     out = rows.select(name, "n_words", removed.cast("bigint").alias("n_removed"), sha.alias("kept_sha256"), *([F.when(own, F.lit("")).otherwise(F.col("cut_text")).alias("kept_text"), F.col("id").alias("_id"), F.col("text_key").alias("_key")] if kept_text else []))
     if kept_text:  # rows that lose nothing keep their own text
         words = F.array_join(F.regexp_extract_all("_text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), " ")
-        out = out.join(_rows(docs, id_col, text_col).distinct(), ["_id", "_key"]).withColumn("kept_text", F.coalesce("kept_text", words, F.lit(""))).drop("_id", "_key", "_text")
+        out = out.join(_rows(docs, id_col, text_col, shift).distinct(), ["_id", "_key"]).withColumn("kept_text", F.coalesce("kept_text", words, F.lit(""))).drop("_id", "_key", "_text")
     return out

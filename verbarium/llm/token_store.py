@@ -8,8 +8,10 @@ page indexes (which the writer adds) and small row groups let a reader fetch the
 tokens of a few documents, or the metadata alone, without the rest.
 
 Defined results: a null text is encoded as an empty one (the end id alone); null
-ids come first; rows with the same id stand together, ordered by text; an empty
-table makes an empty store; columns besides the id and the text are ignored."""
+ids come first; rows with the same id stand together, ordered by the text's
+first 64 characters and a hash, over as many shards as they need; an empty table makes an empty store;
+columns besides the id and the text are ignored. Ids are whole numbers; others raise
+TypeError."""
 
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import Words, kept, runs_of, width, workspace
+from verbarium.llm.common import Words, kept, runs_of, whole_numbers, width, workspace
 
 STORE = "shard int, {id} bigint, start_in_shard bigint, n_tokens bigint, ids array<int>"
 #: What a byte may be at a cut: an ASCII letter or digit, one of the stops, visible
@@ -187,6 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     columns are always delta encoded."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is dictionary or delta")
+    whole_numbers(docs, id_col, "token_store")
     shards = shards or width(docs.select(id_col, text_col), 32)
     job = uuid.uuid4().hex
 
@@ -206,7 +209,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 row, at = row + n, at + int(offsets[-1])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.repartitionByRange(shards, id_col).sortWithinPartitions(id_col, "_text")
+    # the rows of one id, or of none, go to as many shards as they need
+    keys = {"_head": F.substring("_text", 1, 64), "_hash": F.xxhash64("_text"), "_from": F.spark_partition_id()}
+    rows = rows.withColumns(keys).repartitionByRange(shards, id_col, *keys).sortWithinPartitions(id_col, "_head", "_hash", "_text").select(id_col, "_text")
     writer = rows.mapInArrow(run, STORE.format(id=id_col)).write.mode("overwrite")
     options = {
         "compression": "zstd",

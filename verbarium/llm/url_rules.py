@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbarium.llm.common import buffered, opened, shared
+
 #: Literal tokens are runs of these characters, in urls whose A-Z are lower-cased.
 TOKEN = "[0-9a-z]+"
 SLICE_RULES = 200_000
@@ -48,7 +50,8 @@ class Rule:
 #: no token goes over, or anything.
 _EDGE, _ANY = "edge", "any"
 _PARTS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?:|\(\?|.", re.S)
-_REPEAT = re.compile(r"[*?]|\{0?,|\{0\}|\+|\{")
+#: What may come after a part, and whether the part may then be missing.
+_REPEAT = re.compile(r"[*?]|\+|\{(\d*)(?:,\d*)?\}")
 
 
 def _parts(pattern: str, at: int = 0) -> tuple[list[list], int]:
@@ -79,13 +82,14 @@ def _parts(pattern: str, at: int = 0) -> tuple[list[list], int]:
         else:
             own = [got]
         again = _REPEAT.match(pattern, at)
-        if again:
-            at = pattern.index("}", at) + 1 if again[0].startswith("{") else at + 1
+        if again and again[0] != "{}":  # that one, like other braces, is plain text
+            at = again.end()
             if at < len(pattern) and pattern[at] in "?+":
                 at += 1
             # what is there at least once still parts tokens; what a token is made of may go on
             parts = len(own) == 1 and own != [_ANY] and (own == [_EDGE] or own[0] not in _ALNUM)
-            own = [_EDGE] if again[0] in ("+", "{") and parts else [_ANY]
+            sure = again[0] == "+" or int(again[1] or 0) > 0
+            own = [_EDGE] if sure and parts else [_ANY]
         out[-1] += own
     return out, at
 
@@ -196,32 +200,36 @@ def judge(pages: DataFrame, rules: Iterable[Rule], default: str = "allow", id_co
     id_type, rules, held = dict(pages.dtypes)[id_col], iter(rules), []
     while part := tuple(islice(rules, SLICE_RULES)):
         wanted = sorted({t for r in part for t in r.tokens})
-        held.append(pages.sparkSession.sparkContext.broadcast(index_rules(part, token_counts(urls, wanted))))
+        held.append(shared(pages.sparkSession, index_rules(part, token_counts(urls, wanted))))
+
+    def decide(texts: list[str], decided: list[Rule | None], index: tuple, compiled: dict[str, re.Pattern]) -> None:
+        by_token, rest = index
+        for i, text in enumerate(texts):
+            best = decided[i]
+            candidates = [r for t in tokens_of(text.translate(_FOLD)) for r in by_token.get(t, ())]
+            for rule in (*candidates, *rest):
+                if best is not None and (rule.rank, rule.name or "") <= (best.rank, best.name or ""):
+                    continue
+                if rule.pattern not in compiled:
+                    compiled[rule.pattern] = re.compile(rule.pattern)
+                if compiled[rule.pattern].search(text):
+                    best = rule
+            decided[i] = best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled: dict[str, re.Pattern] = {}
-        for batch in batches:
-            texts = [f"{h}\n{p}" for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            decided: list[Rule | None] = [None] * len(texts)
-            for value in held:
-                by_token, rest = value.value
-                for i, text in enumerate(texts):
-                    best = decided[i]
-                    candidates = [r for t in tokens_of(text.translate(_FOLD)) for r in by_token.get(t, ())]
-                    for rule in (*candidates, *rest):
-                        if best is not None and (rule.rank, rule.name or "") <= (best.rank, best.name or ""):
-                            continue
-                        if rule.pattern not in compiled:
-                            if len(compiled) >= SLICE_RULES:
-                                compiled.clear()
-                            compiled[rule.pattern] = re.compile(rule.pattern)
-                        if compiled[rule.pattern].search(text):
-                            best = rule
-                    decided[i] = best
-                if len(held) > 1:  # one slice at a time; it is read again from the executor's file
-                    del by_token, rest
-                    value.__dict__.pop("_value", None)
-            names, verdicts = [r.name if r else None for r in decided], [r.action if r else default for r in decided]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["_id", "host", "path", "rule", "verdict"])
+        one, compiled = opened(held[0]) if len(held) == 1 else None, {}
+        for group in buffered(batches):
+            texts = [[f"{h}\n{p}" for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)] for batch in group]
+            decided: list[list[Rule | None]] = [[None] * len(x) for x in texts]
+            for value in held:  # each slice is opened once for a group of batches
+                index = one or opened(value)
+                if not one:
+                    compiled.clear()
+                for own, best in zip(texts, decided, strict=True):
+                    decide(own, best, index, compiled)
+                del index
+            for batch, best in zip(group, decided, strict=True):
+                names, verdicts = [r.name if r else None for r in best], [r.action if r else default for r in best]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["_id", "host", "path", "rule", "verdict"])
 
     return urls.mapInArrow(run, f"_id {id_type}, {PARTS}").withColumnRenamed("_id", id_col)

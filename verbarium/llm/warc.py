@@ -16,7 +16,8 @@ the hops until every split knows where the chain enters it.
 
 Defined results: a null payload is an empty one; a null url has no target header; of
 rows with one id and equal payloads each with the smallest id is a response; a null
-id is never the smallest unless all are null; an empty table gives no records. A file
+id is never the smallest unless all are null; an empty table gives no records.
+Ids are whole numbers; others raise TypeError. A file
 that doesn't begin with a record, or ends within one, gives the records before the
 break."""
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import drop, materialize, workspace
+from verbarium.llm.common import drop, materialize, whole_numbers, workspace
 
 MAGIC = "WARC/1.1\r\n"
 #: Payloads of fewer bytes are never revisits.
@@ -313,6 +314,7 @@ def archived(pages: DataFrame, **columns: str) -> DataFrame:
     """Write ``pages`` as archives into the shared folder, read them back and return
     page_id, payload_bytes, payload_digest (of the full payload; a revisit's are its
     response's), record_type and refers_to of every record."""
+    whole_numbers(pages, columns.get("id_col", "page_id"), "warc")
     spark = pages.sparkSession
     path = workspace(spark)
     write_warc(pages, path, **columns)
