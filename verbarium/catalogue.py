@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verbarium.functions import dates as D
 from verbarium.functions import text as T
 from verbarium.functions import vector as V
-from verbarium.operators import catalog, cooccurrence, corpus, embeddings, evaluate, ingest, querydsl, testgen
+from verbarium.operators import catalog, cooccurrence, corpus, embeddings, evaluate, ingest, querydsl, searchindex, testgen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,10 @@ def _docs(t) -> DataFrame:
     return corpus.documents(t("documents"))
 
 
+def _index(t) -> searchindex.SearchIndex:
+    return searchindex.stored(t("documents"), _docs(t), "doc_id")
+
+
 def _log(t) -> DataFrame:
     return t("events").select(F.col("event_type").alias("data_source"), F.col("ts").alias("date_scraped"), F.col("value").alias("word_count"))
 
@@ -184,17 +188,56 @@ r as (select doc_id, data_source, word_count, (sqrt(tf[1]) * (1 + ln(n.n / (df[1
 
 @query(_SCORED + "select doc_id, round(score, 6) as score from r")
 def search_relevance(t):
-    """F03 with scores: our own TF-IDF, of every document with a word of the query."""
-    return querydsl.relevance(_docs(t), "thing and ereau", key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    """F03 with scores: our own TF-IDF, of every document with a word of the query, from
+    the stored index."""
+    return _index(t).scores({"match": {"content": "thing and ereau"}}).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_SCORED + "select row_number() over (order by score desc, doc_id) as rank, doc_id, data_source as source, round(score, 6) as score, (select count(*) from r) as count, (select sum(word_count) from r)::bigint as words from r order by score desc, doc_id limit 25 offset 25")
 def search_page(t):
-    """The second page of a search, best first, with totals."""
-    page = corpus.search(_docs(t), {"match": {"content": "thing and ereau"}}, offset=25, key="doc_id")
+    """The second page of a search, best first, with totals, from the
+    stored index."""
+    page = searchindex.search(_index(t), _docs(t), {"match": {"content": "thing and ereau"}}, offset=25, key="doc_id")
     return page.select(F.col("rank").cast("bigint").alias("rank"), "doc_id", "source", F.round("score", 6).alias("score"), "count", "words")
 
 
+_BY_WORD = f"""with a as (select doc_id, data_source, word_count, {ANALYZED} as t from {DOCS}),
+u as (select doc_id, data_source, len(t) as size, unnest(t) as term from a),
+p as (select doc_id, data_source, size, term, count(*) as tf from u group by all),
+w as (select term, (1 + ln((select count(*) from documents)::double / (count(*) + 1.0))) ** 2 as weight from p group by term)
+"""
+
+
+@query(_BY_WORD + "select row_number() over (order by score desc, doc_id)::int as rank, doc_id, round(score, 6) as score from (select doc_id, (max(case term when 'the' then sqrt(tf) * weight end) + max(case term when 'of' then sqrt(tf) * weight end) + max(case term when 'and' then sqrt(tf) * weight end)) / sqrt(any_value(size)) as score from p join w using (term) where term in ('the', 'of', 'and') group by doc_id having count(*) = 3) order by rank limit 40")
+def search_scan_all_words(t):
+    """The best documents that have all words, by a scan of the texts."""
+    page = corpus.search(_docs(t), {"match": {"content": {"query": "the of and", "operator": "and"}}}, page=40, key="doc_id")
+    return page.select("rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_BY_WORD + "select row_number() over (order by score desc, doc_id)::int as rank, doc_id, round(score, 6) as score from (select doc_id, (max(case term when 'the' then sqrt(tf) * weight end) + max(case term when 'of' then sqrt(tf) * weight end) + max(case term when 'and' then sqrt(tf) * weight end)) / sqrt(any_value(size)) as score from p join w using (term) where term in ('the', 'of', 'and') group by doc_id having count(*) = 3) order by rank limit 40")
+def index_page_all_words(t):
+    """The same documents from the stored index."""
+    page = _index(t).page({"match": {"content": {"query": "the of and", "operator": "and"}}}, page=40)
+    return page.select("rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_BY_WORD + "select row_number() over (order by score desc, doc_id)::int as rank, doc_id, data_source as source, round(score, 6) as score from (select doc_id, data_source, (coalesce(max(case term when 'and' then sqrt(tf) * weight end), 0) + coalesce(max(case term when 'heit' then sqrt(tf) * weight end), 0)) / sqrt(any_value(size)) as score from p join w using (term) where term in ('and', 'heit') and data_source in ('src1', 'src2', 'src3') group by doc_id, data_source) order by score desc, doc_id limit 30 offset 5")
+def index_page_of_sources(t):
+    """A page of some sources' documents from the stored index."""
+    wanted = {"filtered": {"filter": {"terms": {"data_source": ["src1", "src2", "src3"]}}, "query": {"match": {"content": "AND heit"}}}}
+    page = _index(t).page(wanted, offset=5, page=30)
+    return page.select("rank", F.col("key").alias("doc_id"), F.col("data_source").alias("source"), F.round("score", 6).alias("score"))
+
+
+@query(_BY_WORD + "select term, count(*)::bigint as docs, sum(tf)::bigint as uses, round(max(sqrt(tf) / sqrt(size)), 9) as peak from p group by term")
+def index_terms(t):
+    """The terms of the stored index: documents, uses and the highest share of a
+    score that a term has anywhere."""
+    uses = F.aggregate("tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return _index(t).postings.groupBy("term").agg(F.sum("n").alias("docs"), F.sum(uses).alias("uses"), F.round(F.max("peak"), 9).alias("peak"))
+
+
 @query(f"select row_number() over (order by doc_id) as rank, doc_id, 1.0::double as score, case when length(substr(content, 1, 100)) = 100 then substr(content, 1, 100) || '...' else content end as snippet from {DOCS} where data_source = 'src1' order by doc_id limit 25")
 def search_page_unscored(t):
     """A page of a query without words to score by."""
@@ -292,7 +335,7 @@ def _sentences(t, where: str = "true") -> DataFrame:
 @query("select * from (" + _VOCAB.format(words=WORDS("sentence"), least=2) + ") where count >= 5")
 def vocab_svd(t):
     """M02, A10, F14, F15."""
-    return cooccurrence.vocabulary(_sentences(t), min_count=5, least_tokens=2)
+    return cooccurrence.vocabulary_of(t("documents"), "text", min_count=5, least_tokens=2)
 
 
 @query("select * from (" + _VOCAB.format(words=WORDS("sentence"), least=1) + ") where count >= 10")
@@ -324,9 +367,8 @@ pairs as (select a.id as w, b.id as c, abs(a.pos - b.pos) as d from p a join p b
 
 
 def _counted(t, weighting: str = "count"):
-    rows = _sentences(t)
-    vocab = cooccurrence.with_ids(cooccurrence.vocabulary_of(t("documents"), "text"))
-    return cooccurrence.counted(cooccurrence.placed(rows, vocab, numbered=False), 5, weighting)
+    docs = t("documents")
+    return cooccurrence.cells_of(docs, cooccurrence.with_ids(cooccurrence.vocabulary_of(docs, "text")), 5, weighting)
 
 
 def _cells(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -357,7 +399,12 @@ def cooc_marginals(t):
     return cooccurrence.marginals(_counted(t)).withColumn("id", F.col("id").cast("bigint"))
 
 
-@query(f"with {_PLACED}, x as (select w, c, count(*)::double as x from pairs group by w, c), r as (select w, sum(x) as rw from x group by w), k as (select c, sum(x) as cc from x group by c), z as (select sum(cc ** 0.75) as total from k) select w, c, round(ln(x * total / (rw * cc ** 0.75)), 6) as x from x join r using (w) join k using (c), z where x * total / (rw * cc ** 0.75) > 1 and round(ln(x * total / (rw * cc ** 0.75)), 6) > 0")
+_HALVES = f"""{_PLACED.split("pairs as")[0]}ahead as (select id, {", ".join(f"lead(id, {d}) over s as n{d}" for d in range(1, 6))} from p window s as (partition by doc_id, sid order by pos)),
+one_way as (select least(id, c) as w, greatest(id, c) as c, count(*) as n from (select id, unnest([n1, n2, n3, n4, n5]) as c from ahead) where c is not null group by all),
+x as materialized (select w, c, (case when w = c then 2 * n else n end)::double as x from one_way union all select c, w, n::double from one_way where w <> c)"""
+
+
+@query(f"with {_HALVES}, r as (select w, sum(x) as rw from x group by w), k as (select c, sum(x) as cc from x group by c), z as (select sum(cc ** 0.75) as total from k) select w, c, round(ln(x * total / (rw * cc ** 0.75)), 6) as x from x join r using (w) join k using (c), z where x * total / (rw * cc ** 0.75) > 1 and round(ln(x * total / (rw * cc ** 0.75)), 6) > 0")
 def ppmi(t):
     """M05, M18, C44."""
     return _cells(cooccurrence.ppmi(_counted(t)), 6).where("x > 0")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from verbarium.functions import text as T
 from verbarium.functions import vector as V
+from verbarium.operators import accumulate
+from verbarium.session import shared_folder
 
 
 def sentence_table(docs: DataFrame, text: str = "content", key: str = "doc_id", lowercase: bool = True, remove_accents: bool = True) -> DataFrame:
@@ -15,11 +17,11 @@ def sentence_table(docs: DataFrame, text: str = "content", key: str = "doc_id",
     return docs.select(key, F.posexplode(T.sentences(whole)).alias("sid", "sentence")).select(key, "sid", tokens(F.col("sentence")).alias("tokens"))
 
 
-def vocabulary_of(docs: DataFrame, text: str = "content", min_count: int = 1, max_count: int | None = None, lowercase: bool = True, remove_accents: bool = True) -> DataFrame:
-    """M07 without sentences: no token goes over a sentence's end, so whole texts give the
-    same words."""
-    tokens = T.folded_tokens if remove_accents else T.tokens
-    return vocabulary(docs.select(tokens(T.preprocess(F.col(text), lowercase, remove_accents)).alias("tokens")), min_count, max_count)
+def vocabulary_of(docs: DataFrame, text: str = "content", min_count: int = 1, max_count: int | None = None, lowercase: bool = True, remove_accents: bool = True, least_tokens: int = 1) -> DataFrame:
+    """M07, M02 of whole texts; folded words are counted inside tasks first."""
+    if remove_accents:
+        return _most_frequent(accumulate.word_counts(docs, text, lowercase, least_tokens), min_count, max_count)
+    return vocabulary(sentence_table(docs.withColumn("_row", F.monotonically_increasing_id()), text, "_row", lowercase, remove_accents), min_count, max_count, least_tokens)
 
 
 def words(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -31,7 +33,10 @@ def vocabulary(sentences: DataFrame, min_count: int = 1, max_count: int | None =
     """Words and counts, most frequent first, ties in alphabetical order. The
     cap on the number of words comes before the least count. ``least_tokens``: 2 leaves
     out sentences of one word, as the SVD model does."""
-    counts = sentences.where(F.size("tokens") >= least_tokens).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    return _most_frequent(accumulate.word_counts(sentences.where(F.size("tokens") >= least_tokens), "tokens"), min_count, max_count)
+
+
+def _most_frequent(counts: DataFrame, min_count: int, max_count: int | None) -> DataFrame:
     if max_count is not None:
         counts = counts.orderBy(F.desc("count"), "word").limit(max_count)
     return counts.where(F.col("count") >= min_count)
@@ -107,6 +112,16 @@ def counted(rows: DataFrame, window: int, weighting: str = "count", key: str = "
     return half.select(F.explode(both).alias("p")).select("p.*")
 
 
+def cells_of(docs: DataFrame, vocab: DataFrame, window: int, weighting: str = "count", text: str = "text") -> DataFrame:
+    """M03, M04, M08 of whole texts: pairs are summed inside tasks; a vocabulary too large
+    to be broadcast is joined, word by word."""
+    summed = accumulate.cells(docs, vocab, window, weighting, text)
+    if summed is not None:
+        return summed
+    rows = sentence_table(docs.withColumn("_row", F.monotonically_increasing_id()), text, "_row")
+    return counted(placed(rows, vocab, "_row", numbered=False), window, weighting, "_row")
+
+
 def marginals(cells: DataFrame) -> DataFrame:
     """Row and column sums by word; every word of either side."""
     rows = cells.groupBy(F.col("w").alias("id")).agg(F.sum("x").alias("row_sum"))
@@ -116,6 +131,9 @@ def marginals(cells: DataFrame) -> DataFrame:
 
 def ppmi(cells: DataFrame, smoothing: float = 0.75) -> DataFrame:
     """The positive cells of the smoothed PPMI matrix."""
+    path = shared_folder(cells.sparkSession)
+    cells.write.option("compression", "zstd").parquet(path)  # read three times
+    cells = cells.sparkSession.read.schema(cells.schema).parquet(path)
     rows = cells.groupBy("w").agg(F.sum("x").alias("rw"))
     cols = cells.groupBy("c").agg(F.sum("x").alias("cc"))
     total = cols.agg(F.sum(F.pow("cc", F.lit(smoothing))).alias("total"))

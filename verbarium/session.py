@@ -24,13 +24,18 @@ def session(name: str = "verbarium", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder path that driver and executors share, under ``spark.checkpoint.dir``;
-    a local one where all runs in one process."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a local
+    one where all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="verbarium-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/files/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder path under ``shared_base``."""
+    return f"{shared_base(spark)}/files/{uuid.uuid4().hex}"
