@@ -800,6 +800,22 @@ def word2vec_vectors(t):
     return training.word2vec(_sentences(t), dimension=8, min_count=50)
 
 
+@query()
+def skipgram_vectors(t):
+    """Skip-gram with negative samples, in strata."""
+    from verbarium.plans import training
+
+    return training.word2vec(_sentences(t), dimension=8, min_count=50, hsoftmax=False, negative=3, epochs=2)
+
+
+@query()
+def paragraph_vectors(t):
+    """Vectors of all sentences, trained with those of their words."""
+    from verbarium.plans import training
+
+    return training.paragraph_vectors(_sentences(t), dimension=8, min_count=20, negative=3, epochs=2)[0]
+
+
 @query()
 def cbow_vectors(t):
     """CBOW with negative sampling."""

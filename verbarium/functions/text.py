@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import unicodedata
 
 import pandas as pd
@@ -46,38 +47,33 @@ def _ranges(chars: list[str]) -> str:
 _MANY = _ranges([a for a, _ in FOLD_MANY])
 WORD = r"[\p{L}\p{N}_]+"
 
-# The Spanish function words that the search analyser drops, still accented,
-# without the forms of four verbs, which follow from their stems.
-_FUNCTION_WORDS = (
-    "a al algo algunas algunos ante antes como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre esa esas "
-    "ese eso esos esta estas este esto estos hasta hay la las le les lo los me mi mis mucho muchos muy más mí mía mías mío míos nada ni no "
-    "nos nosotras nosotros nuestra nuestras nuestro nuestros o os otra otras otro otros para pero poco por porque que quien quienes qué se "
-    "sin sobre su sus suya suyas suyo suyos sí también tanto te ti todo todos tu tus tuya tuyas tuyo tuyos tú un una uno unos vosotras "
-    "vosotros vuestra vuestras vuestro vuestros y ya yo él"
+# The Spanish function words that the search analyser drops, still accented.
+STOP_WORDS = (
+    "a al algo algunas algunos ante antes como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre era erais eran "
+    "eras eres es esa esas ese eso esos esta estaba estabais estaban estabas estad estada estadas estado estados estamos estando estar "
+    "estaremos estará estarán estarás estaré estaréis estaría estaríais estaríamos estarían estarías estas este estemos esto estos estoy estuve "
+    "estuviera estuvierais estuvieran estuvieras estuvieron estuviese estuvieseis estuviesen estuvieses estuvimos estuviste estuvisteis "
+    "estuviéramos estuviésemos estuvo está estábamos estáis están estás esté estéis estén estés fue fuera fuerais fueran fueras fueron fuese "
+    "fueseis fuesen fueses fui fuimos fuiste fuisteis fuéramos fuésemos ha habida habidas habido habidos habiendo habremos habrá habrán habrás "
+    "habré habréis habría habríais habríamos habrían habrías habéis había habíais habíamos habían habías han has hasta hay haya hayamos hayan "
+    "hayas hayáis he hemos hube hubiera hubierais hubieran hubieras hubieron hubiese hubieseis hubiesen hubieses hubimos hubiste hubisteis "
+    "hubiéramos hubiésemos hubo la las le les lo los me mi mis mucho muchos muy más mí mía mías mío míos nada ni no nos nosotras nosotros "
+    "nuestra nuestras nuestro nuestros o os otra otras otro otros para pero poco por porque que quien quienes qué se sea seamos sean seas "
+    "seremos será serán serás seré seréis sería seríais seríamos serían serías seáis sido siendo sin sobre sois somos son soy su sus suya suyas "
+    "suyo suyos sí también tanto te tendremos tendrá tendrán tendrás tendré tendréis tendría tendríais tendríamos tendrían tendrías tened "
+    "tenemos tenga tengamos tengan tengas tengo tengáis tenida tenidas tenido tenidos teniendo tenéis tenía teníais teníamos tenían tenías ti "
+    "tiene tienen tienes todo todos tu tus tuve tuviera tuvierais tuvieran tuvieras tuvieron tuviese tuvieseis tuviesen tuvieses tuvimos "
+    "tuviste tuvisteis tuviéramos tuviésemos tuvo tuya tuyas tuyo tuyos tú un una uno unos vosotras vosotros vuestra vuestras vuestro vuestros "
+    "y ya yo él éramos"
 ).split()
-_ENDINGS = {
-    "future": "é ás á emos éis án ía ías íamos íais ían".split(),
-    "past": "e iste o imos isteis ieron iera ieras iéramos ierais ieran iese ieses iésemos ieseis iesen".split(),
-    "part": "o a os as".split(),
-}
-_VERBS = {
-    "estoy estás está estamos estáis están esté estés estemos estéis estén estaba estabas estábamos estabais estaban estando estad estar": ("estar", "estuv", "estad"),
-    "he has ha hemos habéis han haya hayas hayamos hayáis hayan había habías habíamos habíais habían habiendo": ("habr", "hub", "habid"),
-    "soy eres es somos sois son sea seas seamos seáis sean era eras éramos erais eran siendo sido "
-    "fui fuiste fue fuimos fuisteis fueron fuera fueras fuéramos fuerais fueran fuese fueses fuésemos fueseis fuesen": ("ser", "", ""),
-    "tengo tienes tiene tenemos tenéis tienen tenga tengas tengamos tengáis tengan tenía tenías teníamos teníais tenían teniendo tened": ("tendr", "tuv", "tenid"),
-}
-STOP_WORDS = sorted(
-    {*_FUNCTION_WORDS, *(w for own in _VERBS for w in own.split())}
-    | {stem + end for stems in _VERBS.values() for stem, ends in zip(stems, _ENDINGS.values(), strict=True) if stem for end in ends}
-)
 
 
 def fold(c: Column) -> Column:
     """Compatibility decomposition, then every character outside ASCII dropped. Most
     texts have none and stay as they are."""
-    pairs = F.split(F.lit("\n".join(a + b for a, b in FOLD_MANY)), "\n")
-    wide = F.when(c.rlike(_FAR) & c.rlike(_MANY), F.aggregate(pairs, c, lambda t, p: F.replace(t, F.substring(p, 1, 1), F.substring(p, 2, 99)))).otherwise(c)
+    pairs = F.from_json(F.lit(json.dumps(dict(FOLD_MANY))), "map<string, string>")
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_MANY), F.lit(0)))
+    wide = F.when(c.rlike(_FAR) & c.rlike(_MANY), F.aggregate(found, c, lambda t, x: F.replace(t, x, F.element_at(pairs, x)))).otherwise(c)
     return F.when(c.rlike(_BEYOND), F.regexp_replace(F.translate(wide, FOLD_FROM, FOLD_TO), _BEYOND, "")).otherwise(c)
 
 

@@ -11,14 +11,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.operators import catalog, cooccurrence
+from verbarium.operators import accumulate, catalog, cooccurrence
+from verbarium.plans import strata
+from verbarium.session import shared_folder
 
 MODEL = "word string, idx bigint, vec array<float>"
 #: Vectors of doubles as bytes.
 PACKED = "id int, v binary"
+#: Numbers that a training may share with all tasks, where it isn't in strata.
+MOST_SHARED = 200_000_000
 
 # Stored parameter names and those of the functions below.
 RENAMED = {"window": "window", "min_count": "min_count", "max_count": "max_count", "dimension": "dimension", "subsampling": "subsample", "cds": "smoothing", "sum_context": "sum_context", "x_max": "x_max", "alpha": "alpha", "eta": "rate", "epochs": "epochs", "algorithm": "algorithm", "hsoftmax": "hsoftmax", "negative": "negative"}
@@ -156,7 +162,9 @@ def truncated_svd(cells: DataFrame, n: int, k: int, seed: int = 1, passes: int =
 def svd(sentences: DataFrame, dimension: int = 300, min_count: int = 10, max_count: int | None = None, window: int = 5, subsample: float = 1e-5, smoothing: float = 0.75, sum_context: bool = True, power: float = 0.0, key: str = "doc_id", seed: int = 1) -> DataFrame:
     """PPMI cells and their truncated SVD: U * S^power, plus V. Words
     without a positive cell have zero vectors, plus V's."""
-    vocab = cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count, max_count, least_tokens=2), "word").cache()
+    vocab, _ = _kept(cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count, max_count, least_tokens=2), "word"))
+    if vocab.count() * (dimension + dimension // 2 + 10) > MOST_SHARED:
+        raise ValueError(f"a vocabulary of {vocab.count()} words is too large for {dimension} dimensions; cap it by max_count")
     rows = cooccurrence.placed(sentences, vocab, key, subsample, seed)
     cells = cooccurrence.ppmi(cooccurrence.cooccurrence(cooccurrence.pairs(rows, window, key, dynamic=True, seed=seed)), smoothing)
     n = vocab.count()
@@ -164,59 +172,152 @@ def svd(sentences: DataFrame, dimension: int = 300, min_count: int = 10, max_cou
     return _model(vocab, np.arange(n), u * np.where(s > 0, s, 1.0) ** power + (v if sum_context else 0))
 
 
-def glove(sentences: DataFrame, dimension: int = 100, min_count: int = 10, max_count: int | None = None, window: int = 15, x_max: float = 100.0, alpha: float = 0.75, rate: float = 0.05, epochs: int = 15, key: str = "doc_id", seed: int = 1, costs: list | None = None) -> DataFrame:
-    """Weighted least squares on log counts. Each epoch, every partition takes
-    AdaGrad steps on its cells from the same start; the steps of a word are averaged over
-    the partitions that have it. The parameters (vocabulary x dimension) are broadcast;
-    the vocabulary's cap bounds them. Vectors of both sides are added in the end."""
-    vocab = cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count, max_count)).cache()
-    cells = cooccurrence.cooccurrence(cooccurrence.pairs(cooccurrence.placed(sentences, vocab, key), window, key), "inverse").select((F.col("w") - 1).cast("int").alias("w"), (F.col("c") - 1).cast("int").alias("c"), "x").cache()
-    n, rng = vocab.count(), np.random.default_rng(seed)
-    width = dimension + 1  # the last place is the bias
-    state = (rng.random((2 * n, width)) - 0.5) / dimension
-    grads = np.ones_like(state)
+def _unit(vocab: DataFrame, rows: DataFrame) -> DataFrame:
+    """MODEL of (id, vec) rows, normalised; zero rows stay. Ids count from 1."""
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    vec = F.transform("vec", lambda x: F.when(F.col("_size") > 0, x / F.col("_size")).otherwise(F.lit(0.0)).cast("float"))
+    words = vocab.select("word", F.col("id").cast("bigint").alias("id"))
+    return words.join(rows.withColumn("_size", size), "id").select("word", F.col("id").alias("idx"), vec.alias("vec"))
+
+
+def _pairs(sentences: DataFrame, vocab: DataFrame, window: int, weighting: str, key: str) -> DataFrame:
+    """(i, j, x) of the cells of token lists; numbers count from 0."""
+    cells = accumulate.cells(sentences, vocab, window, weighting, "tokens")
+    if cells is None:
+        cells = cooccurrence.counted(cooccurrence.placed(sentences, vocab, key, numbered=False), window, weighting, key)
+    return cells.select((F.col("w") - 1).alias("i"), (F.col("c") - 1).alias("j"), "x")
+
+
+def glove(sentences: DataFrame, dimension: int = 100, min_count: int = 10, max_count: int | None = None, window: int = 15, x_max: float = 100.0, alpha: float = 0.75, rate: float = 0.05, epochs: int = 15, key: str = "doc_id", seed: int = 1, costs: list | None = None, blocks: int | None = None) -> DataFrame:
+    """Weighted least squares on log counts, in strata (strata.py): AdaGrad steps
+    on blocks of words by blocks of contexts, none of which share parameters. Vectors of
+    both sides are added in the end."""
+    vocab, path = _kept(cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count, max_count)))
+    n, width, spark = vocab.count(), dimension + 1, sentences.sparkSession  # the last place is the bias
+    p = blocks or strata.blocks_for(spark, n, 2 * width)
+    cells = strata.packed_cells(_pairs(sentences, vocab, window, "inverse", key), p)
+
+    def make(side: str, block: int, count: int, rng: np.random.Generator) -> np.ndarray:
+        return np.hstack(((rng.random((count, width)) - 0.5) / dimension, np.ones((count, width))))
+
+    size = lambda b: len(range(b, n, p))
+    state, step = strata.started(spark, p, size, size, make, seed), strata.least_squares(x_max, alpha, rate)
+    for number in range(epochs):
+        state, cost = strata.epoch(state, cells, p, (2 * width, 2 * width), step, seed + number)
+        if costs is not None:
+            costs.append(cost)  # A24
+    one, other = (strata.vectors(state, side, p, 2 * width, lambda v: v[:, :dimension]) for side in "rc")
+    both = one.join(other.withColumnRenamed("vec", "_other"), "id")
+    return _unit(vocab, both.select((F.col("id") + 1).alias("id"), F.zip_with("vec", "_other", lambda a, b: a + b).alias("vec")))
+
+
+def _kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _columns(vocab: DataFrame, p: int, dimension: int) -> DataFrame:
+    """STATE of the words as columns: their counts and zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            block, count = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for b in np.unique(block).tolist():
+                held.setdefault(b, []).append(count[block == b])
+        for b, parts in held.items():
+            counts = np.concatenate(parts).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(["c"]), pa.array([b], pa.int32()), pa.array([np.hstack((counts[:, None], np.zeros((len(counts), dimension)))).tobytes()], pa.binary())], ["side", "block", "v"])
+
+    rows = vocab.select(F.pmod(F.col("id") - 1, F.lit(p)).cast("int").alias("block"), F.col("count").cast("bigint").alias("count"), "id")
+    return rows.repartition(p, "block").sortWithinPartitions("block", "id").mapInArrow(run, strata.STATE)
+
+
+def skipgram(sentences: DataFrame, dimension: int = 300, min_count: int = 5, window: int = 5, negative: int = 5, epochs: int = 1, alpha: float = 0.025, key: str = "doc_id", seed: int = 1, blocks: int | None = None, costs: list | None = None) -> DataFrame:
+    """Skip-gram with negative samples, in strata, on the counts of pairs; the rate
+    falls in a line over the epochs (C48)."""
+    vocab, _ = _kept(cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count)))
+    n, spark = vocab.count(), sentences.sparkSession
+    p = blocks or strata.blocks_for(spark, n, 2 * dimension + 1)
+    cells = strata.packed_cells(_pairs(sentences, vocab, window, "count", key), p)
+    first = strata.started(spark, p, lambda b: len(range(b, n, p)), lambda b: 0, lambda side, b, count, rng: (rng.random((count, dimension)) - 0.5) / dimension, seed)
+    state = first.where("side = 'r'").unionByName(_columns(vocab, p, dimension)) if n else first
+    for number in range(epochs if n else 0):
+        state, cost = strata.epoch(state, cells, p, (dimension, dimension + 1), strata.negative_sampling(negative, alpha * (1 - number / epochs)), seed + number)
+        if costs is not None:
+            costs.append(cost)
+    return _unit(vocab, strata.vectors(state, "r", p, dimension).select((F.col("id") + 1).alias("id"), "vec"))
+
+
+def tagged(sentences: DataFrame, vocab: DataFrame, p: int, key: str) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """(i, tag), the cells (i, j, x) of tags and words, and how many tags a block has. A
+    task numbers the tags of its own documents, which stay in its block."""
     spark = sentences.sparkSession
-    for epoch in range(epochs):
-        held = spark.sparkContext.broadcast((state, grads))
+    schema = "i bigint, tag string, word string, x double"
 
-        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, g = (a.copy() for a in held.value)
-            cost, count, touched = 0.0, 0, np.zeros(2 * n, dtype=bool)
-            for batch in batches:
-                columns = [batch.column(c).to_numpy() for c in range(3)]
-                order = np.random.default_rng(seed + epoch).permutation(batch.num_rows)
-                for part in np.array_split(order, max(1, len(order) // 256)):
-                    i, j, x = (c[part] for c in columns)
-                    j = j + n
-                    a, b = w[i], w[j]
-                    diff = (a[:, :-1] * b[:, :-1]).sum(axis=1) + a[:, -1] + b[:, -1] - np.log(x)
-                    weight = np.minimum(1.0, (x / x_max) ** alpha)
-                    cost += float(0.5 * (weight * diff**2).sum())
-                    count += len(part)
-                    f = (weight * diff * rate)[:, None]
-                    ga, gb = np.hstack((f * b[:, :-1], f)), np.hstack((f * a[:, :-1], f))
-                    np.add.at(w, i, -ga / np.sqrt(g[i]))
-                    np.add.at(w, j, -gb / np.sqrt(g[j]))
-                    np.add.at(g, i, ga**2)
-                    np.add.at(g, j, gb**2)
-                    touched[i] = touched[j] = True
-            rows = np.flatnonzero(touched)
-            start = held.value
-            own = np.zeros((1, 1 + 2 * width))
-            own[0, :2] = cost, count
-            yield _packed(np.array([-1]), own)
-            yield _packed(rows, np.hstack((np.ones((len(rows), 1)), w[rows] - start[0][rows], g[rows] - start[1][rows])))
-
-        ids, moved = _summed(cells.mapInArrow(steps, PACKED))
-        total, own = moved[ids < 0].reshape(-1, 1 + 2 * width).sum(axis=0), ids >= 0
-        state, grads = state.copy(), grads.copy()
-        if own.any():
-            state[ids[own]] += moved[own, 1 : 1 + width] / moved[own, :1]
-            grads[ids[own]] += moved[own, 1 + width :]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n, sizes = batch.num_rows, pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            ids = (np.arange(at, at + n) * p + block).astype(np.int64)
+            at += n
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64())], ["i", "tag", "word", "x"])
+            coded = pc.list_flatten(batch.column(1)).dictionary_encode()
+            if len(coded):
+                own, times = np.unique(np.repeat(np.arange(n), sizes) * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+                row, word = own // len(coded.dictionary), own % len(coded.dictionary)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.nulls(len(own), pa.string()), coded.dictionary.take(pa.array(word)).cast(pa.string()), pa.array(times.astype(float))], ["i", "tag", "word", "x"])
+
+    rows = sentences.select(F.concat_ws("_", key, "sid").alias("tag"), "tokens", key).repartition(p, key).sortWithinPartitions("tag", F.xxhash64("tokens")).select("tag", "tokens")
+    path = shared_folder(spark)
+    rows.mapInArrow(run, schema).write.parquet(path)
+    staged = spark.read.schema(schema).parquet(path)
+    tags = staged.where("tag is not null").select("i", "tag")
+    words = staged.where("word is not null").join(vocab.select("word", (F.col("id") - 1).alias("j")), "word").select("i", "j", "x")
+    counts = {r["b"]: r["count"] for r in tags.groupBy(F.pmod("i", F.lit(p)).alias("b")).count().collect()}  # p rows
+    return tags, words, counts
+
+
+def _trained_tags(tags: DataFrame, cells: DataFrame, counts: dict[int, int], columns: DataFrame, p: int, dimension: int, negative: int, epochs: int, alpha: float, least: float, seed: int, fixed: bool, costs: list | None) -> tuple[DataFrame, DataFrame]:
+    spark = tags.sparkSession
+    first = strata.started(spark, p, lambda b: counts.get(b, 0), lambda b: 0, lambda side, b, count, rng: (rng.random((count, dimension)) - 0.5) / dimension, seed)
+    state, cells = first.where("side = 'r'").unionByName(columns), strata.packed_cells(cells, p)
+    for number in range(epochs):
+        step = strata.negative_sampling(negative, alpha - (alpha - least) * number / epochs)
+        state, cost = strata.epoch(state, cells, p, (dimension, dimension + 1), step, seed + number, fixed)
         if costs is not None:
-            costs.append(total[0] / max(total[1], 1.0))  # A24
-        held.unpersist()
-    return _model(vocab, np.arange(1, n + 1), state[:n, :-1] + state[n:, :-1])
+            costs.append(cost)
+    found = strata.vectors(state, "r", p, dimension).withColumnRenamed("id", "i")
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    unit = found.withColumn("_size", size).select("i", F.transform("vec", lambda x: (x / F.greatest("_size", F.lit(1e-300))).cast("float")).alias("vec"))
+    return tags.join(unit, "i").select("tag", "vec"), state
+
+
+def paragraph_vectors(sentences: DataFrame, dimension: int = 300, min_count: int = 3, negative: int = 7, epochs: int = 1, alpha: float = 0.025, least: float = 0.001, key: str = "doc_id", seed: int = 1, costs: list | None = None, blocks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors of the tags ``key_sid`` of sentences that foretell their words (a bag
+    of words), trained in strata together with word vectors that all share: (tag, vec), and
+    the words and their trained STATE, which ``inferred`` takes. A tag's vector stays in
+    the block of its document's task; word blocks pass by. Sentences without a word of the
+    vocabulary keep their first vector; rows without an id are left out."""
+    sentences = sentences.where(F.col(key).isNotNull())
+    vocab, _ = _kept(cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count)))
+    p = blocks or strata.blocks_for(sentences.sparkSession, max(1, vocab.count()), 2 * dimension + 1)
+    tags, cells, counts = tagged(sentences, vocab, p, key)
+    empty = strata.started(sentences.sparkSession, p, lambda b: 0, lambda b: 0, lambda side, b, count, rng: np.zeros((0, dimension + 1)), seed)
+    have = _columns(vocab, p, dimension)
+    columns = have.unionByName(empty.where("side = 'c'").join(have.select("block"), "block", "left_anti").select("side", "block", "v"))
+    found, state = _trained_tags(tags, cells, counts, columns, p, dimension, negative, epochs, alpha, least, seed, False, costs)
+    return found, vocab, state.where("side = 'c'")
+
+
+def inferred(sentences: DataFrame, vocab: DataFrame, columns: DataFrame, dimension: int, negative: int = 7, epochs: int = 20, alpha: float = 0.025, least: float = 0.001, key: str = "doc_id", seed: int = 1) -> DataFrame:
+    """(tag, vec) of new sentences, by the same steps against word vectors that stay
+    as they are."""
+    p = columns.count()
+    tags, cells, counts = tagged(sentences.where(F.col(key).isNotNull()), vocab, p, key)
+    return _trained_tags(tags, cells, counts, columns, p, dimension, negative, epochs, alpha, least, seed, True, None)[0]
 
 
 def huffman(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -241,10 +342,12 @@ def huffman(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, window: int = 5, subsample: float = 0.0, algorithm: str = "skipgram", hsoftmax: bool = True, negative: int = 0, epochs: int = 1, alpha: float = 0.025, key: str = "doc_id", seed: int = 1, partitions: int = 1) -> DataFrame:
-    """M12. Skip-gram with hierarchical softmax is the built-in estimator; CBOW (with a
-    Huffman tree or negative samples) and negative sampling are trained here, an average of the partitions' steps an epoch at a
-    linearly falling rate (C48)."""
+def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, window: int = 5, subsample: float = 0.0, algorithm: str = "skipgram", hsoftmax: bool = True, negative: int = 0, epochs: int = 1, alpha: float = 0.025, key: str = "doc_id", seed: int = 1, partitions: int | None = None) -> DataFrame:
+    """M12. Skip-gram with hierarchical softmax is the built-in estimator, in as many
+    partitions as there are cores; with negative samples it is ``skipgram``. CBOW (with a
+    Huffman tree or negative samples) is trained here, an average of the partitions' steps
+    an epoch at a linearly falling rate (C48); its parameters are broadcast, up to
+    MOST_SHARED numbers."""
     if subsample > 0 and algorithm == "skipgram" and hsoftmax and not negative:
         vocab = cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count))
         kept = cooccurrence.placed(sentences, vocab, key, subsample, seed).join(vocab.select("id", "word"), "id")
@@ -252,7 +355,7 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
     if algorithm == "skipgram" and hsoftmax and not negative:
         from pyspark.ml.feature import Word2Vec
 
-        model = Word2Vec(vectorSize=dimension, minCount=min_count, windowSize=window, maxIter=epochs, stepSize=alpha, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="v").fit(sentences.where(F.size("tokens") > 0).select("tokens"))
+        model = Word2Vec(vectorSize=dimension, minCount=min_count, windowSize=window, maxIter=epochs, stepSize=alpha, seed=seed, numPartitions=partitions or sentences.sparkSession.sparkContext.defaultParallelism, inputCol="tokens", outputCol="v").fit(sentences.where(F.size("tokens") > 0).select("tokens"))
         rows = model.getVectors()
         from pyspark.ml.functions import vector_to_array
 
@@ -261,7 +364,11 @@ def word2vec(sentences: DataFrame, dimension: int = 300, min_count: int = 5, win
         from pyspark.sql import Window
 
         return rows.select("word", (F.row_number().over(Window.orderBy("word")) - 1).cast("bigint").alias("idx"), F.transform(vec, lambda x: (x / size).cast("float")).alias("vec"))
-    vocab = cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count)).cache()
+    if algorithm == "skipgram" and not subsample:
+        return skipgram(sentences, dimension, min_count, window, negative or 5, epochs, alpha, key, seed)
+    vocab, _ = _kept(cooccurrence.with_ids(cooccurrence.vocabulary(sentences, min_count)))
+    if vocab.count() * dimension > MOST_SHARED:
+        raise ValueError(f"a vocabulary of {vocab.count()} words is too large for this training; raise min_count or take skip-gram")
     counts = np.array([r["count"] for r in vocab.orderBy("id").select("count").collect()], dtype=float)
     n, rng = len(counts), np.random.default_rng(seed)
     noise = np.cumsum(counts**0.75 / (counts**0.75).sum()) if n else counts
