@@ -214,7 +214,7 @@ def _round(docs: DataFrame, low: int, depth: int, known: bytes | None, limit: in
     return docs.mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
 
 
-def counted(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
+def counted(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = 4 << 20) -> DataFrame:
     """(lang, size, phrase, a) of every phrase of up to ``depth`` words that occurs
     ``least`` times; the rows of size 0 have each language's number of words."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
