@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.operators import accumulate, catalog, cooccurrence
@@ -420,6 +420,11 @@ def rates(alpha: float, least: float, epochs: int) -> list[tuple[int, float, flo
     return [(k, alpha - (alpha - least) * k / epochs, alpha - (alpha - least) * (k + 1) / epochs) for k in range(epochs)]
 
 
+def rate_at(done: Column, epochs: Column, alpha: float, least: float) -> Column:
+    """C48 of rows: the rate after ``done`` epochs, whole or in part, of ``epochs``."""
+    return F.lit(alpha) - F.lit(alpha - least) * F.least(done, epochs) / epochs
+
+
 # The share of a training that each phase begins at and takes.
 PHASES = {
     "word2vec": {"vocabulary": (0.0, 0.2), "fit": (0.2, 0.8)},
@@ -434,6 +439,13 @@ def progress(kind: str, phase: str, share: float, epoch: int = 0, epochs: int =
     return start + size * (epoch + share) / epochs
 
 
+def progress_at(kind: Column, phase: Column, share: Column, epoch: Column, epochs: Column) -> Column:
+    """C49 of rows: as ``progress``; null for a phase that the kind doesn't have."""
+    known = [(F.lit(f"{k} {p}"), F.struct(F.lit(start).alias("start"), F.lit(size).alias("size"))) for k, phases in PHASES.items() for p, (start, size) in phases.items()]
+    own = F.try_element_at(F.create_map(*[x for pair in known for x in pair]), F.concat_ws(" ", kind, phase))
+    return own["start"] + own["size"] * (epoch + share) / epochs
+
+
 def reported(rows: DataFrame, name: str, every: int, report) -> DataFrame:
     """``rows``; whenever a batch of a stream, or a query, has passed, ``report`` gets
     its name, the number of rows and how many reports of ``every`` rows that makes."""

@@ -128,6 +128,27 @@ def document_vectors(t):
     return out.select("tag", F.round(F.col("vec")[0], 5).alias("first"), F.round(F.col("vec")[63], 5).alias("last"))
 
 
+@query("select event_id, round(0.025 - 0.0249 * least(user_id / 10.0, 1 + event_id % 20) / (1 + event_id % 20), 9) as rate from events")
+def event_learning_rates(t):
+    """The rate that each event of a training log comes with."""
+    rate = training.rate_at(F.col("user_id") / 10.0, 1 + F.col("event_id") % 20, 0.025, 0.0001)
+    return t("events").select("event_id", F.round(rate, 9).alias("rate"))
+
+
+@query("""select event_id, round(start + size * (n + share) / epochs, 9) as done from (
+  select event_id, event_id % 3 as k, event_id // 3 % 3 as p, case when event_id // 3 % 3 = 2 then event_id // 9 % 4 else 0 end as n, case when event_id // 3 % 3 = 2 then 4 else 1 end as epochs, user_id % 11 / 10.0 as share from events) left join (
+  values (0, 0, 0.0::double, 0.2::double), (0, 2, 0.2, 0.8), (1, 0, 0.0, 0.05), (1, 1, 0.05, 0.2), (1, 2, 0.35, 0.65), (2, 0, 0.0, 0.1), (2, 1, 0.1, 0.7), (2, 2, 0.8, 0.2)) v(k, p, start, size) using (k, p)""")
+def event_progress(t):
+    """How much of its training each event of a log reports; none where the kind
+    doesn't have the phase."""
+    i = F.col("event_id")
+    fit = F.floor(i / 3) % 3 == 2
+    kind = F.element_at(F.array(F.lit("word2vec"), F.lit("glove"), F.lit("svd")), (i % 3 + 1).cast("int"))
+    phase = F.element_at(F.array(F.lit("vocabulary"), F.lit("cooccurrence"), F.lit("fit")), (F.floor(i / 3) % 3 + 1).cast("int"))
+    done = training.progress_at(kind, phase, F.col("user_id") % 11 / 10.0, F.when(fit, F.floor(i / 9) % 4).otherwise(0), F.when(fit, 4).otherwise(1))
+    return t("events").select("event_id", F.round(done, 9).alias("done"))
+
+
 @query("select n_nationkey as epochs, e::int as epoch, round(0.025 - 0.0249 * e / n_nationkey, 9) as first, round(0.025 - 0.0249 * (e + 1) / n_nationkey, 9) as last from nation, range(n_nationkey) r(e) where n_nationkey > 0")
 def learning_rates(t):
     """The rates of trainings of 1 to 24 epochs."""
