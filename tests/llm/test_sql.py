@@ -30,7 +30,7 @@ def same(spark, name, folder, tables):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_smallest_tables(spark, name):
-    same(spark, name, DATA, ["documents", "pages"])
+    same(spark, name, DATA, ["documents", "pages", "embeddings"])
 
 
 def test_revisits(spark, tmp_path):
