@@ -96,6 +96,13 @@ def kept(key: object, make: Callable[[], object]) -> object:
     return shelf[key]
 
 
+def unkept() -> None:
+    """Let go of what ``kept`` holds in this worker, before work that doesn't need it."""
+    shelf = sys.modules.get("_verbarium_worker")
+    if shelf is not None:
+        shelf.__dict__["shelf"].clear()
+
+
 def width(df: DataFrame, target_mb: int = 32) -> int:
     """How many partitions to deal a table out to: the session's setting, or more
     where the optimizer's estimate of the table's size asks for it."""

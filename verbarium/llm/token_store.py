@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import Words, kept, runs_of, whole_numbers, width, workspace
+from verbarium.llm.common import Words, kept, runs_of, whole_numbers, width, unkept, workspace
 
 STORE = "shard int, {id} bigint, start_in_shard bigint, n_tokens bigint, ids array<int>"
 #: What a byte may be at a cut: an ASCII letter or digit, one of the stops, visible
@@ -245,6 +245,7 @@ def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
     32-bit integers, all from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unkept()  # the writers' pieces
         for batch in batches:
             ids = batch.column(4)
             bounds = ids.offsets.to_numpy()
