@@ -14,6 +14,7 @@ from verbarium.operators import corpus, testgen
 from verbarium.plans import training
 from verbarium.session import shared_folder
 from verbarium.sources import readers, sinks
+from verbarium.sources.keyed import KeyedTable
 
 
 def _folder(t) -> tuple:
@@ -192,6 +193,33 @@ def file_upsert(t):
     return spark.read.parquet(path + "-new")
 
 
+_LATEST = "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1"
+
+
+@query(_LATEST)
+def keyed_upserts(t):
+    """Batches into the buckets of a table, each of them twice."""
+    spark, path = _folder(t)
+    table = KeyedTable(spark, path, ["user_id"], "event_id", 16)
+    rows = t("events").select("user_id", "event_id", "event_type", "value")
+    for number, part in enumerate((2, 0, 1)):
+        for _ in range(2):
+            table.upsert(rows.where(F.col("event_id") % 3 == part), ("log", number))
+    return table.read()
+
+
+@query(_LATEST)
+def stream_upserts(t):
+    """A stream's batches into the buckets of a table."""
+    from verbarium.streaming import flows
+
+    spark, path = _folder(t)
+    t("events").select("user_id", "event_id", "event_type", "value").repartition(3, "event_id").write.parquet(path)
+    table = KeyedTable(spark, f"{path}-table", ["user_id"], "event_id", 16)
+    flows.upsert_into(flows.stream(spark, path, 1), table, "log", f"{path}-checkpoint").awaitTermination()
+    return table.read()
+
+
 @query("select md5(string_agg(line, chr(10) order by line)) as lines, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents where text is not null)")
 def file_texts(t):
     """Contents in compressed files of bounded size."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from verbarium.catalogue import _GROWTH, DOCS, FOLD, _docs, _log, _now, query
 from verbarium.functions import text as T
 from verbarium.operators import catalog, corpus
+from verbarium.operators.jobqueue import JobQueue
+from verbarium.session import shared_folder
 
 _TITLE = r"substr(regexp_extract(regexp_replace(text, '^\s+', ''), '^[^\n]*'), 1, 50)"
 
@@ -192,3 +194,23 @@ def cased_names(t):
     """C24, C25."""
     return t("part").select("p_partkey", T.title_case(F.col("p_name")).alias("title"), T.ucfirst(F.col("p_name")).alias("first"), T.lcfirst(F.col("p_type")).alias("lowered"))
 
+
+@query("""with o as (select o_orderkey as job_id, o_orderkey % 2 = 0 as even, row_number() over (order by o_orderkey) as k from orders),
+c as (select job_id from o where (k <= 200 and not even) or k > 400 order by job_id limit 150)
+select job_id, case when k <= 400 and even then 'SUCCESS' when k <= 400 or c.job_id is not null then 'PROGRESS' else 'PENDING' end as status,
+case when c.job_id is not null then 'c' when k <= 200 then 'a' when k <= 400 then 'b' end as worker,
+(case when k <= 400 then 1 else 0 end + case when c.job_id is not null then 1 else 0 end)::int as tries from o left join c using (job_id)""")
+def job_leases(t):
+    """Two workers take jobs and finish some, a third takes up what the first left,
+    and the first comes too late for the rest."""
+    spark = t("orders").sparkSession
+    queue = JobQueue(spark, shared_folder(spark))
+    queue.add(t("orders").select(F.col("o_orderkey").alias("job_id")))
+    even = F.col("job_id") % 2 == 0
+    queue.take("a", 0, 60, 200)
+    queue.take("b", 30, 60, 200)
+    queue.finish("a", 40, even)
+    queue.finish("b", 50, even)
+    queue.take("c", 70, 60, 150)
+    queue.finish("a", 80, F.lit(True))
+    return queue.jobs().select("job_id", "status", "worker", "tries")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verbarium.operators import corpus
+from verbarium.sources.keyed import KeyedTable
 
 
 def stream(spark: SparkSession, path: str, per_trigger: int = 10) -> DataFrame:
@@ -46,6 +47,16 @@ def upsert_each(df: DataFrame, path: str, keys: list[str], order: str, checkpoin
     return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_into(df: DataFrame, table: KeyedTable, name: str, checkpoint: str):
+    """Each batch into the buckets that it touches; ``name`` is the stream's own
+    among those that write to the table, so a batch that runs again changes nothing."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        table.upsert(rows, (name, number))
+
+    return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 ENTRY = "data_source string, source_id string, outcome string, number_of_tries int"
 
 
