@@ -247,6 +247,30 @@ def stream_entry_states(t):
     return flows.run_once(flows.entry_states(tries), f"states_{uuid.uuid4().hex}", "update", f"{shared_folder(log.sparkSession)}/states")
 
 
+_LANE = "('0x' || substr(md5(source_id), 1, 8))::bigint % 8"
+
+
+@query(f"""with e as (select event_type as data_source, (user_id || '-' || event_id % 40) as source_id, epoch_us(ts) // 1000 as ms, case event_id % 7 when 0 then 'success' when 1 then 'pending' else 'failure' end as outcome from events),
+n as (select data_source, source_id, count(*) filter (outcome = 'failure') as tries, count(*) filter (outcome = 'success') as well, coalesce(max(ms) filter (outcome = 'failure'), min(ms) filter (outcome = 'pending')) as since from e group by all),
+d as (select data_source, source_id, {_LANE} as lane, tries, since + case when tries > 0 then (3600000 * pow(2, tries - 1))::bigint else 0 end as due from n where well = 0 and tries < 5),
+k as (select *, row_number() over w as k from d window w as (partition by data_source, lane order by due, source_id)),
+a as (select *, max(due - k * 960000) over (partition by data_source, lane order by k) + k * 960000 as ms from k)
+select data_source, source_id, make_timestamp(ms * 1000) as at, tries::int as number_of_tries from a where ms < (select max(ms) - 86400000 from e)""")
+def fetch_orders(t):
+    """What is to be fetched when, by waits after failures and distances
+    within a source, kept by a stream with timers."""
+    from verbarium.streaming import flows, retries
+
+    spark, path = t("events").sparkSession, shared_folder(t("events").sparkSession)
+    i = F.col("event_id")
+    name = F.concat_ws("-", F.col("user_id"), i % 40)
+    outcome = F.when(i % 7 == 0, "success").when(i % 7 == 1, "pending").otherwise("failure")
+    t("events").select(F.col("event_type").alias("data_source"), name.alias("source_id"), "ts", outcome.alias("outcome")).write.parquet(path)
+    log = flows.stream(spark, path, 1_000_000)
+    orders = retries.run_to(retries.fetch_orders(log, 3600, 120, 5, "1 day"), f"{path}-orders", f"{path}-checkpoint")
+    return orders.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("select day, words, round(words - coalesce(lag(words) over (order by day), 0), 4) as delta from (select date_trunc('day', ts) as day, round(sum(value), 4) as words from events group by 1)")
 def size_deltas(t):
     """Growth from one look to the next."""
