@@ -85,6 +85,13 @@ def test_a_file_is_placed_once(spark, tmp_path):
     assert sum(won) == 1 and folder.get("x") == str(won.index(True)) and folder.names() == ["x"]
 
 
+def test_a_rename_does_not_overwrite(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path))
+    folder.links = False
+    assert folder.put_new("x", "1") and not folder.put_new("x", "2")
+    assert folder.get("x") == "1" and [n for n in folder.names() if not n.startswith(".")] == ["x"]
+
+
 def test_workers_never_share_a_job(spark, tmp_path):
     def queue():
         return JobQueue(spark, str(tmp_path / "q"), 4)

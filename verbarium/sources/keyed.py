@@ -40,6 +40,7 @@ class Folder:
         self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self._at("").getFileSystem(self.conf)
+        self.links = self.fs.getUri().getScheme() == "file"
 
     def _at(self, name: str):
         return self.hadoop.Path(f"{self.path}/{name}" if name else self.path)
@@ -65,7 +66,7 @@ class Folder:
         finally:
             stream.close()
         try:
-            if self.fs.getUri().getScheme() == "file":
+            if self.links:
                 os.link(self._at(part).toUri().getPath(), self._at(name).toUri().getPath())
             else:
                 options = self.gateway.new_array(getattr(self.hadoop, "Options$Rename"), 0)
