@@ -83,3 +83,25 @@ def test_query_language(spark):
     for bad in ({"fuzzy": {}}, "{", {"range": {"n": {"near": 1}}}, {"match": {}}):
         with pytest.raises(querydsl.BadQuery):
             querydsl.predicate(bad)
+
+
+def test_references_without_a_semicolon_stay(spark):
+    from verbarium.operators import ingest
+
+    page = "<h1>a&amp;&amp &lt; &#65; &#66 &ampx; &nosuch; b & c&amp</h1>"
+    got = spark.createDataFrame([(page,)], "html string").select(ingest.select_text(F.col("html"), ["h1"])[0][0]).first()[0]
+    assert got == "a&&amp < A &#66 &ampx; &nosuch; b & c&amp"
+
+
+def test_connector_titles_as_their_sql_has_them(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    titles = ["a&amp;&amp", "token = &quot;1&quot;", "x &lt;y&gt; &eacute; &#65; &nbsp;z", "&ampx; & \"q\""]
+    rows = [(i, f"https://example.{d}/{i}", f"<title>{s}</title><h1>{s}</h1><p>text</p>") for d in ("org", "net", "com") for i, s in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["connector_titles"]).fetchall()
+    assert sorted(map(tuple, entry.queries()["connector_titles"](spark, str(tmp_path)).collect())) == sorted(want)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -197,9 +199,20 @@ class _Extract(HTMLParser):
             self.found[i][-1] += data
 
 
-def select_text(html: Column, selectors: list[str], dropped: list[str] = ()) -> Column:
-    """For each selector the texts of its elements, in order; null for a null page."""
+_REFERENCE = r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)?"
+
+
+def select_text(html: Column, selectors: list[str], dropped: list[str] = (), references: tuple[str, ...] | None = None) -> Column:
+    """For each selector the texts of its elements, in order; null for a null page. As
+    with lxml, a reference without its semicolon stays as it is. ``references``: the names
+    of those that are resolved, in place of all."""
     wanted, off = list(selectors), list(dropped)
+    named = None if references is None else {f"{name};" for name in references}
+
+    def resolved(found: re.Match) -> str:
+        reference = found[1] or ""
+        known = reference in named if named is not None else reference.startswith("#") or reference in html5
+        return found[0] if known else f"&amp;{reference}"
 
     @F.pandas_udf("array<array<string>>")
     def run(pages: pd.Series) -> pd.Series:
@@ -209,7 +222,7 @@ def select_text(html: Column, selectors: list[str], dropped: list[str] = ()) ->
                 out.append(None)
                 continue
             parser = _Extract(wanted, off)
-            parser.feed(page)
+            parser.feed(re.sub(_REFERENCE, resolved, page))
             parser.close()
             out.append([[" ".join(t.split()) for t in texts] for texts in parser.found])
         return pd.Series(out)
@@ -241,10 +254,10 @@ class Connector:
     optional_heads: bool = False  # a head that isn't there is an empty line
     title_sep: str | None = None
 
-    def extract(self, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    def extract(self, pages: DataFrame, url: str = "url", html: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
         none = "no-such-element"
         bodies = [self.body, *self.fallbacks]
-        rows = pages.withColumn("_t", select_text(F.col(html), [self.over_title or none, self.title, self.summary or none, *bodies], list(self.dropped)))
+        rows = pages.withColumn("_t", select_text(F.col(html), [self.over_title or none, self.title, self.summary or none, *bodies], list(self.dropped), references))
         first = lambda i: F.try_element_at(F.col("_t")[i], F.lit(1))
 
         def text(i: int) -> Column:
@@ -302,11 +315,12 @@ STORIES = register(Connector("example.net", "https://example.net/{}", title="tit
 OPINIONS = register(Connector("example.com", "https://example.com/{}", over_title="p.over", title="h1", summary="div.ad", body="p", optional_heads=True, keep_longer=3, markers=("READ MORE:",), blank_missing=True))
 
 
-def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Each page by the connector of its host; other pages are left out."""
+def extracted(pages: DataFrame, url: str = "url", html: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
+    """Each page by the connector of its host; other pages are left out.
+    ``references``: as for ``select_text``."""
     rows, out = pages.withColumn("_domain", dispatch(F.col(url))), None
     for domain, connector in sorted(REGISTRY.items()):
-        part = connector.extract(rows.where(F.col("_domain") == domain).drop("_domain"), url, html)
+        part = connector.extract(rows.where(F.col("_domain") == domain).drop("_domain"), url, html, references)
         out = part if out is None else out.unionByName(part)
     return out
 
