@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,14 @@ def stream(spark: SparkSession, path: str, per_trigger: int = 10) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def stream_of(table: DataFrame) -> DataFrame:
+    """All files of a table that was read from Parquet files, as one stream."""
+    files, reader = [f.split("/") for f in table.inputFiles()], table.sparkSession.readStream.schema(table.schema)
+    if len(files) == 1:  # other tables may lie beside it
+        return reader.option("pathGlobFilter", files[0][-1]).parquet("/".join(files[0][:-1]))
+    return reader.parquet("/".join(commonprefix([f[:-1] for f in files])))
+
+
 def daily_counts(log: DataFrame, at: str = "ts", source: str = "event_type", late: str | None = None) -> DataFrame:
     """Events and words a day and source. Without ``late`` no row is ever too
     late; with it a watermark bounds the state."""
@@ -66,16 +77,32 @@ def entry_states(tries: DataFrame, most: int = 5) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         outcome, n = state.get if state.exists else ("pending", 0)
+        first: list[tuple] = []  # a batch may come in several frames, in any order; no more than its first tries count
         for frame in frames:
-            for new in frame.sort_values("ts")["outcome"]:
-                if outcome not in ("success", "notfound") and n < most:
-                    outcome, n = new, n + 1
+            first = sorted(chain(first, zip(frame["ts"].tolist(), frame["outcome"].tolist(), strict=True)), key=itemgetter(0))[:most]
+        for _, new in first:
+            if outcome not in ("success", "notfound") and n < most:
+                outcome, n = new, n + 1
         state.update((outcome, n))
         yield pd.DataFrame([(*key, outcome, n)], columns=["data_source", "source_id", "outcome", "number_of_tries"])
 
     return tries.groupBy("data_source", "source_id").applyInPandasWithState(step, ENTRY, "outcome string, n int", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_states(states: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Of each entry the last of its ``entry_states``, which each batch leaves as files; called
+    again, it goes on from there."""
+    states.sparkSession.createDataFrame([], states.schema).write.mode("overwrite").parquet(f"{path}/none")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    states.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = states.sparkSession.read.schema(states.schema).option("recursiveFileLookup", "true").parquet(path)
+    last = F.max_by("outcome", "number_of_tries").alias("outcome")
+    return rows.groupBy("data_source", "source_id").agg(last, F.max("number_of_tries").alias("number_of_tries"))
+
+
 def deltas(sizes: DataFrame, at: str = "ts", size: str = "words") -> DataFrame:
     """Growth from one observation to the next."""
     from pyspark.sql import Window
