@@ -191,3 +191,20 @@ def test_progress_is_reported(spark):
 )
 def test_wikitext_elements(text, clean):
     assert wikitext.Cleaner().compact(text) == clean
+
+
+def test_xml_files_hold_a_bounded_number_of_documents(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    rows = [(i, f"word{i} & two three", "one") for i in range(2500)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1,)], "r_regionkey long").write.parquet(str(tmp_path / "region.parquet"))
+    read, seen = readers.read_xml_texts, []
+
+    def longest(session, path):
+        seen.append(session.read.option("recursiveFileLookup", "true").text(path, wholetext=True).selectExpr("max(size(split(value, '</doc>'))) - 1").first()[0])
+        return read(session, path)
+
+    monkeypatch.setattr(readers, "read_xml_texts", longest)
+    got = entry.queries()["file_xml_texts"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("one", 7500)] and seen[0] <= 500

@@ -275,10 +275,11 @@ def file_wiki_templates(t):
 
 @query(f"select coalesce(source, 'none') as year, sum(len({WORDS(_SAFE)}))::bigint as words from documents where text is not null group by 1")
 def file_xml_texts(t):
-    """Gzipped XML files in folders: all text nodes."""
+    """Gzipped XML files in folders: all text nodes. The reader takes a file
+    whole, so files have a bounded number of documents."""
     spark, path = _folder(t)
     body = F.concat(F.lit("<doc><s id='1'><w>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</w></s></doc>"))
-    t("documents").where("text is not null").select(F.coalesce("source", F.lit("none")).alias("source"), body.alias("value")).repartition("source").write.partitionBy("source").option("compression", "gzip").text(path)
+    t("documents").where("text is not null").select(F.coalesce("source", F.lit("none")).alias("source"), body.alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 500).option("compression", "gzip").text(path)
     rows = readers.read_xml_texts(spark, path).withColumn("words", F.size(T.tokens(F.col("content"))))
     return rows.groupBy(F.regexp_replace("year", "^source=", "").alias("year")).agg(F.sum("words").alias("words"))
 
