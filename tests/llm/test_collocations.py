@@ -79,3 +79,17 @@ def test_states_and_links():
         ends = levels[d - 1][0]
         for w, (_, link) in named[d].items():
             assert tuple(symbols[ends[link] - d + 2 : ends[link] + 1].tolist()) == w[1:]
+
+
+@pytest.mark.parametrize("low", [2, 3, 5])
+def test_states_from_a_size_on(low):
+    """Shorter states aren't built; the others are the same."""
+    rng = np.random.default_rng(low)
+    symbols, new = rng.integers(0, 4, 500), rng.random(500) < 0.3
+    at = np.arange(500)
+    reach = at - np.maximum.accumulate(np.where(new | (at == 0), at, 0)) + 1
+    whole, part = collocations.Automaton(symbols, reach, 5).levels, collocations.Automaton(symbols, reach, 5, low).levels
+    assert sorted(part) == list(range(low, 6))
+    for d in part:
+        named = [{tuple(symbols[e - d + 1 : e + 1].tolist()): int(c) for e, c, _ in zip(*levels[d], strict=True)} for levels in (whole, part)]
+        assert named[0] == named[1]

@@ -47,25 +47,28 @@ _BREAK[list(BREAKS)] = True
 
 
 class Automaton:
-    """The states of at most ``depth`` words of the strings that end at ``ends``; the
+    """The states of ``low`` to ``depth`` words of the strings that end at ``ends``; the
     string that ends at position p may reach back ``reach[p]`` words, itself included.
 
     ``levels[d]``: (a position where each state of d words ends, its endpos count, the
     number of the state of d - 1 words that its suffix link names)."""
 
-    def __init__(self, symbols: np.ndarray, reach: np.ndarray, depth: int):
+    def __init__(self, symbols: np.ndarray, reach: np.ndarray, depth: int, low: int = 1):
         n = int(symbols.max()) + 1 if len(symbols) else 1
         reach = np.minimum(reach, depth)
+        longest = reach.copy()  # of the strings that go on from a position
+        for _ in range(depth - 1):
+            longest[:-1] = np.maximum(longest[:-1], np.where(reach[1:] > 1, longest[1:], 0))
         # the number of the string of d words that ends at a position, by its first d - 1 words and the last
-        number = [np.zeros(len(symbols), dtype=np.int64), symbols.astype(np.int64)]
+        number = [np.zeros(0, dtype=np.int32), symbols.astype(np.int32)]
         for d in range(2, depth + 1):
-            pair = np.full(len(symbols), -1, dtype=np.int64)
-            at = np.flatnonzero(reach >= d)
-            pair[at] = np.unique(number[d - 1][at - 1] * n + symbols[at], return_inverse=True)[1]
+            pair = np.full(len(symbols), -1, dtype=np.int32)
+            at = np.flatnonzero((reach >= d) & (longest >= low))
+            pair[at] = np.unique(number[d - 1][at - 1].astype(np.int64) * n + symbols[at], return_inverse=True)[1]
             number.append(pair)
         self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         ends, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        for d in range(depth, 0, -1):
+        for d in range(depth, low - 1, -1):
             own = np.flatnonzero(reach == d)  # nothing longer ends here
             ends = np.concatenate((ends, own))
             counts = np.concatenate((counts, np.ones(len(own), dtype=np.int64)))
@@ -201,12 +204,13 @@ def _round(docs: DataFrame, low: int, depth: int, known: bytes | None, limit: in
                     inside = reach >= low
                     if not inside.any():
                         continue
-                states = Automaton(shard.symbols, reach, depth)
+                states = Automaton(shard.symbols, reach, depth, low)
                 for size in range(low, depth + 1):
                     ends, counts, _ = states.levels[size]
                     for at in range(0, len(ends), 1 << 16):
                         part = ends[at : at + (1 << 16)]
                         yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang[part])), pa.array(np.full(len(part), size, dtype=np.int32)), shard.texts(part, size), pa.array(counts[at : at + (1 << 16)])], ["lang", "size", "phrase", "a"])
+                del states
                 if low == 1:
                     total = np.bincount(shard.lang, minlength=len(langs))
                     yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(langs), dtype=np.int32)), pa.array([""] * len(langs)), pa.array(total)], ["lang", "size", "phrase", "a"])
