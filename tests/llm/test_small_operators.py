@@ -352,3 +352,22 @@ def test_ids_of_other_kinds_raise_or_work(spark):
             work()
     assert mixing.mix(docs.withColumn("source", F.lit("s"))).first()["doc_id"] == "a"
     assert pii.digest(pii.find(docs, pii.learn([]))).first()["doc_id"] == "a"
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_ann_on_rows_that_codes_tell_little_of(spark, metric):
+    """Many independent components, and a rare kind of rows that no codebook knows."""
+    rng = np.random.default_rng(6)
+    x = np.hstack((rng.standard_normal((1500, 96)), np.zeros((1500, 32))))
+    x[:40] = 0
+    x[:40, 96:] = rng.standard_normal((40, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    settings = additive_ann.Settings(books=4, words=16, sample=600, rerank=20)
+    out = additive_ann.nearest(table, F.col("vec_id") % 20 == 0, 10, metric=metric, settings=settings).toPandas()
+    found = out.groupby("query_id")["vec_id"].agg(set)
+    right = []
+    for q in range(0, 1500, 20):
+        near = x @ x[q] if metric == "ip" else -((x - x[q]) ** 2).sum(axis=1)
+        near[q] = -np.inf
+        right.append(len(found[q] & set(np.argsort(-near)[:10].tolist())) / 10)
+    assert np.mean(right) > 0.97 and min(right) > 0.5

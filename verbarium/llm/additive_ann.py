@@ -6,7 +6,10 @@ together by least squares, on a bounded sample. Encoding is a beam search over t
 codebooks. A query's table of inner products with all codewords scores any code by a
 few look-ups (for Euclidean distance the stored norms of the sums are added); the best
 candidates of each query in each block of codes are then ranked by the exact measure
-on the original vectors.
+on the original vectors, and so are all others whose score and slack reach the last of
+these: the slack is a row's own coding error times what the sample's neighbours show, or
+all of the error where the row is coded worse than most (as rows of a kind that the sample
+lacks, or of very many components).
 
 Codes lie in coarse cells (k-means of the sample), and a query asks the cells nearest
 to it. How many is measured: as many as hold RECALL of the sample's own neighbours, so
@@ -47,7 +50,7 @@ BLOCK, GROUP, CELL = 1 << 16, 4096, 4096
 class Settings:
     """``sample`` bounds the rows that the codebooks and cells are fitted to: those with
     the smallest hash of their id. ``rerank``: candidates of a query in each block that
-    are ranked exactly; they grow with the table, so recall doesn't fall with it.
+    are ranked exactly at least; they grow with the table, so recall doesn't fall with it.
     ``recall``: the share of the sample's neighbours that the cells asked must hold."""
 
     books: int = 32
@@ -179,8 +182,10 @@ class Cells:
         return np.where(length > self.longest, len(self.centres), (x @ self.centres.T - self.half).argmax(axis=1))
 
     def order(self, x: np.ndarray) -> np.ndarray:
-        """Cells of directions by promise, for each query."""
-        return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")
+        """Cells of directions by promise, for each query; its own comes first."""
+        near = x @ self.centres.T
+        near[np.arange(len(x)), (near - self.half).argmax(axis=1)] = np.inf
+        return np.argsort(-near, axis=1, kind="stable")
 
     def asks(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate((self.order(x)[:, : self.asked], np.full((len(x), 1), len(self.centres))), axis=1)
@@ -205,6 +210,27 @@ def fit_cells(x: np.ndarray, length: np.ndarray, count: int, metric: str, n: int
     return out
 
 
+def fit_slack(tool: Quantiser, x: np.ndarray, length: np.ndarray, metric: str, n: int) -> tuple[float, float]:
+    """(share of a row's coding error that the inner products of neighbours miss, the error
+    beyond which all of it counts), of the sample's directions."""
+    rest = x - tool.decode(tool.encode(x))
+    error = np.sqrt((rest**2).sum(axis=1))
+    asking, part = x[:256], length / length.max()
+    near = asking @ x.T
+    near = near * part if metric == "ip" else 2 * near * part * part[: len(asking), None] - part**2
+    near[np.arange(len(asking)), np.arange(len(asking))] = -np.inf
+    best = np.argsort(-near, axis=1)[:, :n]
+    missed = (rest[best] * asking[:, None]).sum(axis=2) / np.maximum(error[best], 1e-9)
+    own = (rest * x).sum(axis=1) / np.maximum(error, 1e-9)
+    return float(min(1.0, max(np.quantile(missed, 0.999), np.quantile(own, 0.999), 0.0))), float(1.5 * np.median(error))
+
+
+def _exactly(exact: np.ndarray, at: np.ndarray, v: np.ndarray, metric: str, step: int = 4096) -> np.ndarray:
+    """The measure of the rows ``at``, a few at a time."""
+    parts = (exact[at[i : i + step]] for i in range(0, len(at), step))
+    return np.concatenate([np.empty(0), *((part * v).sum(axis=1) if metric == "ip" else ((part - v) ** 2).sum(axis=1) for part in parts)])
+
+
 def valid(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vector as float64 bytes) of the rows that take part, each once."""
 
@@ -241,7 +267,9 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
     known, length = directions(np.frombuffer(b"".join(sample.column("vec").to_pylist()), dtype=np.float64).reshape(sample.num_rows, -1))
     del sample
     dim = known.shape[1]
-    tools = shared(spark, (train(known, settings).books, fit_cells(known, length, count, metric, n, settings)))  # bounded by the settings
+    tool = train(known, settings)
+    tools = shared(spark, (tool.books, fit_cells(known, length, count, metric, n, settings)))  # bounded by the settings
+    share, worst = fit_slack(tool, known, length, metric, n)
     rows = rows.select("id", "vec").withColumnRenamed("id", id_col).withColumn("_asks", F.coalesce(is_query, F.lit(False))).withColumnRenamed(id_col, "id")
 
     def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -270,13 +298,15 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
         for batch in batches:
             ids, exact, x, length, asks = vectors(batch)
             codes, cell = tool.encode(x), cells.of(x, length)
-            norms = (tool.decode(codes) ** 2).sum(axis=1, dtype=np.float32)
+            coded = tool.decode(codes)
+            norms, error = (coded**2).sum(axis=1, dtype=np.float32), np.sqrt(((x - coded) ** 2).sum(axis=1, dtype=np.float32))
+            slack = (np.where(error > worst, error, share * error) * 1.0001 + 1e-6).astype(np.float32)
             wide = np.ascontiguousarray(exact).view(f"V{8 * dim}").ravel()
             block = base[cell] + _spread(ids, 1) % blocks[cell] * groups[cell]
             most = groups[cell]
             for g in range(int(most.max(initial=0))):
                 on = most > g
-                for task, blob in deal(block[on] + g, ids[on], np.ascontiguousarray(codes[on]).view(f"V{codes.shape[1]}").ravel(), norms[on], length[on], wide[on]):
+                for task, blob in deal(block[on] + g, ids[on], np.ascontiguousarray(codes[on]).view(f"V{codes.shape[1]}").ravel(), norms[on], slack[on], length[on], wide[on]):
                     yield task, b"C" + blob
             at = np.flatnonzero(asks)
             for k in range(0, len(at), 64):
@@ -291,12 +321,12 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
 
     def scan(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         books = opened(tools)[0]
-        ids, codes, norms, length, wide = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"C"], "i8", f"V{len(books)}", "f4", "f8", f"V{8 * dim}")
+        ids, codes, norms, slack, length, wide = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"C"], "i8", f"V{len(books)}", "f4", "f4", "f8", f"V{8 * dim}")
         asking, asked = undeal([memoryview(b)[1:] for b in blobs if b[:1] == b"Q"], "i8", f"V{8 * dim}")
         if not len(ids) or not len(asking):
             return
         order = np.argsort(ids, kind="stable")
-        ids, norms, length, exact = ids[order], norms[order], length[order], wide[order].view(np.float64).reshape(len(ids), dim)
+        ids, norms, slack, length, exact = ids[order], norms[order], slack[order], length[order], wide[order].view(np.float64).reshape(len(ids), dim)
         codes = np.ascontiguousarray(codes[order].view(np.uint8).reshape(len(ids), -1).T)
         asked = asked.view(np.float64).reshape(len(asking), dim)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -306,14 +336,25 @@ def nearest(table: DataFrame, is_query: Column, n: int = 20, id_col: str = "vec_
             else:
                 toward, size = directions(v[None])
                 look_up = books @ toward[0]
-                scores = look_up[0][codes[0]]
+                dots = look_up[0][codes[0]]
                 for b in range(1, len(codes)):
-                    scores += look_up[b][codes[b]]
-                scores = scores * (length / length.max()) if metric == "ip" else _closeness(scores, norms, length, size[0])
-                scores[np.searchsorted(ids, q) : np.searchsorted(ids, q, side="right")] = -np.inf
+                    dots += look_up[b][codes[b]]
+                longest = max(length.max(), size[0])
+                own = length / longest
+                scores = dots * own if metric == "ip" else _closeness(dots, norms, length, size[0])
+                same = slice(np.searchsorted(ids, q), np.searchsorted(ids, q, side="right"))
+                scores[same] = -np.inf
                 best = _best(scores, settings.rerank)
+                best = best[ids[best] != q]
+                if len(best) >= n:  # what may still be as near as the last of them
+                    most = own * (dots + slack) if metric == "ip" else 2 * own * (size[0] / longest) * (dots + slack) - own**2
+                    most[same] = -np.inf
+                    have = (exact[best] / longest) @ toward[0]
+                    have = have if metric == "ip" else 2 * (size[0] / longest) * have - own[best] ** 2
+                    most[best] = -np.inf
+                    best = np.concatenate((best, np.flatnonzero(most >= np.partition(have, len(have) - n)[len(have) - n])))
             best = best[ids[best] != q]
-            true = (exact[best] * v).sum(axis=1) if metric == "ip" else ((exact[best] - v) ** 2).sum(axis=1)
+            true = _exactly(exact, best, v, metric)
             top = np.lexsort((ids[best], -true if metric == "ip" else true))[:n]
             found.append((np.full(len(top), q), ids[best][top], true[top]))
         q, own, true = (np.concatenate(c) for c in zip(*found, strict=True))
