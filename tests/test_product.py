@@ -208,3 +208,15 @@ def test_xml_files_hold_a_bounded_number_of_documents(spark, tmp_path, monkeypat
     monkeypatch.setattr(readers, "read_xml_texts", longest)
     got = entry.queries()["file_xml_texts"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("one", 7500)] and seen[0] <= 500
+
+
+def test_a_digest_of_all_lines_holds_none_whole(spark):
+    import hashlib
+
+    rows = ["b", "", "a", "ñ", "b", "", "z" * 3000] * 400 + [f"line {i}" for i in range(500)]
+    lines = spark.createDataFrame([(r,) for r in rows], "value string").repartition(5)
+    got = sinks.digested(lines)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    assert tuple(got.first()) == (hashlib.md5("\n".join(sorted(rows, key=str.encode)).encode()).hexdigest(), len(rows))
+    assert tuple(sinks.digested(lines.limit(0)).first()) == (None, 0)

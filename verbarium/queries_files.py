@@ -226,7 +226,7 @@ def file_texts(t):
     spark, path = _folder(t)
     sinks.write_texts(_docs(t).where("content is not null"), path, 300, "bzip2")
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.agg(F.md5(F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("lines"), F.count("*").alias("n"))
+    return sinks.digested(lines)
 
 
 _SAFE = r"regexp_replace(text, '[<>&]', ' ', 'g')"

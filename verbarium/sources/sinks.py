@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,41 @@ def write_texts(docs: DataFrame, path: str, per_file: int = 100_000, compression
     docs.select(F.col("content").alias("value")).write.option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
+def digested(lines: DataFrame) -> DataFrame:
+    """One row: the MD5 of all lines in order, joined by line feeds, and their number. The
+    digest takes one line after the other, so one task makes it; it gets each different line
+    once, with its count, in compressed runs, and holds one run at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([place]), pa.array([sink.getvalue().to_pybytes()])], ["part", "place", "run"])
+            place += 1
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, n = hashlib.md5(), 0
+        for batch in batches:
+            for run in batch.column(2):
+                for rows in pa.ipc.open_stream(run.as_buffer()):
+                    for line, count in zip(rows.column(0), rows.column(1).to_pylist(), strict=True):
+                        line = b"\n" + line.as_py()
+                        if not n:
+                            made.update(line[1:])
+                        rest, n = count - (not n), n + count
+                        at_once = max(1, (1 << 20) // len(line))
+                        for at in range(0, rest, at_once):
+                            made.update(line * min(at_once, rest - at))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([made.hexdigest()]), pa.array([n])], ["lines", "n"])
+
+    each = lines.groupBy(F.col("value").cast("binary").alias("value")).agg(F.count("*").alias("n")).orderBy("value")
+    runs = each.mapInArrow(pack, "part long, place long, run binary").repartition(1).sortWithinPartitions("part", "place")
+    return runs.mapInArrow(digest, "lines string, n long").agg(F.max("lines").alias("lines"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+
+
 def write_model(model: DataFrame, path: str) -> None:
     """(word, idx, vec) with unit rows, so older models are mended on the way;
     zero rows stay."""
