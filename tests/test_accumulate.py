@@ -64,3 +64,23 @@ def test_empty(spark):
     vocab = cooccurrence.with_ids(cooccurrence.vocabulary_of(docs, "text"))
     assert vocab.collect() == [] and cooccurrence.cells_of(docs, vocab, 5).collect() == []
     assert cooccurrence.cells_of(docs_of(spark, 3), vocab, 5).collect() == []
+
+
+def test_pairs_of_a_batch_take_bounded_memory():
+    """Pairs of all distances of a run are held at once, so runs are short."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 20_000] * 60)], ["text"])  # 6 MB
+    sums = accumulate.Sums(1_000_000, np.ones(10))
+    tracemalloc.start()
+    n = 0
+    for words, sentence in accumulate.runs(iter([batch]), True):
+        sums.add(2000 + np.arange(len(words)) % 5000, sentence)
+        n += len(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_200_000 and sums.take(last=True)[1].sum() == 60 * sum(20_000 - d for d in range(1, 11))
+    assert peak < 350 << 20
