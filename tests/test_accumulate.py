@@ -84,3 +84,25 @@ def test_pairs_of_a_batch_take_bounded_memory():
     tracemalloc.stop()
     assert n == 1_200_000 and sums.take(last=True)[1].sum() == 60 * sum(20_000 - d for d in range(1, 11))
     assert peak < 350 << 20
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_widths_and_drops_by_key(spark, monkeypatch, small):
+    """Widths of their own and dropped words, inside tasks as by joins; nothing is joined, and no word's row travels."""
+    if small:
+        for name, value in (("RUN", 50), ("DENSE", 3), ("MOST_HELD", 40)):
+            monkeypatch.setattr(accumulate, name, value)
+    docs = docs_of(spark, 3)
+    rows = cooccurrence.sentence_table(docs, "text")
+    vocab = cooccurrence.with_ids(cooccurrence.vocabulary_of(docs, "text", min_count=3)).cache()
+    for subsample in (0.0, 0.02):
+        placed = cooccurrence.placed(rows, vocab, subsample=subsample, seed=5).cache()
+        want = plain(cooccurrence.cooccurrence(cooccurrence.pairs(placed, 4, dynamic=True, seed=5)))
+        found = cooccurrence.dynamic_cells(docs, vocab, 4, subsample=subsample, seed=5)
+        assert plain(found) == want
+        assert plain(cooccurrence.dynamic_cells(rows, vocab, 4, "tokens", subsample=subsample, seed=5)) == want
+        assert plain(cooccurrence.subsampled_counts(docs, vocab, subsample, seed=5)) == plain(placed.groupBy(F.col("id").cast("bigint").alias("id")).agg(F.count("*").alias("kept")))
+        lists = accumulate.id_lists(rows, vocab, subsample, seed=5).collect()
+        assert sorted(i for r in lists for i in r["ids"]) == sorted(r["id"] for r in placed.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Generate" not in plan
