@@ -106,3 +106,10 @@ def test_widths_and_drops_by_key(spark, monkeypatch, small):
         assert sorted(i for r in lists for i in r["ids"]) == sorted(r["id"] for r in placed.collect())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and "Generate" not in plan
+
+
+def test_no_word_is_common_enough(spark):
+    docs = docs_of(spark, 4)
+    vocab = cooccurrence.with_ids(cooccurrence.vocabulary_of(docs, "text", min_count=10**6)).cache()
+    assert cooccurrence.subsampled_counts(docs, vocab, 1e-3).count() == 0
+    assert cooccurrence.ppmi(cooccurrence.dynamic_cells(docs, vocab, 3, subsample=1e-3)).count() == 0

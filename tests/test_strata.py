@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,33 @@ def test_too_large_to_share_raises(spark, monkeypatch):
         with pytest.raises(ValueError):
             work()
     assert cooccurrence.vocabulary(rows).count() > 10
+
+
+def test_cbow_examples_are_whole(spark):
+    """Every word with a neighbour is a centre once, with all words of its own sentence in the window."""
+    lists = [[1, 2, 3, 4], [5], [2, 2], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], ["ids"])
+    want = sorted((s[i] - 1, tuple(sorted(x - 1 for x in s[max(0, i - 2) : i] + s[i + 1 : i + 3]))) for s in lists for i in range(len(s)) if len(s) > 1)
+    for most in (1, 3, 100):
+        got = [(c, tuple(sorted(x[on > 0].tolist()))) for part in training._examples([batch], np.array([-2, -1, 1, 2]), True, most) for c, x, on in zip(*part, strict=True)]
+        assert sorted((int(c), w) for c, w in got) == want
+        pairs = [(int(c), int(x[0])) for part in training._examples([batch], np.array([-2, -1, 1, 2]), False, most) for c, x, _ in zip(*part, strict=True)]
+        assert sorted(pairs) == sorted((c, x) for c, words in want for x in words)
+
+
+def test_cbow_finds_groups(spark):
+    rows = topics(spark, 600)
+    for options in ({"hsoftmax": False, "negative": 4}, {"hsoftmax": True}):
+        model = training.word2vec(rows, dimension=8, min_count=1, window=4, algorithm="cbow", epochs=12, alpha=0.3, **options)
+        vec = {r["word"]: r["vec"] for r in model.collect() if r["word"] not in ("the", "of")}
+        assert len(vec) == 24 and apart(vec, lambda w: w[0]) > 0.1
+
+
+def test_scatter_adds_what_repeats():
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((5, 3))
+    b, at, v = a.copy(), rng.integers(0, 5, 40), rng.standard_normal((40, 3))
+    np.add.at(a, at, v)
+    strata.scatter(b, at, v)
+    strata.scatter(b, at[:0], v[:0])
+    assert np.allclose(a, b)
