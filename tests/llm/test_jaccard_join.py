@@ -1,10 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verbarium.llm import jaccard_join
+from verbarium.llm.common import drop, materialize
 
 
 def brute(rows, n, percent):
@@ -93,3 +96,31 @@ def test_search_finds_what_all_pairs_find():
                 expected.join(i, j)
     same = lambda f: [[f.root(i) == f.root(j) for j in range(80)] for i in range(80)]
     assert same(forest) == same(expected)
+
+
+def test_large_groups_in_rounds(spark, monkeypatch):
+    """A group of many blocks is sent in several rounds, none of which sends more than a few copies of its sets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    monkeypatch.setattr(jaccard_join, "COPIES", 2)
+    written, real = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df: written.append(df.columns) or real(df))
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[: i % 30], f"x{i}", *base[i % 30 :]])) for i in range(120)] + [(500 + i, f"y{i} z y{i + 1}") for i in range(9)]
+    assert run(spark, rows, n=1, percent=80) == brute(rows, 1, 80)
+    assert written.count(["a", "b"]) >= 4
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    rows, path = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    wanted = time.time() + 10
+    while shuffles() - before and time.time() < wanted:
+        time.sleep(0.2)
+    assert not shuffles() - before and sorted(r["k"] for r in rows.collect()) == list(range(7))
+    drop(spark, path)

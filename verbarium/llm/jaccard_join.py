@@ -18,7 +18,8 @@ all links between different texts, exactly:
    asks the inverted index of the others: the short lists of its elements are merged,
    the longest ones only probed by binary search for candidates that can still reach
    the overlap T (DivideSkip); pairs already connected are skipped. Large groups are
-   cut into blocks of bounded size, and every pair of blocks is searched.
+   cut into blocks of bounded size, and every pair of blocks is searched, in rounds
+   that send each set COPIES times on average, so that disk keeps to the sets' size.
 4. The verified links give the components.
 
 Defined results: null and empty texts (and texts without words) have no n-grams and
@@ -46,6 +47,8 @@ _GRAM_BASE = 0xC2B2AE3D27D4EB4F
 FREQUENT = 8
 #: N-grams of the sets in one block of a large search group.
 BLOCK = 300_000
+#: How often a round of searches sends the sets on average.
+COPIES = 3
 #: Keys that a map task gathers before it combines and sends them.
 GATHER = 3_000_000
 
@@ -389,15 +392,22 @@ def searched(docs: DataFrame, work: DataFrame, n: int, percent: int, lower: bool
                     yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(blobs, pa.binary())], [*kept.schema.names, "grams"])
                     at, blobs = [], []
 
-    rows = rows.mapInArrow(sets, "rep bigint, group bigint, blocks bigint, block bigint, grams binary").dropDuplicates(["rep", "group"])
-    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    pairs = pairs.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "grams")
+    rows, path = materialize(rows.mapInArrow(sets, "rep bigint, group bigint, blocks bigint, block bigint, grams binary").dropDuplicates(["rep", "group"]))
+    sent = rows.agg(F.sum(F.length("grams").cast("double")), F.sum(F.length("grams").cast("double") * F.col("blocks"))).first()
+    rounds = math.ceil(sent[1] / (COPIES * sent[0])) if sent[0] else 1
+
+    def pairs(number: int) -> DataFrame:
+        """The sets of the pairs of blocks of a round."""
+        of = lambda o: F.pmod(F.xxhash64("group", F.least("block", o), F.greatest("block", o)), F.lit(rounds)) == number
+        every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+        out = rows.withColumn("other", F.explode(F.filter(every, of) if rounds > 1 else every))
+        return out.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "grams")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, np.ndarray]] = []
         current = None
 
-        def links() -> Iterator[pa.RecordBatch]:
+        def of_pair() -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: x[:2])
             reps, grams = [x[1] for x in held], [x[2] for x in held]
             i, j = current[1:]
@@ -411,14 +421,19 @@ def searched(docs: DataFrame, work: DataFrame, n: int, percent: int, lower: bool
             columns = [c.to_pylist() for c in batch.columns[:5]]
             for g, i, j, block, rep, grams in zip(*columns, batch.column(5), strict=True):
                 if (g, i, j) != current and held:
-                    yield from links()
+                    yield from of_pair()
                     held = []
                 current = (g, i, j)
                 held.append((block, rep, np.frombuffer(grams.as_py(), dtype=np.uint64)))
         if held:
-            yield from links()
-
-    return pairs.repartition(width(work, 8), "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(search, "a bigint, b bigint")
+            yield from of_pair()
+
+    parts, found = max(width(work, 8), width(rows, 8)), None
+    for number in range(rounds):
+        links, _ = materialize(pairs(number).repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(search, "a bigint, b bigint"))
+        found = links if found is None else found.unionByName(links)
+    drop(docs.sparkSession, path)
+    return found
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
