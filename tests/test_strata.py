@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from verbarium.operators import cooccurrence
+from verbarium.operators import accumulate, cooccurrence
 from verbarium.plans import strata, training
 
 
@@ -130,3 +130,34 @@ def test_scatter_adds_what_repeats():
     strata.scatter(b, at, v)
     strata.scatter(b, at[:0], v[:0])
     assert np.allclose(a, b)
+
+
+def test_parts_meet_every_cell_once(spark, monkeypatch):
+    """Whatever the blocks, parts and jobs, the steps see all cells, and rows keep their names."""
+    monkeypatch.setattr(strata, "PART_ROWS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # several parts a task
+    rng = random.Random(4)
+    rows = [(d, s, rng.choices("abcdefg", k=rng.choice([0, 3, 9])) + ["?"]) for d in range(12) for s in range(3)]
+    sentences = spark.createDataFrame(rows, "doc_id bigint, sid int, tokens array<string>").repartition(3)
+    vocab = spark.createDataFrame([(w, 9, i) for i, w in enumerate("abcdefg", 1)], "word string, count bigint, id int")
+
+    def count(a, b, i, j, x, rng):
+        np.add.at(a, (i, 0), x * (b[j, 2] + 1))
+        np.add.at(b, (j, 1), x)
+        return float(x.sum()), float(x.sum())
+
+    for most, p, chain in ((accumulate.MOST_WORDS, 3, 1), (accumulate.MOST_WORDS, 3, 2), (0, 1, 1)):
+        monkeypatch.setattr(accumulate, "MOST_WORDS", most)
+        parts = training.tagged(sentences, vocab, p, "doc_id", 2, 1)
+        first = parts.where("kind = 'r'").select("task", "part", F.expr("cast(repeat(chr(0), length(v)) as binary)").alias("v"))
+        columns = spark.createDataFrame([("c", b, np.array([[1.0, 0.0, k] for k in range(b, 7, p)]).tobytes()) for b in range(p)], strata.STATE)
+        done, columns, cost, old = strata.epoch_of_parts(first, columns, parts, p, 2, count, 1, chain=chain)
+        assert cost == 1.0 and parts.where("kind = 't'").count() > 3
+        blobs = {(r["task"], r["part"]): np.frombuffer(r["v"], "<f4").reshape(-1, 2) for r in done.collect()}
+        names = {(r["task"], r["part"]): strata.parted(bytes(r["v"])) for r in parts.where("kind = 't'").collect()}
+        got = {tag: float(v[0]) for k, tags in names.items() for tag, v in zip(tags, blobs[k], strict=True)}
+        assert got == {f"{d}_{s}": float(sum("abcdefg".index(w) + 1 for w in t if w != "?")) for d, s, t in rows}
+        seen = {b: np.frombuffer(v, "<f8").reshape(-1, 3) for b, v in ((r["block"], bytes(r["v"])) for r in columns.collect())}
+        assert {"abcdefg"[k * p + b]: x[k, 1] for b, x in seen.items() for k in range(len(x))} == {w: float(sum(t.count(w) for _, _, t in rows)) for w in "abcdefg"}
+        assert len(strata.named_vectors(done, parts.where("kind = 't'").select("task", "part", "v"), p, 2).collect()) == len(rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
