@@ -41,3 +41,15 @@ def test_rows_without_values_and_repeated_ones(spark, tmp_path):
     rows = [("s", "a", 0, "pending"), ("s", "a", 0, "pending"), (None, "a", 0, "pending"), ("s", None, 0, "pending"), ("s", "b", 0, None), ("s", "tick", 50, "success")]
     got = log.run(*rows)
     assert {r[:2] for r in got} == {("s", "a"), ("s", "b")} and len(got) == 2
+
+
+def test_many_entries_of_a_lane(spark, tmp_path, monkeypatch):
+    """Entries of a bucket, taken in over several reads of it and over restarts, are each told of once."""
+    monkeypatch.setattr(retries, "TAKEN", 50)
+    monkeypatch.setattr(retries, "BUCKETS", 3)
+    log = Log(spark, tmp_path, wait=600, gap=0.5, lanes=1)
+    rows = [("s", f"e{i:03}", 0, "pending") for i in range(300)]
+    assert log.run(*rows, ("t", "tick", 60, "success")) == {("s", f"e{i:03}", i / 120, 0) for i in range(300)}
+    failed = [("s", f"e{i:03}", 61, "failure") for i in range(0, 300, 2)]
+    done = [("s", f"e{i:03}", 61, "success") for i in range(0, 300, 4)]
+    assert log.run(*failed, *done, ("t", "tick", 90, "success")) == {("s", f"e{i:03}", 71 + n / 120, 1) for n, i in enumerate(range(2, 300, 4))}
