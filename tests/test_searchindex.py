@@ -98,3 +98,28 @@ def test_a_page_scores_few_blocks(spark, tmp_path, monkeypatch):
     assert max(scored) <= 20 < index.docs.select("block").distinct().count()
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,common)" in plan and "In(block" in plan
+
+
+def test_building_holds_a_bounded_block(spark, tmp_path, monkeypatch):
+    """A task is handed few rows at a time, and the session's own setting comes back."""
+    real = searchindex._blocks
+
+    def blocks(batches):
+        def counted():
+            for batch in batches:
+                assert batch.num_rows <= 7
+                yield batch
+
+        return real(counted())
+
+    monkeypatch.setattr(searchindex, "_blocks", blocks)
+    monkeypatch.setattr(searchindex, "HANDED", 7)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame(corpus_of(4, 200), SCHEMA).repartition(2, "_id")
+    searchindex.write_segment(docs, str(tmp_path / "i"), "all")
+    assert spark.conf.get(name) == before and searchindex.BLOCK_TOKENS <= 1 << 19
+    query = {"match": {"content": "w0 w7 nandu dog"}}
+    index = searchindex.SearchIndex(spark, str(tmp_path / "i"))
+    got, want = searchindex.search(index, docs, query).collect(), rows_of(docs, query)
+    assert [(r[0], r[1], round(r[3], 6)) for r in got] == [(r[0], r[1], round(r[3], 6)) for r in want]

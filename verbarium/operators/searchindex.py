@@ -24,6 +24,7 @@ import hashlib
 import json
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ from verbarium.session import shared_base
 
 BLOCK = 4096
 #: A block ends early at so many tokens.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 19
+#: Documents that a task is handed at a time; a block gathers them, so more would be held besides it.
+HANDED = 256
 #: Blocks of the first step, and how many of the second are listed in its filter.
 FIRST, MOST_LISTED = 16, 2000
 _PLACE = "term string, block bigint, n int, peak double, at array<int>, tf array<int>"
@@ -80,6 +83,21 @@ def postings_of(tokens: pa.ListArray) -> Iterator[tuple[list, np.ndarray, np.nda
     yield coded.dictionary.take(pa.array(code[first])), np.append(first, len(code)).astype(np.int32), at.astype(np.int32), tf.astype(np.int32), peak
 
 
+@contextmanager
+def _handed(spark: SparkSession):
+    """Python is handed HANDED rows at a time here, whatever the length of their texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, str(HANDED))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
 def write_segment(docs: DataFrame, path: str, segment: str, key: str = "_id", field: str = "content") -> None:
     """Add documents (key, data_source, word_count, field) to the index at ``path``. Texts
     are analysed once; a task makes whole blocks of its own documents, so only postings
@@ -105,7 +123,8 @@ def write_segment(docs: DataFrame, path: str, segment: str, key: str = "_id", fi
                 yield pa.RecordBatch.from_arrays([*empty, terms.cast(pa.string()), pa.array(np.full(m, base + number)), pa.array(np.diff(offsets).astype(np.int32)), pa.array(peak), *lists], names)
 
     folder = f"{path}/staging/{segment}"
-    rows.mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    with _handed(spark):
+        rows.mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(folder)
     staged = spark.read.schema(schema).parquet(folder)
     staged.where("term is null").select("block", "place", "key", "data_source", "word_count", "size").sortWithinPartitions("block", "place").write.mode("overwrite").parquet(f"{path}/docs/segment={segment}")
     order = ("term", "block")
