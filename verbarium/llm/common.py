@@ -20,7 +20,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.session import shuffles_released
+from verbarium.session import shuffles_released, small_batches
 
 #: The white space that separates words: U+0020 and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -45,10 +45,11 @@ def workspace(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it again, which
-    cuts the lineage and survives lost executors; the files of its shuffles go."""
+    cuts the lineage and survives lost executors; the files of its shuffles go, and
+    Python gets bounded batches."""
     spark = df.sparkSession
     path = path or workspace(spark)
-    with shuffles_released(spark):
+    with shuffles_released(spark), small_batches(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -49,8 +49,9 @@ FREQUENT = 8
 BLOCK = 300_000
 #: How often a round of searches sends the sets on average.
 COPIES = 3
-#: Keys that a map task gathers before it combines and sends them.
-GATHER = 3_000_000
+#: Keys that a map task gathers before it combines and sends them; it holds some 15 numbers
+#: of 8 bytes for each then.
+GATHER = 1_000_000
 
 
 def gram_sets(column: pa.Array, n: int, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
@@ -197,7 +198,11 @@ def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text
         return ((p, kind + blob) for p, blob in deal(owner, *columns))
 
     def send(keys: list, ids: list) -> Iterator[tuple[int, bytes]]:
-        key, own, place, count = by_key(np.concatenate(keys), np.concatenate(ids))
+        both = np.concatenate(keys), np.concatenate(ids)
+        keys.clear()
+        ids.clear()
+        key, own, place, count = by_key(*both)
+        del both
         sent = place <= FREQUENT
         yield from out(b"K", (key[sent] % np.uint64(parts)).astype(np.int64), key[sent], own[sent])
         often = count > FREQUENT
@@ -232,7 +237,7 @@ def routed(docs: DataFrame, n: int, percent: int, lower: bool, id_col: str, text
                     numbers, sets, size = [], [], 0
                 if held > GATHER:
                     yield from send(keys, ids)
-                    keys, ids, held = [], [], 0
+                    held = 0
         if held:
             yield from send(keys, ids)
 

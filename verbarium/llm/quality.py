@@ -29,6 +29,8 @@ from verbarium.llm.common import inverse, mix, powers, runs_of
 
 GRAMS = (3, 4, 5)
 _BASE = 0xA24BAED4963EE407
+#: Bytes of a batch of scored rows, about; the executor holds one of these.
+OUT_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -207,21 +209,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``docs``' id, the columns to keep and score: the probability of label 1."""
     weights, bias, bits = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias, model.bits  # 4 * 2**bits bytes
 
+    columns = [id_col, *[c for c in keep if c != id_col]]
+    own = text_col in columns and dict(docs.dtypes)[text_col] == "string"  # a kept text travels once
+    rows = docs.select(*columns) if own else docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
+    place, n = columns.index(text_col) if own else len(columns), len(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
         for batch in batches:
             scores = np.empty(batch.num_rows)
-            for buf, bounds, at in runs_of(batch.column(0), 1 << 18):
+            for buf, bounds, at in runs_of(batch.column(place), 1 << 18):
                 total, count = np.zeros(len(at)), np.zeros(len(at))
                 for ids, rows in features(buf, bounds, bits):
                     total += np.bincount(rows, table[ids], minlength=len(at))
                     count += np.bincount(rows, minlength=len(at))
                 scores[at.start : at.stop] = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -50, 50)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores)], [*batch.schema.names[:n], "score"])
+            step = max(1, batch.num_rows * OUT_BYTES // max(1, out.nbytes))
+            yield from (out.slice(i, step) for i in range(0, batch.num_rows, step))
 
-    columns = [id_col, *[c for c in keep if c != id_col]]
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *columns)
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:n])
     return rows.mapInArrow(run, f"{schema}, score double")
 
 
