@@ -113,6 +113,24 @@ def test_shuffle_takes_cooccurrence_records(spark, tmp_path):
     assert got == run() != sorted(got)
 
 
+def test_shuffled_makes_rows_once(spark):
+    """The order is that of the hashes over all partitions, and no row is made twice for it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 20_000, 1, 3).select((F.col("id") % 5000).alias("w"), F.col("id").cast("double").alias("x"))
+    made_rows = rows.mapInArrow(counted, "w bigint, x double")
+    got = [tuple(r) for r in cooccurrence.shuffled(made_rows, 7).collect()]
+    assert made.value == 20_000 and len(set(got)) == 20_000
+    hashed = rows.select("w", "x", F.xxhash64(F.lit(7), "w", "x").alias("h")).collect()
+    assert got == [(r["w"], r["x"]) for r in sorted(hashed, key=lambda r: (r["h"], r["w"], r["x"]))]
+    assert cooccurrence.shuffled(made_rows.limit(0)).collect() == []
+
+
 def test_vocabulary_order_and_cap(spark):
     rows = sentence(spark, "b a b a c\nd")
     assert [r["word"] for r in cooccurrence.vocabulary(rows, max_count=2).orderBy(F.desc("count"), "word").collect()] == ["a", "b"]
