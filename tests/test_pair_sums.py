@@ -27,3 +27,19 @@ def test_pairs_are_summed_exactly(monkeypatch, n, window):
     assert dict(zip(keys.tolist(), values.tolist(), strict=True)) == {int(k): x for k, x in want.items()}
     sums.add(ranks[:0], sentence[:0])
     assert not len(sums.take()[0])
+
+
+def test_sums_travel_in_few_bytes():
+    """Differences and sums by their bytes: pairs of one task, dealt out to 32 partitions, took 7 to 8 bytes each."""
+    rng = np.random.default_rng(5)
+    ranks = np.minimum((1 / rng.random(400_000)).astype(np.int64), 99_999)
+    sums = accumulate.Sums(100_000, accumulate._fraction(5, "inverse")[0])
+    sums.add(ranks, np.arange(len(ranks)) // 20)
+    keys, values = sums.take()
+    keys = np.append(keys, 7)  # not in order, as where the dense table goes first
+    values = np.append(values, 0.1)
+    blob = accumulate.squeezed(keys, values)
+    assert len(blob) < 4 * len(keys)
+    for got, want in zip(accumulate.unsqueezed(blob), (keys, values), strict=True):
+        assert got.dtype == want.dtype and (got == want).all()
+    assert not len(accumulate.unsqueezed(accumulate.squeezed(keys[:0], values[:0]))[0])
