@@ -161,3 +161,30 @@ def test_parts_meet_every_cell_once(spark, monkeypatch):
         assert {"abcdefg"[k * p + b]: x[k, 1] for b, x in seen.items() for k in range(len(x))} == {w: float(sum(t.count(w) for _, _, t in rows)) for w in "abcdefg"}
         assert len(strata.named_vectors(done, parts.where("kind = 't'").select("task", "part", "v"), p, 2).collect()) == len(rows)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_frequent_words_do_not_overshoot():
+    """Most pairs of a block have one word; steps on it taken together must not grow without end."""
+    rng = np.random.default_rng(2)
+    i, j = (np.minimum((1 / rng.random(20_000)).astype(np.int64) - 1, 599) for _ in range(2))
+    a, b = (rng.random((600, 8)) - 0.5) / 8, np.hstack((np.bincount(j, minlength=600)[:, None] + 1.0, np.zeros((600, 8))))
+    costs = []
+    for number in range(4):
+        cost, pairs = strata.negative_sampling(3, 0.025)(a, b, i, j, np.full(len(i), 7.0), np.random.default_rng(number))
+        costs.append(cost / pairs)
+        assert pairs == 140_000
+    assert np.isfinite(a).all() and np.isfinite(b).all() and costs[-1] < costs[0] < 4 * np.log(2)
+
+
+def test_svd_passes_read_pieces(spark):
+    """Cells are put in order once; a pass sorts none of them, and gives the exact singular values."""
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((80, 80)) < 0.3, rng.random((80, 80)), 0.0)
+    dense[7], dense[:, 9] = 0, 0
+    rows = [(int(w), int(c), float(dense[w, c])) for w, c in zip(*np.nonzero(dense), strict=True)]
+    cells = spark.createDataFrame(rows, "w int, c int, x double")
+    u, s, v = training.truncated_svd(cells, 80, 3, passes=60, tolerance=1e-9)
+    want = np.linalg.svd(dense)
+    assert np.allclose(s, want[1][:3]) and np.allclose(np.abs((u * want[0][:, :3]).sum(axis=0)), 1, atol=1e-3) and (v[9] == 0).all()
+    pieces = list(training._of_pieces(training._pieces(iter(cells.orderBy("w", "c").toArrow().to_batches()))))
+    assert sum(len(c) for c, *_ in pieces) == len(rows) and all((np.diff(c[turned]) >= 0).all() for c, *_, turned in pieces)
