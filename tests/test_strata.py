@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,22 @@ def test_svd_passes_read_pieces(spark):
     assert np.allclose(s, want[1][:3]) and np.allclose(np.abs((u * want[0][:, :3]).sum(axis=0)), 1, atol=1e-3) and (v[9] == 0).all()
     pieces = list(training._of_pieces(training._pieces(iter(cells.orderBy("w", "c").toArrow().to_batches()))))
     assert sum(len(c) for c, *_ in pieces) == len(rows) and all((np.diff(c[turned]) >= 0).all() for c, *_, turned in pieces)
+
+
+def test_parts_are_read_and_written_few_at_a_time(spark, monkeypatch):
+    """A part is megabytes: a row group holds GROUPED of them, where it held all of a file."""
+    monkeypatch.setattr(strata, "PART_BYTES", 4 * 8 * 2)  # parts of two rows, or a batch
+    monkeypatch.setattr(strata, "GROUPED", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = spark.createDataFrame([(d, s, ["a", "b", "c"][: 1 + d % 3]) for d in range(30) for s in range(2)], "doc_id bigint, sid int, tokens array<string>").coalesce(1)
+        vocab = cooccurrence.with_ids(cooccurrence.vocabulary(rows)).cache()
+        parts = training.tagged(rows, vocab, 2, "doc_id", 8, 1)
+        state = spark.createDataFrame([(0, k, bytes([k])) for k in range(20)], "task int, part bigint, v binary").coalesce(1)
+        more = spark.read.parquet(strata.stored(state.withColumn("kind", F.lit("r")), "kind"))
+        for table, whole in ((parts, 30), (more, 20)):
+            files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+            sizes = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+            assert max(sizes) <= 3 and sum(sizes) == table.count() >= whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
