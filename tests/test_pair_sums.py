@@ -72,3 +72,17 @@ def test_words_that_share_a_hash_are_joined(spark, monkeypatch):
     monkeypatch.setattr(accumulate, "hashes", lambda x: np.zeros(len(x), dtype=np.uint64))
     assert accumulate.cells(docs, vocab, 2) is None
     assert sorted(map(tuple, cooccurrence.cells_of(docs, vocab, 2).collect())) == want
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_ppmi_of_one_way_of_each_pair(spark, monkeypatch, joined):
+    """Half the cells are stored, with the same result."""
+    docs = spark.createDataFrame([(k, "a b a c d. b c a a " * (k % 3 + 1) + f"e{k} d") for k in range(20)], "doc_id bigint, text string")
+    vocab = cooccurrence.with_ids(cooccurrence.vocabulary_of(docs, "text")).cache()
+    got = lambda cells, **how: {(r["w"], r["c"]): round(r["x"], 9) for r in cooccurrence.ppmi(cells, **how).collect()}
+    want = got(cooccurrence.cells_of(docs, vocab, 3))
+    if joined:
+        monkeypatch.setattr(accumulate, "MOST_WORDS", 1)
+    half = cooccurrence.cells_of(docs, vocab, 3, mirror=False)
+    assert half.where("w = c").count() > 0 and half.count() == cooccurrence.cells_of(docs, vocab, 3).where("w <= c").count()
+    assert want and got(half, mirrored=False) == want
