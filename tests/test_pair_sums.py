@@ -86,3 +86,13 @@ def test_ppmi_of_one_way_of_each_pair(spark, monkeypatch, joined):
     half = cooccurrence.cells_of(docs, vocab, 3, mirror=False)
     assert half.where("w = c").count() > 0 and half.count() == cooccurrence.cells_of(docs, vocab, 3).where("w <= c").count()
     assert want and got(half, mirrored=False) == want
+
+
+def test_rows_travel_packed_in_the_same_order(spark):
+    """One blob for each partition and task, not a row each; the order is that of the hashes."""
+    rows = spark.range(5000, numPartitions=2).selectExpr("cast(id as int) as w", "if(id % 7 = 0, null, concat('x', id)) as c", "id / 4 as x")
+    sent = cooccurrence.packed_rows(rows.selectExpr("*", "w % 3 as _part"), "_part")
+    assert sent.count() == 6
+    want = [tuple(r) for r in rows.selectExpr("*", "xxhash64(7, w, c, x) as h").orderBy("h").select("w", "c", "x").collect()]
+    assert [tuple(r) for r in cooccurrence.shuffled(rows, 7).collect()] == want
+    assert cooccurrence.shuffled(rows.where("w < 0"), 7).count() == 0
